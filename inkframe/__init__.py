@@ -1,0 +1 @@
+"""Analytics over recognized document text, on Spark."""
