@@ -17,7 +17,7 @@ def character_error_rate(hyp: Column, ref: Column) -> Column:
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of arrays: each distinct word of the pair becomes one character (fewer than 55,296 of them)."""
     words = F.array_distinct(F.concat(a, b))
-    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w)), 4, "0")), F.lit("UTF-16BE"))
+    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w)), 4, "0")), "UTF-16BE")
     return F.levenshtein(F.array_join(F.transform(a, one), ""), F.array_join(F.transform(b, one), ""))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def solve_homography(source: np.ndarray, target: np.ndarray, least: float = 1e-1
     return np.append(m[:, 8], 1.0)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def homography(source: pd.Series, target: pd.Series) -> pd.Series:
     """Of arrays of eight numbers x, y each; null when there is none."""
     out = [solve_homography(np.reshape(a, (4, 2)), np.reshape(b, (4, 2))) if a is not None and b is not None else None for a, b in zip(source, target, strict=True)]

@@ -1,4 +1,278 @@
 """Registered queries of the operators, each with the SQL that it is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkframe.functions import geometry as geo
+from inkframe.functions import text as tx
+from inkframe.operators import edits, evaluate, fit, layout, order, passes
+from inkframe.plans import synthetic as syn
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+
+_LINES = "string_split(text, chr(10))"
+_WORDS_OF = "list_filter(string_split_regex(line, ' +'), lambda x: x <> '')"
+WORDS = f"""l AS (SELECT doc_id AS scan_id, unnest({_LINES}) AS line, unnest(range(len({_LINES}))) AS line_index FROM documents),
+w0 AS (SELECT scan_id, line_index, unnest({_WORDS_OF}) AS text, unnest(range(len({_WORDS_OF}))) AS word_no FROM l),
+words AS (SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY line_index, word_no) - 1 AS BIGINT) AS pos, line_index, word_no, text,
+  CAST((scan_id * 31 + line_index * 17 + word_no * 7) % 101 AS DOUBLE) AS confidence, CAST(word_no * 60 AS DOUBLE) AS x0, CAST(line_index * 20 AS DOUBLE) AS y0,
+  CAST(word_no * 60 + length(text) * 10 AS DOUBLE) AS x1, CAST(line_index * 20 + 12 + length(text) % 5 AS DOUBLE) AS y1 FROM w0)"""
+_RATIO = "CAST(length(regexp_replace(text, '[a-zA-Z0-9]', '', 'g')) AS DOUBLE) / length(text)"
+_RUN = "len(list_filter(range(1, greatest(length(text) - 2, 1)), lambda i: substr(text, i, 4) = repeat(substr(text, i, 1), 4))) > 0"
+SHAPE = rf"(regexp_matches(text, '^[^\w\s]+$') OR {_RUN} OR {_RATIO} > 0.6)"
+NOISE = f"({SHAPE} OR (NOT regexp_matches(text, '^[A-Z]{{3,}}$') AND confidence < 25))"
+NOISY = f"{WORDS}, noisy AS (SELECT *, {NOISE} AS noise FROM words)"
+REGIONS = f"{WORDS}, regions AS (SELECT scan_id, line_index // 5 AS block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words, avg(confidence) AS mean_confidence FROM words GROUP BY ALL)"
+PAIRS = "p AS (SELECT a.item_id, regexp_replace(a.text, '[^ -~\\n]', '?', 'g') AS hyp, regexp_replace(b.text, '[^ -~\\n]', '?', 'g') AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n AS (SELECT item_id, trim(regexp_replace(hyp, '\\s+', ' ', 'g')) AS h, trim(regexp_replace(ref, '\\s+', ' ', 'g')) AS r FROM p)".replace("\\\\", "\\")
+#: Layout objects: percent boxes of the words; every 7th is retyped, every 5th moved, every 11th has no text.
+OBJECTS = f"""{WORDS}, o AS (SELECT scan_id, pos, 'obj-' || CAST(pos + 1 AS VARCHAR) AS id, line_index, text AS original_text, confidence,
+  x0 / 1600 * 100 AS original_x, y0 / 4000 * 100 AS y, greatest(x1 - x0, 1.0) / 1600 * 100 AS w, greatest(y1 - y0, 1.0) / 4000 * 100 AS h, greatest(y1 - y0, 1.0) / 1600 * 100 * 0.8 AS font_size_pct,
+  CASE WHEN pos % 11 = 0 THEN '' WHEN pos % 7 = 0 THEN text || '-' ELSE text END AS text, x0 / 1600 * 100 + CASE WHEN pos % 5 = 0 THEN 1.5 ELSE 0.0 END AS x FROM words)"""
+_EDITED = "(text IS DISTINCT FROM original_text)"
+_MODIFIED = f"({_EDITED} OR abs(x - original_x) > 0.01)"
+_VISIBLE = f"({_EDITED} OR text = '' OR NOT {NOISE})"
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return syn.words(spark, sf)
+
+
+def _box(c: str):
+    return F.col(f"bbox.{c}")
+
+
+def _objects(spark: SparkSession, sf: str) -> DataFrame:
+    o = edits.render(_words(spark, sf), syn.images(spark, sf))
+    word, pos = F.col("type") == "word", F.col("ordinal") - 1
+    text = F.when(word & (pos % 11 == 0), "").when(word & (pos % 7 == 0), F.concat("text", F.lit("-"))).otherwise(F.col("text"))
+    return o.withColumn("text", text).withColumn("x", F.when(word & (pos % 5 == 0), F.col("x") + 1.5).otherwise(F.col("x")))
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Selected objects: every third word of every second scan."""
+    return _objects(spark, sf).where("type = 'word' AND (ordinal - 1) % 3 = 0 AND scan_id % 2 = 0").select("scan_id", "id")
+
+
+def _r(c, name: str, digits: int = 6):
+    return F.round(c, digits).alias(name)
+
+
+# --- queries -------------------------------------------------------------------------------------------------------
+
+
+def words_flat(spark, sf):
+    return _words(spark, sf).select("scan_id", "pos", "line_index", "text", "confidence", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+
+
+def noise_flags(spark, sf):
+    return _words(spark, sf).select("scan_id", "pos", tx.is_noise(F.col("text"), F.col("confidence")).alias("noise"), _r(tx.non_alnum_ratio(F.col("text")), "ratio"))
+
+
+def words_filtered(spark, sf):
+    return layout.filter_words(_words(spark, sf), "filtered").select("scan_id", "pos", "text")
+
+
+def words_to_text(spark, sf):
+    return layout.words_to_text(_words(spark, sf))
+
+
+def filtered_text(spark, sf):
+    return layout.words_to_text(_words(spark, sf), "filtered")
+
+
+def line_islands(spark, sf):
+    w = _words(spark, sf).withColumn("line_index", F.when(F.col("line_index") % 3 == 2, F.col("line_index") - 2).otherwise(F.col("line_index")))
+    return layout.line_islands(w).groupBy("scan_id").agg(F.max("island").cast("long").alias("last_island"), F.count("*").alias("n"))
+
+
+def low_confidence_words(spark, sf):
+    return _words(spark, sf).where(tx.low_confidence(F.col("confidence"))).groupBy("scan_id").agg(F.count("*").alias("n"))
+
+
+def noise_rate_by_lang(spark, sf):
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "lang")
+    w = _words(spark, sf).withColumn("noise", tx.is_noise(F.col("text"), F.lit(None).cast("double")))
+    per = w.groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if("noise").alias("k")).join(lang, "scan_id")
+    return per.groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum("k").alias("n_noise"))
+
+
+def region_stats(spark, sf):
+    return syn.regions(spark, sf).select("scan_id", "block_no", "x0", "y0", "x1", "y1", "n_words", _r(F.col("mean_confidence"), "mean_confidence"))
+
+
+def weakest_regions(spark, sf):
+    r = syn.regions(spark, sf).withColumn("mean_confidence", F.round("mean_confidence", 6))
+    return passes.weakest_regions(r).select("scan_id", "block_no", F.col("rank").cast("long").alias("rank"))
+
+
+def best_pass(spark, sf):
+    r = syn.regions(spark, sf).select("scan_id", F.col("block_no").alias("ordinal"), F.round("mean_confidence", 0).alias("mean_confidence"))
+    return passes.best_candidate(r, "scan_id").select("scan_id", "ordinal", "mean_confidence")
+
+
+def region_accept(spark, sf):
+    r = syn.regions(spark, sf).select("scan_id", "block_no", "n_words", F.round("mean_confidence", 6).alias("mean_confidence"))
+    again = r.where("block_no % 3 <> 0").select("scan_id", "block_no", F.expr("n_words - (block_no * 13 + scan_id) % 20").alias("n_words"), (F.col("mean_confidence") + (F.col("block_no") % 5) - 2).alias("mean_confidence"))
+    return passes.accept_regions(r, again).select("scan_id", "block_no", "accepted", "n_words", _r(F.col("mean_confidence"), "mean_confidence"))
+
+
+def page_cascade(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
+    rows = [("raw", "original", 37, 3), ("preprocessed", "preprocessed", 53, 4), ("sparse", "original", 29, 2), ("sparse", "preprocessed", 61, 5)]
+    table = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.lit(s).alias("source"), (F.col("scan_id") * a % b).cast("long").alias("n_words"), (F.col("scan_id") * a % 101).cast("double").alias("mean_confidence")) for p, s, a, b in rows]))
+    return passes.page_cascade(d.select("scan_id", table.alias("t")).select("scan_id", "t.*"))
+
+
+def cer_pairs(spark, sf):
+    p = syn.pairs(spark, sf)
+    return p.select("item_id", _r(evaluate.character_error_rate(F.col("hyp"), F.col("ref")), "cer"))
+
+
+def wer_pairs(spark, sf):
+    p = syn.pairs(spark, sf)
+    return p.select("item_id", _r(evaluate.word_error_rate(F.col("hyp"), F.col("ref")), "wer"))
+
+
+def eval_report(spark, sf):
+    p = syn.pairs(spark, sf).withColumn("name", F.concat(F.lit("item"), F.col("item_id").cast("string")))
+    hyps = p.where("item_id % 10 <> 3").select("name", F.col("hyp").alias("text"), (F.col("item_id") * 125).alias("elapsed_ms"))
+    return evaluate.report(evaluate.evaluate(hyps, p.select("name", F.col("ref").alias("text")))).select("line").where("line LIKE '%ERROR%' OR line LIKE 'item%s'").withColumn("line", F.regexp_replace("line", r"^(item\d+) +\d.*", "$1 ok"))
+
+
+def bbox_unrotate(spark, sf):
+    b = geo.unrotate_box(*[_box(c) for c in ("x0", "y0", "x1", "y1")], F.lit(1600.0), F.lit(4000.0), F.lit(800.0), F.lit(0.05))
+    return _words(spark, sf).select("scan_id", "pos", b.alias("b")).select("scan_id", "pos", *[_r(F.col(f"b.{c}"), c, 4) for c in ("x0", "y0", "x1", "y1")])
+
+
+def percent_geometry(spark, sf):
+    g = geo.percent_box(*[_box(c) for c in ("x0", "y0", "x1", "y1")], F.lit(1600.0), F.lit(4000.0))
+    return _words(spark, sf).select("scan_id", "pos", g.alias("g")).select("scan_id", "pos", *[_r(F.col(f"g.{c}"), c) for c in ("x", "y", "w", "h", "font_size_pct")])
+
+
+def crop_rectangles(spark, sf):
+    r = syn.regions(spark, sf)
+    c = geo.crop_box(*[F.col(x) for x in ("x0", "y0", "x1", "y1")], F.col("image_width"), F.col("image_height"))
+    r = r.withColumn("c", c).withColumn("mode", geo.segmentation_mode(F.col("n_words"), F.col("c.w"), F.col("c.h")).cast("long"))
+    up = F.round(geo.upscale(F.col("c.w"), F.col("c.h"), "region"), 6).alias("upscale")
+    return r.where("c IS NOT NULL").select("scan_id", "block_no", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.col("c.w").alias("cw"), F.col("c.h").alias("ch"), "mode", up)
+
+
+def inpaint_margins(spark, sf):
+    m = geo.inpaint_margin(_box("x1") - _box("x0"), _box("y1") - _box("y0")).cast("long").alias("margin")
+    return _words(spark, sf).select("scan_id", "pos", m)
+
+
+def median_font(spark, sf):
+    return fit.median_font(_objects(spark, sf), syn.images(spark, sf)).select("scan_id", _r(F.col("font_size_pct"), "font_size_pct"))
+
+
+def _line_points(spark, sf):
+    r = layout.region_stats(_words(spark, sf), "scan_id", "line_index")
+    x, y = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0") + F.col("line_index") * 2
+    return r.where("line_index < 12").select("scan_id", x.alias("x"), y.alias("y"), F.lit(1600.0).alias("width"), F.lit(300.0).alias("height"))
+
+
+def keystone_fit(spark, sf):
+    return fit.linear_fit(_line_points(spark, sf), "scan_id").select("scan_id", "n", _r(F.col("slope"), "slope"), _r(F.col("intercept"), "intercept", 4), _r(F.col("r2"), "r2"))
+
+
+def keystone_quad(spark, sf):
+    q = F.col("quad")
+    return fit.keystones(_line_points(spark, sf), "scan_id").select("scan_id", *[_r(q[k]["x"], f"x{k}", 4) for k in range(4)])
+
+
+def marquee_hits(spark, sf):
+    m = syn.images(spark, sf).select("scan_id", F.lit(10.0).alias("left"), F.lit(2.0).alias("top"), F.lit(30.0).alias("right"), F.lit(6.0).alias("bottom"))
+    return fit.marquee_hits(_objects(spark, sf), m)
+
+
+def word_modified(spark, sf):
+    return edits.refresh(_objects(spark, sf)).where("type = 'word'").select("scan_id", "id", "modified", "visible", "patched")
+
+
+def snapshot_reconcile(spark, sf):
+    o = _objects(spark, sf).where("type = 'word'")
+    snap = o.where("(ordinal - 1) % 4 <> 0").withColumn("text", F.when((F.col("ordinal") - 1) % 6 == 0, F.lit(None)).otherwise(F.col("original_text")))
+    live = o.where("(ordinal - 1) % 9 <> 1")
+    return edits.reconcile(live, snap, "scan_id").select("scan_id", "id", "action", "text")
+
+
+def selected_text(spark, sf):
+    return layout.active_text(_objects(spark, sf).where("type = 'word'"), _marked(spark, sf))
+
+
+def delete_selection(spark, sf):
+    return edits.delete_selected(_objects(spark, sf), _marked(spark, sf)).where("type = 'word'").select("scan_id", "id", "text")
+
+
+def selection_toggle(spark, sf):
+    o = _objects(spark, sf).where("type = 'word' AND (ordinal - 1) % 2 = 0").select("scan_id", "id")
+    return edits.toggle(_marked(spark, sf), o).groupBy("scan_id").agg(F.count("*").alias("n"))
+
+
+def draw_list(spark, sf):
+    d = edits.draw_list(_objects(spark, sf), syn.images(spark, sf))
+    return d.select("scan_id", F.col("z").cast("long").alias("z"), "kind", _r(F.col("px"), "px", 4), _r(F.col("py"), "py", 4), "text")
+
+
+def reading_order(spark, sf):
+    return order.reading_order(syn.regions(spark, sf).select("scan_id", F.col("block_no").cast("int").alias("block_no"), "x0", "y0", "x1", "y1"))
+
+
+def homography_apply(spark, sf):
+    m = F.array(*[F.lit(v) for v in (1.1, 0.02, 5.0, -0.01, 0.95, 3.0, 0.0001, 0.0002, 1.0)])
+    x, y = geo.apply_homography(m, _box("x0"), _box("y0"))
+    return _words(spark, sf).select("scan_id", "pos", _r(x, "x", 4), _r(y, "y", 4))
+
+
+QUERIES = {f.__name__: f for f in (words_flat, noise_flags, words_filtered, words_to_text, filtered_text, line_islands, low_confidence_words, noise_rate_by_lang, region_stats, weakest_regions, best_pass, region_accept, page_cascade, cer_pairs, wer_pairs, eval_report, bbox_unrotate, percent_geometry, crop_rectangles, inpaint_margins, median_font, keystone_fit, keystone_quad, marquee_hits, word_modified, snapshot_reconcile, selected_text, delete_selection, selection_toggle, draw_list, reading_order, homography_apply)}
+
+
+def _text_sql(keep: str, src: str = NOISY, table: str = "noisy") -> str:
+    return f"""WITH {src}, i AS (SELECT *, sum(CASE WHEN line_index IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY scan_id ORDER BY pos) AS island FROM (SELECT *, lag(line_index) OVER (PARTITION BY scan_id ORDER BY pos) AS before FROM {table})),
+t AS (SELECT scan_id, island, string_agg(text, ' ' ORDER BY pos) FILTER (WHERE {keep}) AS line FROM i GROUP BY ALL)
+SELECT scan_id, coalesce(trim(string_agg(line, chr(10) ORDER BY island), ' ' || chr(10)), '') AS text FROM t GROUP BY scan_id"""
+
+
+_ROT = "(800 + ({x} - 800) * cos(-0.05) - ({y} - 2000) * sin(-0.05))", "(2000 + ({x} - 800) * sin(-0.05) + ({y} - 2000) * cos(-0.05))"
+_CORNERS = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+_XS, _YS = (", ".join(f.format(x=x, y=y) for x, y in _CORNERS) for f in _ROT)
+_POINTS = f"{WORDS}, q AS (SELECT scan_id, (min(y0) + max(y1)) / 2 AS x, max(y1) - min(y0) + line_index * 2 AS y FROM words WHERE line_index < 12 GROUP BY scan_id, line_index), f AS (SELECT scan_id, count(*) AS n, CASE WHEN var_pop(x) = 0 THEN 0 ELSE regr_slope(y, x) END AS slope, CASE WHEN var_pop(x) = 0 THEN avg(y) ELSE regr_intercept(y, x) END AS intercept, CASE WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 0 ELSE regr_r2(y, x) END AS r2 FROM q GROUP BY scan_id)"
+_MARKED = "marked AS (SELECT scan_id, id FROM o WHERE pos % 3 = 0 AND scan_id % 2 = 0)"
+_CASCADE = "d AS (SELECT doc_id AS s, " + ", ".join(f"s * {a} % {b} AS n{k}, CAST(s * {a} % 101 AS DOUBLE) AS m{k}" for k, a, b in ((0, 37, 3), (1, 53, 4), (2, 29, 2), (3, 61, 5))).replace("s * ", "doc_id * ") + " FROM documents)"
+
+ORACLE_SQL = {
+    "words_flat": f"WITH {WORDS} SELECT scan_id, pos, line_index, text, confidence, x0, y0, x1, y1 FROM words",
+    "noise_flags": f"WITH {NOISY} SELECT scan_id, pos, noise, round({_RATIO}, 6) AS ratio FROM noisy",
+    "words_filtered": f"WITH {NOISY} SELECT scan_id, pos, text FROM noisy WHERE NOT noise",
+    "words_to_text": _text_sql("true"),
+    "filtered_text": _text_sql("NOT noise"),
+    "line_islands": f"WITH {WORDS}, x AS (SELECT scan_id, pos, CASE WHEN line_index % 3 = 2 THEN line_index - 2 ELSE line_index END AS li FROM words), y AS (SELECT scan_id, CASE WHEN li = lag(li) OVER (PARTITION BY scan_id ORDER BY pos) THEN 0 ELSE 1 END AS b FROM x) SELECT scan_id, CAST(sum(b) - 1 AS BIGINT) AS last_island, count(*) AS n FROM y GROUP BY scan_id",
+    "low_confidence_words": f"WITH {WORDS} SELECT scan_id, count(*) AS n FROM words WHERE confidence < 65 GROUP BY scan_id",
+    "noise_rate_by_lang": f"WITH {WORDS} SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN {SHAPE} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM (SELECT w.text, d.lang FROM words w JOIN documents d ON d.doc_id = w.scan_id) GROUP BY lang",
+    "region_stats": f"WITH {REGIONS} SELECT scan_id, block_no, x0, y0, x1, y1, n_words, round(mean_confidence, 6) AS mean_confidence FROM regions",
+    "weakest_regions": f"WITH {REGIONS} SELECT scan_id, block_no, rank FROM (SELECT scan_id, block_no, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 6), block_no) AS rank FROM regions WHERE round(mean_confidence, 6) < 70) WHERE rank <= 16",
+    "best_pass": f"WITH {REGIONS} SELECT scan_id, block_no AS ordinal, m AS mean_confidence FROM (SELECT scan_id, block_no, round(mean_confidence, 0) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 0) DESC, block_no) AS k FROM regions) WHERE k = 1",
+    "region_accept": f"WITH {REGIONS}, r AS (SELECT scan_id, block_no, n_words, round(mean_confidence, 6) AS m, n_words - (block_no * 13 + scan_id) % 20 AS nn, round(mean_confidence, 6) + block_no % 5 - 2 AS nm, block_no % 3 <> 0 AS has FROM regions), s AS (SELECT *, has AND nn >= 0.5 * n_words AND nn > 0 AND nm > m AS accepted FROM r) SELECT scan_id, block_no, accepted, CASE WHEN accepted THEN nn ELSE n_words END AS n_words, round(CASE WHEN accepted THEN nm ELSE m END, 6) AS mean_confidence FROM s",
+    "page_cascade": f"WITH {_CASCADE}, e AS (SELECT *, m0 < 70 AND m1 > m0 AS t FROM d), g AS (SELECT s, t, CASE WHEN t THEN n1 ELSE n0 END AS n, CASE WHEN t THEN m1 ELSE m0 END AS m, CASE WHEN t THEN n3 ELSE n2 END AS sn, CASE WHEN t THEN m3 ELSE m2 END AS sm FROM e), h AS (SELECT *, (n = 0 OR m < 40) AND sn > 0 AND sm > m AS sparse FROM g) SELECT s AS scan_id, CASE WHEN t THEN 'preprocessed' ELSE 'original' END AS source, CASE WHEN sparse THEN sn ELSE n END AS n_words, CASE WHEN sparse THEN sm ELSE m END AS mean_confidence, sparse FROM h",
+    "cer_pairs": f"WITH {PAIRS} SELECT item_id, round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein(h, r) AS DOUBLE) / length(r) END, 6) AS cer FROM n",
+    "wer_pairs": f"WITH {PAIRS}, t AS (SELECT item_id, list_filter(string_split(h, ' '), lambda x: x <> '') AS h, list_filter(string_split(r, ' '), lambda x: x <> '') AS r FROM n), v AS (SELECT *, list_sort(list_distinct(list_concat(h, r))) AS v FROM t) SELECT item_id, round(CAST(levenshtein(list_aggregate(list_transform(h, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', ''), list_aggregate(list_transform(r, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', '')) AS DOUBLE) / len(r), 6) AS wer FROM v",
+    "eval_report": f"WITH {PAIRS} SELECT CASE WHEN item_id % 10 = 3 THEN rpad('item' || CAST(item_id AS VARCHAR), 15, ' ') || ' ERROR: no result' ELSE 'item' || CAST(item_id AS VARCHAR) || ' ok' END AS line FROM p",
+    "bbox_unrotate": f"WITH {WORDS} SELECT scan_id, pos, round(least({_XS}) / 2, 4) AS x0, round(least({_YS}) / 2, 4) AS y0, round(greatest({_XS}) / 2, 4) AS x1, round(greatest({_YS}) / 2, 4) AS y1 FROM words",
+    "percent_geometry": f"WITH {WORDS} SELECT scan_id, pos, round(x0 / 1600 * 100, 6) AS x, round(y0 / 4000 * 100, 6) AS y, round(greatest(x1 - x0, 1) / 1600 * 100, 6) AS w, round(greatest(y1 - y0, 1) / 4000 * 100, 6) AS h, round(greatest(y1 - y0, 1) / 1600 * 100 * 0.8, 6) AS font_size_pct FROM words",
+    "crop_rectangles": f"WITH {REGIONS}, c AS (SELECT scan_id, block_no, n_words, greatest(floor(x0) - 6, 0) AS l, greatest(floor(y0) - 6, 0) AS t, least(ceil(x1) + 6, 1600) AS r, least(ceil(y1) + 6, 4000) AS b FROM regions) SELECT scan_id, block_no, CAST(l AS BIGINT) AS cx, CAST(t AS BIGINT) AS cy, CAST(r - l AS BIGINT) AS cw, CAST(b - t AS BIGINT) AS ch, CAST(CASE WHEN n_words = 0 THEN 11 WHEN (r - l) / (b - t) > 6 THEN 7 ELSE 6 END AS BIGINT) AS mode, round(CASE WHEN least(r - l, b - t) < 200 THEN least(4.0, 200 / least(r - l, b - t)) ELSE 1.0 END, 6) AS upscale FROM c WHERE r > l AND b > t",
+    "inpaint_margins": f"WITH {WORDS} SELECT scan_id, pos, CAST(least(greatest(floor(least(x1 - x0, y1 - y0) * 0.75 + 0.5), 8), 40) AS BIGINT) AS margin FROM words",
+    "median_font": f"WITH {OBJECTS} SELECT d.doc_id AS scan_id, round(coalesce(median(font_size_pct), 3), 6) AS font_size_pct FROM documents d LEFT JOIN o ON o.scan_id = d.doc_id GROUP BY d.doc_id",
+    "keystone_fit": f"WITH {_POINTS} SELECT scan_id, n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2 FROM f",
+    "keystone_quad": f"WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * 300 AS b FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t, b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15) SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 - CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z",
+    "marquee_hits": f"WITH {OBJECTS} SELECT scan_id, id FROM o WHERE x <= 30 AND x + w >= 10 AND y <= 6 AND y + h >= 2",
+    "word_modified": f"WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched FROM o",
+    "snapshot_reconcile": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete' ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0)",
+    "selected_text": f"WITH {OBJECTS}, {_MARKED}, s AS (SELECT o.* FROM o LEFT JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id WHERE o.scan_id % 2 <> 0 OR m.id IS NOT NULL), t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM s WHERE text <> '' AND {_VISIBLE} GROUP BY ALL) SELECT scan_id, string_agg(line, chr(10) ORDER BY line_index) AS text FROM t GROUP BY scan_id",
+    "delete_selection": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text FROM o",
+    "selection_toggle": f"WITH {OBJECTS} SELECT scan_id, count(*) AS n FROM o WHERE (pos % 3 = 0 AND scan_id % 2 = 0) <> (pos % 2 = 0) GROUP BY scan_id",
+    "draw_list": f"WITH {OBJECTS}, d AS (SELECT doc_id AS scan_id, 0 AS layer, 0 AS pos, 'surface' AS kind, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, NULL::VARCHAR AS text FROM documents UNION ALL SELECT doc_id, 1, 0, 'image', 0.0, 0.0, NULL FROM documents UNION ALL SELECT scan_id, 2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, NULL FROM o WHERE {_MODIFIED} UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, text FROM o WHERE {_MODIFIED} AND text <> '') SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY layer, pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, text FROM d",
+    "homography_apply": f"WITH {WORDS} SELECT scan_id, pos, round((1.1 * x0 + 0.02 * y0 + 5) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS x, round((-0.01 * x0 + 0.95 * y0 + 3) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS y FROM words",
+}
