@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 _RUN = re.compile(r" \s|\s ")
+#: One or two pre-tokens for certain: letters, and marks after them.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ȳ]+)([.,;:!?]*)")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -22,35 +24,49 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if _RUN.search(text) else text.split(" ")
 
 
+def byte_names() -> dict[int, str]:
+    """Byte-level BPE spells a byte by a printable character: its own where that is printable, else the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_NAMES = byte_names()
+
+
+def spell(text: str) -> str:
+    """The text's bytes in byte-level characters."""
+    return text.encode("utf-8", "replace").decode("latin-1").translate(_NAMES)
+
+
 class PieceCache:
     """value(piece) for many pieces, of bounded size: two generations of `most` pieces, of which the older is dropped."""
 
-    def __init__(self, values: Callable[[list[str]], Iterable], most: int = 200_000, longest: int = 64):
+    def __init__(self, values: Callable[[list[str]], Iterable], most: int = 500_000, longest: int = 64):
         self.values, self.most, self.longest = values, most, longest
         self.new, self.old = {}, {}
 
     def load(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces."""
         parts = [cut(t) for t in texts]
-        want = set().union(*(p[1:] for p in parts))
-        now = {}
+        first = [p.pop(0) for p in parts]
+        new = self.new
         miss = []
-        new, old = self.new, self.old
-        for x in want:
-            v = new.get(x)
+        for x in set().union(*parts).difference(new):
+            v = self.old.get(x)
             if v is None:
-                v = old.get(x)
-                if v is None:
-                    miss.append(x)
-                    continue
-            now[x] = v
-        first = [p[0] for p in parts]
+                miss.append(x)
+            else:
+                new[x] = v
         got = list(self.values([" " + x for x in miss] + first))
-        now.update(zip(miss, got, strict=False))
-        out = [[v, *map(now.__getitem__, p[1:])] for v, p in zip(got[len(miss) :], parts, strict=True)]
-        self.new.update((k, v) for k, v in now.items() if len(k) <= self.longest)
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
+        new.update(zip(miss, got, strict=False))
+        get = new.__getitem__
+        out = [[v, *map(get, p)] for v, p in zip(got[len(miss) :], parts, strict=True)]
+        for x in miss:
+            if len(x) > self.longest:
+                del new[x]
+        if len(new) > self.most:
+            self.old, self.new = new, {}
         return out
 
 

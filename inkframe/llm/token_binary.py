@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from array import array
 
@@ -12,17 +13,35 @@ from pyspark.sql import functions as F
 
 from inkframe.llm import rans
 from inkframe.llm.common import BATCH_ROWS, Scratch, parallelism, table
-from inkframe.llm.pieces import PieceCache, batches, tokenizer_path
+from inkframe.llm.pieces import PLAIN, PieceCache, batches, spell, tokenizer_path
 
 FILE_IDS = 1 << 20  # a file image is closed once it holds this many ids
 
 
+@functools.cache
 def encoder(path: str) -> PieceCache:
-    """Cache from pieces to their ids as little-endian unsigned 32-bit integers."""
+    """Cache from pieces to their ids as little-endian unsigned 32-bit integers; a worker keeps it from task to task."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    return PieceCache(lambda xs: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)])
+    model = tok.model
+
+    def values(xs: list[str]) -> list[bytes]:
+        # Letters, or letters and a mark, are one or two pre-tokens for certain, which the library's model takes directly.
+        out = []
+        for x in xs:
+            m = PLAIN.fullmatch(x)
+            if not m:
+                out.append(None)
+                continue
+            ids = [t.id for t in model.tokenize(spell(m[1]))]
+            if m[2]:
+                ids += [t.id for t in model.tokenize(m[2])]
+            out.append(array("I", ids).tobytes())
+        rest = iter(tok.encode_batch_fast([x for x, v in zip(xs, out, strict=True) if v is None], add_special_tokens=False))
+        return [array("I", next(rest).ids).tobytes() if v is None else v for v in out]
+
+    return PieceCache(values)
 
 
 def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

@@ -2,21 +2,23 @@
 
 For byte-pair encoding, the encoding of a prefix ends in the one token t for which the token before it and t,
 put together, encode to just these two. So last[i] and count[i] = count[i - len(t)] + 1 follow from shorter
-prefixes, without encoding any prefix anew. Which pairs fit is computed from the merge ranks and remembered.
+prefixes, without encoding any prefix anew. Which pairs fit is asked of the model once and remembered.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
-from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from inkframe.llm.common import Scratch, table
-from inkframe.llm.pieces import PieceCache, batches, tokenizer_path
+from inkframe.llm.pieces import PLAIN, PieceCache, batches, spell, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -24,51 +26,31 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _STABLE = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ȳΑ-ΡΣ-ωА-я‐-‧ぁ-ゖ一-龥]*")
 
 
-def _byte_names() -> dict[str, int]:
-    """Byte-level BPE spells a byte by a printable character: its own where that is printable, else the next from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Token counts of all prefixes of texts under a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
-        name = _byte_names()
-        spell = lambda s: bytes(name[c] for c in s)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        vocab = {spell(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(spell(a), spell(b)): k for k, (a, b) in enumerate(merges)}
-        self.tokens = {t for t in vocab if self.encode(t) == [t]}
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.tokens = {t for t in spec["model"]["vocab"] if t not in self.special and len(self.model.tokenize(t)) == 1}
         self.longest = max(map(len, self.tokens))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
-    @cached_property
-    def library(self):
-        from tokenizers import Tokenizer
+    def fit(self, a: str, b: str) -> bool:
+        """The two tokens, put together, encode to just these two."""
+        got = self.model.tokenize(a + b)
+        return len(got) == 2 and got[0].value == a
 
-        return Tokenizer.from_file(self.path)
-
-    def encode(self, data: bytes) -> list[bytes]:
-        """Plain BPE of few bytes."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            k, i = min((self.rank.get((a, b), 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if k == 1 << 40:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def table(self, data: bytes) -> list[int]:
-        """Token counts of all prefixes of a pre-token, the empty one included."""
-        last, count = [b""], [0]
+    def table(self, text: str) -> list[int]:
+        """Token counts of all byte prefixes of a pre-token, the empty one included."""
+        data = spell(text)
+        last, count = [""], [0]
         tokens, fits = self.tokens, self.fits
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
+            # Just one token fits, so the order of trying is free: the last token grown by a byte, this byte alone, any other.
+            for j in itertools.chain((i - 1 - len(last[-1]), i - 1), range(max(0, i - self.longest), i)):
                 t = data[j:i]
                 if t not in tokens:
                     continue
@@ -78,7 +60,7 @@ class PrefixCounter:
                     if ok is None:
                         if len(fits) > 400_000:
                             fits.clear()
-                        ok = fits[pair] = self.encode(pair[0] + t) == [pair[0], t]
+                        ok = fits[pair] = self.fit(*pair)
                     if not ok:
                         continue
                 last.append(t)
@@ -102,9 +84,11 @@ class PrefixCounter:
         return [(x, bool(k % 2)) for k, x in enumerate(cut) if x]
 
     def total(self, text: str) -> int:
+        if m := PLAIN.fullmatch(text):
+            return self.table(m[1])[-1] + (self.table(m[2])[-1] if m[2] else 0)
         n = 0
         for x, special in self.segments(text):
-            n += 1 if special else sum(self.table(p.encode("utf-8", "replace"))[-1] for p in self.pretokens(x))
+            n += 1 if special else sum(self.table(p)[-1] for p in self.pretokens(x))
         return n
 
     def prefixes(self, text: str) -> list[int]:
@@ -119,8 +103,7 @@ class PrefixCounter:
                 continue
             run, run_base = "", base  # white space that stands before the pre-token
             for p in self.pretokens(x):
-                data = p.encode("utf-8", "replace")
-                t = self.table(data)
+                t = self.table(p)
                 ends, k = [], 0
                 for c in p:
                     k += len(c.encode("utf-8", "replace"))
@@ -128,9 +111,8 @@ class PrefixCounter:
                 if p in ("'re", "'ve", "'ll"):
                     ends[1] = base + t[1] + 1
                 if p.isspace():
-                    joined = (run + p).encode()
                     if run:
-                        j, k = self.table(joined), len(run.encode())
+                        j, k = self.table(run + p), len(run.encode())
                         for m, c in enumerate(p):
                             k += len(c.encode())
                             ends[m] = run_base + j[k]
@@ -139,7 +121,7 @@ class PrefixCounter:
                         run, run_base = p, base
                 else:
                     if run and p[0].isspace():
-                        ends[0] = run_base + self.table((run + p[0]).encode())[-1]
+                        ends[0] = run_base + self.table(run + p[0])[-1]
                     run = ""
                 out += ends
                 base += t[-1]
@@ -150,6 +132,13 @@ class PrefixCounter:
         return next((i - 1 for i, n in enumerate(self.prefixes(text)) if n > budget), len(text))
 
 
+@functools.cache
+def counters(path: str) -> tuple[PrefixCounter, PieceCache]:
+    """A worker keeps both from task to task."""
+    counter = PrefixCounter(path)
+    return counter, PieceCache(lambda xs: map(counter.total, xs))
+
+
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, prefixes: bool = False) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit[, prefix_tokens]), one per row of docs (doc_id, text, anything else).
 
@@ -157,8 +146,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     """
 
     def run(it):
-        counter = PrefixCounter(tokenizer_path(tokenizer))
-        cache = PieceCache(lambda xs: map(counter.total, xs))
+        counter, cache = counters(tokenizer_path(tokenizer))
         for b in it:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [sum(v) for own in batches(texts) for v in cache.load(own)]
