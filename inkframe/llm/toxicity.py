@@ -177,7 +177,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarr
     return w
 
 
-def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 140, rounds: int = 3, c: float = 0.7, least: float = 11.0, clean_sentences: int = 30_000) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 140, rounds: int = 3, c: float = 0.7, least: float = 11.0, clean_sentences: int = 12_000) -> Model:
     """Learn from whole texts of labelled documents; `clean_sentences` bounds the clean ones (taken at even steps) that train the machine.
 
     Without both labels, or without words, the model scores all documents by the share of toxic ones.
@@ -187,12 +187,18 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 140, rounds: int =
     constant = Model(None, np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
     if not toxic.any() or toxic.all():
         return constant
-    docs = [list(sentences(t)) for t in texts]
+    vocabulary: dict[str, int] = {}
+    parts, owner = [], []  # word numbers and document of each sentence
     seen: dict[str, list[int]] = {}
-    for own, bad in zip(docs, toxic.tolist(), strict=True):
-        for w in {w.strip(_STRIP) for s in own for w in s}:
+    for k, t in enumerate(texts):
+        own = set()
+        for words in sentences(t):
+            parts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            owner.append(k)
+            own.update(w.strip(_STRIP) for w in words)
+        for w in own:
             if len(w) >= 3:
-                seen.setdefault(w, [0, 0])[bad] += 1
+                seen.setdefault(w, [0, 0])[bool(toxic[k])] += 1
     names = sorted(seen)
     if not names:
         return constant
@@ -214,16 +220,22 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 140, rounds: int =
 
     value, vector = np.linalg.eigh(marks.kernel(marks.words).astype(float))
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    vocabulary = {w: k for k, w in enumerate({w for own in docs for s in own for w in s})}
-    phi = np.concatenate([marks.kernel(own) for own in _parts(list(vocabulary), 20_000)]) @ root
-    phi = phi.astype(np.float32)
-    flat = [[vocabulary[w] for w in s] for own in docs for s in own]
-    owner = np.repeat(np.arange(len(docs)), [len(own) for own in docs])
-    at = np.concatenate([[0], np.cumsum([len(s) for s in flat])[:-1]]).astype(np.int64)
-    x = np.add.reduceat(phi[np.concatenate([np.array(s, np.int64) for s in flat])], at).astype(float)
+    # Words far from every landmark share one row of zeros.
+    row, rows = np.zeros(len(vocabulary), np.int32), [np.zeros((1, len(marks.words)), np.float32)]
+    at, used = 0, 1
+    for own in _parts(list(vocabulary), 5_000):
+        k = marks.kernel(own)
+        close = np.flatnonzero(k.max(1) >= 0.005)
+        row[at + close] = used + np.arange(len(close))
+        rows.append((k[close] @ root).astype(np.float32))
+        at, used = at + len(own), used + len(close)
+    phi = np.concatenate(rows)
+    owner = np.array(owner)
+    flat = np.concatenate(parts)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]).astype(np.int64)
     bad = toxic[owner]
     guide = dict(zip(names, np.maximum(gain, 0).tolist(), strict=True))
-    margin = np.array([sum(guide.get(w.strip(_STRIP), 0.0) for w in s) for own in docs for s in own])
+    margin = np.add.reduceat(np.array([guide.get(w.strip(_STRIP), 0.0) for w in vocabulary])[flat], starts)
     calm = np.flatnonzero(~bad)
     calm = calm[:: max(1, -(-len(calm) // clean_sentences))]
     for _ in range(rounds):
@@ -231,9 +243,10 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = 140, rounds: int =
         top = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         rows = np.concatenate([calm, top[bad[top]]])
         weight = np.where(bad[rows], 0.5 / max(1, bad[rows].sum()), 0.5 / max(1, (~bad[rows]).sum())) * min(len(rows), 2000)
-        w = _svm(x[rows], bad[rows], weight, c)
-        margin = x @ w[:-1] + w[-1]
-    high = np.full(len(docs), -np.inf)
+        x = np.stack([phi[row[parts[k]]].sum(0, dtype=float) for k in rows])
+        w = _svm(x, bad[rows], weight, c)
+        margin = np.add.reduceat((phi @ w[:-1])[row[flat]], starts) + w[-1]
+    high = np.full(len(texts), -np.inf)
     np.maximum.at(high, owner, margin)
     some = np.isfinite(high)
     slope, shift = _logistic(high[some], toxic[some])
@@ -245,7 +258,7 @@ def _parts(xs: list, n: int):
         yield xs[at : at + n]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 800) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 600) -> Model:
     """Fit on whole texts of up to `most` toxic and 3 * `most` clean labelled documents (doc_id, text; doc_id, toxic), by hash order of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most if t else 3 * most) for t in (0, 1)]
