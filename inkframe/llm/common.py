@@ -39,11 +39,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
-    def drop(self, tag: str) -> None:
-        """Remove a table that no returned plan reads any more."""
+    def drop(self, *tags: str) -> None:
+        """Remove tables that no returned plan reads any more, and the shuffle files behind them."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(tag))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for tag in tags:
+            p = jvm.org.apache.hadoop.fs.Path(self.path(tag))
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        jvm.System.gc()  # Spark removes the files of shuffles that the driver has forgotten
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -93,8 +95,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str, salts: in
         k += 1
         nxt = scratch.save(small, f"{tag}-{k}")
         got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (k - 2, k - 1):
-            scratch.drop(f"{tag}-{old}")
+        scratch.drop(f"{tag}-{k - 2}", f"{tag}-{k - 1}")
         cur = nxt
         if mark == tuple(got):
             break
