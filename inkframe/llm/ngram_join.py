@@ -3,8 +3,8 @@
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts with one set are one node.
 2. Nodes meet where they can link. For Jaccard >= p/q the symmetric difference of sets of a and b shingles is at
    most (a+b)(q-p)/(q+p). The hash space is cut into more ranges than that, so two linked sets agree on all of at
-   least one range. Sets of a size class (ratio p/q) share a cut; a set joins the cuts of its class and the next.
-   This finds every link, and frequent shingles alone bring no texts together.
+   least one range. Ranges that a set leaves empty are keys only where too few are full to be sure of one. Sets of
+   a size class (ratio p/q) share a cut; a set joins the cuts of its class and the next. This finds every link.
 3. The candidate groups are joined by signature trees: leaves and inner nodes hold OR-combined shingle bitmaps and
    size ranges, a dual traversal drops pairs of nodes whose largest possible overlap is too small, and the
    remaining pairs of sets are compared exactly. Groups over `chunk` nodes are cut into chunks, and each pair of
@@ -103,11 +103,14 @@ class Cuts:
         c = int(np.searchsorted(self.low, len(u), side="right")) - 1
         out = []
         for label in (c, c + 1):
-            top = self.low[label + 1] - 1
-            n = 2 * top * (self.q - self.p) // (self.q + self.p) + 1
-            starts = np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n if n > 1 else 0)
+            most = 2 * (self.low[label + 1] - 1) * (self.q - self.p) // (self.q + self.p)
+            n = most + 4 + most // 8
+            starts = np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n)
             at = np.append(np.searchsorted(u, starts), len(u))
-            out.append(mix64((sums[at[1:]] - sums[at[:-1]]) * _C[3] + mix64(starts + np.uint64(label * int(_C[4]) % (1 << 64)))))
+            keys = mix64((sums[at[1:]] - sums[at[:-1]]) * _C[3] + mix64(starts + np.uint64(label * int(_C[4]) % (1 << 64))))
+            # Sets differ in `most` ranges at most, so one of more full ranges than that is shared; else empty ones count too.
+            full = at[1:] > at[:-1]
+            out.append(keys[full] if full.sum() > most else keys)
         return np.concatenate(out).view(np.int64)
 
 
@@ -206,9 +209,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, chu
     spark = docs.sparkSession
     keep = Scratch(spark, "ngram")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = keep.save(src.mapInArrow(_sketch(n, p, q), "doc_id long, n long, k1 long, k2 long, keys array<long>"), "sets")
+    sets = keep.save(src.mapInArrow(_sketch(n), "doc_id long, n long, k1 long, k2 long"), "sets")
     node = F.xxhash64("n", "k1", "k2").alias("node")
-    nodes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    # Range keys take about as much room as the texts, so they are made where they are dealt out and stored nowhere.
+    keyed = src.mapInArrow(_sketch(n, Cuts(p, q)), "doc_id long, n long, k1 long, k2 long, keys array<long>")
+    nodes = keyed.where("n > 0").groupBy("n", "k1", "k2").agg(F.first("keys").alias("keys"))
     postings = nodes.select(node, F.explode("keys").alias("key"))
     postings.createOrReplaceTempView(view := f"ngram_postings_{keep.root[-8:]}")
     met = spark.sql(f"SELECT hub AS a, node AS b FROM (SELECT node, min(node) OVER (PARTITION BY key) AS hub FROM {view}) WHERE hub <> node")
@@ -225,25 +230,38 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, chu
     return rows.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sketch(n: int, p: int, q: int):
+def _sketch(n: int, cuts: Cuts | None = None):
+    """Size and names of each text's set and, given cuts, its range keys."""
+
     def run(batches):
-        cuts = Cuts(p, q)
         for b in batches:
             size, one, two, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 u = shingle_set(t, n)
                 x, y = fingerprints(u)
-                size.append(len(u)), one.append(x), two.append(y), keys.append(cuts.keys(u))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n", "k1", "k2", "keys"])
+                size.append(len(u)), one.append(x), two.append(y)
+                if cuts:
+                    keys.append(cuts.keys(u))
+            cols, names = [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, one, two))], ["doc_id", "n", "k1", "k2"]
+            if cuts:
+                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())))
+                names.append("keys")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def _links(src: DataFrame, light: DataFrame, groups: DataFrame, keep: Scratch, n: int, p: int, q: int, chunk: int) -> DataFrame:
     """Spanning forests (a, b) of the links inside the groups."""
+    # Linked sets share a size label, so a group over `chunk` is cut by label first.
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    low = F.array(*[F.lit(x) for x in Cuts(p, q).low])
+    c = F.size(F.filter(low, lambda x: x <= F.col("n")))
+    label = F.explode(F.when(F.col("size") > chunk, F.array(c, c + 1)).otherwise(F.array(F.lit(-1)))).alias("label")
+    groups = groups.join(sizes, "comp").join(light.select("node", "n"), "node").select("node", "comp", label)
+    groups = keep.save(groups.select("node", F.xxhash64("comp", "label").alias("comp")), "parts")
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     total = groups.count()
     tasks = max(1, -(-total // chunk))
