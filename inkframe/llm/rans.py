@@ -16,6 +16,7 @@ MAGIC = b"IRNS"
 LANES, STEPS = 64, 256
 BLOCK = LANES * STEPS
 LOW = np.uint64(1 << 31)
+TABLE_IDS = 1 << 20  # smaller ids are counted by a table, others by sorting
 _HEAD = struct.Struct("<4sHHIQQIIII")  # magic, version, bits, table bytes, symbols, documents, document bytes, blocks, reserved, crc of all before the blocks
 _POINT = np.dtype([("at", "<u8"), ("words", "<u4"), ("symbols", "<u4"), ("crc", "<u4")])
 
@@ -27,9 +28,20 @@ def frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     return f.astype(np.uint64)
 
 
+def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in order, the place of each id among them, and their counts."""
+    if ids.max() >= TABLE_IDS:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[ids], counts[symbols]
+
+
 def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """File image of the ids of documents. ids is not empty."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, index, counts = alphabet(ids)
     bits = max(18, int(len(symbols) - 1).bit_length() + 2)
     freq = frequencies(counts.astype(np.int64), bits)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
@@ -49,7 +61,7 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
         whole = x // f
         x = (whole << b) + (x - whole * f) + cum[grid[t]]
     block = np.concatenate(lanes[::-1]) // LANES
-    order = np.argsort(block, kind="stable")
+    order = np.argsort(block.astype(np.min_scalar_type(n)), kind="stable")  # few bits are sorted by radix
     stream = np.concatenate(words[::-1])[order]
     ends = np.cumsum(np.bincount(block, minlength=n))
     points, body, at = np.zeros(n, _POINT), [], 0
