@@ -22,6 +22,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def total(x: Column) -> Column:
+    """A sum that does not depend on the order of rows, so that reruns agree: terms in steps of 1e-12, summed exactly."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
+
+
 def targets(totals: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """totals (source, total): adds target. Sources by code point, null last, weigh `weights` repeating and share the sum of totals.
 
@@ -67,7 +72,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
         tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("m"), F.lit(50.0)))
         mass = F.col("size") * F.col("n")
         got = by_size.alias("h").join(state.alias("s"), F.expr("h.source <=> s.source")).where("size > 0").select("s.*", "size", "n")
-        got = got.groupBy("source", "target", "m", "lo", "hi", "lam").agg(F.sum(mass * F.least(tilt, F.lit(float(cap)))).alias("f"), F.sum(F.when(tilt < cap, mass * F.col("size") / F.col("m") * tilt).otherwise(0.0)).alias("g"))
+        got = got.groupBy("source", "target", "m", "lo", "hi", "lam").agg(total(mass * F.least(tilt, F.lit(float(cap)))).alias("f"), total(F.when(tilt < cap, mass * F.col("size") / F.col("m") * tilt).otherwise(0.0)).alias("g"))
         got = got.withColumn("err", F.abs(F.col("f") / F.col("target") - 1)).withColumn("lo", F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("f") > F.col("target"), F.col("lam")).otherwise(F.col("hi")))
         step = F.when(F.col("g") > 0, F.col("lam") - (F.col("f") - F.col("target")) / F.col("g"))
         inside = (step > F.col("lo")) & (step < F.col("hi"))
