@@ -169,9 +169,10 @@ def median_font(spark, sf):
 
 
 def _line_points(spark, sf):
+    """All lines of each document; the crop is 300 high, or as high as its lines reach."""
     r = layout.region_stats(_words(spark, sf), "scan_id", "line_index")
     x, y = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0") + F.col("line_index") * 2
-    return r.where("line_index < 12").select("scan_id", x.alias("x"), y.alias("y"), F.lit(1600.0).alias("width"), F.lit(300.0).alias("height"))
+    return r.select("scan_id", x.alias("x"), y.alias("y"), F.lit(1600.0).alias("width"), F.greatest(F.lit(300.0), F.col("y1")).alias("height"))
 
 
 def keystone_fit(spark, sf):

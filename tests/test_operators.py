@@ -133,3 +133,29 @@ def test_query_against_sql(spark, name):
     near = lambda rows: sorted((tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in rows), key=str)
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert near(df.select(*cols).collect()) == near(want)
+
+
+def test_keystone_all_lines(spark):
+    """Every line of a document is fitted, and the quad reaches its last line: brute force over the texts."""
+    fits, quads = {}, {}
+    for d, t in duckdb.sql(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet') WHERE text IS NOT NULL").fetchall():
+        rows = [(i, [len(w) for w in line.split(" ") if w]) for i, line in enumerate(t.split("\n"))]
+        rows = [(i, max(12 + n % 5 for n in ns)) for i, ns in rows if ns]
+        if not rows:
+            continue
+        i, h = np.array(rows, float).T
+        x, y = i * 20 + h / 2, h + 2 * i
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum() if x.var() else 0.0
+        at0 = y.mean() - slope * x.mean()
+        r2 = 1 - ((y - at0 - slope * x) ** 2).sum() / ((y - y.mean()) ** 2).sum() if x.var() and y.var() else 0.0
+        fits[d] = (len(rows), slope, at0, r2)
+        top, bottom = at0, at0 + slope * max(300.0, (i * 20 + h).max())
+        if len(rows) >= 3 and r2 >= 0.6 and top > 0 and bottom > 0 and (change := abs(bottom - top) / max(top, bottom)) >= 0.15:
+            inset = 800 * min(0.4, change)
+            a, b = (inset, 0.0) if bottom > top else (0.0, inset)
+            quads[d] = (a, 1600 - a, 1600 - b, b)
+    assert max(n for n, *_ in fits.values()) > 12
+    got = {r.scan_id: (r.n, r.slope, r.intercept, r.r2) for r in queries.QUERIES["keystone_fit"](spark, SF).collect()}
+    assert got.keys() == fits.keys() and all(got[d] == pytest.approx(fits[d], abs=1e-3) for d in got)
+    got = {r.scan_id: (r.x0, r.x1, r.x2, r.x3) for r in queries.QUERIES["keystone_quad"](spark, SF).collect()}
+    assert got.keys() == quads.keys() and all(got[d] == pytest.approx(quads[d], abs=1e-3) for d in got)
