@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame and SQL functions only.
 
 A mask keeps some of the words of a window and ignores the rest. Benchmark items are hashed under every mask at
-every position, documents at every second position; equal hashes give a diagonal (document position minus item
-position). Each diagonal is then verified word by word: a window of 13 item words (or the whole item, if shorter)
-of which at least 80 % stand in the document at the same places is a leak. Several masks at many places tolerate
-substitutions that would break any one window.
+every position, documents at every second position, or at every one for items of under 13 words; equal hashes give a
+diagonal (document position minus item position). Each diagonal is then verified word by word: a window of 13 item
+words (or the whole item, if shorter) of which at least 80 % stand in the document at the same places is a leak. The
+masks are chosen so that at this window and share no place of the substitutions leaves an item without a hit.
 """
 
 from __future__ import annotations
@@ -17,6 +17,21 @@ from inkframe.llm.common import Scratch, table
 #: Kept positions of each mask.
 MASKS = ((0, 1, 2, 4, 7), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 1, 2, 3, 5))
 STRIDE = 2
+#: Masks of items of under 13 words, by number of words; up to 4 words 80 % is every word.
+SHORT_MASKS = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2, 3),),
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: ((0, 1, 3, 4),),
+    8: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+    9: ((0, 1, 2, 4, 5),),
+    10: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
+    12: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+}
 #: More benchmark hashes than this are joined by shuffle instead of broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -26,13 +41,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hashes(masks, stride: int) -> Column:
-    """Structs (at, h) of the column `h`, hashed words, under all masks at every stride-th position."""
+def _hashes(masks, stride: int, sizes=None) -> Column:
+    """Structs (at, h) of the column `h`, hashed words, under all masks (of sizes[mask] words only, if given) at every stride-th position."""
     parts = []
     for k, mask in enumerate(masks):
         kept = ", ".join(f"h[i + {o}]" for o in mask)
         last = f"size(h) - {mask[-1] + 1}"
-        parts.append(f"transform(if({last} < 0, cast(array() AS array<int>), sequence(0, {last}, {stride})), i -> named_struct('at', i, 'h', xxhash64({kept}, {k})))")
+        other = f" OR size(h) NOT IN ({', '.join(map(str, sizes[mask]))})" if sizes else ""
+        parts.append(f"transform(if({last} < 0{other}, cast(array() AS array<int>), sequence(0, {last}, {stride})), i -> named_struct('at', i, 'h', xxhash64({kept}, {k})))")
     return F.explode(F.expr(f"concat({', '.join(parts)})"))
 
 
@@ -40,7 +56,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
     """Rows (key, doc_id, item_id, matched, window_words, item_words): each document and item that it leaks, once.
 
     docs (doc_id, text, anything else); benchmark (item_id, text). key is the hash of doc_id and text. Items
-    without words leak nowhere; items too short for the masks must stand in the document word for word. Repeated
+    without words leak nowhere. Repeated
     items are reported under the least item_id, null last; repeated rows of docs are reported once.
     """
     spark = docs.sparkSession
@@ -49,12 +65,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("b")).groupBy("b").agg(F.min("item_id").alias("item_id"))
     items = keep.save(items.where("size(b) > 0").withColumn("item", F.xxhash64("b")), "items")
-    longest = max(m[-1] for m in MASKS) + 1
+    longest = max(SHORT_MASKS) + 1
     short = sorted(r[0] for r in items.select(F.size("b")).where(f"size(b) < {longest}").distinct().collect())  # below `longest` values
+    sizes: dict[tuple, list[int]] = {}
+    for n in short:
+        for mask in SHORT_MASKS[n]:
+            sizes.setdefault(mask, []).append(n)
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
 
-    def seeds(masks, stride, own_items):
-        test = own_items.select("item", hashed("b").alias("h")).select("item", _hashes(masks, 1).alias("x")).select("item", F.col("x.at").alias("bat"), F.col("x.h").alias("h"))
+    def seeds(masks, stride, own_items, sizes=None):
+        test = own_items.select("item", hashed("b").alias("h")).select("item", _hashes(masks, 1, sizes).alias("x")).select("item", F.col("x.at").alias("bat"), F.col("x.h").alias("h"))
         test = keep.save(test, f"seeds-{stride}")
         small = test.count() <= BROADCAST_ROWS
         train = src.select("key", hashed(words(F.col("text"))).alias("h")).select("key", _hashes(masks, stride).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
@@ -62,16 +82,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
 
     hits = seeds(MASKS, STRIDE, items.where(f"size(b) >= {longest}"))
     if short:
-        hits = hits.union(seeds([tuple(range(n)) for n in short], 1, items.where(f"size(b) < {longest}")))
+        hits = hits.union(seeds(list(sizes), 1, items.where(f"size(b) < {longest}"), sizes))
     hits = keep.save(hits.distinct(), "hits")
 
     held = src.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", words(F.col("text")).alias("w"))
     pairs = hits.join(items, "item").join(held, "key")
     same = F.expr("transform(b, (x, i) -> if(i + shift >= 0 AND i + shift < size(w) AND get(w, i + shift) = x, 1, 0))")
-    span = F.when(F.size("b") < longest, F.size("b")).otherwise(F.least(F.size("b"), F.lit(window)))
+    span = F.least(F.size("b"), F.lit(window))
     pairs = pairs.withColumn("same", same).withColumn("span", span)
     best = F.expr("array_max(transform(sequence(0, size(b) - span), i -> aggregate(slice(same, i + 1, span), 0, (a, x) -> a + x)))")
-    need = F.when(F.size("b") < longest, F.col("span")).otherwise(F.ceil(F.lit(share) * F.col("span")))
+    need = F.ceil(F.lit(share) * F.col("span"))
     pairs = pairs.withColumn("matched", best).where(F.col("matched") >= need)
     return pairs.groupBy("key", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.first("span").alias("window_words"), F.first(F.size("b")).alias("item_words"))
 

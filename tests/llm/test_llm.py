@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -233,6 +235,24 @@ def test_op8(spark):
     assert {(x.doc_id, x.item_id) for x in found.collect()} == want | {(100, 90)}
 
 
+def test_op8_all_substitutions(spark):
+    """Items of 1 to 14 words with every allowed set of substituted words, at even and odd places; one more is no leak under 14."""
+    items, rows, want = [], [], set()
+    for n in range(1, 15):
+        w = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        most = min(n, 13) - math.ceil(0.8 * min(n, 13))
+        for cut in range(most + 2):
+            for at in itertools.combinations(range(n), cut):
+                for before in ((), ("a",)):
+                    if cut <= most:
+                        want.add((len(rows), n))
+                    if cut <= most or n < 14:
+                        rows.append((len(rows), " ".join([*before, *("zzz" if k in at else x for k, x in enumerate(w)), "b"])))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == want
+
+
 def test_op8_whole_items(spark, docs):
     items = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{SF}/benchmark.parquet')").fetchall()
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op8_decontaminate"](spark, SF).collect()}
