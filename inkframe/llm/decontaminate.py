@@ -56,15 +56,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
     """Rows (key, doc_id, item_id, matched, window_words, item_words): each document and item that it leaks, once.
 
     docs (doc_id, text, anything else); benchmark (item_id, text). key is the hash of doc_id and text. Items
-    without words leak nowhere. Repeated
-    items are reported under the least item_id, null last; repeated rows of docs are reported once.
+    without words leak nowhere. Items of equal words are searched once and reported under each of their ids, null
+    too; repeated rows of docs are reported once. The masks hold for the default window and share.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "leaks")
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("b")).groupBy("b").agg(F.min("item_id").alias("item_id"))
-    items = keep.save(items.where("size(b) > 0").withColumn("item", F.xxhash64("b")), "items")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("b")).where("size(b) > 0").withColumn("item", F.xxhash64("b"))
+    named = keep.save(named.distinct(), "named")
+    items = keep.save(named.select("item", "b").distinct(), "items")
     longest = max(SHORT_MASKS) + 1
     short = sorted(r[0] for r in items.select(F.size("b")).where(f"size(b) < {longest}").distinct().collect())  # below `longest` values
     sizes: dict[tuple, list[int]] = {}
@@ -93,7 +94,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
     best = F.expr("array_max(transform(sequence(0, size(b) - span), i -> aggregate(slice(same, i + 1, span), 0, (a, x) -> a + x)))")
     need = F.ceil(F.lit(share) * F.col("span"))
     pairs = pairs.withColumn("matched", best).where(F.col("matched") >= need)
-    return pairs.groupBy("key", "doc_id", "item_id").agg(F.max("matched").alias("matched"), F.first("span").alias("window_words"), F.first(F.size("b")).alias("item_words"))
+    found = pairs.groupBy("key", "doc_id", "item").agg(F.max("matched").alias("matched"), F.first("span").alias("window_words"), F.first(F.size("b")).alias("item_words"))
+    return found.join(named.select("item", "item_id"), "item").select("key", "doc_id", "item_id", "matched", "window_words", "item_words")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,15 @@ def test_op8_all_substitutions(spark):
     assert {(x.doc_id, x.item_id) for x in found.collect()} == want
 
 
+def test_op8_repeated_items(spark):
+    """Items of equal words leak under each of their ids."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = spark.createDataFrame([(3, text), (9, text.upper() + "!"), (9, text), (None, text), (4, "another item"), (5, "Another, item")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "so " + text), (2, "an another item"), (3, "nothing")], "doc_id long, text string")
+    found = [(x.doc_id, x.item_id) for x in decontaminate.find_leaks(rows, items).collect()]
+    assert sorted(found, key=str) == [(1, 3), (1, 9), (1, None), (2, 4), (2, 5)]
+
+
 def test_op8_whole_items(spark, docs):
     items = duckdb.sql(f"SELECT item_id, text FROM read_parquet('{SF}/benchmark.parquet')").fetchall()
     got = {(r.doc_id, r.item_id) for r in queries.QUERIES["op8_decontaminate"](spark, SF).collect()}
