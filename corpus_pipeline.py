@@ -20,20 +20,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays.
+    """Of rows linked by 5-word shingles at a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays, null last.
 
-    Of equal rows that share a doc_id one stays. Rows without doc_id cannot be named and all stay.
+    Rows go by doc_id and text, so another text under the same doc_id is judged on its own. Texts without words link
+    with nothing: of rows of equal doc_id and such a text one stays, without doc_id all.
     """
     keep = Scratch(spark, "unique")
-    gone = ngram_jaccard_join(docs, n=5, p=8, q=10).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = keep.save(gone, "gone")
+    text = F.col("text").cast("string")
+    name = F.xxhash64(F.col("doc_id").cast("long"), text)
+    found = ngram_jaccard_join(docs.select(name.alias("doc_id"), "text"), n=5, p=8, q=10)
+    found = keep.save(found.select(F.col("doc_id").alias("__name"), F.col("component_id").alias("__comp")).distinct(), "components")
+    worded = F.coalesce(text.rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.groupBy(name.alias("__name")).agg(F.count("*").alias("__count"), F.max("doc_id").alias("__id"), F.max(worded).alias("__worded"))
+    rows = keep.save(rows, "rows")
+    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__name").alias("name")))
+    kept = found.join(rows, "__name").groupBy("__comp").agg(best.alias("best")).select(F.col("best.name").alias("__name"))
+    gone = keep.save(found.join(kept, "__name", "left_anti").select(F.col("__name").alias("__gone")), "gone")
     few = gone.count() <= decontaminate.BROADCAST_ROWS  # of 8 bytes each
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = keep.save(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice")), "twice")
+    left = docs.join(F.broadcast(gone) if few else gone, name == F.col("__gone"), "left_anti")
+    twice = keep.save(rows.where("__count > 1 AND (__worded OR __id IS NOT NULL)").select(F.col("__name").alias("__twice")), "twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates())
+    once = left.join(twice, name == F.col("__twice"), "left_anti")
+    return once.unionByName(left.join(twice, name == F.col("__twice"), "left_semi").withColumn("__name", name).dropDuplicates(["__name"]).drop("__name"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

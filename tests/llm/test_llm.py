@@ -307,6 +307,14 @@ def test_odd_tables(spark, odd):
     assert (4, 1, 4) in comps and (5, 1, 4) in comps and (1, 1, 1) in comps and (2, 0, 2) in comps
 
 
+def test_near_duplicates_rows(spark):
+    """Null and repeated ids: one row of each component stays, and no row goes for its id alone."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(100)) for x in "abcde")
+    rows = [(None, a, 1), (None, a, 2), (None, a + " end", 3), (7, b, 1), (7, b + " end", 2), (4, c, 1), (5, c + " end", 1), (5, d, 1), (None, e, 1), (8, e, 1), (9, "", 1), (9, "", 1), (None, "", 1), (None, "", 1)]
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, size int"), "").collect()]
+    assert sorted(((i, t[:1]) for i, t in left), key=str) == [(4, "c"), (5, "d"), (7, "b"), (8, "e"), (9, ""), (None, ""), (None, ""), (None, "a")]
+
+
 def test_pipeline(spark, tok, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
