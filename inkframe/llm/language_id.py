@@ -109,6 +109,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the rest (no text, or no letter in it) goes."""
+    """Documents with a letter; those without text, or without a letter in it, go. Without labels to learn from, too."""
     model = train(docs.where(not_held_out()))
-    return identify(docs, model).where("__language.lang_pred <> 'und'").select(*docs.columns)
+    if not model.langs:
+        letter = F.arrow_udf(lambda texts: pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_()), "boolean")
+        return docs.where(letter(F.col("text").cast("string")))
+    # A score is 0 for texts without a letter only.
+    return identify(docs, model).where("__language.score > 0").select(*docs.columns)

@@ -275,6 +275,15 @@ def test_op9(spark, docs):
     assert all(out[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, *_ in docs)
 
 
+def test_language_stage_rows(spark):
+    """Texts with a letter stay, whether or not any row can be learned from."""
+    held = next(k for k in range(100) if language_id.held_out(k))
+    texts = ["the sun", "日本", "é1", None, "", " \n", "12 !"]
+    for rows in ([(k, t, None) for k, t in enumerate(texts)], [(held, t, "en") for t in texts], [(None, t, "en") for t in texts], [(None, t, "und") for t in texts]):
+        left = language_id.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+        assert sorted(r.text for r in left) == sorted(texts[:3])
+
+
 def test_op10(spark):
     first, want = {}, []
     for p, h in duckdb.sql(f"SELECT page_id, html FROM read_parquet('{SF}/pages.parquet') ORDER BY 1").fetchall():
