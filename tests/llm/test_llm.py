@@ -335,3 +335,78 @@ def test_pipeline(spark, tok, tmp_path):
         ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """Which documents stay, and how many copies of each size, on planted copies, leaks and texts without a letter."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate((20, 16, 13, 10, 7, 3))]
+    texts = [text(r.randint(20, 60)) for _ in range(90)]
+    for k in range(24):  # near copies, and from 16 on too far ones
+        w = texts[k].split()
+        for j in range(1 if k < 16 else 8):
+            w[-1 - 6 * j % len(w)] = "zzz"
+        texts.append(" ".join(w))
+    for k in range(18):  # leaks, every third with one word too many substituted
+        w = items[k % 6][1].split()
+        least = min(len(w), 13) - math.ceil(0.8 * min(len(w), 13))
+        for j in range(least + (k % 3 == 2)):
+            w[(2 + 5 * j) % len(w)] = "zzz"
+        texts.append(f"{text(20 + k % 2)} {' '.join(w)} {text(15)}")
+    texts += [None, "", " \n", "12 34 !"]
+    r.shuffle(texts)
+    rows = [(i, t, ("en", "de")[k % 2], "abc"[k % 3]) for k, (i, t) in enumerate(zip(r.sample(range(1000), len(texts)), texts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: (t.split(), s) for i, t, _, s in rows if t and any(c.isalpha() for c in t)}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, (w, _) in left.items()}
+    comp = closure([(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])], sets)
+    assert 0 < sum(i != c for i, c in comp.items()) < 24
+    left = {i: x for i, x in left.items() if comp[i] == i}
+
+    def leaks(w, b):
+        span = min(len(b), 13)
+        same = lambda at, off: sum(0 <= at + off + k < len(w) and w[at + off + k] == b[off + k] for k in range(span))
+        return any(same(at, off) >= math.ceil(0.8 * span) for at in range(-len(b), len(w)) for off in range(len(b) - span + 1))
+
+    bad = {i for i, (w, _) in left.items() if any(leaks(w, b.split()) for _, b in items)}
+    assert 10 <= len(bad) < 18
+    left = {i: (len(w), s) for i, (w, s) in left.items() if i not in bad}
+
+    totals = {s: sum(n for n, x in left.values() if x == s) for s in "abc"}
+    want, free, rest = {}, {s: 1 + k for k, s in enumerate("abc")}, float(sum(totals.values()))
+    while free:
+        unit = rest / sum(free.values())
+        over = [s for s, w in free.items() if unit * w > 3 * totals[s]]
+        for s in over or list(free):
+            want[s] = min(3 * totals[s], unit * free[s])
+            rest -= want[s]
+            del free[s]
+    copies = {}
+    for s in "abc":
+        count = {}
+        for n, x in left.values():
+            if x == s:
+                count[n] = count.get(n, 0) + 1
+        mean = totals[s] / sum(count.values())
+        rate = lambda n, lam: min(3.0, math.exp(min(50.0, lam * n / mean)))  # noqa: B023, E731
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if sum(k * n * rate(n, lam) for n, k in count.items()) < want[s] else (lo, lam)
+        carry = 0.0
+        for n in sorted(count, reverse=True):
+            carry += count[n] * n * rate(n, lam)
+            copies[s, n] = max(0, min(3 * count[n], math.floor(carry / n + 0.5)))
+            carry -= n * copies[s, n]
+        assert abs(carry) <= 60
+    out = [x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert set(out) <= left.keys()
+    each = {i: out.count(i) for i in left}
+    got = {}
+    for i, (n, s) in left.items():
+        got.setdefault((s, n), []).append(each[i])
+    assert {k: sum(v) for k, v in got.items()} == copies
+    assert all(max(v) - min(v) <= 1 for v in got.values())
