@@ -138,7 +138,7 @@ def wer_pairs(spark, sf):
 def eval_report(spark, sf):
     p = syn.pairs(spark, sf).withColumn("name", F.concat(F.lit("item"), F.col("item_id").cast("string")))
     hyps = p.where("item_id % 10 <> 3").select("name", F.col("hyp").alias("text"), (F.col("item_id") * 125).alias("elapsed_ms"))
-    return evaluate.report(evaluate.evaluate(hyps, p.select("name", F.col("ref").alias("text")))).select("line").where("line LIKE '%ERROR%' OR line LIKE 'item%s'").withColumn("line", F.regexp_replace("line", r"^(item\d+) +\d.*", "$1 ok"))
+    return evaluate.report(evaluate.evaluate(hyps, p.select("name", F.col("ref").alias("text")))).select("line")
 
 
 def bbox_unrotate(spark, sf):

@@ -1,3 +1,5 @@
+from decimal import ROUND_HALF_UP, Decimal
+
 import duckdb
 import numpy as np
 import pytest
@@ -135,6 +137,19 @@ def test_query_against_sql(spark, name):
     assert near(df.select(*cols).collect()) == near(want)
 
 
+def test_eval_report_lines(spark):
+    """Whole lines: rates and seconds as the reference's toFixed(1) gives them."""
+    fixed = lambda v: str(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    rates = {r.item_id: [r.cer] for r in queries.QUERIES["cer_pairs"](spark, SF).collect()}
+    for r in queries.QUERIES["wer_pairs"](spark, SF).collect():
+        rates[r.item_id].append(r.wer)
+    want = []
+    for i, (cer, wer) in rates.items():
+        good = f"{fixed(cer * 100).rjust(5)}%   {fixed(wer * 100).rjust(5)}%   {fixed(i * 125 / 1000)}s"
+        want.append(f"item{i}".ljust(15) + " " + ("ERROR: no result" if i % 10 == 3 else good))
+    assert sorted(r.line for r in queries.QUERIES["eval_report"](spark, SF).collect()) == sorted(want)
+
+
 def test_keystone_all_lines(spark):
     """Every line of a document is fitted, and the quad reaches its last line: brute force over the texts."""
     fits, quads = {}, {}
