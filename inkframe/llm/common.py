@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts can be long, so a batch is kept small.
+#: Rows that are worked on at once: texts can be long.
 BATCH_ROWS = 512
 
 
@@ -20,8 +23,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, in local mode only) one of our own."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (known or _own_dir()).rstrip("/")
 
 
 class Scratch:
@@ -29,13 +35,25 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        self.tag = uuid.uuid4().hex
+        self.root = f"{shared_dir(spark)}/{name}-{self.tag}"
+
+    @contextlib.contextmanager
+    def batch_rows(self, n: int):
+        """Within, Arrow batches hold n rows at most."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(n))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write df and read it back."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
@@ -52,10 +70,44 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers idle between tasks, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """run(batches), a generator, that gives freed memory back at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def slices(batches, rows: int = BATCH_ROWS):
+    """Record batches cut to a few rows, whatever the session's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def salted(rows: DataFrame, least: DataFrame, keys: str | list[str], by: str, salts: int = 16) -> DataFrame:
+    """rows joined with `least`, which has one row per key: a key's rows are dealt over `salts` tasks by column `by`."""
+    keys = [keys] if isinstance(keys, str) else keys
+    dealt = least.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return rows.join(dealt, [*keys, "__salt"]).drop("__salt")
+
+
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
