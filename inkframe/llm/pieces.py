@@ -1,27 +1,33 @@
-"""Cut a text where byte-level BPE always cuts, and remember what each piece encodes to.
+"""Cut texts where byte-level BPE always cuts, and remember what each piece encodes to.
 
-The byte-level pattern gives a single space between two other characters to what follows it, so such a space
-always starts a pre-token, and a text encodes to the encodings of its pieces in turn. Special strings hold no
-space, so a piece holds them whole. Runs of white space stay within one piece.
+The byte-level pattern gives a single space between two other characters to what follows it, and makes a single line
+feed between two other characters a pre-token of its own. So a text encodes to the encodings, in turn, of the pieces
+that start at such a space or line feed. Special strings hold neither, so a piece holds them whole; other white
+space, and runs of it, stay within one piece. Texts are cut side by side in their Arrow buffers, and only the distinct pieces
+of a batch are looked at one by one.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from inkframe.llm.common import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-_RUN = re.compile(r" \s|\s ")
 #: One or two pre-tokens for certain: letters, and marks after them.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ȳ]+)([.,;:!?]*)")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def cut(text: str) -> list[str]:
-    """Pieces; all but the first are to be read with a space before them."""
-    return _CUT.split(text) if _RUN.search(text) else text.split(" ")
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+#: White space beyond ASCII, in UTF-8.
+_TWO = {b"\xc2\x85", b"\xc2\xa0"}
+_THREE = {chr(c).encode() for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
 
 
 def byte_names() -> dict[int, str]:
@@ -39,48 +45,88 @@ def spell(text: str) -> str:
     return text.encode("utf-8", "replace").decode("latin-1").translate(_NAMES)
 
 
-class PieceCache:
-    """value(piece) for many pieces, of bounded size: two generations of `most` pieces, of which the older is dropped."""
-
-    def __init__(self, values: Callable[[list[str]], Iterable], most: int = 500_000, longest: int = 64):
-        self.values, self.most, self.longest = values, most, longest
-        self.new, self.old = {}, {}
-
-    def load(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces."""
-        parts = [cut(t) for t in texts]
-        first = [p.pop(0) for p in parts]
-        new = self.new
-        miss = []
-        for x in set().union(*parts).difference(new):
-            v = self.old.get(x)
-            if v is None:
-                miss.append(x)
-            else:
-                new[x] = v
-        got = list(self.values([" " + x for x in miss] + first))
-        new.update(zip(miss, got, strict=False))
-        get = new.__getitem__
-        out = [[v, *map(get, p)] for v, p in zip(got[len(miss) :], parts, strict=True)]
-        for x in miss:
-            if len(x) > self.longest:
-                del new[x]
-        if len(new) > self.most:
-            self.old, self.new = new, {}
-        return out
-
-
-def batches(texts: list[str], most: int = 2_000_000):
-    """Runs of texts of about `most` characters; a longer text stands alone."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All pieces of the texts in turn, and where each text's pieces start (one entry more than texts). An empty text has none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, np.int64)
+    first, last = int(ends[0]), int(ends[-1])
+    raw = np.frombuffer(data, np.uint8)[first:last] if data and last > first else np.zeros(0, np.uint8)
+    ends = ends - first
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    at = at[(at > 0) & (at < len(raw) - 1)]
+    fit = ~_SPACE[raw[at - 1]] & ~_SPACE[raw[at + 1]]
+    # A neighbour beyond ASCII may be white space too.
+    for k in np.flatnonzero(fit & ((raw[at - 1] > 127) | np.isin(raw[at + 1], (0xC2, 0xE1, 0xE2, 0xE3)))).tolist():
+        s = int(at[k])
+        before, after = raw[max(0, s - 3) : s].tobytes(), raw[s + 1 : s + 4].tobytes()
+        fit[k] = not (before[-2:] in _TWO or before in _THREE or after[:2] in _TWO or after in _THREE)
+    # A text's own start cuts; a space or line feed there, or at its end, stands beside another text's character.
+    edges = np.zeros(len(raw) + 1, bool)
+    edges[at[fit]] = True
+    edges[ends[1:][ends[1:] > 0] - 1] = False
+    edges[ends] = True
+    starts = np.flatnonzero(edges)
+    pieces = pa.Array.from_buffers(pa.large_string(), max(0, len(starts) - 1), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(starts, ends)
+
+
+class PieceTable:
+    """Numbers pieces and remembers for each its values (as many as it has tokens), up to a bounded number of pieces and values."""
+
+    def __init__(self, values: Callable[[list[str]], list[bytes]], most: int = 600_000, most_values: int = 4_000_000):
+        self.values, self.most, self.most_values = values, most, most_values
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.start = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.int64)
+
+    def number(self, pieces: list[str]) -> np.ndarray:
+        """The number of each of the distinct pieces."""
+        got = [self.numbers.get(x) for x in pieces]
+        miss = [x for x, k in zip(pieces, got, strict=True) if k is None]
+        n = len(self.numbers)
+        if miss and n and (n + len(miss) > self.most or self.start[n] > self.most_values):
+            self._clear()
+            return self.number(pieces)
+        for at in range(0, len(miss), 50_000):
+            own = miss[at : at + 50_000]
+            values = self.values(own)
+            n = len(self.numbers)
+            self.numbers.update(zip(own, range(n, n + len(own)), strict=True))
+            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            end = self.start[n] + np.cumsum(size)
+            while n + len(own) + 1 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            while end[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.start[n] : end[-1]] = np.frombuffer(b"".join(values), np.uint32)
+            self.start[n + 1 : n + 1 + len(own)] = end
+        if not miss:
+            return np.array(got, np.int64)
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+
+    def load(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's values start in `flat`, and how many they are."""
+        coded = pieces.dictionary_encode()
+        k = self.number(coded.dictionary.to_pylist())
+        start, size = self.start[k], self.start[k + 1] - self.start[k]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return start[at], size[at]
+
+
+def runs(batches, most: int = 8_000_000):
+    """Record batches put together to tables of about `most` bytes, so that a piece is looked at once in many texts."""
+    held, size = [], 0
+    for b in slices(batches):
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def tokenizer_path(name: str) -> str:

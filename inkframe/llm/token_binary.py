@@ -4,86 +4,143 @@ from __future__ import annotations
 
 import functools
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm import rans
-from inkframe.llm.common import BATCH_ROWS, Scratch, parallelism, table
-from inkframe.llm.pieces import PLAIN, PieceCache, batches, spell, tokenizer_path
+from inkframe.llm.common import parallelism, table, tidy, Scratch
+from inkframe.llm.pieces import byte_names, cut, runs, tokenizer_path
 
 FILE_IDS = 1 << 20  # a file image is closed once it holds this many ids
 
 
+class Encoder:
+    """Ids of pieces by the tokenizers library."""
+
+    #: Pieces whose pre-tokens are sure: letters, digits and marks in turn, after a space or line feed perhaps.
+    PLAIN = r"^[ \n]?[0-9A-Za-zÀ-ÖØ-öø-ȳ!-&(-/:-@\[-`{-~]+$"
+    PRETOKEN = r"(\n| ?[A-Za-zÀ-ÖØ-öø-ȳ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+)"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # The same model on pre-tokens that are cut and spelled already.
+        self.spelled = Tokenizer(self.library.model)
+        self.spelled.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.size = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, k in self.library.get_vocab().items():
+            self.size[k] = len(token)
+        self.names = np.zeros(256, np.uint16)
+        for byte, name in byte_names().items():
+            self.names[byte] = ord(name)
+        self.names[1] = ord(" ")  # stands between pre-tokens
+
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its own start among them and how many they are."""
+        plain = pc.match_substring_regex(pieces, self.PLAIN)
+        for x in self.special:
+            plain = pc.and_not(plain, pc.match_substring(pieces, x))
+        own = pieces.filter(plain)
+        cut = pc.replace_substring_regex(own, self.PRETOKEN, "\\1\x01")
+        _, offsets, data = cut.buffers()
+        ends = np.frombuffer(offsets, np.int64)[cut.offset : cut.offset + len(cut) + 1]
+        text = self.names[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]].tobytes().decode("utf-16-le") if len(cut) else ""
+        flat = np.array(self.spelled.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        # A token is as long as the bytes that it spells, so sums of lengths tell pieces apart.
+        length = pc.binary_length(own).to_numpy(zero_copy_only=False)
+        places = np.concatenate([[0], np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(length)) + 1])
+        if places[-1] != len(flat) and len(own):
+            raise ValueError("the tokenizer is not a byte-level one")
+        start, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        sure = plain.to_numpy(zero_copy_only=False)
+        start[sure], size[sure] = places[:-1], np.diff(places)
+        more = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(pieces.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        size[~sure] = [len(x) for x in more]
+        start[~sure] = len(flat) + np.cumsum(size[~sure]) - size[~sure]
+        return np.concatenate([flat, *more]), start, size
+
+
 @functools.cache
-def encoder(path: str) -> PieceCache:
-    """Cache from pieces to their ids as little-endian unsigned 32-bit integers; a worker keeps it from task to task."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    model = tok.model
-
-    def values(xs: list[str]) -> list[bytes]:
-        # Letters, or letters and a mark, are one or two pre-tokens for certain, which the library's model takes directly.
-        out = []
-        for x in xs:
-            m = PLAIN.fullmatch(x)
-            if not m:
-                out.append(None)
-                continue
-            ids = [t.id for t in model.tokenize(spell(m[1]))]
-            if m[2]:
-                ids += [t.id for t in model.tokenize(m[2])]
-            out.append(array("I", ids).tobytes())
-        rest = iter(tok.encode_batch_fast([x for x, v in zip(xs, out, strict=True) if v is None], add_special_tokens=False))
-        return [array("I", next(rest).ids).tobytes() if v is None else v for v in out]
-
-    return PieceCache(values)
+def encoder(path: str) -> Encoder:
+    """A worker keeps it from task to task."""
+    return Encoder(path)
+
+
+def encode(texts: pa.Array, own: Encoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in turn, each text's followed by end_id, and how many each has."""
+    pieces, at = cut(texts)
+    coded = pieces.dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    flat, start, size = own.ids(coded.dictionary)
+    start, size = start[which], size[which]
+    before = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    lengths = before[at[1:]] - before[at[:-1]] + 1
+    ids = np.full(int(lengths.sum()), end_id, np.uint32)
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    step = np.int32 if max(len(flat), len(ids)) < 1 << 31 else np.int64
+    ids[inside] = flat[np.repeat((start - before[:-1]).astype(step), size) + np.arange(before[-1], dtype=step)]
+    return ids, lengths
 
 
 def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
-    """File images (first_doc, seq, n_tokens, image) of docs (doc_id, text) in ascending doc_id order, null first.
+    """File images (part, seq, n_tokens, image) of docs (doc_id, text) in ascending doc_id order, null first.
 
-    Each document's ids end with end_id; a null or empty text has that id alone. Rows of one doc_id go by text.
+    Each document's ids end with end_id; a null or empty text has that id alone. Rows of one doc_id go by text. Files
+    are in order by part, then seq.
     """
     spark = docs.sparkSession
 
+    @tidy
     def run(it):
-        cache, end, seq = encoder(tokenizer_path(tokenizer)), array("I", [end_id]).tobytes(), 0
-        ids, own, lengths, size = [], [], [], 0
+        part, seq = TaskContext.get().partitionId(), 0
+        tool = encoder(tokenizer_path(tokenizer))
+        own, ids, lengths, size = [], [], [], 0
 
         def close():
-            image = rans.encode(np.frombuffer(b"".join(ids), "<u4"), own, np.array(lengths))
-            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int64()), pa.array([seq], pa.int64()), pa.array([size], pa.int64()), pa.array([image], pa.binary())], ["first_doc", "seq", "n_tokens", "image"])
-
-        for b in it:
-            which = iter(b.column("doc_id").to_pylist())
-            for texts in batches([t or "" for t in b.column("text").to_pylist()]):
-                for values in cache.load(texts):
-                    one = b"".join(values) + end
-                    ids.append(one), own.append(next(which)), lengths.append(len(one) // 4)
-                    size += lengths[-1]
-                    if size >= FILE_IDS:
-                        yield close()
-                        ids, own, lengths, size, seq = [], [], [], 0, seq + 1
+            image = rans.encode(np.concatenate(ids), own, np.concatenate(lengths))
+            kinds = {"part": pa.int64(), "seq": pa.int64(), "n_tokens": pa.int64(), "image": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, seq, size, image), kinds.values(), strict=True)], [*kinds])
+
+        for t in runs(it):
+            docs_, at, one = t.column("doc_id").to_pylist(), 0, 0
+            more, n = encode(pa.concat_arrays(t.column("text").chunks), tool, end_id)
+            ends = np.cumsum(n)
+            while at < len(n):
+                stop = min(len(n), int(np.searchsorted(ends, ends[at] - n[at] + FILE_IDS - size)) + 1)
+                last = int(ends[stop - 1])
+                own += docs_[at:stop]
+                ids.append(more[one:last]), lengths.append(n[at:stop])
+                size, at, one = size + last - one, stop, last
+                if size >= FILE_IDS:
+                    yield close()
+                    own, ids, lengths, size, seq = [], [], [], 0, seq + 1
         if own:
             yield close()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = src.repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(run, "first_doc long, seq long, n_tokens long, image binary")
+    return dealt.mapInArrow(run, "part long, seq long, n_tokens long, image binary")
 
 
 def decode_files(files: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of file images, start counting over all files."""
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file of about a million ids: no text or id passes through this window.
-    place = files.select("first_doc", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    same = files.alias("f").join(place.alias("p"), F.expr("f.first_doc <=> p.first_doc AND f.seq = p.seq")).select("base", "image")
-
+    # Files are placed within their part, and parts, of which there is one a task, among themselves.
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = files.select("part", "seq", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("first"))
+    place = sizes.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("base")).join(F.broadcast(parts), "part")
+    same = files.join(place, ["part", "seq"]).select((F.col("first") + F.col("base")).alias("base"), "image")
+
+    @tidy
     def run(it):
         for b in it:
             doc, start, n, crc = [], [], [], []
@@ -107,11 +164,10 @@ def token_binary(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     spark = docs.sparkSession
     keep = Scratch(spark, "tokens")
     files = keep.save(encode_files(docs, tokenizer, end_id), "files")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # images are large
-    try:
-        return keep.save(decode_files(files), "documents")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    with keep.batch_rows(4):  # images are large
+        out = keep.save(decode_files(files), "documents")
+    keep.drop("files")
+    return out
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,18 +10,24 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkframe.llm.common import Scratch, table
-from inkframe.llm.pieces import PLAIN, PieceCache, batches, spell, tokenizer_path
+from inkframe.llm.common import table, tidy
+from inkframe.llm.pieces import PLAIN, PieceTable, cut, runs, spell, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Fixed value: the characters that the pattern takes for white space; Python's own notion holds four more.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_EDGE = regex.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 #: Characters whose classes no Unicode version changed; other texts are cut by the library itself.
 _STABLE = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ȳΑ-ΡΣ-ωА-я‐-‧ぁ-ゖ一-龥]*")
 
@@ -84,19 +90,28 @@ class PrefixCounter:
         return [(x, bool(k % 2)) for k, x in enumerate(cut) if x]
 
     def total(self, text: str) -> int:
-        if m := PLAIN.fullmatch(text):
-            return self.table(m[1])[-1] + (self.table(m[2])[-1] if m[2] else 0)
         n = 0
         for x, special in self.segments(text):
             n += 1 if special else sum(self.table(p)[-1] for p in self.pretokens(x))
         return n
 
+    def piece(self, text: str) -> bytes:
+        """Entry i, an unsigned 32-bit integer: the tokens of text[:i + 1] by itself."""
+        if not (m := PLAIN.fullmatch(text)):
+            return array("I", self.prefixes(text)[1:]).tobytes()
+        t = self.table(m[1])
+        if len(t) > len(m[1]) + 1:  # some characters take two bytes
+            t = [t[0], *(t[k] for k in itertools.accumulate(1 + (c > "\x7f") for c in m[1]))]
+        if m[2]:
+            t += [t[-1] + k for k in self.table(m[2])[1:]]
+        return array("I", t[1:]).tobytes()
+
     def prefixes(self, text: str) -> list[int]:
         """Entry i: the tokens of text[:i] by itself, for i from 0 to len(text)."""
         out, base = [0], 0
         for x, special in self.segments(text):
             if special:  # short of its end a special string is ordinary text, which may join what stands before it
-                at = max((m.end() for m in regex.finditer(r"(?<=\S)(?=\s)", text[: len(out) - 1])), default=0)
+                at = max((m.end() for m in _EDGE.finditer(text[: len(out) - 1])), default=0)
                 whole = out[at]
                 out += [whole + self.total(text[at : len(out) + k]) for k in range(len(x) - 1)] + [base + 1]
                 base += 1
@@ -110,7 +125,7 @@ class PrefixCounter:
                     ends.append(base + t[k])
                 if p in ("'re", "'ve", "'ll"):
                     ends[1] = base + t[1] + 1
-                if p.isspace():
+                if not p.strip(_SPACE):
                     if run:
                         j, k = self.table(run + p), len(run.encode())
                         for m, c in enumerate(p):
@@ -120,7 +135,7 @@ class PrefixCounter:
                     else:
                         run, run_base = p, base
                 else:
-                    if run and p[0].isspace():
+                    if run and p[0] in _SPACE:
                         ends[0] = run_base + self.table(run + p[0])[-1]
                     run = ""
                 out += ends
@@ -133,33 +148,65 @@ class PrefixCounter:
 
 
 @functools.cache
-def counters(path: str) -> tuple[PrefixCounter, PieceCache]:
+def counters(path: str) -> tuple[PrefixCounter, PieceTable]:
     """A worker keeps both from task to task."""
     counter = PrefixCounter(path)
-    return counter, PieceCache(lambda xs: map(counter.total, xs))
+    return counter, PieceTable(lambda xs: [*map(counter.piece, xs)])
+
+
+def _fit(limit: int, before: np.ndarray, chars: np.ndarray, start: np.ndarray, flat: np.ndarray) -> int:
+    """Most characters of a text whose prefix, and every shorter one, stays within the limit.
+
+    Per piece: tokens before it, its characters, and where its prefix counts start.
+    """
+    at = 0
+    for k in range(len(chars)):
+        if before[k] + 4 * chars[k] > limit:  # a character has four tokens at most
+            over = np.flatnonzero(before[k] + flat[start[k] : start[k] + chars[k]] > limit)
+            if len(over):
+                return at + int(over[0])
+        at += int(chars[k])
+    return at
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, prefixes: bool = False) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, over_limit[, prefix_tokens]), one per row of docs (doc_id, text, anything else).
+    """Rows (doc_id, n_bytes, n_tokens, over_limit, fit_chars[, prefix_tokens]), one per row of docs (doc_id, text, anything else).
 
-    prefix_tokens[i] is the exact count of the first i characters. A null text counts as empty: 0 tokens.
+    fit_chars is the number of characters up to which every prefix has `limit` tokens at most. prefix_tokens[i] is the
+    exact count of the first i characters. A null text counts as empty: 0 tokens. Repeated rows are rows like
+    others; an empty table gives no rows.
     """
 
+    @tidy
     def run(it):
-        counter, cache = counters(tokenizer_path(tokenizer))
-        for b in it:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            n = [sum(v) for own in batches(texts) for v in cache.load(own)]
-            cols = [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+        _, table = counters(tokenizer_path(tokenizer))
+        for t in runs(it):
+            texts = pc.fill_null(pa.concat_arrays(t.column("text").chunks), "")
+            pieces, at = cut(texts)
+            start, chars = table.load(pieces)
+            counts = table.flat[start + chars - 1].astype(np.int64) if len(start) else start
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            n = sums[at[1:]] - sums[at[:-1]]
+            length = np.concatenate([[0], np.cumsum(chars)])
+            fit = length[at[1:]] - length[at[:-1]]
+            # Inside its last pieces a text may pass the limit, though all of it does not.
+            for k in np.flatnonzero(n + 256 > limit).tolist():
+                own = slice(at[k], at[k + 1])
+                fit[k] = _fit(limit, sums[own] - sums[at[k]], chars[own], start[own], table.flat)
+            size = pc.binary_length(texts).cast(pa.int64())
+            cols = [pa.concat_arrays(t.column("doc_id").chunks), size, pa.array(n), pa.array(n > limit), pa.array(fit)]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
             if prefixes:
-                cols.append(pa.array([counter.prefixes(t) for t in texts], pa.list_(pa.int32())))
+                own = np.repeat(sums[:-1], chars) + table.flat[np.repeat(start - length[:-1], chars) + np.arange(length[-1])]
+                text = np.repeat(np.arange(len(n)), length[at[1:]] - length[at[:-1]])
+                own = np.insert(own - sums[at[:-1]][text], length[at[:-1]], 0)
+                ends = length[at] + np.arange(len(at))
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.int32())))
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    Scratch(docs.sparkSession, "counts")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>" * prefixes)
+    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
