@@ -73,80 +73,103 @@ def _bytes(op, arg, fold: bool) -> frozenset:
 
 
 class Automaton:
-    """Searches rules (name -> byte regex) in one pass.
+    """Searches rules (byte regexes) in one pass.
 
-    next[state * 256 + byte] is the following state; state 0 is the start; the last state, `hit`, says that some
-    rule has matched since the last reset byte. A reset byte leads every state to the start, so no match holds
-    one, and a text can be cut there and its parts scanned side by side.
+    next[state * 256 + byte] is the following state; state 0 is the start. A state from `first_hit` on says that rules
+    match up to here: those in the bits of mask[state]. A reset byte leads every state to the start, so no match
+    holds one, and a text can be cut there and its parts scanned side by side.
     """
 
-    def __init__(self, rules: dict[str, bytes]):
-        parts = [_minimal(*_subsets(rule)) for rule in rules.values()]
-        table, accept = parts[0]
-        for more in parts[1:]:
-            table, accept = _minimal(*_union((table, accept), more))
-        hit = int(np.flatnonzero(accept)[0])
-        order = [0, *(s for s in range(len(table)) if s not in (0, hit)), hit]
+    def __init__(self, rules: list[bytes]):
+        table, mask = np.zeros((1, 256), np.int64), np.zeros(1, np.int64)
+        for k, rule in enumerate(rules):
+            own, accept = _minimal(*_subsets(rule, search=True))
+            table, mask = _minimal(*_union((table, mask), (own, accept.astype(np.int64) << k)))
+        order = np.argsort(mask != 0, kind="stable")
         place = np.empty(len(table), np.int64)
         place[order] = np.arange(len(table))
-        table = place[table[order]]
-        self.hit = len(table) - 1
-        self.reset = (table[:-1] == 0).all(0)
-        table[self.hit] = np.where(self.reset, 0, self.hit)
+        table, self.mask = place[table[order]], mask[order]
+        self.first_hit = int((mask == 0).sum())
+        self.reset = (table == 0).all(0)
         self.next = table.astype(np.int32).ravel()
 
-    def segments(self, data: bytes, lanes: int = 4096) -> np.ndarray:
-        """Rows (start, end) of the parts between reset bytes in which a rule matches."""
+    def segments(self, data: bytes, lanes: int = 4096) -> list[tuple[int, int, int]]:
+        """(start, end, bits of the rules that match there) of the parts between reset bytes in which a rule matches."""
         b = np.frombuffer(data, np.uint8)
         cuts = np.flatnonzero(self.reset[b])
         if not len(b):
-            return np.zeros((0, 2), np.int64)
-        starts = np.unique(np.append(cuts[np.minimum(np.searchsorted(cuts, np.linspace(0, len(b), lanes, endpoint=False).astype(np.int64)), len(cuts) - 1)] if len(cuts) else [], 0).astype(np.int64))
+            return []
+        starts = np.linspace(0, len(b), lanes, endpoint=False).astype(np.int64)
+        starts = cuts[np.minimum(np.searchsorted(cuts, starts), len(cuts) - 1)] if len(cuts) else starts[:1]
+        starts = np.unique(np.append(starts, 0))
         length = np.diff(np.append(starts, len(b)))
         order = np.argsort(-length, kind="stable")
         starts, length = starts[order], length[order]
         live = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        state, found = np.zeros(len(starts), np.int32), []
+        state, found, bits = np.zeros(len(starts), np.int32), [], []
         for t in range(int(length[0])):
             m = live[t]
             state = self.next[state[:m] * 256 + b[starts[:m] + t]]
-            if (now := state == self.hit).any():
+            if (now := state >= self.first_hit).any():
                 found.append(starts[:m][now] + t)
+                bits.append(self.mask[state[now]])
         if not found:
-            return np.zeros((0, 2), np.int64)
-        at = np.searchsorted(cuts, np.unique(np.concatenate(found)))
-        at = np.unique(at)
+            return []
         edge = np.concatenate([[-1], cuts, [len(b)]])
-        return np.stack([edge[at] + 1, edge[at + 1]], 1)
+        part, at = np.unique(np.searchsorted(cuts, np.concatenate(found)), return_inverse=True)
+        rules = np.zeros(len(part), np.int64)
+        np.bitwise_or.at(rules, at, np.concatenate(bits))
+        return list(zip((edge[part] + 1).tolist(), edge[part + 1].tolist(), rules.tolist(), strict=True))
+
+
+class Prefix:
+    """The longest match of a rule from a given place on."""
+
+    DEAD = -1
+
+    def __init__(self, rule: bytes):
+        table, accept = _minimal(*_subsets(rule, search=False))
+        rows = np.arange(len(table))[:, None]
+        dead = np.flatnonzero((table == rows).all(1) & ~accept)
+        self.next = np.where(np.isin(table, dead), self.DEAD, table).tolist()
+        self.accept = accept.tolist()
+
+    def end(self, data: bytes, at: int) -> int:
+        """Where it ends; -1 without a match."""
+        state, last = 0, at if self.accept[0] else -1
+        for k in range(at, len(data)):
+            state = self.next[state][data[k]]
+            if state < 0:
+                break
+            if self.accept[state]:
+                last = k + 1
+        return last
 
 
 def _union(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of states that can be reached together; those in which either accepts are one state."""
-    (t1, a1), (t2, a2) = one, two
-    n, hit = len(t2), -1
+    """Pairs of states that can be reached together, with the bits of both."""
+    (t1, m1), (t2, m2) = one, two
+    n = len(t2)
     ids, todo, rows = {0: 0}, [0], []
     while len(rows) < len(todo):
         now = todo[len(rows)]
-        if now == hit:
-            rows.append([ids[hit]] * 256)
-            continue
-        x, y = t1[now // n], t2[now % n]
         row = []
-        for k in np.where(a1[x] | a2[y], hit, x * n + y).tolist():
+        for k in (t1[now // n] * n + t2[now % n]).tolist():
             if k not in ids:
                 ids[k] = len(ids)
                 todo.append(k)
             row.append(ids[k])
         rows.append(row)
-    return np.array(rows), np.array([k == hit for k in todo])
+    todo = np.array(todo)
+    return np.array(rows), m1[todo // n] | m2[todo % n]
 
 
-def _subsets(rule: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Subset construction of a rule's search automaton; the accepting subsets are one state."""
+def _subsets(rule: bytes, search: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Subset construction: transitions and acceptance; with search, a match may start anywhere."""
     nfa = _Nfa()
     tree = _parser.parse(rule)
     start = nfa.state()
-    ends = {nfa.add(tree, start, bool(tree.state.flags & 2))}
+    end = nfa.add(tree, start, bool(tree.state.flags & 2))
     close: list[frozenset] = []
     for s in range(len(nfa.eps)):
         seen, todo = {s}, [s]
@@ -164,33 +187,28 @@ def _subsets(rule: bytes) -> tuple[np.ndarray, np.ndarray]:
     arcs = [[(to, [k for k, c in enumerate(classes) if c[0] in own]) for own, to in a] for a in nfa.arcs]
     first = close[start]
     ids, todo, rows = {first: 0}, [first], []
-    dead = frozenset(["hit"])
     while len(rows) < len(todo):
-        now = todo[len(rows)]
-        step = [set(first) for _ in classes]
-        if now != dead:
-            for s in now:
-                for to, own in arcs[s]:
-                    for k in own:
-                        step[k] |= close[to]
+        step = [set(first) if search else set() for _ in classes]
+        for s in todo[len(rows)]:
+            for to, own in arcs[s]:
+                for k in own:
+                    step[k] |= close[to]
         row = []
-        for x in step:
-            to = dead if now == dead or x & ends else frozenset(x)
-            if to not in ids:
-                ids[to] = len(ids)
-                todo.append(to)
-            row.append(ids[to])
+        for x in map(frozenset, step):
+            if x not in ids:
+                ids[x] = len(ids)
+                todo.append(x)
+            row.append(ids[x])
         rows.append(row)
     table = np.zeros((len(rows), 256), np.int64)
     for k, c in enumerate(classes):
         table[:, c] = np.array(rows)[:, [k]]
-    accept = np.array([s == dead for s in todo])
-    return table, accept
+    return table, np.array([end in s for s in todo])
 
 
-def _minimal(table: np.ndarray, accept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Refine classes of states until all of a class lead to the same classes; class 0 is the start's."""
-    block = accept.astype(np.int64)
+def _minimal(table: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Refine classes of states of one kind until all of a class lead to the same classes; class 0 is the start's."""
+    block = np.unique(kind, return_inverse=True)[1].ravel()
     while True:
         _, first, new = np.unique(np.column_stack([block, block[table]]), axis=0, return_index=True, return_inverse=True)
         new = new.ravel()
@@ -201,4 +219,4 @@ def _minimal(table: np.ndarray, accept: np.ndarray) -> tuple[np.ndarray, np.ndar
     swap[[0, new[0]]] = swap[[new[0], 0]]
     new = swap[new]
     at = np.array([np.flatnonzero(new == k)[0] for k in range(len(first))])
-    return new[table[at]], accept[at]
+    return new[table[at]], kind[at]

@@ -1,61 +1,94 @@
-"""Secrets in whole texts: one automaton for all rules finds the parts that hold a match, exact regexes give the spans."""
+"""Secrets in whole texts: one automaton of all rules finds the lines that hold a match, automata of each rule its spans."""
 
 from __future__ import annotations
 
-import hashlib
-import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.automaton import Automaton
-from inkframe.llm.common import Scratch, table
+from inkframe.llm.automaton import Automaton, Prefix
+from inkframe.llm.common import slices, table, tidy
 
-#: The base kinds, in order, with the test a match must pass.
+
+class Rule(NamedTuple):
+    """A match is the longest head, then all characters of the tail class that follow (`most` at most).
+
+    It needs one of them to be a match, and `least` to count: a shorter match is dropped, but what it took is taken.
+    The common automaton counts `seek` of the tail's characters, as counters multiply states: one but where one is common.
+    """
+
+    head: bytes
+    tail: bytes
+    least: int
+    seek: int
+    most: int = 1 << 62
+
+
+#: The base kinds, in order.
 BASE = {
-    "assign": (re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 6),
-    "access": (re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-    "hex": (re.compile(rb"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    "assign": Rule(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", rb"[A-Za-z0-9+/_.=-]", 6, 1),
+    "access": Rule(rb"AKIA", rb"[A-Z0-9]", 16, 1),
+    "hex": Rule(rb"", rb"[0-9a-f]", 24, 12),
 }
 #: Kinds beyond the base ones.
 MORE = {
-    "github": (re.compile(rb"gh[opsu]_[A-Za-z0-9]{36}"), lambda m: True),
-    "slack": (re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}"), lambda m: True),
-    "pem": (re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True),
-}
-#: What the automaton looks for: every match above that passes holds one of these. Lengths are counted only where
-#: short ones are frequent, as counters multiply states.
-SEARCH = {
-    "assign": rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""",
-    "access": rb"AKIA[A-Z0-9]{16}",
-    "hex": rb"[0-9a-f]{24}",
-    "github": rb"gh[opsu]_[A-Za-z0-9]",
-    "slack": rb"xox[abprs]-[A-Za-z0-9-]",
-    "pem": rb"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "github": Rule(rb"gh[opsu]_", rb"[A-Za-z0-9]", 36, 1, 36),
+    "slack": Rule(rb"xox[abprs]-", rb"[A-Za-z0-9-]", 10, 1),
+    "pem": Rule(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"", 0, 0, 0),
 }
-KINDS = [*BASE, *MORE]
+RULES = BASE | MORE
+KINDS = [*RULES]
+
+
+class _Spans:
+    """All matches of a rule in a part of a text, from left to right."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.head = rule, Prefix(rule.head)
+        tail = Prefix(rule.tail)
+        self.tail = [s >= 0 and tail.accept[s] for s in tail.next[0]]
+        self.starts = [s >= 0 for s in self.head.next[0]] if rule.head else self.tail
+
+    def find(self, data: bytes):
+        rule, tail, at = self.rule, self.tail, 0
+        need = min(1, rule.most)
+        while at < len(data):
+            if not self.starts[data[at]]:
+                at += 1
+                continue
+            first = self.head.end(data, at)
+            end, stop = first, min(len(data), first + rule.most)
+            while 0 <= end < stop and tail[data[end]]:
+                end += 1
+            if first < 0 or end - first < need:
+                at += 1
+                continue
+            if end - first >= rule.least:
+                yield at, end
+            at = end if rule.most > rule.least or end - first >= rule.least else at + 1
 
 
 class Scanner:
     """Spans (start, kind number, end) in code points of many texts."""
 
     def __init__(self):
-        self.automaton = Automaton(SEARCH)
+        self.automaton = Automaton([r.head + r.tail + b"{%d}" % r.seek if r.tail else r.head for r in RULES.values()])
+        self.spans = [_Spans(r) for r in RULES.values()]
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         raw = [t.encode("utf-8", "replace") for t in texts]
         ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
         data = b"\n".join(raw)  # a line feed is a reset byte
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for a, z in self.automaton.segments(data).tolist():
+        for a, z, bits in self.automaton.segments(data):
             k = int(np.searchsorted(ends, a, side="right"))
-            begin = int(ends[k]) - len(raw[k]) - 1
-            found = [(m.start(), kind, m.end()) for kind, name in enumerate(KINDS) for m, ok in ((m, (BASE | MORE)[name][1]) for m in (BASE | MORE)[name][0].finditer(data[a:z])) if ok(m)]
+            begin, part = int(ends[k]) - len(raw[k]) - 1, data[a:z]
+            found = [(s, kind, e) for kind, own in enumerate(self.spans) if bits >> kind & 1 for s, e in own.find(part)]
             if found:
-                before = len(data[begin:a].decode("utf-8"))  # the segment and its matches are ASCII but for what stands before
-                part = data[a:z]
+                before = len(data[begin:a].decode("utf-8"))
                 points = (lambda i: i) if part.isascii() else (lambda i, p=part: len(p[:i].decode("utf-8", "replace")))
                 out[k] += [(before + points(s), kind, before + points(e)) for s, kind, e in found]
         return [sorted(x) for x in out]
@@ -64,26 +97,27 @@ class Scanner:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, spans array<struct<kind, start, end, secret>>), one per row of docs (doc_id, text, anything else).
 
-    Spans are in code points, by start, then kind. A null text has none.
+    Spans are in code points, by start, then kind. A null or empty text has none; a null doc_id stays; repeated rows
+    are rows like others; an empty table gives no rows.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(Scanner())  # a table of about a megabyte, whatever the input
 
+    @tidy
     def run(it):
         scanner = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())]))
-        for b in it:
+        for b in slices(it):
             texts = [t or "" for t in b.column("text").to_pylist()]
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "secret": t[s:e]} for s, k, e in own] for t, own in zip(texts, scanner.scan(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    Scratch(docs.sparkSession, "secrets")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, secret: string>>")
 
 
 def span_digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and the list of all spans."""
+    """Counts of the base kinds, the digest of the base spans and the list of all spans; without spans 0, the digest of nothing, and ''."""
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda xs: F.concat_ws(",", F.transform(xs, label))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
