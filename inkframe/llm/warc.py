@@ -3,7 +3,8 @@
 A capture is a request, a response (or a revisit of an earlier response with the same payload) and a metadata
 record. Request and metadata name the response or revisit by WARC-Concurrent-To; transaction assembly joins the
 records through these ids into one nested row. Archives travel as binary rows of a table under the shared folder,
-so they reach any file system that Spark does; each is a sequence of gzip members, one per record.
+so they reach any file system that Spark does; each is a sequence of gzip members, one per record, and
+common.write_objects makes .warc.gz files of them.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import BATCH_ROWS, Scratch, table
+from inkframe.llm.common import slices, table, tidy, Scratch
 
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it is as large as that
 SALTS = 64
@@ -59,44 +60,44 @@ def records(archive: bytes):
             at = end + 4 + size + 4
 
 
-def _rid(kind: str, key: int) -> str:
-    return f"urn:inkframe:{kind}:{key}"
-
-
 def write_archives(pages: DataFrame, keep: Scratch, min_revisit: int = 0) -> DataFrame:
-    """Archives (archive binary) of pages (page_id, url, html).
+    """Archives (archive binary) of pages (page_id, url, html, anything else).
 
-    Of pages with one payload of at least min_revisit bytes, that with the smallest page_id is the response and the
-    rest are revisits of it; smaller payloads are all responses. Nulls: an empty payload, an empty URL; pages of a
-    null page_id come last among equals.
+    Of rows with one payload of at least min_revisit bytes, that with the smallest page_id (null last), and of these
+    with the smallest URL (null last), is the response and the rest are revisits of it; smaller payloads are all
+    responses. Each row is a capture of its own, with ids of its own, rows that repeat page_id, URL and payload
+    included. A null html is an empty payload, a null URL an empty one; an empty table gives no archives.
     """
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    src = src.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).withColumn("size", F.octet_length("html").cast("long"))
-    # Least page per payload in two steps, and back to the pages by payload and salt: a frequent payload is dealt over many tasks.
-    some = src.where(F.col("size") >= min_revisit).groupBy("sha", "salt").agg(F.min("page_id").alias("one"))
-    some = keep.save(some, "payloads")
-    first = some.groupBy("sha").agg(F.min("one").alias("first"))
-    first = some.select("sha", "salt").join(first, "sha")
-    out = src.join(first, ["sha", "salt"], "left").select("page_id", "url", "html", "first")
-
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    src = src.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    # Rows of a payload are dealt over salts, and numbered within them; the least of all rows is number 1 of its salt.
+    rank = F.struct(F.col("page_id").isNull().alias("no_page"), "page_id", F.col("url").isNull().alias("no_url"), "url", "salt")
+    repeated = src.where(F.octet_length("html") >= min_revisit).groupBy("sha").agg(F.min(rank).alias("first"), F.count("*").alias("c")).where("c > 1")
+    repeated = keep.save(repeated.select("sha", "first"), "payloads").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    order = Window.partitionBy("sha", "salt").orderBy(F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last())
+    out = src.withColumn("rank", rank).withColumn("n", F.row_number().over(order)).join(repeated, ["sha", "salt"], "left")
+    mine = F.concat_ws("-", "sha", F.col("salt").cast("string"), F.col("n").cast("string"))
+    first = F.when((F.col("rank") != F.col("first")) | (F.col("n") > 1), F.concat_ws("-", "sha", F.col("first.salt").cast("string"), F.lit("1")))
+    out = out.select("page_id", "url", "html", mine.alias("mine"), first.alias("refers"), F.col("first.page_id").alias("of"))
+
+    @tidy
     def run(it):
         own, size = [], 0
-        # An id holds page_id and payload, so rows that repeat a page_id with another payload are captures of their own.
-        for b in it:
-            for page, url, html, one in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
-                payload = html.encode("utf-8", "replace")
-                uri = url or ""
-                key = "null" if page is None else str(page)
-                mark = hashlib.sha1(payload).hexdigest()[:16]
-                revisit = one is not None and page != one
-                main = _rid("revisit" if revisit else "response", f"{key}:{mark}")
+        for b in slices(it):
+            for page, url, html, mine, refers, of in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "mine", "refers", "of")), strict=True):
+                payload, uri = html.encode("utf-8", "replace"), url or ""
+                # An id holds the page and the row's number among those of its payload.
+                rid = lambda kind, page=page, mine=mine: f"urn:inkframe:{kind}:{'null' if page is None else page}:{mine}"
+                kind = "revisit" if refers else "response"
+                main, more = rid(kind), {"WARC_Payload_Digest": "sha1:" + digest(payload)}
+                if refers:
+                    more |= {"WARC_Refers_To": f"<{rid('response', of, refers)}>", "WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                more = {"WARC_Payload_Digest": "sha1:" + digest(payload)}
-                if revisit:
-                    more |= {"WARC_Refers_To": f"<{_rid('response', f'{one}:{mark}')}>", "WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                own.append(record("request", _rid("request", f"{key}:{mark}"), uri, b"GET / HTTP/1.1\r\n\r\n", WARC_Concurrent_To=f"<{main}>", Content_Type="application/http; msgtype=request"))
-                own.append(record("revisit" if revisit else "response", main, uri, http + payload, Content_Type="application/http; msgtype=response", **more))
-                own.append(record("metadata", _rid("metadata", f"{key}:{mark}"), uri, f"payload-bytes: {len(payload)}\r\n".encode(), WARC_Concurrent_To=f"<{main}>", Content_Type="application/warc-fields"))
+                side = {"WARC_Concurrent_To": f"<{main}>"}
+                own.append(record("request", rid("request"), uri, b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request", **side))
+                own.append(record(kind, main, uri, http + payload, Content_Type="application/http; msgtype=response", **more))
+                own.append(record("metadata", rid("metadata"), uri, f"payload-bytes: {len(payload)}\r\n".encode(), Content_Type="application/warc-fields", **side))
                 size += sum(map(len, own[-3:]))
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], ["archive"])
@@ -110,6 +111,7 @@ def write_archives(pages: DataFrame, keep: Scratch, min_revisit: int = 0) -> Dat
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """A row per record: RECORD's columns and, if asked for, the payload (of HTTP records: what follows the HTTP header)."""
 
+    @tidy
     def run(it):
         names = ["record_id", "type", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", *(["payload"] if payloads else [])]
         for b in it:
@@ -145,14 +147,25 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written, read back and assembled."""
+    """All pages, written, read back and assembled: a row per page.
+
+    Payload sizes and digests are those of the payloads read back. A revisit's refers_to is the page_id of its
+    response; null, as the response's page_id then is, where no page of that payload has one.
+    """
     keep = Scratch(spark, "warc")
     archives = write_archives(table(spark, sf_dir, "pages"), keep)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # archives are large
-    try:
+    with keep.batch_rows(4):  # archives are large
         rows = keep.save(read_archives(archives, payloads=False), "records")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    keep.drop("payloads", "archives")
     captures = assemble(rows).where("main IS NOT NULL")
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[3] AS bigint)")
-    return captures.select(number("main.record_id").alias("page_id"), F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"), F.col("main.type").alias("record_type"), number("main.refers_to").alias("refers_to"))
+    out = captures.select(
+        number("main.record_id").alias("page_id"),
+        F.col("main.payload_bytes").alias("payload_bytes"),
+        F.col("main.payload_digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"),
+        number("main.refers_to").alias("refers_to"),
+    )
+    out = keep.save(out, "pages")
+    keep.drop("records")
+    return out
