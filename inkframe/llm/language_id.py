@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import Scratch, mix64, table
+from inkframe.llm.common import slices, table, tidy
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 _SLICE = 1 << 18
+_TEXTS = 64  # texts that are scored together
 _LETTER = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]")
 
 
@@ -30,18 +31,23 @@ def held_out(doc_id) -> bool:
 _CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64, len(ORDERS), dtype=np.uint64) | np.uint64(1)
 
 
-def features(text: str):
-    """Arrays of bucket numbers of all n-grams of the lower-cased text, piece by piece."""
-    chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+def grams(texts: list[str]):
+    """Pairs of arrays (text number, bucket number) of all n-grams of the lower-cased texts, piece by piece."""
+    low = [f" {t.lower()} " for t in texts]
+    chars = np.frombuffer("".join(low).encode("utf-32-le", "replace"), "<u4")
+    owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
     for at in range(0, len(chars), _SLICE):
-        own = chars[at : at + _SLICE + max(ORDERS) - 1]
+        end = at + _SLICE + max(ORDERS) - 1
+        c, o = chars[at:end].astype(np.uint64), owner[at:end]
         for n in ORDERS:
-            k = min(_SLICE, len(own) - n + 1)
+            k = min(_SLICE, len(c) - n + 1)
             if k > 0:
-                h = own[:k] * _CODES[0]
+                h = c[:k] * _CODES[0]
                 for i in range(1, n):
-                    h = (h ^ (h >> np.uint64(29))) * _CODES[i] + own[i : i + k]
-                yield ((h + np.uint64(n)) * _CODES[1] >> np.uint64(64 - 15)).astype(np.int64)
+                    h = (h ^ (h >> np.uint64(29))) * _CODES[i] + c[i : i + k]
+                h = ((h + np.uint64(n)) * _CODES[1] >> np.uint64(64 - 15)).astype(np.int64)
+                inside = o[:k] == o[n - 1 : n - 1 + k]
+                yield o[:k][inside], h[inside]
 
 
 class Model:
@@ -49,26 +55,46 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
-        self.logp = np.log((counts + 1.0) / (counts.sum(0) + len(counts))).astype(np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        total = sum(self.logp[f].sum(0, dtype=np.float64) for f in features(text))
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.logp = np.log((counts + 1.0) / (counts.sum(0) + len(counts)))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability; und and 0 for texts that are null or without a letter, and for all without languages."""
+        out = [("und", 0.0)] * len(texts)
+        todo = [k for k, t in enumerate(texts) if has_letter(t)] if self.langs else []
+        for at in range(0, len(todo), _TEXTS):
+            own = todo[at : at + _TEXTS]
+            total = np.zeros((len(own), len(self.langs)))
+            for row, bucket in grams([texts[k] for k in own]):
+                # The sparse matrix of counts, texts x buckets, by its rows, times the log-probabilities.
+                counts = np.bincount(row * BUCKETS + bucket)
+                cell = np.flatnonzero(counts)
+                row, bucket = cell >> 15, cell & (BUCKETS - 1)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                total[row[first]] += np.add.reduceat(counts[cell, None] * self.logp[bucket], first)
+            best = total.argmax(1)
+            share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            for k, lang, p in zip(own, best.tolist(), share.tolist(), strict=True):
+                out[k] = self.langs[lang], p
+        return out
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts over all documents with text and lang (doc_id, text, lang); the sums go to the driver, buckets x languages."""
+    """Counts over all documents with text and lang (doc_id, text, lang); the sums go to the driver, buckets x languages.
+
+    Rows whose text or lang is null teach nothing; repeated rows count as often as they occur. Without any row the
+    model has no languages.
+    """
 
+    @tidy
     def run(it):
         counts: dict[str, np.ndarray] = {}
-        for b in it:
-            for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for f in features(t):
-                    own += np.bincount(f, minlength=BUCKETS)
+        for b in slices(it):
+            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+            for lang in set(langs):
+                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
+                sums = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for _, bucket in grams(own):
+                    sums += np.bincount(bucket, minlength=BUCKETS)
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
@@ -83,12 +109,11 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score: und and 0 where the text is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    Scratch(docs.sparkSession, "language")
+    """docs with __language (lang_pred, score): und and 0 where the text is null or has no letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
     def predict(texts: pa.Array) -> pa.Array:
-        got = [shared.value.predict(t) for t in texts.to_pylist()]
+        got = [x for at in range(0, len(texts), _TEXTS) for x in shared.value.predict(texts.slice(at, _TEXTS).to_pylist())]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["lang_pred", "score"])
 
     call = F.arrow_udf(predict, "lang_pred string, score double")
@@ -103,7 +128,6 @@ def not_held_out() -> object:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    Scratch(spark, "language")
     model = train(docs.where(not_held_out()))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (~not_held_out()).alias("held_out"), F.col("__language.lang_pred").alias("lang_pred"), F.col("__language.score").alias("score"))
 
