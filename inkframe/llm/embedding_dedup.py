@@ -4,21 +4,33 @@ Two codebooks, one on each half of the unit vectors, form a grid of cells. A vec
 codewords, and its query visits cells in order of the distance that a neighbour must at least have moved to lie
 there (the sum over both halves of the squared distance to the border), the nearest first, until the target
 recall. How far that is is measured when the index is fitted: sample vectors get partners at just the threshold,
-in random directions, and the traversal goes as far as holds the target share of the partners. The codebooks are
-fitted on a bounded sample; every vector is indexed, and every pair that is met is verified in double precision.
-A large cell is cut into chunks, each pair of chunks being a task of its own.
+in random directions, and the traversal goes as far as holds the target share of the partners. The codebooks grow
+with the number of vectors and are fitted on a bounded sample; every vector is indexed.
+
+Neighbouring cells form a block, the unit of work: a block's members are compared with each other and with the vectors
+that visit one of its cells, in double precision. A large block is cut into chunks, each pair of chunks being a
+task of its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import Scratch, connected_components, parallelism, table
+from inkframe.llm.common import Scratch, connected_components, parallelism, release, salted, slices, table, tidy
+
+#: Codewords a half: fewest, most; side of a block in codewords.
+FEWEST, MOST, SIDE = 16, 256, 4
+
+
+def codewords(n: int) -> int:
+    """Codewords of a half for n vectors: about 36 vectors a cell, until the most is reached."""
+    return min(MOST, max(FEWEST, math.isqrt(n) // 6))
 
 
 class MultiIndex:
@@ -29,6 +41,7 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         self.books = [self._fit(h, words, rng) for h in (sample[:, : self.half], sample[:, self.half :])]
         self.gaps = [np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(2), 1e-300)) for b in self.books]
+        self.across = -(-len(self.books[1]) // SIDE)
         noise = rng.standard_normal(sample.shape)
         noise -= (noise * sample).sum(1, keepdims=True) * sample
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-300)
@@ -40,7 +53,7 @@ class MultiIndex:
 
     @staticmethod
     def _fit(x: np.ndarray, words: int, rng) -> np.ndarray:
-        """Lloyd's k-means."""
+        """Lloyd's k-means; codewords that are close stand close to each other, so that blocks hold neighbours."""
         if not len(x):
             return np.zeros((1, x.shape[1]))
         x = np.unique(x, axis=0)
@@ -49,7 +62,15 @@ class MultiIndex:
             near = ((book**2).sum(1) - 2 * x @ book.T).argmin(1)
             for k in np.unique(near):
                 book[k] = x[near == k].mean(0)
-        return book
+        order, left = [0], set(range(1, len(book)))
+        while left:
+            if len(order) % SIDE:  # the nearest to the block begun
+                centre = book[order[-(len(order) % SIDE) :]].mean(0)
+                order.append(min(left, key=lambda k: float(((book[k] - centre) ** 2).sum())))
+            else:
+                order.append(min(left))
+            left.discard(order[-1])
+        return book[order]
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Cells (n, 2), and for both halves the squared distance (n, words) from each vector to the border of each codeword's region."""
@@ -77,118 +98,168 @@ class MultiIndex:
             if j == 0 and i + 1 < len(a):
                 heapq.heappush(todo, (one[a[i + 1]] + two[b[0]], i + 1, 0))
 
+    def blocks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own block of each vector, and the blocks (vector number, block) that its traversal visits, its own included.
 
-def _units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array(vectors, np.float64)
+        A block is visited where its nearest cell is: the traversal of all vectors at once, on the least distances of
+        each run of SIDE codewords.
+        """
+        cells, moved = self.place(x)
+        own = cells[:, 0] // SIDE * self.across + cells[:, 1] // SIDE
+        one, two = (np.minimum.reduceat(m, np.arange(0, m.shape[1], SIDE), axis=1) for m in moved)
+        row, block = [], []
+        for i in range(one.shape[1]):
+            near = np.flatnonzero(one[:, i] <= self.reach)
+            r, j = np.nonzero(one[near, i, None] + two[near] <= self.reach)
+            row.append(near[r])
+            block.append(i * self.across + j)
+        row, block = np.concatenate(row), np.concatenate(block)
+        order = np.argsort(row, kind="stable")
+        return own, row[order], block[order]
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(1, keepdims=True)
     x = x / np.where(top > 0, top, 1)  # so that no square overflows
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1), top[:, 0] > 0
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _pack(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: of 32-bit numbers where these are exact."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    fits = (short == x).all(1)
+    return [(short if f else x)[k].tobytes() for k, f in enumerate(fits)]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, words: int = 32, sample: int = 4096, chunk: int = 2048) -> DataFrame:
+def _unpack(rows: list[bytes], size: int) -> np.ndarray:
+    if all(len(r) == 4 * size for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, size).astype(float)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * size else np.float64) for r in rows], float)
+
+
+def _roots(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links the number of the least node that each reaches: rows, then columns; with same they are the same nodes."""
+    m, k = near.shape
+    rows, cols = np.arange(m), np.arange(k) + (0 if same else m)
+    while True:
+        new = np.minimum(cols, np.where(near, rows[:, None], m + k).min(0, initial=m + k))
+        if same:
+            rows = new = np.minimum(rows, new)
+        back = np.minimum(rows, np.where(near, new[None, :], m + k).min(1, initial=m + k))
+        if same:
+            new = back
+        done = (back == rows).all() and (new == cols).all()
+        rows, cols = back, new
+        if done:
+            return rows, cols
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, words: int | None = None, sample: int = 8192, chunk: int = 2048) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per row of vectors (vec_id, embedding, anything else).
 
     Vectors of different length are compared with vectors of their own length only. A vector that is null, empty,
     zero, or holds null or non-finite components links with nothing. Equal vectors are one node that counts as
     often as it occurs, so a repeated row links with its copies. `sample` bounds the vectors (by hash order) on
-    which each index is fitted.
+    which each index is fitted. `recall` is the share of partners at just the threshold that a vector's own traversal is to
+    meet; a pair is found from either side, and closer pairs are easier. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     keep = Scratch(spark, "embeddings")
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists("v", lambda x: x != 0)
-    src = src.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("v")))
-    nodes = src.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("v").alias("v"))
-    nodes = keep.save(nodes, "nodes")
+    usable = F.coalesce(usable, F.lit(False))
+    # Zeros of either sign are equal, and 128 bits name a vector.
+    v = F.transform("v", lambda x: x + F.lit(0.0))
+    src = src.withColumn("v", v).withColumn("usable", usable).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    nodes = src.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("v").alias("v"))
+    nodes = keep.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    sizes = [r[0] for r in nodes.select(F.size("v")).distinct().collect()]
     indexes = {}
-    for size in sizes:
-        own = nodes.where(F.size("v") == size).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(sample)
+    for size, n in sorted(nodes.groupBy(F.size("v")).count().collect()):
+        own = nodes.where(F.size("v") == size).select("h1", "h2", "v").orderBy("h1", "h2").limit(sample)
         x = np.array([r.v for r in own.collect()], np.float64).reshape(-1, size)
-        indexes[size] = MultiIndex(_units(x)[0], words, threshold, recall) if len(x) else None
-    shared = spark.sparkContext.broadcast(indexes)
+        indexes[size] = MultiIndex(_units(x), words or codewords(n), threshold, recall)
+    shared = spark.sparkContext.broadcast(indexes)  # per length of vectors two codebooks of MOST words at most
 
+    @tidy
     def place(it):
-        """A row per vector and cell that it visits; role 0: its own cell."""
-        for b in it:
-            v = b.column("v").to_pylist()
-            out = []
-            for size in sorted({len(x) for x in v}):
-                index = shared.value[size]
-                rows = [k for k, x in enumerate(v) if len(x) == size]
-                unit, _ = _units([v[k] for k in rows])
-                cells, moved = index.place(unit)
-                for r, k in enumerate(rows):
-                    own = tuple(cells[r].tolist())
-                    seen = {own: 0} | {c: 1 for c in index.visit(moved[0][r], moved[1][r]) if c != own}
-                    out += [(k, f"{size}:{i}:{j}", role) for (i, j), role in seen.items()]
-            at = pa.array([o[0] for o in out], pa.int64())
-            t = pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("times").take(at), b.column("v").take(at), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32())], ["node", "times", "v", "cell", "role"])
-            yield t
-
-    placed = keep.save(nodes.select("node", "times", "v").mapInArrow(place, "node long, times long, v array<double>, cell string, role int"), "placed")
-    chunks = placed.groupBy("cell").agg(F.ceil(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)) / chunk).cast("int").alias("m"), F.ceil(F.sum("role") / chunk).cast("int").alias("w"))
-    mine = placed.join(chunks, "cell").where("m > 0")
-    # Member chunks are numbered from 0 to m - 1, visitor chunks from m on; a task holds chunks i <= j, i a member chunk.
-    c = F.when(F.col("role") == 0, F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), F.greatest(F.col("w"), F.lit(1)))).cast("int")
-    others = F.when(F.col("role") == 0, F.col("m") + F.col("w")).otherwise(F.col("m"))
+        """A row per vector: its own block and those that it visits."""
+        for b in slices(it):
+            length = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(length).tolist():
+                rows = b.filter(pa.array(length == size))
+                x = np.asarray(rows.column("v").flatten(), float).reshape(-1, size)
+                own, row, block = shared.value[size].blocks(_units(x))
+                ends = np.searchsorted(row, np.arange(len(x) + 1))
+                visits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(block, pa.int32()))
+                cols = [rows.column("node"), rows.column("times"), pa.array([size] * len(x), pa.int32()), pa.array(_pack(x), pa.binary()), pa.array(own, pa.int32()), visits]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "times", "size", "v", "own", "visits"])
+
+    placed = nodes.select("node", "times", "v").mapInArrow(place, "node long, times long, size int, v binary, own int, visits array<int>")
+    placed = keep.save(placed, "placed")
+    met = placed.select("node", "times", "size", "v", "own", "visits", F.explode("visits").alias("block")).withColumn("guest", F.col("block") != F.col("own"))
+    parts = lambda c: F.ceil(F.count_if(c) / chunk).cast("int")
+    # One row a block: MOST / SIDE squared of them at most for each length.
+    chunks = met.groupBy("size", "block").agg(parts(~F.col("guest")).alias("m"), parts(F.col("guest")).alias("w")).where("m > 0")
+    mine = met.join(F.broadcast(keep.save(chunks, "chunks")), ["size", "block"])
+    # Member chunks are numbered from 0 to m - 1, guest chunks from m on; a task holds chunks i <= j, i a member chunk.
+    c = F.when(~F.col("guest"), F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), F.greatest(F.col("w"), F.lit(1)))).cast("int")
+    others = F.when(~F.col("guest"), F.col("m") + F.col("w")).otherwise(F.col("m"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.least(o, "c").alias("i"), F.greatest(o, "c").alias("j"))))
-    mine = mine.withColumn("c", c).select("cell", "node", "times", "v", "role", "c", pairs.alias("ij")).select("cell", "node", "times", "v", "role", "c", "ij.i", "ij.j")
-    tasks = 4 * parallelism(spark)
+    rows = ["size", "block", "node", "times", "v", "own", "guest", "c", F.when(~F.col("guest"), F.col("visits")).alias("visits")]
+    mine = mine.withColumn("c", c).select(*rows, pairs.alias("ij")).select("*", "ij.i", "ij.j").drop("ij")
 
     def links(t: pa.Table) -> pa.Table:
         """Per vector its partners' number (n), and a spanning forest (b: a node that a reaches)."""
         groups: dict[tuple, list] = {}
-        for row in zip(*(t.column(x).to_pylist() for x in ("cell", "i", "j", "c", "node", "times", "v", "role")), strict=True):
-            groups.setdefault(row[:3], []).append(row[3:])
+        for row in zip(*(t.column(x).to_pylist() for x in ("size", "block", "i", "j", "c", "node", "times", "v", "own", "visits")), strict=True):
+            groups.setdefault(row[:4], []).append(row[4:])
         a, to, n = [], [], []
-        for (cell, i, j), rows in groups.items():
+        for (size, block, i, j), rows in groups.items():
             left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == j]
             if not left or not right:
                 continue
-            index = shared.value[len(left[0][3])]
-            x, y = _units([r[3] for r in left])[0], _units([r[3] for r in right])[0]
-            here = tuple(map(int, cell.split(":")[1:]))
-            once = np.ones((len(left), len(right)), bool)
+            x = _units(_unpack([r[3] for r in left], size))
+            y = x if i == j else _units(_unpack([r[3] for r in right], size))
+            near = x @ y.T >= threshold
             if i == j:
-                once = np.triu(once, 1)
-            elif right[0][4]:
-                # Visitors: if the member visits the visitor's cell too, the pair belongs to the smaller cell.
-                theirs, _ = index.place(y)
-                _, moved = index.place(x)
-                back = moved[0][:, theirs[:, 0]] + moved[1][:, theirs[:, 1]] <= index.reach
-                smaller = np.array([tuple(k) < here for k in theirs.tolist()])
-                once = ~(back & smaller[None, :])
-            near = (x @ y.T >= threshold) & once
-            p, q = np.nonzero(near)
+                near = np.triu(near, 1)
+            elif right[0][4] != block:
+                # Guests: where the member visits the guest's block too, the pair belongs to the smaller block.
+                home = np.array([r[4] for r in right])
+                back = np.stack([np.isin(home, r[5]) for r in left])
+                near &= ~(back & (home < block)[None, :])
+            if not near.any():
+                continue
             times = np.array([r[2] for r in left]), np.array([r[2] for r in right])
             for own, sums in ((left, near @ times[1]), (right, near.T @ times[0])):
-                for k in np.flatnonzero(sums):
+                for k in np.flatnonzero(sums).tolist():
                     a.append(own[k][1]), to.append(None), n.append(int(sums[k]))
-            root = np.arange(len(left) + len(right))
-            if i == j:
-                root[len(left) :] = np.arange(len(right))
-            for u, w in zip(p.tolist(), q.tolist(), strict=True):
-                w += 0 if i == j else len(left)
-                if root[u] != root[w]:
-                    root[root == max(root[u], root[w])] = min(root[u], root[w])
-                    a.append(left[u][1]), to.append((left + right)[w][1] if i != j else left[w][1]), n.append(0)
+            ids = [r[1] for r in left] + ([] if i == j else [r[1] for r in right])
+            roots = _roots(near, i == j)
+            for k, root in enumerate(roots[0].tolist() if i == j else np.concatenate(roots).tolist()):
+                if root != k:
+                    a.append(ids[k]), to.append(ids[root]), n.append(0)
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(to, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    task = F.when((F.col("i") == 0) & (F.col("j") <= 1), F.pmod(F.xxhash64("cell", "i", "j"), F.lit(tasks))).otherwise(F.xxhash64("cell", "i", "j"))
+    key = F.xxhash64("size", "block", "i", "j")
+    task = F.when((F.col("i") == 0) & (F.col("j") <= 1), F.pmod(key, F.lit(4 * parallelism(spark)))).otherwise(key)
     found = keep.save(mine.withColumn("task", task).groupBy("task").applyInArrow(links, "a long, b long, n long"), "found")
     comps = connected_components(found.where("b IS NOT NULL").select("a", "b"), keep, "cc")
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
-    named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    named = nodes.drop("v").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = keep.save(named.join(counts, "node", "left"), "named")
     least = named.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
-    final = named.join(least, "comp").join(counts, F.col("node") == F.col("a"), "left")
-    final = keep.save(final.select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")), "final")
-    out = src.select("vec_id", "node").join(final, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    final = salted(named, least, "comp", "node").select("h1", "h2", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    rows = salted(src.where("usable").select("vec_id", "h1", "h2"), keep.save(final, "final"), ["h1", "h2"], "vec_id").select("vec_id", "n_links", "component_id")
+    none = src.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = keep.save(rows.union(none).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "rows")
+    keep.drop("nodes", "placed", "chunks", "found", "named", "final")
+    return out
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
