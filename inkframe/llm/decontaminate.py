@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import Scratch, table
+from inkframe.llm.common import Scratch, salted, table
 
 #: Kept positions of each mask.
 MASKS = ((0, 1, 2, 4, 7), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 1, 2, 3, 5))
@@ -32,8 +32,8 @@ SHORT_MASKS = {
     11: ((0, 1, 2, 3, 5), (0, 1, 4, 7, 8)),
     12: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
 }
-#: More benchmark hashes than this are joined by shuffle instead of broadcast (24 bytes each).
-BROADCAST_ROWS = 500_000
+#: More rows than this (benchmark hashes, names of rows that go; two or three numbers each) are joined by shuffle, not broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -52,19 +52,26 @@ def _hashes(masks, stride: int, sizes=None) -> Column:
     return F.explode(F.expr(f"concat({', '.join(parts)})"))
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that name a row's doc_id and text."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string")), F.xxhash64(F.lit(1), doc_id.cast("long"), text.cast("string"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8) -> DataFrame:
-    """Rows (key, doc_id, item_id, matched, window_words, item_words): each document and item that it leaks, once.
+    """Rows (k1, k2, doc_id, item_id, matched, window_words, item_words): each document and item that it leaks, once.
 
-    docs (doc_id, text, anything else); benchmark (item_id, text). key is the hash of doc_id and text. Items
-    without words leak nowhere. Items of equal words are searched once and reported under each of their ids, null
-    too; repeated rows of docs are reported once. The masks hold for the default window and share.
+    docs (doc_id, text, anything else); benchmark (item_id, text). k1 and k2 name doc_id and text. Items without
+    words leak nowhere, and texts that are null or without words leak nothing. Items of equal words are searched
+    once and reported under each of their ids, null too; repeated rows of docs are reported once. An empty table of
+    either kind gives no rows. The masks hold for the default window and share.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "leaks")
     text = F.col("text").cast("string")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("b")).where("size(b) > 0").withColumn("item", F.xxhash64("b"))
-    named = keep.save(named.distinct(), "named")
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("b")).where("size(b) > 0")
+    named = keep.save(named.withColumn("item", F.concat(F.hex(F.xxhash64("b")), F.hex(F.xxhash64(F.lit(1), "b")))).distinct(), "named")
     items = keep.save(named.select("item", "b").distinct(), "items")
     longest = max(SHORT_MASKS) + 1
     short = sorted(r[0] for r in items.select(F.size("b")).where(f"size(b) < {longest}").distinct().collect())  # below `longest` values
@@ -77,25 +84,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: f
     def seeds(masks, stride, own_items, sizes=None):
         test = own_items.select("item", hashed("b").alias("h")).select("item", _hashes(masks, 1, sizes).alias("x")).select("item", F.col("x.at").alias("bat"), F.col("x.h").alias("h"))
         test = keep.save(test, f"seeds-{stride}")
-        small = test.count() <= BROADCAST_ROWS
-        train = src.select("key", hashed(words(F.col("text"))).alias("h")).select("key", _hashes(masks, stride).alias("x")).select("key", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-        return train.join(F.broadcast(test) if small else test, "h").select("key", "item", (F.col("at") - F.col("bat")).alias("shift"))
+        train = src.select("k1", "k2", hashed(words(F.col("text"))).alias("h")).select("k1", "k2", _hashes(masks, stride).alias("x")).select("k1", "k2", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+        met = train.join(F.broadcast(test), "h") if test.count() <= BROADCAST_ROWS else salted(train, test, "h", "k1")
+        return met.select("k1", "k2", "item", (F.col("at") - F.col("bat")).alias("shift"))
 
     hits = seeds(MASKS, STRIDE, items.where(f"size(b) >= {longest}"))
     if short:
         hits = hits.union(seeds(list(sizes), 1, items.where(f"size(b) < {longest}"), sizes))
-    hits = keep.save(hits.distinct(), "hits")
-
-    held = src.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "doc_id", words(F.col("text")).alias("w"))
-    pairs = hits.join(items, "item").join(held, "key")
-    same = F.expr("transform(b, (x, i) -> if(i + shift >= 0 AND i + shift < size(w) AND get(w, i + shift) = x, 1, 0))")
-    span = F.least(F.size("b"), F.lit(window))
-    pairs = pairs.withColumn("same", same).withColumn("span", span)
-    best = F.expr("array_max(transform(sequence(0, size(b) - span), i -> aggregate(slice(same, i + 1, span), 0, (a, x) -> a + x)))")
-    need = F.ceil(F.lit(share) * F.col("span"))
-    pairs = pairs.withColumn("matched", best).where(F.col("matched") >= need)
-    found = pairs.groupBy("key", "doc_id", "item").agg(F.max("matched").alias("matched"), F.first("span").alias("window_words"), F.first(F.size("b")).alias("item_words"))
-    return found.join(named.select("item", "item_id"), "item").select("key", "doc_id", "item_id", "matched", "window_words", "item_words")
+    # All diagonals of a document and an item in one row, so that the document's words are copied once for each item.
+    hits = keep.save(hits.groupBy("k1", "k2", "item").agg(F.collect_set("shift").alias("shifts")), "hits")
+
+    held = src.join(hits.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "doc_id", words(F.col("text")).alias("w"))
+    pairs = hits.join(items, "item").join(held, ["k1", "k2"]).withColumn("span", F.least(F.size("b"), F.lit(window)))
+    same = "transform(b, (x, i) -> if(i + s >= 0 AND i + s < size(w) AND get(w, i + s) = x, 1, 0))"
+    best = "array_max(transform(sequence(0, size(b) - span), i -> aggregate(slice(same, i + 1, span), 0, (a, x) -> a + x)))"
+    matched = F.expr(f"array_max(transform(shifts, s -> transform(array({same}), same -> {best})[0]))")
+    found = pairs.select("k1", "k2", "doc_id", "item", matched.alias("matched"), F.col("span").alias("window_words"), F.size("b").alias("item_words"))
+    found = found.where(F.col("matched") >= F.ceil(F.lit(share) * F.col("window_words")))
+    out = found.join(named.select("item", "item_id"), "item").select("k1", "k2", "doc_id", "item_id", "matched", "window_words", "item_words")
+    out = keep.save(out, "found")
+    keep.drop("named", "items", "hits", f"seeds-{STRIDE}", "seeds-1")
+    return out
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +114,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; rows of equal doc_id and text stay or go together, and no other row goes."""
     keep = Scratch(spark, "clean")
-    bad = keep.save(find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("__key")).distinct(), "leaks")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    a, b = f"__k1_{keep.tag}", f"__k2_{keep.tag}"
+    bad = keep.save(find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "leaks")
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, key == F.col("__key"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, (k1 == F.col(a)) & (k2 == F.col(b)), "left_anti")
