@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import Scratch, table
+from inkframe.llm.common import slices, table, tidy
 from inkframe.llm.language_id import not_held_out
 
 SPAN, DECAY, POWER = 5, 0.6, 6
@@ -141,8 +141,9 @@ class Model:
         return [max((sum(map(get, s)) for s in own), default=float("-inf")) + self.bias for own in split]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = self.slope * np.array(self.load(texts), float) + self.shift
-        z = np.where(np.isfinite(z), z, -30.0)
+        margin = np.array(self.load(texts), float)
+        none = np.isneginf(margin)
+        z = np.where(none, -30.0 if self.slope else self.shift, self.slope * np.where(none, 0.0, margin) + self.shift)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -258,12 +259,17 @@ def _parts(xs: list, n: int):
         yield xs[at : at + n]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 600) -> Model:
-    """Fit on whole texts of up to `most` toxic and 3 * `most` clean labelled documents (doc_id, text; doc_id, toxic), by hash order of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 600, longest: int = 32_768) -> Model:
+    """Fit on whole texts of up to `most` toxic and 3 * `most` clean labelled documents (doc_id, text; doc_id, toxic), by hash order of doc_id.
+
+    Of these, texts of over `longest` bytes teach nothing, so at most 4 * most * longest bytes go to the driver. A
+    document labelled both ways is toxic; of several texts of a doc_id the least is taken; null labels, ids and texts
+    are left out. Without labels of both kinds all documents get one score.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most if t else 3 * most) for t in (0, 1)]
     some = F.broadcast(pick[0].union(pick[1]))  # at most 4 * most rows of two numbers
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= longest)
     rows = text.join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
     return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool))
 
@@ -271,11 +277,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 600) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score), one per row of docs (doc_id, text, anything else). A text without words scores lowest."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    Scratch(docs.sparkSession, "toxicity")
 
+    @tidy
     def run(it):
         own = shared.value
-        for b in it:
+        for b in slices(it):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.score(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -284,6 +290,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; labels learned only from rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    Scratch(spark, "toxicity")
     model = train(docs, table(spark, sf_dir, "labels").where(not_held_out()))
     return score(docs, model).select("doc_id", (~not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
