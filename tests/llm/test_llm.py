@@ -11,13 +11,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkframe.llm import decontaminate, embedding_dedup, language_id, ngram_join, queries, rans, secret_scan, source_mix, token_binary, token_counts, toxicity, warc
+from inkframe.llm import automaton, decontaminate, embedding_dedup, language_id, ngram_join, pieces, queries, rans, secret_scan, source_mix, token_binary, token_counts, toxicity, warc
 from inkframe.llm.common import Scratch, connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -123,7 +124,12 @@ def test_op2_op7(spark, docs, tok):
         ids_want.append((d, at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
         at += len(ids) + 1
     assert sorted(map(tuple, queries.QUERIES["op2_token_binary"](spark, SF).collect())) == ids_want
-    assert sorted(map(tuple, queries.QUERIES["op7_token_counts"](spark, SF).collect())) == counts_want
+    got = sorted(map(tuple, queries.QUERIES["op7_token_counts"](spark, SF).collect()))
+    assert [r[:4] for r in got] == counts_want
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert any(r[3] for r in got)
+    for (_, _, _, over, fit), (_, t, _, _) in zip(got, docs, strict=True):
+        assert fit == len(t) if not over and fit == len(t) else count(t[:fit]) <= 1024 < count(t[: fit + 1])
 
 
 @settings(max_examples=60, deadline=None)
@@ -138,7 +144,52 @@ _counters = {}
 
 
 def _counter(path):
-    return _counters.setdefault(path, token_counts.PrefixCounter(path)) if path in _counters else _counters.setdefault(path, token_counts.PrefixCounter(path))
+    if path not in _counters:
+        _counters[path] = token_counts.PrefixCounter(path)
+    return _counters[path]
+
+
+SNIPPETS = ["'re", "'ve", " ", "  ", "\n", "\n\n", "\t", "the", "don't", "é", "日本", "12", "...", "<|endoftext|>", "😀", " a", "_", "\x1c", "\x85", "\u00a0", "\u3000", "word", "Ünder", "ÿ,", "-"]
+
+
+def test_encode_odd_strings(tok):
+    """Ids of whole texts, cut in batches, are the library's."""
+    r = random.Random(12)
+    texts = ["".join(r.choice(SNIPPETS) for _ in range(r.randint(0, 12))) for _ in range(20_000)] + [None, ""]
+    table = token_binary.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, lengths = token_binary.encode(pa.array(texts, pa.string()), table, 0)
+    ends = np.cumsum(lengths)
+    got = [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    want = [[*e.ids, 0] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert got == want
+    sliced, n = token_binary.encode(pa.array(texts, pa.string())[5:9], table, 0)
+    assert sliced.tolist() == sum(want[5:9], []) and n.tolist() == [len(w) for w in want[5:9]]
+
+
+def test_piece_table_is_bounded():
+    made = []
+    table = pieces.PieceTable(lambda xs: made.extend(xs) or [b"\1\0\0\0" * len(x) for x in xs], most=10)
+    for k in range(5):
+        own = pa.array([f"{k}{'x' * j}" for j in range(6)])
+        start, size = table.load(own)
+        assert size.tolist() == [1 + j for j in range(6)] and (table.flat[start] == 1).all()
+        assert len(table.numbers) <= 12
+    assert len(made) == 30
+
+
+def test_prefixes_of_documents(spark, docs, tok):
+    """prefix_tokens of whole documents, fit_chars and truncate against the library."""
+    r = random.Random(2)
+    rows = [(d, t) for d, t, _, _ in docs if len(t) < 700][:25] + [(10_000 + k, "".join(r.choice(SNIPPETS) for _ in range(60))) for k in range(15)] + [(20_000, None), (20_001, "")]
+    counter = _counter(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), limit=50, prefixes=True).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        t = dict(rows)[x.doc_id] or ""
+        want = [count(t[:i]) for i in range(len(t) + 1)]
+        assert x.prefix_tokens == want and x.n_tokens == want[-1] and x.over_limit == (want[-1] > 50)
+        assert x.fit_chars == counter.truncate(t, 50) == next((i - 1 for i, n in enumerate(want) if n > 50), len(t))
 
 
 def test_op3_small(spark):
@@ -179,24 +230,47 @@ def test_op4(spark):
 
 
 def brute_spans(t):
-    kinds = [re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
-    least = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
-    return sorted((m.start(), k, m.end()) for k, p in enumerate(kinds) for m in p.finditer(t) if least[k](m))
+    """All six kinds by Python's regexes."""
+    kinds = [
+        (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("[0-9a-f]+", lambda m: len(m[0]) >= 24),
+        ("gh[opsu]_[A-Za-z0-9]{36}", lambda m: True),
+        ("xox[abprs]-([A-Za-z0-9-]+)", lambda m: len(m[1]) >= 10),
+        ("-----BEGIN [A-Z ]*PRIVATE KEY-----", lambda m: True),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, t, re.A) if ok(m))
 
 
 def test_op5(spark, docs):
     r = random.Random(3)
-    bits = ["password", "TOKEN", "api_key", " = ", ":", '"', " ", "AKIA", "ABCDEFGHIJKL0123", "0123456789abcdef", "deadbeef", "é", "\n", ",", "ſecret", "value-1/2", "ghp_" + "a1" * 18]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(800)]
-    assert [[s for s in x if s[1] < 3] for x in secret_scan.Scanner().scan(texts)] == [brute_spans(t) for t in texts]
+    bits = ["password", "TOKEN", "api_key", "Apikey", " = ", ":", '"', "'", " ", "=", "AKIA", "ABCDEFGHIJKL0123", "0123456789abcdef", "deadbeef", "é", "\n", ",", "ſecret", "value-1/2", "ghp_" + "a1" * 18, "gho_", "a1" * 17]
+    bits += ["xoxb-", "xoxz-", "12-ab", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "BEGIN", "日本"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", "token=abcdef", "x" * 50_000 + " secret: abcdefg"]
+    assert secret_scan.Scanner().scan(texts) == [brute_spans(t) for t in texts]
+    assert {k for t in texts for _, k, _ in brute_spans(t)} == set(range(6))
     out = {x.doc_id: x for x in queries.QUERIES["op5_secret_scan"](spark, SF).collect()}
+    label = lambda s: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in s)
     for d, t, _, _ in docs:
-        s = brute_spans(t)
-        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in s)
-        assert out[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and out[d].n_hex == sum(k == 2 for _, k, _ in s)
+        s, x = brute_spans(t), out[d]
+        assert x.base_sha256 == hashlib.sha256(label([y for y in s if y[1] < 3]).encode()).hexdigest() and x.spans == label(s)
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == n for _, k, _ in s) for n in range(3))
     assert secret_scan.redact("a token=abcdef b", [(2, 14)]) == "a [secret] b"
 
 
+def test_automaton_accepts_by_rule():
+    rules = [rb"ab+c", rb"(?i:x|yz)[0-9]{2}", rb"[^a-z\n]{3}"]
+    machine = automaton.Automaton(rules)
+    r = random.Random(1)
+    for _ in range(200):
+        data = bytes(r.choice(b"abcxyzXYZ019 \n") for _ in range(60))
+        got = {a: bits for a, _, bits in machine.segments(data, lanes=7)}
+        at = 0
+        for part in re.split(rb"[" + re.escape(bytes(np.flatnonzero(machine.reset).astype(np.uint8))) + rb"]", data):
+            assert got.get(at, 0) == sum(1 << k for k, p in enumerate(rules) if re.search(p, part))
+            at += len(part) + 1
+
+
 def test_op6(spark):
     out = {r.doc_id: r for r in queries.QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").collect()}
     y = duckdb.sql("SELECT doc_id, toxic FROM read_parquet('/root/testdata/sf0.1/labels.parquet')").fetchall()
@@ -294,10 +368,29 @@ def test_op10(spark):
     pages = spark.createDataFrame([(None, None, None), (7, "u", ""), (3, "u\r\nX: y", ""), (2, "é" * 3000, "<b>é\r\n\r\n</b>")], "page_id long, url string, html string")
     rows = warc.read_archives(warc.write_archives(pages, Scratch(spark, "t")))
     got = warc.assemble(rows).collect()
-    assert sorted(r.main.type for r in got) == ["response", "response", "revisit", "revisit"] and all(len(r.requests) == len(r.metadata) == 1 for r in got)
-    assert {bytes(r.main.payload).decode() for r in got} == {"", "<b>é\r\n\r\n</b>"}
-    ids = {r.main.record_id for r in got}
-    assert all(r.main.refers_to in ids for r in got if r.main.refers_to)
+    assert len(got) == 3 and {bytes(r.main.payload).decode() for r in got} == {"", "<b>é\r\n\r\n</b>"}
+
+
+def test_op10_nulls_and_repeats(spark):
+    """Each row is a capture with ids of its own; a payload has one response, that of the smallest page_id, null last."""
+    rows = [(None, None, None), (None, "u", ""), (7, "u", ""), (3, "u\r\nX: y", ""), (2, "é" * 3000, "<b>é\r\n\r\n</b>"), (4, "b", "y"), (4, "a", "y"), (4, "a", "y"), (None, "q", "n"), (None, "q", "n"), (None, None, "n")]
+    pages = spark.createDataFrame([(*r, k, "z") for k, r in enumerate(rows)], "page_id long, url string, html string, first int, sha string")
+    got = warc.assemble(warc.read_archives(warc.write_archives(pages, Scratch(spark, "t")))).collect()
+    assert len(got) == len(rows) and len({r.capture for r in got}) == len(rows)
+    assert all(len(r.requests) == len(r.metadata) == 1 for r in got)
+    assert all(r.requests[0].target_uri == r.metadata[0].target_uri == r.main.target_uri for r in got)
+    page = lambda rid: None if rid.split(":")[3] == "null" else int(rid.split(":")[3])
+    by_payload = {}
+    for r in got:
+        by_payload.setdefault(bytes(r.main.payload).decode(), []).append(r)
+    for payload, first in (("", (3, "u X: y")), ("y", (4, "a")), ("n", (None, "q")), ("<b>é\r\n\r\n</b>", (2, "é" * 3000))):
+        responses = [r for r in by_payload[payload] if r.main.type == "response"]
+        assert len(responses) == 1 and (page(responses[0].main.record_id), responses[0].main.target_uri) == first
+        assert all(r.main.refers_to == responses[0].main.record_id for r in by_payload[payload] if r.main.type == "revisit")
+    empty = pages.limit(0)
+    assert warc.assemble(warc.read_archives(warc.write_archives(empty, Scratch(spark, "t")))).count() == 0
+    small = warc.assemble(warc.read_archives(warc.write_archives(pages, Scratch(spark, "t"), min_revisit=2))).collect()
+    assert all(r.main.type == "response" for r in small if len(r.main.payload) < 2)
 
 
 def test_odd_tables(spark, odd):
