@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import decontaminate, language_id, source_mix, token_binary
-from inkframe.llm.common import Scratch, table
-from inkframe.llm.ngram_join import ngram_jaccard_join
+from inkframe.llm.common import Scratch, salted, table
+from inkframe.llm.ngram_join import text_groups, text_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,26 +23,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of rows linked by 5-word shingles at a Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays, null last.
 
     Rows go by doc_id and text, so another text under the same doc_id is judged on its own. Texts without words link
-    with nothing: of rows of equal doc_id and such a text one stays, without doc_id all.
+    with nothing: of rows of equal doc_id and such a text one stays, without doc_id all. No column of docs is taken
+    for one of this function's own, whatever its name.
     """
     keep = Scratch(spark, "unique")
-    text = F.col("text").cast("string")
-    name = F.xxhash64(F.col("doc_id").cast("long"), text)
-    found = ngram_jaccard_join(docs.select(name.alias("doc_id"), "text"), n=5, p=8, q=10)
-    found = keep.save(found.select(F.col("doc_id").alias("__name"), F.col("component_id").alias("__comp")).distinct(), "components")
-    worded = F.coalesce(text.rlike(r"[^ \t-\r]"), F.lit(False))
-    rows = docs.groupBy(name.alias("__name")).agg(F.count("*").alias("__count"), F.max("doc_id").alias("__id"), F.max(worded).alias("__worded"))
-    rows = keep.save(rows, "rows")
-    best = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__name").alias("name")))
-    kept = found.join(rows, "__name").groupBy("__comp").agg(best.alias("best")).select(F.col("best.name").alias("__name"))
-    gone = keep.save(found.join(kept, "__name", "left_anti").select(F.col("__name").alias("__gone")), "gone")
-    few = gone.count() <= decontaminate.BROADCAST_ROWS  # of 8 bytes each
-    left = docs.join(F.broadcast(gone) if few else gone, name == F.col("__gone"), "left_anti")
-    twice = keep.save(rows.where("__count > 1 AND (__worded OR __id IS NOT NULL)").select(F.col("__name").alias("__twice")), "twice")
-    if twice.isEmpty():
+    texts = text_groups(docs, keep, n=5, p=8, q=10, chunk=1024)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("row")
+    rows = texts.select("h1", "h2", "g1", "g2", "n", F.explode("ids").alias("doc_id")).select("h1", "g1", "g2", (F.col("n") > 0).alias("worded"), row)
+    rows = keep.save(rows.groupBy("h1", "g1", "g2", "worded", "row").agg(F.count("*").alias("times")), "rows")
+    worded = rows.where("worded")
+    best = worded.groupBy("g1", "g2").agg(F.min("row").alias("best"))
+    gone = salted(worded, best, ["g1", "g2"], "h1").where("row <> best").select("row.*").withColumn("gone", F.lit(True))
+    twice = rows.where("times > 1 AND (worded OR NOT row.none)").select("row.*").withColumn("gone", F.lit(False))
+    marks = keep.save(gone.union(twice.join(gone, ["none", "h1", "h2", "doc_id"], "left_anti").select(*gone.columns)), "marks")
+    h1, h2 = text_key(F.col("text"))
+    doc_id = F.col("doc_id").cast("long")
+
+    def among(which: DataFrame):
+        m = which.select(*[F.col(c).alias(f"__{c}_{keep.tag}") for c in ("doc_id", "h1", "h2")])
+        a, b, c = (F.col(x) for x in m.columns)
+        few = which.count() <= decontaminate.BROADCAST_ROWS  # of 24 bytes each
+        return F.broadcast(m) if few else m, doc_id.eqNullSafe(a) & (h1 == b) & (h2 == c)
+
+    left = docs.join(*among(marks.where("gone")), "left_anti")
+    again = marks.where("NOT gone")
+    if again.isEmpty():
         return left
-    once = left.join(twice, name == F.col("__twice"), "left_anti")
-    return once.unionByName(left.join(twice, name == F.col("__twice"), "left_semi").withColumn("__name", name).dropDuplicates(["__name"]).drop("__name"))
+    name = f"__row_{keep.tag}"
+    once = left.join(*among(again), "left_semi").withColumn(name, F.struct(doc_id, h1, h2)).dropDuplicates([name]).drop(name)
+    return left.join(*among(again), "left_anti").unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
