@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are worked on at once: texts can be long.
+#: Rows of an Arrow batch, and rows that are worked on at once: texts can be long.
 BATCH_ROWS = 512
 
 
@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (known or _own_dir()).rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Where the session leaves the size of Arrow batches at its default, make them small; a size that was set stays."""
+    if _BATCH not in dict(spark.conf.getAll):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written under the shared folder, which cut lineage and outlive any executor."""
 
@@ -37,17 +46,17 @@ class Scratch:
         self.spark = spark
         self.tag = uuid.uuid4().hex
         self.root = f"{shared_dir(spark)}/{name}-{self.tag}"
+        small_batches(spark)
 
     @contextlib.contextmanager
     def batch_rows(self, n: int):
         """Within, Arrow batches hold n rows at most."""
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, str(n))
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(n))
         try:
             yield
         finally:
-            self.spark.conf.set(key, before)
+            self.spark.conf.set(_BATCH, before)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import slices, table, tidy
+from inkframe.llm.common import small_batches, slices, table, tidy
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 _SLICE = 1 << 18
-_TEXTS = 64  # texts that are scored together
+_TEXTS = 16  # texts that are scored together
 _LETTER = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]")
 
 
@@ -32,22 +32,25 @@ _CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64, len(ORDERS),
 
 
 def grams(texts: list[str]):
-    """Pairs of arrays (text number, bucket number) of all n-grams of the lower-cased texts, piece by piece."""
+    """Pairs of arrays (text number, ascending, and bucket number) of all n-grams of the lower-cased texts, piece by piece."""
     low = [f" {t.lower()} " for t in texts]
     chars = np.frombuffer("".join(low).encode("utf-32-le", "replace"), "<u4")
     owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
     for at in range(0, len(chars), _SLICE):
         end = at + _SLICE + max(ORDERS) - 1
         c, o = chars[at:end].astype(np.uint64), owner[at:end]
-        for n in ORDERS:
-            k = min(_SLICE, len(c) - n + 1)
+        h = c * _CODES[0]
+        for n in ORDERS:  # each order's hashes come from those before
+            if n > 1:
+                h = (h ^ (h >> np.uint64(29)))[:-1] * _CODES[n - 1] + c[n - 1 :]
+            k = min(_SLICE, len(h))
             if k > 0:
-                h = c[:k] * _CODES[0]
-                for i in range(1, n):
-                    h = (h ^ (h >> np.uint64(29))) * _CODES[i] + c[i : i + k]
-                h = ((h + np.uint64(n)) * _CODES[1] >> np.uint64(64 - 15)).astype(np.int64)
-                inside = o[:k] == o[n - 1 : n - 1 + k]
-                yield o[:k][inside], h[inside]
+                bucket = ((h[:k] + np.uint64(n)) * _CODES[1] >> np.uint64(64 - 15)).astype(np.int64)
+                if n == 1 or o[0] == o[-1]:
+                    yield o[:k], bucket
+                else:
+                    inside = o[:k] == o[n - 1 : n - 1 + k]
+                    yield o[:k][inside], bucket[inside]
 
 
 class Model:
@@ -65,12 +68,9 @@ class Model:
             own = todo[at : at + _TEXTS]
             total = np.zeros((len(own), len(self.langs)))
             for row, bucket in grams([texts[k] for k in own]):
-                # The sparse matrix of counts, texts x buckets, by its rows, times the log-probabilities.
-                counts = np.bincount(row * BUCKETS + bucket)
-                cell = np.flatnonzero(counts)
-                row, bucket = cell >> 15, cell & (BUCKETS - 1)
+                # The sparse matrix of the texts' n-grams, an entry each, by its rows, times the log-probabilities.
                 first = np.flatnonzero(np.diff(row, prepend=-1))
-                total[row[first]] += np.add.reduceat(counts[cell, None] * self.logp[bucket], first)
+                total[row[first]] += np.add.reduceat(self.logp.take(bucket, axis=0), first)
             best = total.argmax(1)
             share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             for k, lang, p in zip(own, best.tolist(), share.tolist(), strict=True):
@@ -99,6 +99,7 @@ def train(docs: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
+    small_batches(docs.sparkSession)
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sums = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
@@ -116,6 +117,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         got = [x for at in range(0, len(texts), _TEXTS) for x in shared.value.predict(texts.slice(at, _TEXTS).to_pylist())]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     call = F.arrow_udf(predict, "lang_pred string, score double")
     return docs.withColumn("__language", call(F.col("text").cast("string")))
 

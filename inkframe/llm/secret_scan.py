@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm.automaton import Automaton, Prefix
-from inkframe.llm.common import slices, table, tidy
+from inkframe.llm.common import small_batches, slices, table, tidy
 
 
 class Rule(NamedTuple):
@@ -112,6 +112,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "secret": t[s:e]} for s, k, e in own] for t, own in zip(texts, scanner.scan(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long, secret: string>>")
 

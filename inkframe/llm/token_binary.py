@@ -16,6 +16,7 @@ from inkframe.llm import rans
 from inkframe.llm.common import parallelism, table, tidy, Scratch
 from inkframe.llm.pieces import byte_names, cut, runs, tokenizer_path
 
+_PIECES = 1 << 15
 FILE_IDS = 1 << 20  # a file image is closed once it holds this many ids
 
 
@@ -51,8 +52,11 @@ class Encoder:
         cut = pc.replace_substring_regex(own, self.PRETOKEN, "\\1\x01")
         _, offsets, data = cut.buffers()
         ends = np.frombuffer(offsets, np.int64)[cut.offset : cut.offset + len(cut) + 1]
-        text = self.names[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]].tobytes().decode("utf-16-le") if len(cut) else ""
-        flat = np.array(self.spelled.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        raw, flat = np.frombuffer(data, np.uint8) if len(cut) else None, [np.zeros(0, np.uint32)]
+        for at in ends[:-1:_PIECES].tolist():  # a few at once, as the library keeps much of each id
+            text = self.names[raw[at : ends[min(len(cut), np.searchsorted(ends, at) + _PIECES)]]].tobytes().decode("utf-16-le")
+            flat.append(np.array(self.spelled.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(flat)
         # A token is as long as the bytes that it spells, so sums of lengths tell pieces apart.
         length = pc.binary_length(own).to_numpy(zero_copy_only=False)
         places = np.concatenate([[0], np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(length)) + 1])
@@ -109,7 +113,7 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             kinds = {"part": pa.int64(), "seq": pa.int64(), "n_tokens": pa.int64(), "image": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, seq, size, image), kinds.values(), strict=True)], [*kinds])
 
-        for t in runs(it):
+        for t in runs(it, 6_000_000):
             docs_, at, one = t.column("doc_id").to_pylist(), 0, 0
             more, n = encode(pa.concat_arrays(t.column("text").chunks), tool, end_id)
             ends = np.cumsum(n)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkframe.llm.common import table, tidy
+from inkframe.llm.common import small_batches, table, tidy
 from inkframe.llm.pieces import PLAIN, PieceTable, cut, runs, spell, tokenizer_path
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
@@ -205,6 +205,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import slices, table, tidy
+from inkframe.llm.common import small_batches, slices, table, tidy
 from inkframe.llm.language_id import not_held_out
 
 SPAN, DECAY, POWER = 5, 0.6, 6
@@ -284,6 +284,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in slices(it):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.score(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
