@@ -368,7 +368,7 @@ def test_op10(spark):
     pages = spark.createDataFrame([(None, None, None), (7, "u", ""), (3, "u\r\nX: y", ""), (2, "é" * 3000, "<b>é\r\n\r\n</b>")], "page_id long, url string, html string")
     rows = warc.read_archives(warc.write_archives(pages, Scratch(spark, "t")))
     got = warc.assemble(rows).collect()
-    assert len(got) == 3 and {bytes(r.main.payload).decode() for r in got} == {"", "<b>é\r\n\r\n</b>"}
+    assert len(got) == 4 and {bytes(r.main.payload).decode() for r in got} == {"", "<b>é\r\n\r\n</b>"}
 
 
 def test_op10_nulls_and_repeats(spark):
