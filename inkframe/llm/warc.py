@@ -78,7 +78,8 @@ def write_archives(pages: DataFrame, keep: Scratch, min_revisit: int = 0) -> Dat
     order = Window.partitionBy("sha", "salt").orderBy(F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_last())
     out = src.withColumn("rank", rank).withColumn("n", F.row_number().over(order)).join(repeated, ["sha", "salt"], "left")
     mine = F.concat_ws("-", "sha", F.col("salt").cast("string"), F.col("n").cast("string"))
-    first = F.when((F.col("rank") != F.col("first")) | (F.col("n") > 1), F.concat_ws("-", "sha", F.col("first.salt").cast("string"), F.lit("1")))
+    later = F.col("first").isNotNull() & ((F.col("rank") != F.col("first")) | (F.col("n") > 1))
+    first = F.when(later, F.concat_ws("-", "sha", F.col("first.salt").cast("string"), F.lit("1")))
     out = out.select("page_id", "url", "html", mine.alias("mine"), first.alias("refers"), F.col("first.page_id").alias("of"))
 
     @tidy
