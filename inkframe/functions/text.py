@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 MAX_NON_ALNUM, MIN_CONFIDENCE, LOW_CONFIDENCE = 0.6, 25.0, 65.0
 _INNER = SPACE[1:-1]
+_ALNUM = string.ascii_letters + string.digits
 
 
 def strip(t: Column) -> Column:
@@ -25,19 +28,22 @@ def tokens(t: Column) -> Column:
 
 def utf16_length(t: Column) -> Column:
     """Code units: characters beyond U+FFFF count twice."""
-    return F.length(t) + F.length(F.regexp_replace(t, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.when(F.octet_length(t) == F.length(t), F.length(t)).otherwise((F.octet_length(F.encode(t, "UTF-16BE")) / 2).cast("int"))
 
 
 def non_alnum_ratio(t: Column) -> Column:
-    return utf16_length(F.regexp_replace(t, "[a-zA-Z0-9]", "")) / utf16_length(t)
+    """Share of the code units that are no ASCII letter or digit."""
+    units = utf16_length(t)
+    return (units - F.length(t) + F.length(F.translate(t, _ALNUM, ""))) / units
 
 
 def is_noise(text: Column, confidence: Column) -> Column:
     """Symbols only, four equal characters in a row, over 60 % non-alphanumeric, or (unless an acronym) a confidence under 25. Classes are ASCII; empty text is no noise."""
     t = F.coalesce(text, F.lit(""))
-    shape = t.rlike(rf"\A[^\w\s{_INNER}]+\z") | t.rlike(r"(.)\1{3,}") | (non_alnum_ratio(t) > F.lit(MAX_NON_ALNUM))
-    doubtful = ~t.rlike(r"\A[A-Z]{3,}\z") & F.coalesce((confidence < MIN_CONFIDENCE) & ~F.isnan(confidence), F.lit(False))
-    return F.when(t == "", False).otherwise(shape | doubtful)
+    doubtful = F.coalesce((confidence < MIN_CONFIDENCE) & ~F.isnan(confidence), F.lit(False)) & ~t.rlike(r"\A[A-Z]{3,}\z")
+    run = (F.length(t) > 3) & t.rlike(r"(.)\1{3,}")
+    # From the cheapest test to the dearest.
+    return F.when(t == "", False).otherwise(doubtful | (non_alnum_ratio(t) > F.lit(MAX_NON_ALNUM)) | t.rlike(rf"\A[^\w\s{_INNER}]+\z") | run)
 
 
 def word_passes(text: Column, confidence: Column, level: Column | str | None, edited: Column | bool = False) -> Column:

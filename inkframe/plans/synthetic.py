@@ -13,16 +13,22 @@ WIDTH, HEIGHT = 1600, 4000
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), F.split("text", "\n").alias("ls"))
-    # Ordinals come from the arrays of the row itself, so no shuffle is needed.
-    ls = F.transform("ls", lambda t: F.filter(F.split(t, " +"), lambda x: x != ""))
-    d = d.select("scan_id", ls.alias("ls"))
-    before = F.expr("aggregate(slice(ls, 1, line_index), 0, (a, x) -> a + size(x))")
-    w = d.select("scan_id", "ls", F.posexplode("ls").alias("line_index", "line")).select("scan_id", "line_index", before.alias("before"), F.posexplode("line").alias("word_no", "text"))
-    i, k = F.col("line_index"), F.col("word_no")
+    # Ordinals come from the arrays of the row itself, so no shuffle is needed; only words and their numbers leave it.
+    of_line = lambda t, i: F.transform(F.filter(F.split(t, " +"), lambda x: x != ""), lambda x, k: F.struct(i.alias("i"), k.alias("k"), x.alias("text")))
+    w = d.select("scan_id", F.posexplode(F.flatten(F.transform("ls", of_line))).alias("pos", "w"))
+    i, k, text = F.col("w.i"), F.col("w.k"), F.col("w.text")
     conf = ((F.col("scan_id") * 31 + i * 17 + k * 7) % 101).cast("double")
-    n = F.length("text")
+    n = F.length(text)
     box = F.struct((k * 60.0).alias("x0"), (i * 20.0).alias("y0"), (k * 60.0 + n * 10.0).alias("x1"), (i * 20.0 + 12.0 + (n % 5)).alias("y1"))
-    return w.select("scan_id", (F.col("before") + k).cast("long").alias("pos"), i.cast("long").alias("line_index"), k.cast("long").alias("word_no"), "text", conf.alias("confidence"), box.alias("bbox"))
+    return w.select(
+        "scan_id",
+        F.col("pos").cast("long").alias("pos"),
+        i.cast("long").alias("line_index"),
+        k.cast("long").alias("word_no"),
+        text.alias("text"),
+        conf.alias("confidence"),
+        box.alias("bbox"),
+    )
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
