@@ -14,11 +14,21 @@ def character_error_rate(hyp: Column, ref: Column) -> Column:
     return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(h, r) / F.length(r))
 
 
+#: Distinct words of a pair, and words of each side, up to which a distance is given.
+MOST_WORDS, MOST_LENGTH = 1_000_000, 30_000
+
+
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of arrays: each distinct word of the pair becomes one character (fewer than 55,296 of them)."""
+    """Edit distance of arrays: each distinct word of the pair becomes one character, beyond the surrogates where need be.
+
+    Null where a side has more than MOST_LENGTH words (time and memory grow with the product of both sides) or the
+    pair more than MOST_WORDS distinct ones.
+    """
     words = F.array_distinct(F.concat(a, b))
-    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w)), 4, "0")), "UTF-16BE")
-    return F.levenshtein(F.array_join(F.transform(a, one), ""), F.array_join(F.transform(b, one), ""))
+    number = lambda w: F.array_position(words, w) + F.when(F.array_position(words, w) < 55296, 0).otherwise(2048)
+    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(number(w)), 8, "0")), "UTF-32")
+    fits = (F.size(a) <= MOST_LENGTH) & (F.size(b) <= MOST_LENGTH) & (F.size(words) <= MOST_WORDS)
+    return F.when(fits, F.levenshtein(F.array_join(F.transform(a, one), ""), F.array_join(F.transform(b, one), "")))
 
 
 def word_error_rate(hyp: Column, ref: Column) -> Column:
@@ -37,5 +47,7 @@ def evaluate(hyps: DataFrame, refs: DataFrame) -> DataFrame:
 def report(results: DataFrame) -> DataFrame:
     """One text line per result: name padded to 15 (never cut), percentages and seconds with one decimal, or the error."""
     name = F.when(F.length("name") < 15, F.rpad("name", 15, " ")).otherwise(F.col("name"))
-    good = F.format_string("%s %5.1f%%   %5.1f%%   %.1fs", name, F.col("cer") * 100, F.col("wer") * 100, F.coalesce(F.col("elapsed_ms") / 1000.0, F.lit(0.0)))
+    one = lambda x: F.round(x, 1)
+    seconds = F.coalesce(F.col("elapsed_ms") / 1000.0, F.lit(0.0))
+    good = F.format_string("%s %5.1f%%   %5.1f%%   %.1fs", name, one(F.col("cer") * 100), one(F.col("wer") * 100), one(seconds))
     return results.select("name", F.when(F.col("error").isNull(), good).otherwise(F.concat(name, F.lit(" ERROR: "), F.col("error"))).alias("line"))

@@ -240,10 +240,22 @@ SELECT scan_id, coalesce(trim(string_agg(line, chr(10) ORDER BY island), ' ' ||
 _ROT = "(800 + ({x} - 800) * cos(-0.05) - ({y} - 2000) * sin(-0.05))", "(2000 + ({x} - 800) * sin(-0.05) + ({y} - 2000) * cos(-0.05))"
 _CORNERS = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
 _XS, _YS = (", ".join(f.format(x=x, y=y) for x, y in _CORNERS) for f in _ROT)
-_POINTS = f"{WORDS}, q AS (SELECT scan_id, (min(y0) + max(y1)) / 2 AS x, max(y1) - min(y0) + line_index * 2 AS y FROM words WHERE line_index < 12 GROUP BY scan_id, line_index), f AS (SELECT scan_id, count(*) AS n, CASE WHEN var_pop(x) = 0 THEN 0 ELSE regr_slope(y, x) END AS slope, CASE WHEN var_pop(x) = 0 THEN avg(y) ELSE regr_intercept(y, x) END AS intercept, CASE WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 0 ELSE regr_r2(y, x) END AS r2 FROM q GROUP BY scan_id)"
+_POINTS = f"""{WORDS}, q AS (SELECT scan_id, (min(y0) + max(y1)) / 2 AS x, max(y1) - min(y0) + line_index * 2 AS y, greatest(300.0, max(y1)) AS height
+  FROM words GROUP BY scan_id, line_index),
+f AS (SELECT scan_id, count(*) AS n, max(height) AS height, CASE WHEN var_pop(x) = 0 THEN 0 ELSE regr_slope(y, x) END AS slope,
+  CASE WHEN var_pop(x) = 0 THEN avg(y) ELSE regr_intercept(y, x) END AS intercept,
+  CASE WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 0 ELSE regr_r2(y, x) END AS r2 FROM q GROUP BY scan_id)"""
 _MARKED = "marked AS (SELECT scan_id, id FROM o WHERE pos % 3 = 0 AND scan_id % 2 = 0)"
 _CASCADE = "d AS (SELECT doc_id AS s, " + ", ".join(f"s * {a} % {b} AS n{k}, CAST(s * {a} % 101 AS DOUBLE) AS m{k}" for k, a, b in ((0, 37, 3), (1, 53, 4), (2, 29, 2), (3, 61, 5))).replace("s * ", "doc_id * ") + " FROM documents)"
 
+_CER = "CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein(h, r) AS DOUBLE) / length(r) END"
+#: Each distinct word of a pair becomes one character.
+_WER = """t AS (SELECT item_id, list_filter(string_split(h, ' '), lambda x: x <> '') AS h, list_filter(string_split(r, ' '), lambda x: x <> '') AS r FROM n),
+t2 AS (SELECT *, list_sort(list_distinct(list_concat(h, r))) AS v FROM t),
+t3 AS (SELECT item_id, len(r) AS n, list_aggregate(list_transform(h, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', '') AS h,
+  list_aggregate(list_transform(r, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', '') AS r FROM t2),
+v AS (SELECT item_id, CAST(levenshtein(h, r) AS DOUBLE) / n AS wer FROM t3)"""
+
 ORACLE_SQL = {
     "words_flat": f"WITH {WORDS} SELECT scan_id, pos, line_index, text, confidence, x0, y0, x1, y1 FROM words",
     "noise_flags": f"WITH {NOISY} SELECT scan_id, pos, noise, round({_RATIO}, 6) AS ratio FROM noisy",
@@ -258,16 +270,19 @@ ORACLE_SQL = {
     "best_pass": f"WITH {REGIONS} SELECT scan_id, block_no AS ordinal, m AS mean_confidence FROM (SELECT scan_id, block_no, round(mean_confidence, 0) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 0) DESC, block_no) AS k FROM regions) WHERE k = 1",
     "region_accept": f"WITH {REGIONS}, r AS (SELECT scan_id, block_no, n_words, round(mean_confidence, 6) AS m, n_words - (block_no * 13 + scan_id) % 20 AS nn, round(mean_confidence, 6) + block_no % 5 - 2 AS nm, block_no % 3 <> 0 AS has FROM regions), s AS (SELECT *, has AND nn >= 0.5 * n_words AND nn > 0 AND nm > m AS accepted FROM r) SELECT scan_id, block_no, accepted, CASE WHEN accepted THEN nn ELSE n_words END AS n_words, round(CASE WHEN accepted THEN nm ELSE m END, 6) AS mean_confidence FROM s",
     "page_cascade": f"WITH {_CASCADE}, e AS (SELECT *, m0 < 70 AND m1 > m0 AS t FROM d), g AS (SELECT s, t, CASE WHEN t THEN n1 ELSE n0 END AS n, CASE WHEN t THEN m1 ELSE m0 END AS m, CASE WHEN t THEN n3 ELSE n2 END AS sn, CASE WHEN t THEN m3 ELSE m2 END AS sm FROM e), h AS (SELECT *, (n = 0 OR m < 40) AND sn > 0 AND sm > m AS sparse FROM g) SELECT s AS scan_id, CASE WHEN t THEN 'preprocessed' ELSE 'original' END AS source, CASE WHEN sparse THEN sn ELSE n END AS n_words, CASE WHEN sparse THEN sm ELSE m END AS mean_confidence, sparse FROM h",
-    "cer_pairs": f"WITH {PAIRS} SELECT item_id, round(CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein(h, r) AS DOUBLE) / length(r) END, 6) AS cer FROM n",
-    "wer_pairs": f"WITH {PAIRS}, t AS (SELECT item_id, list_filter(string_split(h, ' '), lambda x: x <> '') AS h, list_filter(string_split(r, ' '), lambda x: x <> '') AS r FROM n), v AS (SELECT *, list_sort(list_distinct(list_concat(h, r))) AS v FROM t) SELECT item_id, round(CAST(levenshtein(list_aggregate(list_transform(h, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', ''), list_aggregate(list_transform(r, lambda x: chr(CAST(list_position(v, x) AS INT))), 'string_agg', '')) AS DOUBLE) / len(r), 6) AS wer FROM v",
-    "eval_report": f"WITH {PAIRS} SELECT CASE WHEN item_id % 10 = 3 THEN rpad('item' || CAST(item_id AS VARCHAR), 15, ' ') || ' ERROR: no result' ELSE 'item' || CAST(item_id AS VARCHAR) || ' ok' END AS line FROM p",
+    "cer_pairs": f"WITH {PAIRS} SELECT item_id, round({_CER}, 6) AS cer FROM n",
+    "wer_pairs": f"WITH {PAIRS}, {_WER} SELECT item_id, round(wer, 6) AS wer FROM v",
+    "eval_report": f"""WITH {PAIRS}, {_WER}, c AS (SELECT item_id, 'item' || CAST(item_id AS VARCHAR) AS name, {_CER} AS cer FROM n)
+SELECT CASE WHEN c.item_id % 10 = 3 THEN rpad(name, 15, ' ') || ' ERROR: no result' ELSE rpad(name, 15, ' ')
+  || printf(' %5.1f%%   %5.1f%%   %.1fs', round(cer * 100, 1), round(wer * 100, 1), round(c.item_id * 125 / 1000.0, 1)) END AS line
+FROM c JOIN v ON v.item_id = c.item_id""",
     "bbox_unrotate": f"WITH {WORDS} SELECT scan_id, pos, round(least({_XS}) / 2, 4) AS x0, round(least({_YS}) / 2, 4) AS y0, round(greatest({_XS}) / 2, 4) AS x1, round(greatest({_YS}) / 2, 4) AS y1 FROM words",
     "percent_geometry": f"WITH {WORDS} SELECT scan_id, pos, round(x0 / 1600 * 100, 6) AS x, round(y0 / 4000 * 100, 6) AS y, round(greatest(x1 - x0, 1) / 1600 * 100, 6) AS w, round(greatest(y1 - y0, 1) / 4000 * 100, 6) AS h, round(greatest(y1 - y0, 1) / 1600 * 100 * 0.8, 6) AS font_size_pct FROM words",
     "crop_rectangles": f"WITH {REGIONS}, c AS (SELECT scan_id, block_no, n_words, greatest(floor(x0) - 6, 0) AS l, greatest(floor(y0) - 6, 0) AS t, least(ceil(x1) + 6, 1600) AS r, least(ceil(y1) + 6, 4000) AS b FROM regions) SELECT scan_id, block_no, CAST(l AS BIGINT) AS cx, CAST(t AS BIGINT) AS cy, CAST(r - l AS BIGINT) AS cw, CAST(b - t AS BIGINT) AS ch, CAST(CASE WHEN n_words = 0 THEN 11 WHEN (r - l) / (b - t) > 6 THEN 7 ELSE 6 END AS BIGINT) AS mode, round(CASE WHEN least(r - l, b - t) < 200 THEN least(4.0, 200 / least(r - l, b - t)) ELSE 1.0 END, 6) AS upscale FROM c WHERE r > l AND b > t",
     "inpaint_margins": f"WITH {WORDS} SELECT scan_id, pos, CAST(least(greatest(floor(least(x1 - x0, y1 - y0) * 0.75 + 0.5), 8), 40) AS BIGINT) AS margin FROM words",
     "median_font": f"WITH {OBJECTS} SELECT d.doc_id AS scan_id, round(coalesce(median(font_size_pct), 3), 6) AS font_size_pct FROM documents d LEFT JOIN o ON o.scan_id = d.doc_id GROUP BY d.doc_id",
     "keystone_fit": f"WITH {_POINTS} SELECT scan_id, n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2 FROM f",
-    "keystone_quad": f"WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * 300 AS b FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t, b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15) SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 - CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z",
+    "keystone_quad": f"WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * height AS b FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t, b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15) SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 - CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z",
     "marquee_hits": f"WITH {OBJECTS} SELECT scan_id, id FROM o WHERE x <= 30 AND x + w >= 10 AND y <= 6 AND y + h >= 2",
     "word_modified": f"WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched FROM o",
     "snapshot_reconcile": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete' ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0)",
