@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkframe.functions.geometry import percent_box, pixel_box
+from inkframe.functions.geometry import clamp_position, drag, percent_box, pixel_box
 from inkframe.functions.text import low_confidence, strip, word_passes
 
 #: Tolerance of a move in percent, cap of the undo stack.
@@ -80,12 +80,13 @@ def remove_objects(objects: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def add_user_text(objects: DataFrame, fonts: DataFrame, images: DataFrame, added: DataFrame) -> DataFrame:
-    """Adds the user's words (scan_id, x, y, text, seq), 12 % wide, in the scan's median font; blank ones are dropped."""
+    """Adds the user's words (scan_id, x, y, text, seq), 12 % wide, in the scan's median font, kept on the page; blank ones are dropped."""
     last = objects.groupBy("scan_id").agg(F.max("ordinal").alias("last"))
     a = added.where(strip(F.coalesce("text", F.lit(""))) != "").join(fonts, "scan_id").join(images, "scan_id").join(last, "scan_id", "left")
     n = (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("scan_id").orderBy("seq"))).cast("int")
     h = F.coalesce(F.col("font_size_pct") / 0.8 * F.col("width") / F.col("height"), F.lit(4.0))
     a = a.withColumn("ordinal", n).withColumn("h", h).withColumn("w", F.lit(12.0))
+    a = a.withColumn("x", clamp_position(F.col("x"), F.col("w"))).withColumn("y", clamp_position(F.col("y"), F.col("h")))
     have = {"id": F.concat(F.lit("obj-"), F.col("ordinal").cast("string")), "type": F.lit("word"), "origin": F.lit("user"), "original_x": F.col("x"), "original_y": F.col("y"), "original_w": F.col("w"), "original_h": F.col("h"), "original_text": F.col("text"), "low_confidence": F.lit(False)}
     own = ("scan_id", "ordinal", "x", "y", "w", "h", "font_size_pct", "text")
     kinds = dict(objects.dtypes)
@@ -144,3 +145,21 @@ def history(events: DataFrame, cap: int = UNDO_CAP) -> DataFrame:
         return pd.DataFrame(rows, columns=["scan_id", "seq", "version", "undo_depth", "redo_depth"]).astype({"version": "Int64"})
 
     return events.groupBy("scan_id").applyInPandas(fold, "scan_id long, seq long, version long, undo_depth int, redo_depth int")
+
+
+def drag_objects(objects: DataFrame, starts: DataFrame, moves: DataFrame) -> DataFrame:
+    """Objects at their places in a drag: starts (scan_id, id, start_x, start_y) hold the positions at its beginning, moves (scan_id, dx_px, dy_px, dx_pct, dy_pct) one way of the pointer each. Objects without a start are left out."""
+    j = objects.join(starts, ["scan_id", "id"]).join(moves, "scan_id")
+    p = drag(*[F.col(c) for c in ("start_x", "start_y", "w", "h", "dx_px", "dy_px", "dx_pct", "dy_pct")])
+    return j.withColumn("__p", p).select(*[F.col(f"__p.{c}").alias(c) if c in ("x", "y") else F.col(c) for c in objects.columns])
+
+
+def remember_patches(objects: DataFrame, found: DataFrame) -> DataFrame:
+    """(scan_id, id, patch): what was found for the objects, null included, kept by id."""
+    return found.join(objects.select("scan_id", "id"), ["scan_id", "id"], "left_semi").select("scan_id", "id", "patch").dropDuplicates(["scan_id", "id"])
+
+
+def with_patches(objects: DataFrame, kept: DataFrame) -> DataFrame:
+    """Objects with patch, and known: whether it was looked for before."""
+    k = kept.select("scan_id", "id", "patch", F.lit(True).alias("known"))
+    return objects.join(k, ["scan_id", "id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def compare_regions(a, b) -> float:
+    """Negative if a is read before b: by top where tops differ by more than half the smaller height, else by left edge."""
+    dy = a.y0 - b.y0
+    return dy if abs(dy) > 0.5 * min(a.y1 - a.y0, b.y1 - b.y0) else a.x0 - b.x0
+
+
 def reading_order(regions: DataFrame) -> DataFrame:
     """(scan_id, block_no, rank) of regions (scan_id, block_no, x0, y0, x1, y1).
 
@@ -18,12 +24,8 @@ def reading_order(regions: DataFrame) -> DataFrame:
     is not transitive: where regions form a cycle, the ranks are those of a stable merge sort in block order.
     """
 
-    def compare(a, b) -> float:
-        dy = a.y0 - b.y0
-        return dy if abs(dy) > 0.5 * min(a.y1 - a.y0, b.y1 - b.y0) else a.x0 - b.x0
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.sort_values("block_no").itertuples(), key=functools.cmp_to_key(compare))
+        rows = sorted(pdf.sort_values("block_no").itertuples(), key=functools.cmp_to_key(compare_regions))
         return pd.DataFrame({"scan_id": [r.scan_id for r in rows], "block_no": [r.block_no for r in rows], "rank": range(len(rows))})
 
     return regions.groupBy("scan_id").applyInPandas(run, "scan_id long, block_no int, rank int")
