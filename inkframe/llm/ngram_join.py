@@ -445,7 +445,7 @@ def _links(nodes: DataFrame, met: DataFrame, groups: DataFrame, keep: Scratch, p
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, chunk: int = 1024) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, p: int = 8, q: int = 10, chunk: int = 512) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of docs (doc_id, text, anything else).
 
     Documents link when q * intersection >= p * union of their sets of n-word shingles; component_id is the

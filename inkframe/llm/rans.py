@@ -34,7 +34,7 @@ def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.unique(ids, return_inverse=True, return_counts=True)
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
-    place = np.zeros(len(counts), np.int64)
+    place = np.zeros(len(counts), np.int32)
     place[symbols] = np.arange(len(symbols))
     return symbols, place[ids], counts[symbols]
 
@@ -46,7 +46,7 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     freq = frequencies(counts.astype(np.int64), bits)
     cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     n = -(-len(ids) // BLOCK)
-    padded = np.zeros(n * BLOCK, np.int64)
+    padded = np.zeros(n * BLOCK, np.int32)
     padded[: len(ids)] = index
     grid = np.ascontiguousarray(padded.reshape(n, STEPS, LANES).transpose(1, 0, 2)).reshape(STEPS, n * LANES)
     x = np.full(n * LANES, LOW, np.uint64)
@@ -55,7 +55,7 @@ def encode(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     for t in range(STEPS - 1, -1, -1):
         f = freq[grid[t]]
         out = np.flatnonzero(x >= most * f)
-        lanes.append(out)
+        lanes.append(out.astype(np.int32))
         words.append((x[out] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         x[out] >>= np.uint64(32)
         whole = x // f

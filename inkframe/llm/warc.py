@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import slices, table, tidy, Scratch
+from inkframe.llm.common import Scratch, slices, table, tidy
 
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it is as large as that
 SALTS = 64
