@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     for one of this function's own, whatever its name.
     """
     keep = Scratch(spark, "unique")
-    texts = text_groups(docs, keep, n=5, p=8, q=10, chunk=1024)
+    texts = text_groups(docs, keep, n=5, p=8, q=10, chunk=512)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2").alias("row")
     rows = texts.select("h1", "h2", "g1", "g2", "n", F.explode("ids").alias("doc_id")).select("h1", "g1", "g2", (F.col("n") > 0).alias("worded"), row)
     rows = keep.save(rows.groupBy("h1", "g1", "g2", "worded", "row").agg(F.count("*").alias("times")), "rows")
@@ -40,10 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id = F.col("doc_id").cast("long")
 
     def among(which: DataFrame):
-        m = which.select(*[F.col(c).alias(f"__{c}_{keep.tag}") for c in ("doc_id", "h1", "h2")])
-        a, b, c = (F.col(x) for x in m.columns)
-        few = which.count() <= decontaminate.BROADCAST_ROWS  # of 24 bytes each
-        return F.broadcast(m) if few else m, doc_id.eqNullSafe(a) & (h1 == b) & (h2 == c)
+        """Rows, and the condition that a row of docs is one of them: joined by one number, checked by another."""
+        name = lambda d, a, b: F.xxhash64(d, a, b)
+        m = which.select(name("doc_id", "h1", "h2").alias(f"__name_{keep.tag}"), F.col("h1").alias(f"__h1_{keep.tag}"))
+        few = which.count() <= decontaminate.BROADCAST_ROWS  # of 16 bytes each
+        same = (name(doc_id, h1, h2) == F.col(m.columns[0])) & (h1.bitwiseXOR(F.col(m.columns[1])) == 0)
+        return F.broadcast(m) if few else m, same
 
     left = docs.join(*among(marks.where("gone")), "left_anti")
     again = marks.where("NOT gone")
