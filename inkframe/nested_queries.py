@@ -103,6 +103,27 @@ def pasted_images(spark, sf):
     return files.pasted(nested.clips(spark, sf)).select("clip_id", F.col("ordinal").cast("long").alias("ordinal"), "mime")
 
 
+def dropped_files(spark, sf):
+    d = nested.clips(spark, sf).withColumnRenamed("clip_id", "drop_id").where("(drop_id + ordinal) % 3 <> 0")
+    return files.first_files(d).select("drop_id", F.col("ordinal").cast("long").alias("ordinal"), "mime")
+
+
+def payload_bytes(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    url = F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
+    p = files.payload(F.when(F.col("doc_id") % 7 != 0, url))
+    return d.select("doc_id", F.octet_length(p).cast("long").alias("n_bytes"), F.decode(p, "UTF-8").alias("text"))
+
+
+def edit_history(spark, sf):
+    """Two edits, one undone, a word placed and left blank: versions and depths after each event."""
+    steps = [("push", 1), ("push", 2), ("undo", None), ("place", 3), ("blank", 4), ("undo", None), ("redo", None), ("redo", None)]
+    event = lambda k, kind, v: F.struct(F.lit(k).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.lit(v).cast("long") + F.col("scan_id") * 10).alias("version"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
+    e = d.select("scan_id", F.explode(F.array(*[event(k, kind, v) for k, (kind, v) in enumerate(steps)])).alias("e")).select("scan_id", "e.*")
+    return edits.history(e).select("scan_id", "seq", "version", F.col("undo_depth").cast("long").alias("undo_depth"), F.col("redo_depth").cast("long").alias("redo_depth"))
+
+
 # --- geometry ------------------------------------------------------------------------------------------------------
 
 
@@ -241,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nested_regions, nested_words, nested_reading_order, element_words, element_text, pass_gates, column_order, text_scalars, normalized_text,
-        answer_text, file_kinds, pasted_images, resized, dragged, region_word_boxes, inpaint_crops, page_upscale, homography_corners,
+        answer_text, file_kinds, pasted_images, dropped_files, payload_bytes, edit_history, resized, dragged, region_word_boxes, inpaint_crops, page_upscale, homography_corners,
         selected_objects, marquee_added, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours,
     )
 }
@@ -315,6 +336,12 @@ SELECT doc_id, mime, CASE WHEN mime NOT LIKE 'image/%' THEN 'type' WHEN n > 15 *
     "pasted_images": """WITH c AS (SELECT doc_id AS clip_id, k AS ordinal, CASE (doc_id * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
   ELSE 'application/json' END AS mime FROM documents, unnest(range(5)) AS a(k))
 SELECT clip_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c WHERE mime LIKE 'image/%' GROUP BY clip_id""",
+    "dropped_files": """WITH c AS (SELECT doc_id AS drop_id, k AS ordinal, CASE (doc_id * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
+  ELSE 'application/json' END AS mime FROM documents, unnest(range(5)) AS a(k) WHERE (doc_id + k) % 3 <> 0)
+SELECT drop_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c GROUP BY drop_id""",
+    "payload_bytes": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes, CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM documents",
+    "edit_history": """SELECT doc_id AS scan_id, seq, CASE WHEN v IS NOT NULL THEN doc_id * 10 + v END AS version, undo_depth, redo_depth
+FROM documents, (VALUES (0, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (3, 3, 2, 0), (4, 1, 1, 0), (5, NULL, 0, 1), (6, 1, 1, 0), (7, 1, 1, 0)) AS s(seq, v, undo_depth, redo_depth)""",
     "resized": f"""WITH {OBJECTS} SELECT scan_id, id, round(least(greatest(w * {_S}, 1.5), 400), 6) AS w, round(least(greatest(h * {_S}, 1.5), 400), 6) AS h, round(greatest(font_size_pct * {_S}, 0.5), 6) AS font_size_pct FROM o""",
     "dragged": f"""WITH {OBJECTS}, m AS (SELECT *, scan_id % 5 AS px, scan_id % 3 AS py, scan_id % 50 * 2.0 - 40 AS dx, scan_id % 7 * 9.0 AS dy FROM o WHERE (pos + 1) % 3 <> 0)
 SELECT scan_id, id, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(x + dx, 5 - w), 95) ELSE x END, 6) AS x, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(y + dy, 5 - h), 95) ELSE y END, 6) AS y FROM m""",

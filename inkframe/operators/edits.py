@@ -111,14 +111,16 @@ def draw_list(objects: DataFrame, images: DataFrame, mode: str = "full") -> Data
 
 
 def history(events: DataFrame, cap: int = UNDO_CAP) -> DataFrame:
-    """Folds edit events (scan_id, seq, kind, version) into the current version after each: push, undo, redo, focus and blur of a text edit.
+    """Folds edit events (scan_id, seq, kind, version) into the current version after each: push, undo, redo, focus and blur of a text edit, place and blank of a new word.
 
     A push drops the redo stack and the oldest entries over the cap; undo and redo move entries between the stacks,
-    redo without the cap; an edit counts only if the version changed between focus and blur.
+    redo without the cap; an edit counts only if the version changed between focus and blur. Placing a word pushes;
+    left blank, the word goes, and with it the entry of its placing if that is still the last one, and the version is
+    that of before.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        undo, redo, now, held, rows = [], [], None, None, []
+        undo, redo, now, held, placed, rows = [], [], None, None, None, []
 
         def push(old):
             undo.append(old)
@@ -133,9 +135,16 @@ def history(events: DataFrame, cap: int = UNDO_CAP) -> DataFrame:
             elif e.kind == "undo" and undo:
                 redo.append(now)
                 now = undo.pop()
+                now = now[0] if isinstance(now, list) else now
             elif e.kind == "redo" and redo:
                 undo.append(now)
                 now = redo.pop()
+            elif e.kind == "place":
+                push(placed := [now])
+                now = v
+            elif e.kind == "blank" and placed is not None:
+                now = undo.pop()[0] if undo and undo[-1] is placed else v
+                placed = None
             elif e.kind == "focus":
                 held = now
             elif e.kind == "blur" and v is not None and v != held:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkframe.functions.text import after_comma
 from inkframe.operators.layout import BLOCKS
 
 #: Largest file, MIME types by extension, lines of the sample page.
@@ -41,6 +42,17 @@ def pasted(items: DataFrame) -> DataFrame:
     return items.where("mime LIKE 'image/%'").withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
 
 
+def first_files(items: DataFrame) -> DataFrame:
+    """The first file of each drop (drop_id, ordinal, ...); the others are left out."""
+    by = Window.partitionBy("drop_id").orderBy("ordinal")
+    return items.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
+
+
+def payload(url: Column) -> Column:
+    """Bytes of a data URL's base64 payload; null where it is none."""
+    return F.try_to_binary(after_comma(url), F.lit("base64"))
+
+
 def sample_page(spark: SparkSession) -> DataFrame:
     """A small page of four lines, 640 x 220, for tests."""
     lines = ["Sample page", "Second line: 12.50", "Third line", "END"]

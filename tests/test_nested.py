@@ -136,3 +136,15 @@ def test_inpaint_order():
                     near = [rgb[b, a] for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= a < W and 0 <= b < H]
                     rgb[j, i] = np.rint(np.mean(near, 0))
         assert (raster.inpaint(image, x, y, w, h, sweeps=7)[..., :3] == rgb).all()
+
+
+def test_flatten():
+    image = np.zeros((4, 4, 4), np.uint8)
+    image[..., 0] = 50
+    draws = [("surface", 0, 0, 8, 8, None, None, None, None), ("image", 0, 0, 8, 8, None, None, None, None), ("patch", 2, 2, 3, 2, None, (1, 2, 3), None, None)]
+    draws += [("patch", 6, 6, 9, 9, np.full((2, 2, 4), 9, np.uint8), (1, 2, 3), None, None), ("patch", 0, 0, 4, 4, None, None, None, None), ("word", 1, 1, 0, 0, None, None, "hi", 5)]
+    seen = []
+    out = png.flatten(8, 8, image, draws, (7, 7, 7), lambda *a: seen.append(a[1:]))
+    assert (out[2:4, 2:5, :3] == (1, 2, 3)).all() and (out[6:, 6:, :3] == 9).all() and out[0, 0].tolist() == [50, 0, 0, 255] and seen == [("hi", 1, 1, 5)]
+    assert (png.flatten(2, 2, None, draws[:2], (7, 7, 7))[..., :3] == 7).all()
+    assert png.result_name("a", "full") == "a-full-image.png" and png.result_name("a", "other") == "a-image-format.png"
