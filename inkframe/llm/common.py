@@ -110,11 +110,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def salted(rows: DataFrame, least: DataFrame, keys: str | list[str], by: str, salts: int = 16) -> DataFrame:
-    """rows joined with `least`, which has one row per key: a key's rows are dealt over `salts` tasks by column `by`."""
+    """rows joined with `least` on keys by shuffle: a key's rows are dealt over `salts` tasks by column `by`, and its rows of `least`, which are few, go to each."""
     keys = [keys] if isinstance(keys, str) else keys
     dealt = least.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return rows.join(dealt, [*keys, "__salt"]).drop("__salt")
+    return rows.join(dealt.hint("merge"), [*keys, "__salt"]).drop("__salt")  # else it may be broadcast, salts and all
 
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

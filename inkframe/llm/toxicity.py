@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import small_batches, slices, table, tidy
+from inkframe.llm.common import BATCH_ROWS, small_batches, slices, table, tidy
 from inkframe.llm.language_id import not_held_out
 
 SPAN, DECAY, POWER = 5, 0.6, 6
@@ -106,7 +106,8 @@ class Landmarks:
         times = self.starts[at + 1] - self.starts[at]
         entry = np.repeat(self.starts[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
         sums = np.bincount(np.repeat(own, times) * m + self.holders[entry], np.repeat(weight, times) * self.weights[entry], minlength=n * m)
-        return sums.reshape(n, m) ** POWER
+        square = np.square(sums.reshape(n, m))
+        return square * square * square  # to the POWER
 
 
 class Model:
@@ -122,26 +123,35 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         return self.landmarks.kernel(words) @ self.beta if self.landmarks else np.zeros(len(words))
 
-    def load(self, texts: list[str | None]) -> list[float]:
+    def load(self, texts: list[str | None]) -> np.ndarray:
         """Highest sentence margin of each text; minus infinity without words."""
-        split = [list(sentences(t)) for t in texts]
-        now, miss = {}, []
-        for w in set().union(*(s for own in split for s in own)):
-            v = self.new.get(w, self.old.get(w))
-            if v is None:
-                miss.append(w)
-            else:
-                now[w] = v
+        words, starts, owner = [], [], []
+        for k, t in enumerate(texts):
+            for s in sentences(t):
+                starts.append(len(words)), owner.append(k)
+                words += s
+        new, old, miss = self.new, self.old, []
+        for w in set(words):
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    miss.append(w)
         for at in range(0, len(miss), 20_000):
-            now.update(zip(miss[at : at + 20_000], self.margins(miss[at : at + 20_000]).tolist(), strict=True))
-        self.new.update((k, v) for k, v in now.items() if len(k) <= 64)
-        if len(self.new) > 300_000:
-            self.old, self.new = self.new, {}
-        get = now.__getitem__
-        return [max((sum(map(get, s)) for s in own), default=float("-inf")) + self.bias for own in split]
+            new.update(zip(miss[at : at + 20_000], self.margins(miss[at : at + 20_000]).tolist(), strict=True))
+        out = np.full(len(texts), -np.inf)
+        if words:
+            each = np.fromiter(map(new.__getitem__, words), float, len(words))
+            np.maximum.at(out, owner, np.add.reduceat(each, starts) + self.bias)
+        for w in miss:
+            if len(w) > 64:
+                del new[w]
+        if len(new) > 300_000:
+            self.old, self.new = new, {}
+        return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        margin = np.array(self.load(texts), float)
+        margin = self.load(texts)
         none = np.isneginf(margin)
         z = np.where(none, -30.0 if self.slope else self.shift, self.slope * np.where(none, 0.0, margin) + self.shift)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -281,7 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @tidy
     def run(it):
         own = shared.value
-        for b in slices(it):
+        for b in slices(it, 2 * BATCH_ROWS):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.score(b.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
