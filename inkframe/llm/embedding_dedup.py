@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from inkframe.llm.common import Scratch, connected_components, parallelism, release, salted, slices, table, tidy
 
 #: Codewords a half: fewest, most; side of a block in codewords.
-FEWEST, MOST, SIDE = 16, 256, 4
+FEWEST, MOST, SIDE = 32, 256, 4
 
 
 def codewords(n: int) -> int:
@@ -156,7 +156,7 @@ def _roots(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
             return rows, cols
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, words: int | None = None, sample: int = 8192, chunk: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9, words: int | None = None, sample: int = 8192, chunk: int = 2048) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per row of vectors (vec_id, embedding, anything else).
 
     Vectors of different length are compared with vectors of their own length only. A vector that is null, empty,
