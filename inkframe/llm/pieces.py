@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -71,51 +70,6 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(starts, ends)
 
 
-class PieceTable:
-    """Numbers pieces and remembers for each its values (as many as it has tokens), up to a bounded number of pieces and values."""
-
-    def __init__(self, values: Callable[[list[str]], list[bytes]], most: int = 600_000, most_values: int = 4_000_000):
-        self.values, self.most, self.most_values = values, most, most_values
-        self._clear()
-
-    def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.flat, self.start = np.zeros(1 << 12, np.uint32), np.zeros(1 << 12, np.int64)
-
-    def number(self, pieces: list[str]) -> np.ndarray:
-        """The number of each of the distinct pieces."""
-        got = [self.numbers.get(x) for x in pieces]
-        miss = [x for x, k in zip(pieces, got, strict=True) if k is None]
-        n = len(self.numbers)
-        if miss and n and (n + len(miss) > self.most or self.start[n] > self.most_values):
-            self._clear()
-            return self.number(pieces)
-        for at in range(0, len(miss), 50_000):
-            own = miss[at : at + 50_000]
-            values = self.values(own)
-            n = len(self.numbers)
-            self.numbers.update(zip(own, range(n, n + len(own)), strict=True))
-            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-            end = self.start[n] + np.cumsum(size)
-            while n + len(own) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            while end[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.start[n] : end[-1]] = np.frombuffer(b"".join(values), np.uint32)
-            self.start[n + 1 : n + 1 + len(own)] = end
-        if not miss:
-            return np.array(got, np.int64)
-        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-
-    def load(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece's values start in `flat`, and how many they are."""
-        coded = pieces.dictionary_encode()
-        k = self.number(coded.dictionary.to_pylist())
-        start, size = self.start[k], self.start[k + 1] - self.start[k]
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        return start[at], size[at]
-
-
 def runs(batches, most: int = 8_000_000):
     """Record batches put together to tables of about `most` bytes, so that a piece is looked at once in many texts."""
     held, size = [], 0

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from inkframe.llm import automaton, decontaminate, embedding_dedup, language_id, ngram_join, pieces, queries, rans, secret_scan, source_mix, token_binary, token_counts, toxicity, warc
+from inkframe.llm import automaton, decontaminate, embedding_dedup, language_id, ngram_join, queries, rans, secret_scan, source_mix, token_binary, token_counts, toxicity, warc
 from inkframe.llm.common import Scratch, connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -166,15 +166,26 @@ def test_encode_odd_strings(tok):
     assert sliced.tolist() == sum(want[5:9], []) and n.tolist() == [len(w) for w in want[5:9]]
 
 
-def test_piece_table_is_bounded():
-    made = []
-    table = pieces.PieceTable(lambda xs: made.extend(xs) or [b"\1\0\0\0" * len(x) for x in xs], most=10)
-    for k in range(5):
-        own = pa.array([f"{k}{'x' * j}" for j in range(6)])
-        start, size = table.load(own)
-        assert size.tolist() == [1 + j for j in range(6)] and (table.flat[start] == 1).all()
-        assert len(table.numbers) <= 12
-    assert len(made) == 30
+def test_prefix_tables_by_columns():
+    """Words side by side get what they get one by one; what is remembered is bounded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = _counter(path)
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdeéßÿñ") for _ in range(r.randint(1, 70))) for _ in range(300)] + [" word", "été", " É", "a" * 200]
+    count, size = counter.tables(pa.array(texts))
+    assert size.tolist() == [len(t.encode()) for t in texts]
+    assert count.tolist() == sum((counter.table(t)[1:] for t in texts), [])
+    table = token_counts.PrefixTable(path, most=4)
+    own = pa.array([" one", "two!?", "\nthree", "x-y", "1234", "...", "a b", "é's", "日本", " one", "\n\n", "Naïve,"])
+    for _ in range(2):
+        flat, start, chars = table.load(own)
+        got = [flat[a : a + n].tolist() for a, n in zip(start.tolist(), chars.tolist(), strict=True)]
+        assert got == [counter.prefixes(t)[1:] for t in own.to_pylist()] and len(table.known) <= 4
+    assert table.load(pa.array([], pa.large_string()))[1].tolist() == []
+    full = token_counts.Numbers(4)
+    for k in range(40):
+        full.put(np.array([k], np.uint64), np.array([k], np.int32))
+        assert full.get(np.array([k, 99], np.uint64)).tolist() == [k, -1]
 
 
 def test_prefixes_of_documents(spark, docs, tok):
