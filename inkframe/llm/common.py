@@ -10,6 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,36 @@ def slices(batches, rows: int = BATCH_ROWS):
             yield b.slice(at, rows)
 
 
+def write_objects(rows: DataFrame, column: str, uri: str, suffix: str) -> DataFrame:
+    """Rows (path, n_bytes): each value of a binary column as a file of its own in the folder uri, named by part and number.
+
+    uri is of any file system that pyarrow opens (file, hdfs, s3, gs) and that all executors reach. A file appears
+    under its name once it is whole, and a task that runs again writes the same names anew. Nulls give no file.
+    """
+
+    @tidy
+    def run(it):
+        fs, root = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(root)
+        context, k = TaskContext.get(), 0
+        for b in it:
+            out = []
+            for value in b.column(0).drop_null():
+                data = value.as_buffer()
+                name = f"{root}/part-{context.partitionId():05d}-{k:05d}{suffix}"
+                with fs.open_output_stream(f"{name}.{context.taskAttemptId()}", compression=None) as f:
+                    f.write(data)
+                fs.move(f"{name}.{context.taskAttemptId()}", name)
+                out.append((name, data.size))
+                k += 1
+            names, sizes = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
+
+    keep = Scratch(rows.sparkSession, "objects")
+    with keep.batch_rows(4):  # the values are large
+        return keep.save(rows.select(column).mapInArrow(run, "path string, n_bytes long"), "written")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

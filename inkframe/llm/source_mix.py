@@ -115,6 +115,8 @@ def entropy_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     plan = places.alias("p").join(dealt.alias("d"), F.expr("p.source <=> d.source AND p.size = d.size")).join(goal.alias("t"), F.expr("p.source <=> t.source"))
     plan = keep.save(plan.select("p.source", "p.size", "p.salt", "p.before", "d.n", "d.rate", "d.copies", F.col("t.total").alias("source_size"), "t.target"), "plan")
 
+    keep.drop("hist", "by_size", "targets", "sources", "weights", f"state-{k}")
+
     order = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("mark", F.lit(1)), "mark", "doc_id")
     ranked = named.withColumn("i", F.row_number().over(order))
     out = ranked.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source AND r.size = p.size AND r.salt = p.salt"))

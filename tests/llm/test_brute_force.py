@@ -2,12 +2,14 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkframe.llm import decontaminate, embedding_dedup, language_id, ngram_join, source_mix, toxicity
+from inkframe.llm import common, decontaminate, embedding_dedup, language_id, ngram_join, rans, source_mix, token_binary, toxicity, warc
 from inkframe.llm.common import Scratch
 
 
@@ -277,3 +279,19 @@ def test_scratch_leaves_a_set_batch_size(spark):
         assert spark.conf.get(key) == "77"
     finally:
         spark.conf.set(key, before)
+
+
+def test_files(spark, tmp_path):
+    """Token files and archives as files of their own, written twice, and read back."""
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(50)], "doc_id long, text string")
+    files = token_binary.encode_files(docs)
+    for _ in range(2):
+        done = common.write_objects(files, "image", f"file://{tmp_path}/tokens", ".ids").collect()
+    got = sorted(d for r in done for d in rans.Image(Path(r.path).read_bytes()).doc_ids)
+    assert got == list(range(50)) and len(list((tmp_path / "tokens").iterdir())) == len(done)
+    pages = spark.createDataFrame([(k, f"u{k}", f"<p>{k % 3}") for k in range(9)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages, Scratch(spark, "t"))
+    common.write_objects(archives, "archive", f"file://{tmp_path}/pages", ".warc.gz").collect()
+    back = spark.read.format("binaryFile").load(f"{tmp_path}/pages").select(F.col("content").alias("archive"))
+    got = warc.assemble(warc.read_archives(back)).collect()
+    assert len(got) == 9 and sum(r.main.type == "response" for r in got) == 3
