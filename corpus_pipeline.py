@@ -36,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = salted(worded, best, ["g1", "g2"], "h1").where("row <> best").select("row.*").withColumn("gone", F.lit(True))
     twice = rows.where("times > 1 AND (worded OR NOT row.none)").select("row.*").withColumn("gone", F.lit(False))
     marks = keep.save(gone.union(twice.join(gone, ["none", "h1", "h2", "doc_id"], "left_anti").select(*gone.columns)), "marks")
+    keep.drop("texts", "rows")
     h1, h2 = text_key(F.col("text"))
     doc_id = F.col("doc_id").cast("long")
 
