@@ -93,7 +93,7 @@ def low_confidence_words(spark, sf):
 
 def noise_rate_by_lang(spark, sf):
     lang = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "lang")
-    w = _words(spark, sf).withColumn("noise", tx.is_noise(F.col("text"), F.lit(None).cast("double")))
+    w = _words(spark, sf).withColumn("noise", tx.is_noise(F.col("text"), F.col("confidence")))
     per = w.groupBy("scan_id").agg(F.count("*").alias("n"), F.count_if("noise").alias("k")).join(lang, "scan_id")
     return per.groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum("k").alias("n_noise"))
 
@@ -190,13 +190,15 @@ def marquee_hits(spark, sf):
 
 
 def word_modified(spark, sf):
-    return edits.refresh(_objects(spark, sf)).where("type = 'word'").select("scan_id", "id", "modified", "visible", "patched")
+    return edits.refresh(_objects(spark, sf)).select("scan_id", "id", "modified", "visible", "patched")
 
 
 def snapshot_reconcile(spark, sf):
-    o = _objects(spark, sf).where("type = 'word'")
-    snap = o.where("(ordinal - 1) % 4 <> 0").withColumn("text", F.when((F.col("ordinal") - 1) % 6 == 0, F.lit(None)).otherwise(F.col("original_text")))
-    live = o.where("(ordinal - 1) % 9 <> 1")
+    """Words and background images; every third scan has its image in the view only, every third in the snapshot only."""
+    o = _objects(spark, sf)
+    snap = o.where("(type = 'word' AND (ordinal - 1) % 4 <> 0) OR (type = 'image' AND scan_id % 3 <> 0)")
+    snap = snap.withColumn("text", F.when((F.col("ordinal") - 1) % 6 == 0, F.lit(None)).otherwise(F.col("original_text")))
+    live = o.where("(type = 'word' AND (ordinal - 1) % 9 <> 1) OR (type = 'image' AND scan_id % 3 <> 1)")
     return edits.reconcile(live, snap, "scan_id").select("scan_id", "id", "action", "text")
 
 
@@ -205,7 +207,9 @@ def selected_text(spark, sf):
 
 
 def delete_selection(spark, sf):
-    return edits.delete_selected(_objects(spark, sf), _marked(spark, sf)).where("type = 'word'").select("scan_id", "id", "text")
+    """Selected words and images: the words lose their text, the images stay."""
+    images = syn.images(spark, sf).select("scan_id", F.lit("obj-bg").alias("id"))
+    return edits.delete_selected(_objects(spark, sf), _marked(spark, sf).union(images)).select("scan_id", "id", "text")
 
 
 def selection_toggle(spark, sf):
@@ -264,7 +268,7 @@ ORACLE_SQL = {
     "filtered_text": _text_sql("NOT noise"),
     "line_islands": f"WITH {WORDS}, x AS (SELECT scan_id, pos, CASE WHEN line_index % 3 = 2 THEN line_index - 2 ELSE line_index END AS li FROM words), y AS (SELECT scan_id, CASE WHEN li = lag(li) OVER (PARTITION BY scan_id ORDER BY pos) THEN 0 ELSE 1 END AS b FROM x) SELECT scan_id, CAST(sum(b) - 1 AS BIGINT) AS last_island, count(*) AS n FROM y GROUP BY scan_id",
     "low_confidence_words": f"WITH {WORDS} SELECT scan_id, count(*) AS n FROM words WHERE confidence < 65 GROUP BY scan_id",
-    "noise_rate_by_lang": f"WITH {WORDS} SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN {SHAPE} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM (SELECT w.text, d.lang FROM words w JOIN documents d ON d.doc_id = w.scan_id) GROUP BY lang",
+    "noise_rate_by_lang": f"WITH {WORDS} SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM (SELECT w.text, w.confidence, d.lang FROM words w JOIN documents d ON d.doc_id = w.scan_id) GROUP BY lang",
     "region_stats": f"WITH {REGIONS} SELECT scan_id, block_no, x0, y0, x1, y1, n_words, round(mean_confidence, 6) AS mean_confidence FROM regions",
     "weakest_regions": f"WITH {REGIONS} SELECT scan_id, block_no, rank FROM (SELECT scan_id, block_no, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 6), block_no) AS rank FROM regions WHERE round(mean_confidence, 6) < 70) WHERE rank <= 16",
     "best_pass": f"WITH {REGIONS} SELECT scan_id, block_no AS ordinal, m AS mean_confidence FROM (SELECT scan_id, block_no, round(mean_confidence, 0) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 0) DESC, block_no) AS k FROM regions) WHERE k = 1",
@@ -284,11 +288,13 @@ FROM c JOIN v ON v.item_id = c.item_id""",
     "keystone_fit": f"WITH {_POINTS} SELECT scan_id, n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2 FROM f",
     "keystone_quad": f"WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * height AS b FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t, b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15) SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 - CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z",
     "marquee_hits": f"WITH {OBJECTS} SELECT scan_id, id FROM o WHERE x <= 30 AND x + w >= 10 AND y <= 6 AND y + h >= 2",
-    "word_modified": f"WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched FROM o",
-    "snapshot_reconcile": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete' ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0)",
+    "word_modified": f"WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched FROM o UNION ALL SELECT doc_id, 'obj-bg', false, true, false FROM documents",
+    "snapshot_reconcile": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete' ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0) UNION ALL SELECT doc_id, 'obj-bg', CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'update' END, NULL FROM documents WHERE doc_id % 3 <> 1",
     "selected_text": f"WITH {OBJECTS}, {_MARKED}, s AS (SELECT o.* FROM o LEFT JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id WHERE o.scan_id % 2 <> 0 OR m.id IS NOT NULL), t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM s WHERE text <> '' AND {_VISIBLE} GROUP BY ALL) SELECT scan_id, string_agg(line, chr(10) ORDER BY line_index) AS text FROM t GROUP BY scan_id",
-    "delete_selection": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text FROM o",
+    "delete_selection": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text FROM o UNION ALL SELECT doc_id, 'obj-bg', NULL FROM documents",
     "selection_toggle": f"WITH {OBJECTS} SELECT scan_id, count(*) AS n FROM o WHERE (pos % 3 = 0 AND scan_id % 2 = 0) <> (pos % 2 = 0) GROUP BY scan_id",
     "draw_list": f"WITH {OBJECTS}, d AS (SELECT doc_id AS scan_id, 0 AS layer, 0 AS pos, 'surface' AS kind, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, NULL::VARCHAR AS text FROM documents UNION ALL SELECT doc_id, 1, 0, 'image', 0.0, 0.0, NULL FROM documents UNION ALL SELECT scan_id, 2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, NULL FROM o WHERE {_MODIFIED} UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, text FROM o WHERE {_MODIFIED} AND text <> '') SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY layer, pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, text FROM d",
+    "reading_order": f"""WITH {REGIONS} SELECT a.scan_id, CAST(a.block_no AS INT) AS block_no, CAST(count(b.block_no) AS INT) AS rank FROM regions a LEFT JOIN regions b ON b.scan_id = a.scan_id AND b.block_no <> a.block_no
+  AND CASE WHEN abs(b.y0 - a.y0) > 0.5 * least(a.y1 - a.y0, b.y1 - b.y0) THEN b.y0 < a.y0 ELSE b.x0 < a.x0 OR (b.x0 = a.x0 AND b.block_no < a.block_no) END GROUP BY ALL""",
     "homography_apply": f"WITH {WORDS} SELECT scan_id, pos, round((1.1 * x0 + 0.02 * y0 + 5) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS x, round((-0.01 * x0 + 0.95 * y0 + 3) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS y FROM words",
 }
