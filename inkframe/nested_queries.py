@@ -316,7 +316,8 @@ ORACLE_SQL = {
   text, confidence::DOUBLE AS confidence, word_no * 60.0::DOUBLE AS x0, nw.line_index * 20.0::DOUBLE + 15 AS y1 FROM nw""",
     "nested_reading_order": f"""WITH {_NESTED} SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY block_no DESC, line_index, word_no) - 1 AS pos,
   dense_rank() OVER (PARTITION BY scan_id ORDER BY block_no DESC, nw.line_index) - 1 AS line_index, text FROM nw""",
-    "element_words": f"WITH {_ELEMENTS} SELECT scan_id, pos, line_index, text, 100.0::DOUBLE AS confidence, word_no * 60.0::DOUBLE AS x0, li * 20.0::DOUBLE AS y0 FROM en",
+    "element_words": f"""WITH {_ELEMENTS} SELECT scan_id, pos, line_index, text, 100.0::DOUBLE AS confidence, word_no * 60.0::DOUBLE AS x0,
+  li * 20.0::DOUBLE AS y0 FROM en""",
     "element_text": f"""WITH {_ELEMENTS}, t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM en GROUP BY ALL)
 SELECT scan_id, trim(string_agg(line, chr(10) ORDER BY line_index), ' ' || chr(10)) AS text FROM t GROUP BY scan_id""",
     "pass_gates": f"""WITH {_NREGIONS}, p AS (SELECT scan_id, CAST(sum(n_words) AS BIGINT) AS n_words, round(avg(mean_confidence), 6) AS m, count(*) AS n_regions FROM reg GROUP BY scan_id)
@@ -339,7 +340,8 @@ SELECT clip_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c W
     "dropped_files": """WITH c AS (SELECT doc_id AS drop_id, k AS ordinal, CASE (doc_id * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
   ELSE 'application/json' END AS mime FROM documents, unnest(range(5)) AS a(k) WHERE (doc_id + k) % 3 <> 0)
 SELECT drop_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c GROUP BY drop_id""",
-    "payload_bytes": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes, CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM documents",
+    "payload_bytes": """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes,
+  CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM documents""",
     "edit_history": """SELECT doc_id AS scan_id, seq, CASE WHEN v IS NOT NULL THEN doc_id * 10 + v END AS version, undo_depth, redo_depth
 FROM documents, (VALUES (0, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (3, 3, 2, 0), (4, 1, 1, 0), (5, NULL, 0, 1), (6, 1, 1, 0), (7, 1, 1, 0)) AS s(seq, v, undo_depth, redo_depth)""",
     "resized": f"""WITH {OBJECTS} SELECT scan_id, id, round(least(greatest(w * {_S}, 1.5), 400), 6) AS w, round(least(greatest(h * {_S}, 1.5), 400), 6) AS h, round(greatest(font_size_pct * {_S}, 0.5), 6) AS font_size_pct FROM o""",
@@ -356,15 +358,20 @@ SELECT scan_id, round(CASE WHEN s < 1000 THEN least(2.0::DOUBLE, 1000 / s) ELSE
     "homography_corners": "SELECT doc_id AS scan_id, " + ", ".join(f"true AS {a}{k}" for k in range(4) for a in "xy") + " FROM documents",
     "selected_objects": f"WITH {OBJECTS}, {_MARKED} SELECT o.scan_id, o.id, o.text FROM o JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id",
     "marquee_added": f"WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM marked UNION SELECT scan_id, id FROM o WHERE x <= 20 AND x + w >= 5 AND y <= 4 AND y + h >= 1",
-    "removed_objects": f"WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM o WHERE NOT (pos % 3 = 0 AND scan_id % 2 = 0) UNION ALL SELECT doc_id, 'obj-bg' FROM documents",
+    "removed_objects": f"""WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM o WHERE NOT (pos % 3 = 0 AND scan_id % 2 = 0)
+  UNION ALL SELECT doc_id, 'obj-bg' FROM documents""",
     "user_text": f"""WITH {OBJECTS}, {_FONT} SELECT scan_id, coalesce(last, 0) + n AS ordinal, CASE n WHEN 1 THEN 'first' ELSE 'second note' END AS text, round(font / 0.8 * 1600 / 4000, 6) AS h, 12.0::DOUBLE AS w,
   round(font, 6) AS font_size_pct FROM fonts, unnest([1, 2]) AS a(n)""",
     "patches": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN known AND (pos + 1) % 4 <> 0 THEN 'p' || CAST(pos + 1 AS VARCHAR) END AS patch, known
 FROM (SELECT scan_id, id, pos, {_EDITED} AND (pos + 1) % 2 = 0 AS known FROM o)""",
-    "gray_plane": f"WITH {_PIX} SELECT scan_id, x, y, CAST(v AS BIGINT) AS gray, CAST(least(greatest(round_even(128 + (v - 100) * 1.6::DOUBLE, 0), 0), 255) AS BIGINT) AS contrast FROM gr",
-    "edge_plane": f"WITH {_SOBEL}, mx AS (SELECT scan_id, max(m) AS top FROM sb GROUP BY scan_id) SELECT scan_id, x, y, CAST(CASE WHEN top > 0 AND m > 0.18::DOUBLE * top THEN 0 ELSE 255 END AS BIGINT) AS edge FROM sb JOIN mx USING (scan_id)",
+    "gray_plane": f"""WITH {_PIX} SELECT scan_id, x, y, CAST(v AS BIGINT) AS gray, CAST(least(greatest(round_even(128 + (v - 100) * 1.6::DOUBLE,
+  0), 0), 255) AS BIGINT) AS contrast FROM gr""",
+    "edge_plane": f"""WITH {_SOBEL}, mx AS (SELECT scan_id, max(m) AS top FROM sb GROUP BY scan_id) SELECT scan_id,
+  x, y, CAST(CASE WHEN top > 0 AND m > 0.18::DOUBLE * top THEN 0 ELSE 255 END AS BIGINT) AS edge
+  FROM sb JOIN mx USING (scan_id)""",
     "plane_deviation": f"WITH {_PIX} SELECT scan_id, round(stddev_pop(v), 6) AS deviation FROM gr GROUP BY scan_id",
-    "near_colours": f"WITH {_PIX} SELECT scan_id, {_mean_colour('y BETWEEN 1 AND 4 AND x IN (1, 3, 5)')} AS above, {_mean_colour('y >= 3 AND x IN (0, 2)')} AS below FROM px GROUP BY scan_id",
+    "near_colours": f"""WITH {_PIX} SELECT scan_id, {_mean_colour('y BETWEEN 1 AND 4 AND x IN (1, 3, 5)')} AS above,
+  {_mean_colour('y >= 3 AND x IN (0, 2)')} AS below FROM px GROUP BY scan_id""",
     "text_with_notes": f"""WITH {OBJECTS}, t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM o WHERE text <> '' AND {_VISIBLE} GROUP BY ALL),
 s AS (SELECT scan_id, string_agg(line, chr(10) ORDER BY line_index) || chr(10) AS text FROM t GROUP BY scan_id)
 SELECT doc_id AS scan_id, coalesce(s.text, '') || 'first' || chr(10) || 'second note' AS text FROM documents LEFT JOIN s ON s.scan_id = doc_id""",

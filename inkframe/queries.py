@@ -266,35 +266,85 @@ ORACLE_SQL = {
     "words_filtered": f"WITH {NOISY} SELECT scan_id, pos, text FROM noisy WHERE NOT noise",
     "words_to_text": _text_sql("true"),
     "filtered_text": _text_sql("NOT noise"),
-    "line_islands": f"WITH {WORDS}, x AS (SELECT scan_id, pos, CASE WHEN line_index % 3 = 2 THEN line_index - 2 ELSE line_index END AS li FROM words), y AS (SELECT scan_id, CASE WHEN li = lag(li) OVER (PARTITION BY scan_id ORDER BY pos) THEN 0 ELSE 1 END AS b FROM x) SELECT scan_id, CAST(sum(b) - 1 AS BIGINT) AS last_island, count(*) AS n FROM y GROUP BY scan_id",
+    "line_islands": f"""WITH {WORDS}, x AS (SELECT scan_id, pos, CASE WHEN line_index % 3 = 2 THEN line_index - 2
+  ELSE line_index END AS li FROM words), y AS (SELECT scan_id, CASE WHEN li = lag(li) OVER (PARTITION BY scan_id ORDER BY pos) THEN 0
+  ELSE 1 END AS b FROM x) SELECT scan_id, CAST(sum(b) - 1 AS BIGINT) AS last_island, count(*) AS n
+  FROM y GROUP BY scan_id""",
     "low_confidence_words": f"WITH {WORDS} SELECT scan_id, count(*) AS n FROM words WHERE confidence < 65 GROUP BY scan_id",
-    "noise_rate_by_lang": f"WITH {WORDS} SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM (SELECT w.text, w.confidence, d.lang FROM words w JOIN documents d ON d.doc_id = w.scan_id) GROUP BY lang",
+    "noise_rate_by_lang": f"""WITH {WORDS} SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) AS BIGINT) AS n_noise
+  FROM (SELECT w.text, w.confidence, d.lang FROM words w JOIN documents d ON d.doc_id = w.scan_id)
+  GROUP BY lang""",
     "region_stats": f"WITH {REGIONS} SELECT scan_id, block_no, x0, y0, x1, y1, n_words, round(mean_confidence, 6) AS mean_confidence FROM regions",
-    "weakest_regions": f"WITH {REGIONS} SELECT scan_id, block_no, rank FROM (SELECT scan_id, block_no, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 6), block_no) AS rank FROM regions WHERE round(mean_confidence, 6) < 70) WHERE rank <= 16",
-    "best_pass": f"WITH {REGIONS} SELECT scan_id, block_no AS ordinal, m AS mean_confidence FROM (SELECT scan_id, block_no, round(mean_confidence, 0) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 0) DESC, block_no) AS k FROM regions) WHERE k = 1",
-    "region_accept": f"WITH {REGIONS}, r AS (SELECT scan_id, block_no, n_words, round(mean_confidence, 6) AS m, n_words - (block_no * 13 + scan_id) % 20 AS nn, round(mean_confidence, 6) + block_no % 5 - 2 AS nm, block_no % 3 <> 0 AS has FROM regions), s AS (SELECT *, has AND nn >= 0.5 * n_words AND nn > 0 AND nm > m AS accepted FROM r) SELECT scan_id, block_no, accepted, CASE WHEN accepted THEN nn ELSE n_words END AS n_words, round(CASE WHEN accepted THEN nm ELSE m END, 6) AS mean_confidence FROM s",
-    "page_cascade": f"WITH {_CASCADE}, e AS (SELECT *, m0 < 70 AND m1 > m0 AS t FROM d), g AS (SELECT s, t, CASE WHEN t THEN n1 ELSE n0 END AS n, CASE WHEN t THEN m1 ELSE m0 END AS m, CASE WHEN t THEN n3 ELSE n2 END AS sn, CASE WHEN t THEN m3 ELSE m2 END AS sm FROM e), h AS (SELECT *, (n = 0 OR m < 40) AND sn > 0 AND sm > m AS sparse FROM g) SELECT s AS scan_id, CASE WHEN t THEN 'preprocessed' ELSE 'original' END AS source, CASE WHEN sparse THEN sn ELSE n END AS n_words, CASE WHEN sparse THEN sm ELSE m END AS mean_confidence, sparse FROM h",
+    "weakest_regions": f"""WITH {REGIONS} SELECT scan_id, block_no, rank FROM (SELECT scan_id, block_no,
+  row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence, 6), block_no) AS rank
+  FROM regions WHERE round(mean_confidence, 6) < 70) WHERE rank <= 16""",
+    "best_pass": f"""WITH {REGIONS} SELECT scan_id, block_no AS ordinal, m AS mean_confidence FROM (SELECT scan_id,
+  block_no, round(mean_confidence, 0) AS m, row_number() OVER (PARTITION BY scan_id ORDER BY round(mean_confidence,
+  0) DESC, block_no) AS k FROM regions) WHERE k = 1""",
+    "region_accept": f"""WITH {REGIONS}, r AS (SELECT scan_id, block_no, n_words, round(mean_confidence, 6) AS m,
+  n_words - (block_no * 13 + scan_id) % 20 AS nn, round(mean_confidence, 6) + block_no % 5 - 2 AS nm,
+  block_no % 3 <> 0 AS has FROM regions), s AS (SELECT *, has AND nn >= 0.5 * n_words AND nn > 0 AND nm > m AS accepted
+  FROM r) SELECT scan_id, block_no, accepted, CASE WHEN accepted THEN nn ELSE n_words END AS n_words,
+  round(CASE WHEN accepted THEN nm ELSE m END, 6) AS mean_confidence FROM s""",
+    "page_cascade": f"""WITH {_CASCADE}, e AS (SELECT *, m0 < 70 AND m1 > m0 AS t FROM d), g AS (SELECT s, t,
+  CASE WHEN t THEN n1 ELSE n0 END AS n, CASE WHEN t THEN m1 ELSE m0 END AS m, CASE WHEN t THEN n3
+  ELSE n2 END AS sn, CASE WHEN t THEN m3 ELSE m2 END AS sm FROM e), h AS (SELECT *, (n = 0 OR m < 40) AND sn > 0 AND sm > m AS sparse
+  FROM g) SELECT s AS scan_id, CASE WHEN t THEN 'preprocessed' ELSE 'original' END AS source,
+  CASE WHEN sparse THEN sn ELSE n END AS n_words, CASE WHEN sparse THEN sm ELSE m END AS mean_confidence,
+  sparse FROM h""",
     "cer_pairs": f"WITH {PAIRS} SELECT item_id, round({_CER}, 6) AS cer FROM n",
     "wer_pairs": f"WITH {PAIRS}, {_WER} SELECT item_id, round(wer, 6) AS wer FROM v",
     "eval_report": f"""WITH {PAIRS}, {_WER}, c AS (SELECT item_id, 'item' || CAST(item_id AS VARCHAR) AS name, {_CER} AS cer FROM n)
 SELECT CASE WHEN c.item_id % 10 = 3 THEN rpad(name, 15, ' ') || ' ERROR: no result' ELSE rpad(name, 15, ' ')
   || printf(' %5.1f%%   %5.1f%%   %.1fs', round(cer * 100, 1), round(wer * 100, 1), round(c.item_id * 125 / 1000.0, 1)) END AS line
 FROM c JOIN v ON v.item_id = c.item_id""",
-    "bbox_unrotate": f"WITH {WORDS} SELECT scan_id, pos, round(least({_XS}) / 2, 4) AS x0, round(least({_YS}) / 2, 4) AS y0, round(greatest({_XS}) / 2, 4) AS x1, round(greatest({_YS}) / 2, 4) AS y1 FROM words",
-    "percent_geometry": f"WITH {WORDS} SELECT scan_id, pos, round(x0 / 1600 * 100, 6) AS x, round(y0 / 4000 * 100, 6) AS y, round(greatest(x1 - x0, 1) / 1600 * 100, 6) AS w, round(greatest(y1 - y0, 1) / 4000 * 100, 6) AS h, round(greatest(y1 - y0, 1) / 1600 * 100 * 0.8, 6) AS font_size_pct FROM words",
-    "crop_rectangles": f"WITH {REGIONS}, c AS (SELECT scan_id, block_no, n_words, greatest(floor(x0) - 6, 0) AS l, greatest(floor(y0) - 6, 0) AS t, least(ceil(x1) + 6, 1600) AS r, least(ceil(y1) + 6, 4000) AS b FROM regions) SELECT scan_id, block_no, CAST(l AS BIGINT) AS cx, CAST(t AS BIGINT) AS cy, CAST(r - l AS BIGINT) AS cw, CAST(b - t AS BIGINT) AS ch, CAST(CASE WHEN n_words = 0 THEN 11 WHEN (r - l) / (b - t) > 6 THEN 7 ELSE 6 END AS BIGINT) AS mode, round(CASE WHEN least(r - l, b - t) < 200 THEN least(4.0, 200 / least(r - l, b - t)) ELSE 1.0 END, 6) AS upscale FROM c WHERE r > l AND b > t",
+    "bbox_unrotate": f"""WITH {WORDS} SELECT scan_id, pos, round(least({_XS}) / 2, 4) AS x0, round(least({_YS}) / 2,
+  4) AS y0, round(greatest({_XS}) / 2, 4) AS x1, round(greatest({_YS}) / 2, 4) AS y1 FROM words""",
+    "percent_geometry": f"""WITH {WORDS} SELECT scan_id, pos, round(x0 / 1600 * 100, 6) AS x, round(y0 / 4000 * 100,
+  6) AS y, round(greatest(x1 - x0, 1) / 1600 * 100, 6) AS w, round(greatest(y1 - y0, 1) / 4000 * 100,
+  6) AS h, round(greatest(y1 - y0, 1) / 1600 * 100 * 0.8, 6) AS font_size_pct FROM words""",
+    "crop_rectangles": f"""WITH {REGIONS}, c AS (SELECT scan_id, block_no, n_words, greatest(floor(x0) - 6, 0) AS l,
+  greatest(floor(y0) - 6, 0) AS t, least(ceil(x1) + 6, 1600) AS r, least(ceil(y1) + 6,
+  4000) AS b FROM regions) SELECT scan_id, block_no, CAST(l AS BIGINT) AS cx, CAST(t AS BIGINT) AS cy,
+  CAST(r - l AS BIGINT) AS cw, CAST(b - t AS BIGINT) AS ch, CAST(CASE WHEN n_words = 0 THEN 11
+  WHEN (r - l) / (b - t) > 6 THEN 7 ELSE 6 END AS BIGINT) AS mode, round(CASE WHEN least(r - l,
+  b - t) < 200 THEN least(4.0, 200 / least(r - l, b - t)) ELSE 1.0 END, 6) AS upscale
+  FROM c WHERE r > l AND b > t""",
     "inpaint_margins": f"WITH {WORDS} SELECT scan_id, pos, CAST(least(greatest(floor(least(x1 - x0, y1 - y0) * 0.75 + 0.5), 8), 40) AS BIGINT) AS margin FROM words",
-    "median_font": f"WITH {OBJECTS} SELECT d.doc_id AS scan_id, round(coalesce(median(font_size_pct), 3), 6) AS font_size_pct FROM documents d LEFT JOIN o ON o.scan_id = d.doc_id GROUP BY d.doc_id",
+    "median_font": f"""WITH {OBJECTS} SELECT d.doc_id AS scan_id, round(coalesce(median(font_size_pct), 3), 6) AS font_size_pct
+  FROM documents d LEFT JOIN o ON o.scan_id = d.doc_id GROUP BY d.doc_id""",
     "keystone_fit": f"WITH {_POINTS} SELECT scan_id, n, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2 FROM f",
-    "keystone_quad": f"WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * height AS b FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t, b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15) SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 - CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z",
+    "keystone_quad": f"""WITH {_POINTS}, k AS (SELECT scan_id, intercept AS t, intercept + slope * height AS b
+  FROM f WHERE n >= 3 AND r2 >= 0.6), z AS (SELECT *, 1600 * least(0.4, abs(b - t) / greatest(t,
+  b)) * 0.5 AS inset FROM k WHERE t > 0 AND b > 0 AND abs(b - t) / greatest(t, b) >= 0.15)
+  SELECT scan_id, round(CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x0, round(1600 -
+  CASE WHEN t < b THEN inset ELSE 0 END, 4) AS x1, round(1600 - CASE WHEN t < b THEN 0
+  ELSE inset END, 4) AS x2, round(CASE WHEN t < b THEN 0 ELSE inset END, 4) AS x3 FROM z""",
     "marquee_hits": f"WITH {OBJECTS} SELECT scan_id, id FROM o WHERE x <= 30 AND x + w >= 10 AND y <= 6 AND y + h >= 2",
-    "word_modified": f"WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched FROM o UNION ALL SELECT doc_id, 'obj-bg', false, true, false FROM documents",
-    "snapshot_reconcile": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete' ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0) UNION ALL SELECT doc_id, 'obj-bg', CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'update' END, NULL FROM documents WHERE doc_id % 3 <> 1",
-    "selected_text": f"WITH {OBJECTS}, {_MARKED}, s AS (SELECT o.* FROM o LEFT JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id WHERE o.scan_id % 2 <> 0 OR m.id IS NOT NULL), t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM s WHERE text <> '' AND {_VISIBLE} GROUP BY ALL) SELECT scan_id, string_agg(line, chr(10) ORDER BY line_index) AS text FROM t GROUP BY scan_id",
-    "delete_selection": f"WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text FROM o UNION ALL SELECT doc_id, 'obj-bg', NULL FROM documents",
+    "word_modified": f"""WITH {OBJECTS} SELECT scan_id, id, {_MODIFIED} AS modified, {_VISIBLE} AS visible, {_MODIFIED} AS patched
+  FROM o UNION ALL SELECT doc_id, 'obj-bg', false, true, false FROM documents""",
+    "snapshot_reconcile": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 9 = 1 THEN 'create' WHEN pos % 4 = 0 THEN 'delete'
+  ELSE 'update' END AS action, CASE WHEN pos % 4 = 0 THEN text WHEN pos % 6 = 0 THEN CASE
+  WHEN pos % 9 = 1 THEN NULL ELSE text END ELSE original_text END AS text FROM o WHERE NOT (pos % 9 = 1 AND pos % 4 = 0)
+  UNION ALL SELECT doc_id, 'obj-bg', CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'update' END,
+  NULL FROM documents WHERE doc_id % 3 <> 1""",
+    "selected_text": f"""WITH {OBJECTS}, {_MARKED}, s AS (SELECT o.* FROM o LEFT JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id
+  WHERE o.scan_id % 2 <> 0 OR m.id IS NOT NULL), t AS (SELECT scan_id, line_index, string_agg(text,
+  ' ' ORDER BY pos) AS line FROM s WHERE text <> '' AND {_VISIBLE} GROUP BY ALL) SELECT scan_id,
+  string_agg(line, chr(10) ORDER BY line_index) AS text FROM t GROUP BY scan_id""",
+    "delete_selection": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text
+  FROM o UNION ALL SELECT doc_id, 'obj-bg', NULL FROM documents""",
     "selection_toggle": f"WITH {OBJECTS} SELECT scan_id, count(*) AS n FROM o WHERE (pos % 3 = 0 AND scan_id % 2 = 0) <> (pos % 2 = 0) GROUP BY scan_id",
-    "draw_list": f"WITH {OBJECTS}, d AS (SELECT doc_id AS scan_id, 0 AS layer, 0 AS pos, 'surface' AS kind, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, NULL::VARCHAR AS text FROM documents UNION ALL SELECT doc_id, 1, 0, 'image', 0.0, 0.0, NULL FROM documents UNION ALL SELECT scan_id, 2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, NULL FROM o WHERE {_MODIFIED} UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, text FROM o WHERE {_MODIFIED} AND text <> '') SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY layer, pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, text FROM d",
+    "draw_list": f"""WITH {OBJECTS}, d AS (SELECT doc_id AS scan_id, 0 AS layer, 0 AS pos, 'surface' AS kind,
+  0.0::DOUBLE AS px, 0.0::DOUBLE AS py, NULL::VARCHAR AS text FROM documents UNION ALL
+  SELECT doc_id, 1, 0, 'image', 0.0, 0.0, NULL FROM documents UNION ALL SELECT scan_id,
+  2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, NULL FROM o WHERE {_MODIFIED}
+  UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, text FROM o
+  WHERE {_MODIFIED} AND text <> '') SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY layer,
+  pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, text FROM d""",
     "reading_order": f"""WITH {REGIONS} SELECT a.scan_id, CAST(a.block_no AS INT) AS block_no, CAST(count(b.block_no) AS INT) AS rank FROM regions a LEFT JOIN regions b ON b.scan_id = a.scan_id AND b.block_no <> a.block_no
   AND CASE WHEN abs(b.y0 - a.y0) > 0.5 * least(a.y1 - a.y0, b.y1 - b.y0) THEN b.y0 < a.y0 ELSE b.x0 < a.x0 OR (b.x0 = a.x0 AND b.block_no < a.block_no) END GROUP BY ALL""",
-    "homography_apply": f"WITH {WORDS} SELECT scan_id, pos, round((1.1 * x0 + 0.02 * y0 + 5) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS x, round((-0.01 * x0 + 0.95 * y0 + 3) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS y FROM words",
+    "homography_apply": f"""WITH {WORDS} SELECT scan_id, pos, round((1.1 * x0 + 0.02 * y0 + 5) / (0.0001 * x0 + 0.0002 * y0 + 1),
+  4) AS x, round((-0.01 * x0 + 0.95 * y0 + 3) / (0.0001 * x0 + 0.0002 * y0 + 1), 4) AS y
+  FROM words""",
 }
