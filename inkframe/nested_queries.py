@@ -19,6 +19,7 @@ from inkframe.sources import files
 
 def nested_regions(spark, sf):
     r = layout.extract_regions(nested.pages(spark, sf))
+    r = r.withColumn("block_no", F.col("block_no").cast("long")).withColumn("n_words", F.col("n_words").cast("long"))
     return r.select("scan_id", "block_no", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1", "n_words", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
@@ -342,7 +343,7 @@ SELECT clip_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c W
 SELECT drop_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c GROUP BY drop_id""",
     "payload_bytes": """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes,
   CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM documents""",
-    "edit_history": """SELECT doc_id AS scan_id, seq, CASE WHEN v IS NOT NULL THEN doc_id * 10 + v END AS version, undo_depth, redo_depth
+    "edit_history": """SELECT doc_id AS scan_id, CAST(seq AS BIGINT) AS seq, CASE WHEN v IS NOT NULL THEN doc_id * 10 + v END AS version, CAST(undo_depth AS BIGINT) AS undo_depth, CAST(redo_depth AS BIGINT) AS redo_depth
 FROM documents, (VALUES (0, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (3, 3, 2, 0), (4, 1, 1, 0), (5, NULL, 0, 1), (6, 1, 1, 0), (7, 1, 1, 0)) AS s(seq, v, undo_depth, redo_depth)""",
     "resized": f"""WITH {OBJECTS} SELECT scan_id, id, round(least(greatest(w * {_S}, 1.5), 400), 6) AS w, round(least(greatest(h * {_S}, 1.5), 400), 6) AS h, round(greatest(font_size_pct * {_S}, 0.5), 6) AS font_size_pct FROM o""",
     "dragged": f"""WITH {OBJECTS}, m AS (SELECT *, scan_id % 5 AS px, scan_id % 3 AS py, scan_id % 50 * 2.0 - 40 AS dx, scan_id % 7 * 9.0 AS dy FROM o WHERE (pos + 1) % 3 <> 0)
