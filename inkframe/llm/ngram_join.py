@@ -385,10 +385,10 @@ def text_groups(docs: DataFrame, keep: Scratch, n: int, p: int, q: int, chunk: i
     links = keep.save(_links(nodes, met, keep.save(groups, "groups"), keep, p, q, chunk), "links")
     comps = connected_components(links, keep, "components")
     # A component is named by one of its texts.
-    named = keep.save(nodes.select("id", "h1", "h2").join(comps.withColumnRenamed("node", "id"), "id"), "named")
+    named = keep.save(nodes.select("id", "h1", "h2").join(comps.withColumnRenamed("node", "id").hint("merge"), "id"), "named")
     root = named.where("id = comp").select("comp", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     of = keep.save(salted(named, root, "comp", "id").select("h1", "h2", "g1", "g2"), "of")
-    out = index.select("h1", "h2", "n", "ids").join(of, ["h1", "h2"], "left")
+    out = index.select("h1", "h2", "n", "ids").join(of.hint("merge"), ["h1", "h2"], "left")
     out = out.select("h1", "h2", "n", "ids", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
     out = keep.save(out, "texts")
     keep.drop("index", "nodes", "met", "groups", "links", "named", "of")
@@ -441,7 +441,7 @@ def _links(nodes: DataFrame, met: DataFrame, groups: DataFrame, keep: Scratch, p
                 a.append(ids[x]), b.append(ids[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = parts.join(nodes.select("id", "n", "tokens"), "id")
+    rows = parts.hint("merge").join(nodes.select("id", "n", "tokens"), "id")
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
