@@ -113,7 +113,7 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             kinds = {"part": pa.int64(), "seq": pa.int64(), "n_tokens": pa.int64(), "image": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, seq, size, image), kinds.values(), strict=True)], [*kinds])
 
-        for t in runs(it, 4_000_000):
+        for t in runs(it, 5_500_000):
             docs_, at, one = t.column("doc_id").to_pylist(), 0, 0
             more, n = encode(pa.concat_arrays(t.column("text").chunks), tool, end_id)
             ends = np.cumsum(n)
