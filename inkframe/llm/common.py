@@ -137,6 +137,13 @@ def write_objects(rows: DataFrame, column: str, uri: str, suffix: str) -> DataFr
         return keep.save(rows.select(column).mapInArrow(run, "path string, n_bytes long"), "written")
 
 
+def exact(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever other columns docs has: names with dots, or the same in other case."""
+    at = [docs.columns.index(n) for n in names]
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return own.select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names, strict=True)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
