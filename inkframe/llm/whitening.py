@@ -85,7 +85,8 @@ def fit(distinct: DataFrame, d: int, most: int = COMPONENTS) -> Model:
     entry = [F.get("x", k) for k in range(d)]
     n, *sums = distinct.agg(F.count("*"), *[F.sum(c.cast("decimal(38,0)")) for c in entry]).first()
     sums = [int(s) for s in sums]
-    centred = distinct.select(*[(c.cast("double") - F.lit(s / n)).alias(f"c{k}") for k, (c, s) in enumerate(zip(entry, sums, strict=True))])
+    # No entry is null; columns that Spark knows as such sum several times faster.
+    centred = distinct.select(*[F.coalesce(c.cast("double") - F.lit(s / n), F.lit(0.0)).alias(f"c{k}") for k, (c, s) in enumerate(zip(entry, sums, strict=True))])
     model = Model(n, sums, _upper(centred, centred.columns) / n, most)
     k = int(model.sound.sum())
 
@@ -98,7 +99,7 @@ def fit(distinct: DataFrame, d: int, most: int = COMPONENTS) -> Model:
     if k:
         white = distinct.select("x").mapInArrow(run, ", ".join(f"w{j} double" for j in range(k)))
         mean = white.selectExpr(*[f"avg(w{j})" for j in range(k)]).first()
-        white = white.select(*[(F.col(f"w{j}") - F.lit(m)).alias(f"w{j}") for j, m in enumerate(mean)])
+        white = white.select(*[F.coalesce(F.col(f"w{j}") - F.lit(m), F.lit(0.0)).alias(f"w{j}") for j, m in enumerate(mean)])
         model.error = float(np.abs(_upper(white, white.columns) / n - np.eye(k)).max())
     return model
 
