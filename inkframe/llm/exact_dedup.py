@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from inkframe.llm.common import Scratch, exact, parallelism, table
 
 RANGES = 4  # a partition of the shuffle
-SAMPLE = 32  # rows a range; they place the splitters, and no row's result depends on them
-SPLITTER = 4096  # characters of a splitter at most; texts that agree in more stay in one range
+SAMPLE = 16  # rows a range; they place the splitters, and no row's result depends on them
+SPLITTER = 4096  # characters of a splitter at most; different texts that agree in more are dealt together
 
 OP11_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
@@ -28,7 +28,8 @@ def splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
     share = min(1.0, SAMPLE * ranges / max(1, rows.count()))
     some = rows.where(F.rand(11) < share) if share < 1 else rows
     some = some.select(F.substring("text", 1, SPLITTER).alias("text"), "back")
-    tile = F.ntile(ranges).over(Window.orderBy("text", "back"))  # of SAMPLE rows a range, and of bounded texts
+    # One task sorts the sample: SAMPLE rows a range, of SPLITTER characters at most.
+    tile = F.ntile(ranges).over(Window.orderBy("text", "back"))
     least = some.withColumn("tile", tile).groupBy("tile").agg(F.min(F.struct("text", "back")).alias("s"))
     out, before = [], None
     for r in least.where("tile > 1").orderBy("tile").collect():
