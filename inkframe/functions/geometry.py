@@ -86,13 +86,14 @@ def inpaint_margin(w: Column, h: Column) -> Column:
 
 
 def inpaint_boxes(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """Crop around a box with its margin, and the box within the crop; null when nothing is left."""
-    left, top = F.greatest(F.floor(x), F.lit(0)), F.greatest(F.floor(y), F.lit(0))
-    right, bottom = F.least(F.ceil(x + w), width.cast("long")), F.least(F.ceil(y + h), height.cast("long"))
+    """Crop around a box with its margin, and the box within the crop, its edges rounded; null for a box without width or height, or when nothing is left."""
     m = inpaint_margin(w, h)
-    cl, ct = F.greatest(left - m, F.lit(0)), F.greatest(top - m, F.lit(0))
-    cr, cb = F.least(right + m, width.cast("long")), F.least(bottom + m, height.cast("long"))
-    return F.when((right > left) & (bottom > top), F.struct(cl.alias("x"), ct.alias("y"), (cr - cl).alias("w"), (cb - ct).alias("h"), (left - cl).alias("mask_x"), (top - ct).alias("mask_y"), (right - left).alias("mask_w"), (bottom - top).alias("mask_h")))
+    cl, ct = F.greatest(F.floor(x) - m, F.lit(0)), F.greatest(F.floor(y) - m, F.lit(0))
+    cw, ch = F.least(F.ceil(x + w) + m, width.cast("long")) - cl, F.least(F.ceil(y + h) + m, height.cast("long")) - ct
+    left, top = F.greatest(half_up(x - cl), F.lit(0)), F.greatest(half_up(y - ct), F.lit(0))
+    right, bottom = F.least(half_up(x + w - cl), cw), F.least(half_up(y + h - ct), ch)
+    some = (w > 0) & (h > 0) & (cw > 0) & (ch > 0) & (right > left) & (bottom > top)
+    return F.when(some, F.struct(cl.alias("x"), ct.alias("y"), cw.alias("w"), ch.alias("h"), left.alias("mask_x"), top.alias("mask_y"), (right - left).alias("mask_w"), (bottom - top).alias("mask_h")))
 
 
 def keystone_quad(top: Column, bottom: Column, width: Column, height: Column) -> Column:

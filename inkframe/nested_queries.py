@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
 from inkframe.functions import text as tx
-from inkframe.operators import edits, fit, layout, order, passes, raster
+from inkframe.operators import edits, fit, images, layout, order, passes, png, raster
 from inkframe.plans import nested
 from inkframe.plans import synthetic as syn
-from inkframe.queries import _VISIBLE, OBJECTS, REGIONS, WORDS, _marked, _objects
-from inkframe.sources import files
+from inkframe.queries import _VISIBLE, OBJECTS, REGIONS, WORDS, _marked, _objects, _text_sql
+from inkframe.sources import files, sink
 
 # --- nested results ------------------------------------------------------------------------------------------------
 
@@ -158,8 +158,10 @@ def region_word_boxes(spark, sf):
 
 def inpaint_crops(spark, sf):
     w = syn.words(spark, sf)
-    x, y = F.col("bbox.x0") * 3 - 30.5, F.col("bbox.y0") - 5.25
-    b = geo.inpaint_boxes(x, y, F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0"), F.lit(1600), F.lit(4000))
+    # Edges at quarters of a pixel; every 13th box has no width, every 17th is half a pixel high.
+    x, y = F.col("bbox.x0") * 3 - 30.5 + F.col("pos") % 4 * 0.25, F.col("bbox.y0") - 5.25 + F.col("pos") % 3 * 0.25
+    w_, h_ = F.when(F.col("pos") % 13 == 0, 0.0).otherwise(F.col("bbox.x1") - F.col("bbox.x0")), F.when(F.col("pos") % 17 == 0, 0.5).otherwise(F.col("bbox.y1") - F.col("bbox.y0"))
+    b = geo.inpaint_boxes(x, y, w_, h_, F.lit(1600), F.lit(4000))
     w = w.select("scan_id", "pos", b.alias("b")).where("b IS NOT NULL")
     return w.select("scan_id", "pos", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x", "y", "w", "h", "mask_x", "mask_y", "mask_w", "mask_h")])
 
@@ -238,17 +240,19 @@ def _planes(spark, sf, work, schema):
     return nested.pixels(spark, sf).mapInPandas(run, f"scan_id long, {schema}")
 
 
-def _cells(*planes):
-    h, w = planes[0].shape
-    return [(x, y, *(int(p[y, x]) for p in planes)) for y in range(h) for x in range(w)]
+def _rows(*planes):
+    """Sums over each row of the planes."""
+    return [(y, *v) for y, v in enumerate(np.stack([p.sum(1, dtype=np.int64) for p in planes], 1).tolist())]
 
 
 def gray_plane(spark, sf):
-    return _planes(spark, sf, lambda a: _cells(g := raster.gray(a), raster.normalize_contrast(g, np.full(g.shape, 100.0))), "x long, y long, gray long, contrast long")
+    """Grey and contrast of the text's image, summed over each row of pixels."""
+    return _planes(spark, sf, lambda a: _rows(g := raster.gray(a), raster.normalize_contrast(g, np.full(g.shape, 100.0))), "y long, gray long, contrast long")
 
 
 def edge_plane(spark, sf):
-    return _planes(spark, sf, lambda a: _cells(raster.edges(raster.gray(a))), "x long, y long, edge long")
+    """Edge pixels in each row of the text's image."""
+    return _planes(spark, sf, lambda a: _rows(raster.edges(raster.gray(a)) == 0), "y long, edges long")
 
 
 def plane_deviation(spark, sf):
@@ -256,7 +260,70 @@ def plane_deviation(spark, sf):
 
 
 def near_colours(spark, sf):
-    return _planes(spark, sf, lambda a: [(raster.near_colour(a, 1, 5, 6, 1), raster.near_colour(a, 0, 1, 4, 2))], "above string, below string")
+    """Colours by boxes of 20 x 2 pixels in every seventh row of the text's image; those in the first have rows below alone."""
+    return _planes(spark, sf, lambda a: [(y, raster.near_colour(a, 3.5, y + 0.25, 20, 2)) for y in range(0, len(a), 7)], "y long, colour string")
+
+
+def photo_rows(spark, sf):
+    """JPEG files of the texts, read back in colour and in grey: sums over each row of blocks."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for scan, content in zip(pdf["scan_id"], pdf["content"], strict=True):
+                a, g = images.decode(content)[..., :3].astype(np.int64).sum(1), images.decode_gray(content).astype(np.int64).sum(1)
+                sums = np.add.reduceat(np.concatenate([a, g[:, None]], 1), np.arange(0, len(a), 8))
+                rows += [(scan, y, *v) for y, v in enumerate(sums.tolist())]
+            yield pd.DataFrame(rows, columns=["scan_id", "y", "red", "green", "blue", "gray"])
+
+    return nested.photos_of(spark, sf).mapInPandas(run, "scan_id long, y long, red long, green long, blue long, gray long")
+
+
+def word_patches(spark, sf):
+    """Patches of all modified recognized words, cut from the pages' files, by their sizes and colours."""
+    o = edits.refresh(_objects(spark, sf).where("type = 'word'")).where("patched")
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for scan, name, patch in zip(pdf["scan_id"], pdf["id"], pdf["patch"], strict=True):
+                p = images.decode(patch)
+                rows.append((scan, name, None, None, None, None, None) if p is None else (scan, name, p.shape[1], p.shape[0], int(p[..., 0].min()), int(p[..., 0].max()), int(p[..., 1:3].sum(dtype=np.int64))))
+            yield pd.DataFrame(rows, columns=["scan_id", "id", "pw", "ph", "least", "most", "others"]).astype({c: "Int64" for c in ("pw", "ph", "least", "most", "others")})
+
+    found = images.inpainted_patches(o, nested.page_files(spark, sf))
+    return found.mapInPandas(run, "scan_id long, id string, pw long, ph long, least long, most long, others long")
+
+
+def saved_texts(spark, sf):
+    """Filtered texts as a file each, read back."""
+    t = layout.words_to_text(syn.words(spark, sf), "filtered")
+    to = sink.new_folder(spark, "texts")
+    sink.save_files(t.select(F.concat(F.col("scan_id"), F.lit("-result.txt")).alias("name"), F.encode("text", "UTF-8").alias("content")), to)
+    found = sink.read_files(spark, to)
+    return found.select(F.substring_index("name", "-", 1).cast("long").alias("scan_id"), "name", F.decode("content", "UTF-8").alias("text"))
+
+
+def saved_views(spark, sf):
+    """Pages with all modified words deleted, painted from their draw lists over patches, as a file each, read back: sizes and sums of the pixels."""
+    o = _objects(spark, sf)
+    o = edits.refresh(o).withColumn("text", F.when(F.col("patched"), "").otherwise(F.col("text"))).drop("modified", "visible", "patched")
+    pages = nested.page_files(spark, sf)
+    sizes = pages.select("scan_id", F.lit(float(nested.PAGE_WIDTH)).alias("width"), F.lit(float(nested.PAGE_HEIGHT)).alias("height"))
+    patches = images.inpainted_patches(edits.refresh(o.where("type = 'word'")).where("patched"), pages)
+    shown = images.views(edits.draw_list(o, sizes, patches=patches), pages)
+    to = sink.new_folder(spark, "views")
+    sink.save_files(shown.select(F.concat("scan_id", F.lit("-"), F.lit(png.result_name("page", "full"))).alias("name"), "content"), to)
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                a = images.decode(content)[..., :3].astype(np.int64)
+                rows.append((int(name.split("-")[0]), name, a.shape[1], a.shape[0], int(a[..., 0].min()), int(a.sum())))
+            yield pd.DataFrame(rows, columns=["scan_id", "name", "width", "height", "least", "total"])
+
+    return sink.read_files(spark, to).mapInPandas(run, "scan_id long, name string, width long, height long, least long, total long")
 
 
 QUERIES = {
@@ -264,7 +331,7 @@ QUERIES = {
     for f in (
         nested_regions, nested_words, nested_reading_order, element_words, element_text, pass_gates, column_order, text_scalars, normalized_text,
         answer_text, file_kinds, pasted_images, dropped_files, payload_bytes, edit_history, resized, dragged, region_word_boxes, inpaint_crops, page_upscale, homography_corners,
-        selected_objects, marquee_added, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours,
+        selected_objects, marquee_added, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours, photo_rows, word_patches, saved_texts, saved_views,
     )
 }
 
@@ -285,12 +352,17 @@ en AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY li, word
 _MARKED = "marked AS (SELECT scan_id, id FROM o WHERE pos % 3 = 0 AND scan_id % 2 = 0)"
 _EDITED = "(o.text IS DISTINCT FROM o.original_text OR abs(o.x - o.original_x) > 0.01)"
 _FONT = "fonts AS (SELECT d.doc_id AS scan_id, coalesce(median(font_size_pct), 3) AS font, max(pos) + 1 AS last FROM documents d LEFT JOIN o ON o.scan_id = d.doc_id GROUP BY d.doc_id)"
-_PIX = """px AS (SELECT doc_id AS scan_id, x, y, CAST((doc_id * 7 + x * 13 + y * 29) % 256 AS INT) AS r, CAST((doc_id * 10 + x * 26 + y * 29) % 256 AS INT) AS g,
-  CAST((doc_id * 13 + x * 39 + y * 29) % 256 AS INT) AS b FROM documents, unnest(range(8)) AS a(x), unnest(range(6)) AS c(y)),
-gr AS (SELECT *, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS v FROM px)"""
-_SOBEL = f"""{_PIX}, nb AS (SELECT p.scan_id, p.x, p.y, {", ".join(f"max(CASE WHEN q.x = least(greatest(p.x + {i}, 0), 7) AND q.y = least(greatest(p.y + {j}, 0), 5) THEN q.v END) AS v{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))}
-  FROM gr p JOIN gr q ON q.scan_id = p.scan_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY ALL),
-sb AS (SELECT scan_id, x, y, CAST(sqrt(power((v20 - v00) + 2 * (v21 - v01) + (v22 - v02), 2) + power((v02 - v00) + 2 * (v12 - v10) + (v22 - v20), 2)) AS FLOAT) AS m FROM nb)"""
+#: The image of each text: codes and grey values in lists, in rows of 64.
+_CODES = r"""cl AS (SELECT doc_id AS scan_id, list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda x: unicode(x) % 256) AS c FROM documents),
+cd AS (SELECT scan_id, greatest(1, (len(c) + 63) // 64) AS h, list_concat(c, list_transform(range(greatest(1, (len(c) + 63) // 64) * 64 - len(c)), lambda x: 255)) AS c FROM cl),
+gl AS (SELECT scan_id, h, c, list_transform(c, lambda v: CAST(round_even(0.299::DOUBLE * v + 0.587::DOUBLE * (2 * v % 256) + 0.114::DOUBLE * (3 * v % 256), 0) AS INT)) AS g FROM cd)"""
+_PIX = f"""{_CODES}, px AS (SELECT scan_id, h, i // 64 AS y, i % 64 AS x, c AS r, 2 * c % 256 AS g, 3 * c % 256 AS b, v
+  FROM (SELECT scan_id, h, unnest(c) AS c, unnest(g) AS v, unnest(range(len(g))) AS i FROM gl))"""
+_BESIDE = ", ".join(f"CASE WHEN y = {'0' if f == 'lag' else 'h - 1'} THEN {c} ELSE {f}({c}, 64) OVER w END AS {n}{c}" for f, n in (("lag", "u"), ("lead", "d")) for c in "lvr")
+_SOBEL = f"""{_PIX}, s1 AS (SELECT scan_id, h, y, x, v, CASE WHEN x = 0 THEN v ELSE lag(v) OVER w END AS l, CASE WHEN x = 63 THEN v ELSE lead(v) OVER w END AS r FROM px WINDOW w AS (PARTITION BY scan_id ORDER BY y * 64 + x)),
+s2 AS (SELECT *, {_BESIDE} FROM s1 WINDOW w AS (PARTITION BY scan_id ORDER BY y * 64 + x)),
+s3 AS (SELECT scan_id, y, (ur - ul) + 2 * (r - l) + (dr - dl) AS gx, (dl - ul) + 2 * (dv - uv) + (dr - ur) AS gy FROM s2),
+sb AS (SELECT scan_id, y, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS m, max(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) OVER (PARTITION BY scan_id) AS top FROM s3)"""
 
 
 def _corner_sql(x: str, y: str) -> tuple[str, str]:
@@ -300,11 +372,7 @@ def _corner_sql(x: str, y: str) -> tuple[str, str]:
     return f"((1.2 * {a} + 0.1 * {b} + 4) / {z} + 100)", f"((-0.05 * {a} + 0.9 * {b} + 2) / {z} + 40)"
 
 
-def _mean_colour(which: str) -> str:
-    one = lambda c: f"CAST(CAST(floor(avg({c}) FILTER (WHERE {which}) + 0.5) AS INT) AS VARCHAR)"
-    return f"'rgb(' || {one('r')} || ', ' || {one('g')} || ', ' || {one('b')} || ')'"
-
-
+_MEAN_COLOUR = "'rgb(' || " + " || ', ' || ".join(f"CAST(CAST(floor(avg({c}) + 0.5) AS INT) AS VARCHAR)" for c in "rgb") + " || ')'"
 _CORNERS = [_corner_sql(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]
 _QX, _QY = (", ".join(c[k] for c in _CORNERS) for k in (0, 1))
 _S = "least(greatest((((pos + 1) % 9) * 0.25 + ((pos + 1) % 4) * 2.0) / 2, 0.2), 6)"
@@ -349,11 +417,12 @@ FROM documents, (VALUES (0, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (3, 3, 2, 0),
     "dragged": f"""WITH {OBJECTS}, m AS (SELECT *, scan_id % 5 AS px, scan_id % 3 AS py, scan_id % 50 * 2.0 - 40 AS dx, scan_id % 7 * 9.0 AS dy FROM o WHERE (pos + 1) % 3 <> 0)
 SELECT scan_id, id, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(x + dx, 5 - w), 95) ELSE x END, 6) AS x, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(y + dy, 5 - h), 95) ELSE y END, 6) AS y FROM m""",
     "region_word_boxes": f"""WITH {WORDS} SELECT scan_id, pos, round(x0 / 2.5 + 100, 4) AS px0, round(y1 / 2.5 + 40, 4) AS py1, round(least({_QX}), 4) AS qx0, round(least({_QY}), 4) AS qy0, round(greatest({_QX}), 4) AS qx1, round(greatest({_QY}), 4) AS qy1 FROM words""",
-    "inpaint_crops": f"""WITH {WORDS}, b AS (SELECT scan_id, pos, x0 * 3 - 30.5 AS x, y0 - 5.25 AS y, x1 - x0 AS w, y1 - y0 AS h FROM words),
-c AS (SELECT scan_id, pos, greatest(floor(x), 0) AS l, greatest(floor(y), 0) AS t, least(ceil(x + w), 1600) AS r, least(ceil(y + h), 4000) AS b, least(greatest(floor(least(w, h) * 0.75 + 0.5), 8), 40) AS m FROM b),
-k AS (SELECT *, greatest(l - m, 0) AS cl, greatest(t - m, 0) AS ct FROM c WHERE r > l AND b > t)
-SELECT scan_id, pos, CAST(cl AS BIGINT) AS x, CAST(ct AS BIGINT) AS y, CAST(least(r + m, 1600) - cl AS BIGINT) AS w, CAST(least(b + m, 4000) - ct AS BIGINT) AS h, CAST(l - cl AS BIGINT) AS mask_x, CAST(t - ct AS BIGINT) AS mask_y,
-  CAST(r - l AS BIGINT) AS mask_w, CAST(b - t AS BIGINT) AS mask_h FROM k""",
+    "inpaint_crops": f"""WITH {WORDS}, b AS (SELECT scan_id, pos, x0 * 3 - 30.5 + pos % 4 * 0.25 AS x, y0 - 5.25 + pos % 3 * 0.25 AS y, CASE WHEN pos % 13 = 0 THEN 0 ELSE x1 - x0 END AS w, CASE WHEN pos % 17 = 0 THEN 0.5 ELSE y1 - y0 END AS h FROM words),
+c AS (SELECT *, x + w AS x1, y + h AS y1, least(greatest(floor(least(w, h) * 0.75 + 0.5), 8), 40) AS m FROM b WHERE w > 0 AND h > 0),
+k AS (SELECT *, greatest(0, floor(x) - m) AS px0, greatest(0, floor(y) - m) AS py0, least(1600, ceil(x1) + m) AS px1, least(4000, ceil(y1) + m) AS py1 FROM c),
+e AS (SELECT *, greatest(0, floor(x - px0 + 0.5)) AS mx0, greatest(0, floor(y - py0 + 0.5)) AS my0, least(px1 - px0, floor(x1 - px0 + 0.5)) AS mx1, least(py1 - py0, floor(y1 - py0 + 0.5)) AS my1 FROM k WHERE px1 > px0 AND py1 > py0)
+SELECT scan_id, pos, CAST(px0 AS BIGINT) AS x, CAST(py0 AS BIGINT) AS y, CAST(px1 - px0 AS BIGINT) AS w, CAST(py1 - py0 AS BIGINT) AS h, CAST(mx0 AS BIGINT) AS mask_x, CAST(my0 AS BIGINT) AS mask_y,
+  CAST(mx1 - mx0 AS BIGINT) AS mask_w, CAST(my1 - my0 AS BIGINT) AS mask_h FROM e WHERE mx1 > mx0 AND my1 > my0""",
     "page_upscale": """WITH s AS (SELECT doc_id AS scan_id, least(doc_id * 37 % 2000 + 1, doc_id * 91 % 1500 + 1)::DOUBLE AS s FROM documents)
 SELECT scan_id, round(CASE WHEN s < 1000 THEN least(2.0::DOUBLE, 1000 / s) ELSE 1.0 END, 6) AS page, round(CASE WHEN s < 200 THEN least(4.0::DOUBLE, 200 / s) ELSE 1.0 END, 6) AS region FROM s""",
     "homography_corners": "SELECT doc_id AS scan_id, " + ", ".join(f"true AS {a}{k}" for k in range(4) for a in "xy") + " FROM documents",
@@ -365,15 +434,31 @@ SELECT scan_id, round(CASE WHEN s < 1000 THEN least(2.0::DOUBLE, 1000 / s) ELSE
   round(font, 6) AS font_size_pct FROM fonts, unnest([1, 2]) AS a(n)""",
     "patches": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN known AND (pos + 1) % 4 <> 0 THEN 'p' || CAST(pos + 1 AS VARCHAR) END AS patch, known
 FROM (SELECT scan_id, id, pos, {_EDITED} AND (pos + 1) % 2 = 0 AS known FROM o)""",
-    "gray_plane": f"""WITH {_PIX} SELECT scan_id, x, y, CAST(v AS BIGINT) AS gray, CAST(least(greatest(round_even(128 + (v - 100) * 1.6::DOUBLE,
-  0), 0), 255) AS BIGINT) AS contrast FROM gr""",
-    "edge_plane": f"""WITH {_SOBEL}, mx AS (SELECT scan_id, max(m) AS top FROM sb GROUP BY scan_id) SELECT scan_id,
-  x, y, CAST(CASE WHEN top > 0 AND m > 0.18::DOUBLE * top THEN 0 ELSE 255 END AS BIGINT) AS edge
-  FROM sb JOIN mx USING (scan_id)""",
-    "plane_deviation": f"WITH {_PIX} SELECT scan_id, round(stddev_pop(v), 6) AS deviation FROM gr GROUP BY scan_id",
-    "near_colours": f"""WITH {_PIX} SELECT scan_id, {_mean_colour('y BETWEEN 1 AND 4 AND x IN (1, 3, 5)')} AS above,
-  {_mean_colour('y >= 3 AND x IN (0, 2)')} AS below FROM px GROUP BY scan_id""",
-    "text_with_notes": f"""WITH {OBJECTS}, t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM o WHERE text <> '' AND {_VISIBLE} GROUP BY ALL),
-s AS (SELECT scan_id, string_agg(line, chr(10) ORDER BY line_index) || chr(10) AS text FROM t GROUP BY scan_id)
+    "gray_plane": f"""WITH {_PIX} SELECT scan_id, y, CAST(sum(v) AS BIGINT) AS gray, CAST(sum(least(greatest(round_even(128 + (v - 100) * 1.6::DOUBLE,
+  0), 0), 255)) AS BIGINT) AS contrast FROM px GROUP BY scan_id, y""",
+    "edge_plane": f"""WITH {_SOBEL} SELECT scan_id, y, count(*) FILTER (WHERE top > 0 AND CAST(CAST(m AS FLOAT) AS DOUBLE) > 0.18::DOUBLE * top) AS edges FROM sb GROUP BY scan_id, y""",
+    "plane_deviation": f"WITH {_PIX} SELECT scan_id, round(stddev_pop(v), 6) AS deviation FROM px GROUP BY scan_id",
+    "near_colours": f"""WITH {_PIX}, bx AS (SELECT scan_id, h, unnest(range(0, h, 7)) AS y FROM gl),
+s AS (SELECT scan_id, y, CASE WHEN y = 0 THEN least(h - 1, 4) ELSE greatest(0, y - 4) END AS top, CASE WHEN y = 0 THEN least(h - 1, 7) ELSE y - 1 END AS bottom FROM bx)
+SELECT s.scan_id, s.y, {_MEAN_COLOUR} AS colour FROM s JOIN px ON px.scan_id = s.scan_id AND px.y BETWEEN top AND bottom AND x BETWEEN 3 AND 24 AND x % 2 = 1 GROUP BY ALL""",
+    "photo_rows": f"""WITH {_CODES}, k AS (SELECT scan_id, 16 * CAST(pow(2, list_min(list_filter(range(0, 12), lambda k: len(c) <= 128000 * pow(2, k)))) AS BIGINT) AS across, c FROM cl),
+n AS (SELECT scan_id, across, greatest(1, (len(c) + across - 1) // across) AS h, c FROM k),
+p AS (SELECT scan_id, across, h, list_concat(c, list_transform(range(h * across - len(c)), lambda x: 255)) AS c FROM n),
+b AS (SELECT scan_id, i // across AS y, h, c, 2 * c % 256 - 128 AS u, 3 * c % 256 - 128 AS v FROM (SELECT scan_id, across, h, unnest(c) AS c, unnest(range(len(c))) AS i FROM p)),
+q AS (SELECT scan_id, y, 8 * CASE WHEN y = h - 1 THEN 5 ELSE 8 END AS n, c, scan_id % 2 = 1 AS colour, floor(c + 1.402::DOUBLE * v + 0.5) AS r, floor(c - 0.344136::DOUBLE * u - 0.714136::DOUBLE * v + 0.5) AS g,
+  floor(c + 1.772::DOUBLE * u + 0.5) AS b FROM b)
+SELECT scan_id, y, {", ".join(f"CAST(sum(n * CASE WHEN colour THEN least(255, greatest(0, {x})) ELSE c END) AS BIGINT) AS {name}" for x, name in (("r", "red"), ("g", "green"), ("b", "blue")))}, CAST(sum(n * c) AS BIGINT) AS gray FROM q GROUP BY scan_id, y""",
+    "word_patches": f"""WITH {OBJECTS}, b AS (SELECT scan_id, id, round(original_x / 100 * 160, 6) AS x, round(y / 100 * 400, 6) AS y, round(w / 100 * 160, 6) AS w, round(h / 100 * 400, 6) AS h FROM o WHERE {_EDITED}),
+k AS (SELECT *, greatest(0, floor(x) - 8) AS cx, greatest(0, floor(y) - 8) AS cy, least(160, ceil(x + w) + 8) AS ex, least(400, ceil(y + h) + 8) AS ey FROM b),
+e AS (SELECT *, least(ex - cx, floor(x + w - cx + 0.5)) - greatest(0, floor(x - cx + 0.5)) AS pw, least(ey - cy, floor(y + h - cy + 0.5)) - greatest(0, floor(y - cy + 0.5)) AS ph FROM k),
+t AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 255 ELSE unicode(text) % 256 END AS c FROM documents)
+SELECT scan_id, id, CASE WHEN pw > 0 AND ph > 0 THEN CAST(pw AS BIGINT) END AS pw, CASE WHEN pw > 0 AND ph > 0 THEN CAST(ph AS BIGINT) END AS ph, CASE WHEN pw > 0 AND ph > 0 THEN CAST(c AS BIGINT) END AS least,
+  CASE WHEN pw > 0 AND ph > 0 THEN CAST(c AS BIGINT) END AS most, CASE WHEN pw > 0 AND ph > 0 THEN CAST(pw * ph * (2 * c % 256 + 3 * c % 256) AS BIGINT) END AS others FROM e JOIN t ON t.doc_id = e.scan_id""",
+    "saved_texts": f"SELECT scan_id, CAST(scan_id AS VARCHAR) || '-result.txt' AS name, text FROM ({_text_sql('NOT noise')})",
+    "saved_views": f"""WITH {WORDS}, t AS (SELECT doc_id AS scan_id, CASE WHEN text IS NULL OR text = '' THEN 255 ELSE unicode(text) % 256 END AS c, doc_id IN (SELECT scan_id FROM words WHERE x0 = 0 AND y0 = 0) AS gone FROM documents)
+SELECT scan_id, CAST(scan_id AS VARCHAR) || '-page-full-image.png' AS name, 160 AS width, 400 AS height, CAST(CASE WHEN gone THEN c ELSE 0 END AS BIGINT) AS least,
+  CAST((160 * 400 - CASE WHEN gone THEN 0 ELSE 1 END) * (c + 2 * c % 256 + 3 * c % 256) AS BIGINT) AS total FROM t""",
+    "text_with_notes": f"""WITH {OBJECTS}, t AS (SELECT scan_id, line_index, string_agg(text, ' ' ORDER BY pos) AS line FROM o WHERE {_VISIBLE} GROUP BY ALL),
+s AS (SELECT scan_id, string_agg(trim(line), chr(10) ORDER BY line_index) || chr(10) AS text FROM t WHERE trim(line) <> '' GROUP BY scan_id)
 SELECT doc_id AS scan_id, coalesce(s.text, '') || 'first' || chr(10) || 'second note' AS text FROM documents LEFT JOIN s ON s.scan_id = doc_id""",
 }

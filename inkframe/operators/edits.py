@@ -93,20 +93,31 @@ def add_user_text(objects: DataFrame, fonts: DataFrame, images: DataFrame, added
     return objects.unionByName(a.select(*[(F.col(c) if c in own else have.get(c, F.lit(None))).cast(kinds[c]).alias(c) for c in objects.columns]))
 
 
-def draw_list(objects: DataFrame, images: DataFrame, mode: str = "full") -> DataFrame:
-    """What to paint, by z: surface, image (full mode), patches of modified recognized words (full mode), then words with text (in full mode not the unmodified recognized ones)."""
-    o = refresh(objects.where("type = 'word'")).join(images, "scan_id")
-    o = o.withColumn("p", pixel_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("font_size_pct"), F.col("width"), F.col("height")))
-    o = o.withColumn("q", pixel_box(F.col("original_x"), F.col("original_y"), F.col("original_w"), F.col("original_h"), F.col("font_size_pct"), F.col("width"), F.col("height")))
-    none = F.lit(None)
-    base = lambda kind, layer: images.select("scan_id", F.lit(layer).alias("layer"), F.lit(0).alias("ordinal"), F.lit(kind).alias("kind"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.col("width").cast("double").alias("pw"), F.col("height").cast("double").alias("ph"), none.cast("string").alias("text"), none.cast("double").alias("font_px"))
-    words = o.where(F.coalesce(F.col("text"), F.lit("")) != "")
-    if mode == "full":
-        words = words.where("modified")
-    out = base("surface", 0).unionByName(words.select("scan_id", F.lit(3).alias("layer"), "ordinal", F.lit("word").alias("kind"), "p.px", "p.py", "p.pw", "p.ph", "text", "p.font_px"))
-    if mode == "full":
-        patch = o.where("patched").select("scan_id", F.lit(2).alias("layer"), "ordinal", F.lit("patch").alias("kind"), "q.px", "q.py", "q.pw", "q.ph", none.cast("string").alias("text"), none.cast("double").alias("font_px"))
-        out = out.unionByName(base("image", 1)).unionByName(patch)
+def draw_list(objects: DataFrame, images: DataFrame, mode: str = "full", patches: DataFrame | None = None) -> DataFrame:
+    """What to paint, by z: surface, image at its object's place (full mode), patches of modified recognized words (full mode), then words with text (in full mode not the unmodified recognized ones).
+
+    A patch row carries the patch (binary) that `patches` (scan_id, id, patch) has for its object, and the object's
+    patch_colour, where objects have that column. Each object gives its rows by itself, so objects are read once.
+    """
+    if patches is not None:
+        objects = objects.join(patches.select("scan_id", "id", "patch"), ["scan_id", "id"], "left")
+    o = refresh(objects).join(images.select("scan_id", "width", "height"), "scan_id")
+    box = lambda p: pixel_box(*[F.col(f"{p}{c}") for c in "xywh"], *[F.col(c) for c in ("font_size_pct", "width", "height")])
+    o = o.withColumn("p", box("")).withColumn("q", box("original_"))
+    none = {"patch": "binary", "colour": "string", "text": "string", "font_px": "double"}
+    have = {"patch": F.col("patch") if patches is not None else None, "colour": F.col("patch_colour") if "patch_colour" in objects.columns else None, "text": F.col("text"), "font_px": F.col("p.font_px")}
+
+    def row(layer: int, kind: str, place: list, *own: str):
+        rest = [(have[c] if c in own and have[c] is not None else F.lit(None)).cast(t).alias(c) for c, t in none.items()]
+        return F.struct(F.lit(layer).alias("layer"), F.lit(kind).alias("kind"), *[v.cast("double").alias(k) for k, v in zip(("px", "py", "pw", "ph"), place, strict=True)], *rest)
+
+    at = lambda b: [F.col(f"{b}.{c}") for c in ("px", "py", "pw", "ph")]
+    word, full = F.col("type") == "word", F.lit(mode == "full")
+    shown = word & (F.coalesce("text", F.lit("")) != "") & (F.col("modified") | ~full)
+    rows = F.array(F.when(full & (F.col("type") == "image"), row(1, "image", at("p"))), F.when(full & word & F.col("patched"), row(2, "patch", at("q"), "patch", "colour")), F.when(shown, row(3, "word", at("p"), "text", "font_px")))
+    out = o.select("scan_id", "ordinal", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    surface = images.select("scan_id", F.lit(0).alias("ordinal"), row(0, "surface", [F.lit(0), F.lit(0), F.col("width"), F.col("height")]).alias("r"))
+    out = out.unionByName(surface).select("scan_id", "ordinal", "r.*")
     return out.withColumn("z", F.row_number().over(Window.partitionBy("scan_id").orderBy("layer", "ordinal")) - 1).drop("layer", "ordinal")
 
 

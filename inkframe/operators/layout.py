@@ -87,7 +87,8 @@ def active_text(objects: DataFrame, selected: DataFrame | None = None, level: st
     """(scan_id, text) of layout objects: recognized words by line, then the user's words in creation order.
 
     objects: scan_id, id, ordinal, origin, line_index, text, original_text, confidence. A selection (scan_id, id)
-    restricts a scan only if it holds a word of it. Edited words always pass; empty lines are dropped.
+    restricts a scan only if it holds a word of it. Edited words always pass, deleted ones as empty words of their line;
+    lines are trimmed, and empty ones dropped.
     """
     o = objects.where("type = 'word'") if "type" in objects.columns else objects
     if selected is not None:
@@ -96,10 +97,9 @@ def active_text(objects: DataFrame, selected: DataFrame | None = None, level: st
         any_ = F.max(F.col("__id").isNotNull()).over(Window.partitionBy("scan_id"))
         o = marked.withColumn("__any", any_).where(~F.col("__any") | F.col("__id").isNotNull()).drop("__s", "__id", "__any")
     edited = (F.col("origin") == "user") | ~F.col("text").eqNullSafe(F.col("original_text"))
-    t = strip(F.coalesce(F.col("text"), F.lit("")))
-    o = o.where(word_passes(F.col("text"), F.col("confidence"), level, edited)).withColumn("t", t).where("t <> ''")
+    o = o.where(word_passes(F.col("text"), F.col("confidence"), level, edited)).withColumn("t", F.coalesce("text", F.lit("")))
     line = F.when(F.col("origin") == "user", F.lit(2147483647)).otherwise(F.col("line_index"))
     sub = F.when(F.col("origin") == "user", F.col("ordinal")).otherwise(0)
     per = o.groupBy("scan_id", line.alias("line"), sub.alias("sub")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "t"))).alias("ws"))
-    per = per.withColumn("t", F.array_join(F.col("ws.t"), " "))
+    per = per.withColumn("t", strip(F.array_join(F.col("ws.t"), " "))).where("t <> ''")
     return per.groupBy("scan_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "sub", "t")))["t"], "\n").alias("text"))

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from inkframe.operators import passes, png, raster
+from inkframe.operators import images as images_
+from inkframe.operators import passes, raster
 from inkframe.operators.fit import LEAST_CHANGE, LEAST_LINES, LEAST_R2
 from inkframe.operators.order import compare_regions
 
@@ -191,7 +192,7 @@ def scan_images(images: DataFrame, engine: type) -> DataFrame:
             for pdf in it:
                 rows = []
                 for scan, content in zip(pdf["scan_id"], pdf["content"], strict=True):
-                    image = png.decode(content)
+                    image = images_.decode(content)
                     if image is None:
                         rows.append((scan, None, None, None, "the image cannot be read"))
                         continue
@@ -221,7 +222,7 @@ def timed_scan(images: DataFrame, engine: type) -> DataFrame:
                 for name, content in zip(pdf["name"], pdf["content"], strict=True):
                     at = time.monotonic()
                     try:
-                        image = png.decode(content)
+                        image = images_.decode(content)
                         if image is None:
                             raise ValueError("the image cannot be read")
                         text, error = "\n".join(" ".join(x.text for j, x in own if j == k) for own in [scan_image(tool, image)[2]] for k in sorted({j for j, _ in own})), None

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkframe.operators import png
 from inkframe.operators.layout import BLOCKS, ELEMENTS
+from inkframe.plans import photos
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +73,63 @@ def element_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("scan_id", blocks.cast(ELEMENTS).alias("blocks"))
 
 
-def pixels(spark: SparkSession, sf_dir: str, width: int = 8, height: int = 6) -> DataFrame:
-    """(scan_id, width, height, rgba): a small image of each document, from its id."""
-    s, n = F.col("scan_id"), width * height
-    byte = lambda i: F.when(i % 4 == 3, 255).otherwise((s * (i % 4 * 3 + 7) + F.floor(i / 4) % width * 13 * (i % 4 + 1) + F.floor(i / (4 * width)) * 29) % 256)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * n - 1)), lambda i: F.lpad(F.hex(byte(i).cast("long")), 2, "0")), "")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
-    return d.select("scan_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(text).alias("rgba"))
+#: Pixels in a row of a text's image.
+ACROSS = 64
+
+
+def picture(text: str | None) -> np.ndarray:
+    """The image of a text, RGBA: a pixel a character, in rows of 64; with c its code point % 256, or 255 after the end, red c, green 2 c, blue 3 c, all % 256."""
+    code = np.frombuffer((text or "").encode("utf-32-le", "replace"), "<u4") & 255
+    c = np.full((max(1, -(-len(code) // ACROSS)), ACROSS), 255)
+    c.ravel()[: len(code)] = code
+    return np.stack([c, 2 * c, 3 * c, np.full(c.shape, 255)], 2).astype(np.uint8)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan_id, width, height, rgba): the image of each whole text."""
+
+    def run(it):
+        for pdf in it:
+            images = [picture(t) for t in pdf["text"]]
+            yield pd.DataFrame({"scan_id": pdf["scan_id"], "width": ACROSS, "height": [len(x) for x in images], "rgba": [x.tobytes() for x in images]})
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "text")
+    return d.mapInPandas(run, "scan_id long, width int, height int, rgba binary")
+
+
+def _files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    def run(it):
+        for pdf in it:
+            for at in range(0, len(pdf), 64):  # a few files at a time
+                some = pdf[at : at + 64]
+                yield pd.DataFrame({"scan_id": some["scan_id"], "content": [make(s, t) for s, t in zip(some["scan_id"], some["text"], strict=True)]})
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "text")
+    # Making and reading a file takes longer than moving its text: as many tasks as shuffles have.
+    return d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "scan_id").mapInPandas(run, "scan_id long, content binary")
+
+
+def photos_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan_id, content): a JPEG file of each whole text, in colour for odd ids."""
+    return _files(spark, sf_dir, lambda scan, text: photos.photo(text, scan % 2 == 1))
+
+
+#: Pixels of a page's picture: a tenth of those that its boxes are given in.
+PAGE_WIDTH, PAGE_HEIGHT = 160, 400
+
+
+def page_file(text: str | None) -> bytes:
+    """A PNG page of one colour, with c the text's first code point % 256 (or 255): red c, green 2 c, blue 3 c, all % 256; its first pixel is black."""
+    c = ord(text[0]) % 256 if text else 255
+    page = np.empty((PAGE_HEIGHT, PAGE_WIDTH, 4), np.uint8)
+    page[:] = (c, 2 * c % 256, 3 * c % 256, 255)
+    page[0, 0, :3] = 0
+    return png.encode(page)
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan_id, content): the page of each text."""
+    return _files(spark, sf_dir, lambda scan, text: page_file(text))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:

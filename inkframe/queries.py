@@ -218,8 +218,11 @@ def selection_toggle(spark, sf):
 
 
 def draw_list(spark, sf):
-    d = edits.draw_list(_objects(spark, sf), syn.images(spark, sf))
-    return d.select("scan_id", F.col("z").cast("long").alias("z"), "kind", _r(F.col("px"), "px", 4), _r(F.col("py"), "py", 4), "text")
+    """Every fourth scan's image is moved and shrunk."""
+    o, moved = _objects(spark, sf), (F.col("type") == "image") & (F.col("scan_id") % 4 == 0)
+    o = o.withColumn("x", F.when(moved, 5.0).otherwise(F.col("x"))).withColumn("w", F.when(moved, 50.0).otherwise(F.col("w")))
+    d = edits.draw_list(o, syn.images(spark, sf))
+    return d.select("scan_id", F.col("z").cast("long").alias("z"), "kind", _r(F.col("px"), "px", 4), _r(F.col("py"), "py", 4), _r(F.col("pw"), "pw", 4), "text")
 
 
 def reading_order(spark, sf):
@@ -330,18 +333,18 @@ FROM c JOIN v ON v.item_id = c.item_id""",
   NULL FROM documents WHERE doc_id % 3 <> 1""",
     "selected_text": f"""WITH {OBJECTS}, {_MARKED}, s AS (SELECT o.* FROM o LEFT JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id
   WHERE o.scan_id % 2 <> 0 OR m.id IS NOT NULL), t AS (SELECT scan_id, line_index, string_agg(text,
-  ' ' ORDER BY pos) AS line FROM s WHERE text <> '' AND {_VISIBLE} GROUP BY ALL) SELECT scan_id,
-  string_agg(line, chr(10) ORDER BY line_index) AS text FROM t GROUP BY scan_id""",
+  ' ' ORDER BY pos) AS line FROM s WHERE {_VISIBLE} GROUP BY ALL) SELECT scan_id,
+  string_agg(trim(line), chr(10) ORDER BY line_index) AS text FROM t WHERE trim(line) <> '' GROUP BY scan_id""",
     "delete_selection": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN pos % 3 = 0 AND scan_id % 2 = 0 THEN '' ELSE text END AS text
   FROM o UNION ALL SELECT doc_id, 'obj-bg', NULL FROM documents""",
     "selection_toggle": f"WITH {OBJECTS} SELECT scan_id, count(*) AS n FROM o WHERE (pos % 3 = 0 AND scan_id % 2 = 0) <> (pos % 2 = 0) GROUP BY scan_id",
     "draw_list": f"""WITH {OBJECTS}, d AS (SELECT doc_id AS scan_id, 0 AS layer, 0 AS pos, 'surface' AS kind,
-  0.0::DOUBLE AS px, 0.0::DOUBLE AS py, NULL::VARCHAR AS text FROM documents UNION ALL
-  SELECT doc_id, 1, 0, 'image', 0.0, 0.0, NULL FROM documents UNION ALL SELECT scan_id,
-  2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, NULL FROM o WHERE {_MODIFIED}
-  UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, text FROM o
+  0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 1600.0::DOUBLE AS pw, NULL::VARCHAR AS text FROM documents UNION ALL
+  SELECT doc_id, 1, 0, 'image', CASE WHEN doc_id % 4 = 0 THEN 80.0 ELSE 0.0 END, 0.0, CASE WHEN doc_id % 4 = 0 THEN 800.0 ELSE 1600.0 END, NULL FROM documents UNION ALL SELECT scan_id,
+  2, pos, 'patch', original_x / 100 * 1600, y / 100 * 4000, w / 100 * 1600, NULL FROM o WHERE {_MODIFIED}
+  UNION ALL SELECT scan_id, 3, pos, 'word', x / 100 * 1600, y / 100 * 4000, w / 100 * 1600, text FROM o
   WHERE {_MODIFIED} AND text <> '') SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY layer,
-  pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, text FROM d""",
+  pos) - 1 AS z, kind, round(px, 4) AS px, round(py, 4) AS py, round(pw, 4) AS pw, text FROM d""",
     "reading_order": f"""WITH {REGIONS} SELECT a.scan_id, CAST(a.block_no AS INT) AS block_no, CAST(count(b.block_no) AS INT) AS rank FROM regions a LEFT JOIN regions b ON b.scan_id = a.scan_id AND b.block_no <> a.block_no
   AND CASE WHEN abs(b.y0 - a.y0) > 0.5 * least(a.y1 - a.y0, b.y1 - b.y0) THEN b.y0 < a.y0 ELSE b.x0 < a.x0 OR (b.x0 = a.x0 AND b.block_no < a.block_no) END GROUP BY ALL""",
     "homography_apply": f"""WITH {WORDS} SELECT scan_id, pos, round((1.1 * x0 + 0.02 * y0 + 5) / (0.0001 * x0 + 0.0002 * y0 + 1),

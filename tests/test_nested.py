@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from inkframe import nested_queries
-from inkframe.operators import png, raster, scan
+from inkframe.operators import images, png, raster, scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -117,7 +117,7 @@ def test_png(spark):
             near = min((abs(p - v), k) for k, v in enumerate((a, b, c)))[1]
             rows[y, x] = (int(raw[y, x]) - (0, a, b, (a + b) // 2, (a, b, c)[near])[y]) % 256
     assert (png._unfilter(rows, np.arange(5), 3) == raw).all()
-    got = {x.scan_id: x for x in png.read_pixels(spark.createDataFrame([(1, bytearray(png.encode(image))), (2, bytearray(b"x"))], "scan_id long, content binary")).collect()}
+    got = {x.scan_id: x for x in images.read_pixels(spark.createDataFrame([(1, bytearray(png.encode(image))), (2, bytearray(b"x"))], "scan_id long, content binary")).collect()}
     assert (got[1].width, got[1].height, bytes(got[1].rgba)) == (7, 13, image.tobytes()) and got[2].rgba is None
 
 
