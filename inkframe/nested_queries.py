@@ -93,10 +93,11 @@ def answer_text(spark, sf):
 
 
 def file_kinds(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    """Names and sizes of files of the texts, the ending by the length in bytes."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
     ends = F.array(*[F.lit(x) for x in (".png", ".JPG", ".jpeg?v=1", ".txt", ".svg", "", ".webp?a.b=c", ".html")])
-    path = F.concat(F.lit("dir/f"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 8).cast("int")))
-    f = d.select("doc_id", path.alias("path"), (F.col("doc_id") * 1000003 % 20000000).alias("length")).withColumn("mime", files.mime_type(F.col("path")))
+    path = F.concat(F.lit("dir/f"), F.col("doc_id").cast("string"), F.get(ends, (F.col("n") % 8).cast("int")))
+    f = d.select("doc_id", path.alias("path"), (F.col("n") * 5000).alias("length")).withColumn("mime", files.mime_type(F.col("path")))
     return f.select("doc_id", "mime", files.rejection(F.col("mime"), F.col("length")).alias("error"))
 
 
@@ -117,11 +118,11 @@ def payload_bytes(spark, sf):
 
 
 def edit_history(spark, sf):
-    """Two edits, one undone, a word placed and left blank: versions and depths after each event."""
-    steps = [("push", 1), ("push", 2), ("undo", None), ("place", 3), ("blank", 4), ("undo", None), ("redo", None), ("redo", None)]
-    event = lambda k, kind, v: F.struct(F.lit(k).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.lit(v).cast("long") + F.col("scan_id") * 10).alias("version"))
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
-    e = d.select("scan_id", F.explode(F.array(*[event(k, kind, v) for k, (kind, v) in enumerate(steps)])).alias("e")).select("scan_id", "e.*")
+    """Each line of a text is an event, by its length n: an edit to version n (n % 6 of 0, 1 and 5), undo (2, 3) or redo (4)."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"), F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    n = F.length("line").cast("long")
+    kind = F.when((n % 6).isin(2, 3), "undo").when(n % 6 == 4, "redo").otherwise("push")
+    e = d.select("scan_id", F.col("seq").cast("long").alias("seq"), kind.alias("kind"), n.alias("version"))
     return edits.history(e).select("scan_id", "seq", "version", F.col("undo_depth").cast("long").alias("undo_depth"), F.col("redo_depth").cast("long").alias("redo_depth"))
 
 
@@ -166,23 +167,26 @@ def inpaint_crops(spark, sf):
     return w.select("scan_id", "pos", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x", "y", "w", "h", "mask_x", "mask_y", "mask_w", "mask_h")])
 
 
+def _extents(spark, sf):
+    """(scan_id, w, h, n): how far the words of each document reach, and how many they are."""
+    return syn.words(spark, sf).groupBy("scan_id").agg(F.max("bbox.x1").alias("w"), F.max("bbox.y1").alias("h"), F.count("*").alias("n"))
+
+
 def page_upscale(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
-    w, h = (F.col("scan_id") * 37 % 2000 + 1), (F.col("scan_id") * 91 % 1500 + 1)
-    return d.select("scan_id", _r(geo.upscale(w, h, "page"), "page"), _r(geo.upscale(w, h, "region"), "region"))
+    return _extents(spark, sf).select("scan_id", _r(geo.upscale(F.col("w"), F.col("h"), "page"), "page"), _r(geo.upscale(F.col("w"), F.col("h"), "region"), "region"))
 
 
 def homography_corners(spark, sf):
-    """Four corners through the homography that is to lead them onto four targets."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
-    s = F.col("scan_id") % 40
-    source = F.array(*[F.lit(float(v)) for v in (0, 0, 100, 0, 100, 80, 0, 80)])
+    """The rectangle of a document's words led onto a quadrilateral: where its corners and its centre come to lie."""
+    d = _extents(spark, sf)
+    w, h, s = F.col("w"), F.col("h"), F.col("n") % 40
+    source = F.array(*[c.cast("double") for c in (F.lit(0), F.lit(0), w, F.lit(0), w, h, F.lit(0), h)])
     target = F.array(*[c.cast("double") for c in (s, s * 0.5, 120 + s, s * 0.25, 110 - s, 90 + s, 5 + s, 85 + s * 2)])
-    d = d.select("scan_id", target.alias("t"), order.homography(source, target).alias("m"))
+    d = d.select("scan_id", "w", "h", order.homography(source, target).alias("m"))
     out = []
-    for k, (x, y) in enumerate(((0, 0), (100, 0), (100, 80), (0, 80))):
-        u, v = geo.apply_homography(F.col("m"), F.lit(float(x)), F.lit(float(y)))
-        out += [(F.abs(u - F.col("t")[2 * k]) < 1e-6).alias(f"x{k}"), (F.abs(v - F.col("t")[2 * k + 1]) < 1e-6).alias(f"y{k}")]
+    for k, (x, y) in enumerate(((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h), (F.lit(0.0), h), (w / 2, h / 2))):
+        u, v = geo.apply_homography(F.col("m"), x, y)
+        out += [_r(u, f"x{k}", 4), _r(v, f"y{k}", 4)]
     return d.select("scan_id", *out)
 
 
@@ -400,19 +404,24 @@ SELECT doc_id, 'A' || text AS capital, CASE WHEN strpos(url, ',') > 0 THEN subst
     "normalized_text": f"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '{_SPACES}', ' ', 'g'), ' ') AS t, ' ' || chr(9) || text || chr(10) || ' ' AS raw FROM documents)
 SELECT doc_id, t AS text, len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS n_tokens, CAST(length(raw) + length(regexp_replace(raw, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS BIGINT) AS n_units FROM n""",
     "answer_text": f"""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND t <> '' THEN t END AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^{_SPACES}', ''), '{_SPACES}$', '') AS t FROM documents)""",
-    "file_kinds": """WITH f AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/jpeg' WHEN 4 THEN 'image/svg+xml' WHEN 6 THEN 'image/webp' WHEN 7 THEN 'text/html'
-  ELSE 'application/octet-stream' END AS mime, doc_id * 1000003 % 20000000 AS n FROM documents)
+    "file_kinds": """WITH b AS (SELECT doc_id, coalesce(strlen(text), 0) AS n FROM documents), f AS (SELECT doc_id, CASE n % 8 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/jpeg' WHEN 4 THEN 'image/svg+xml' WHEN 6 THEN 'image/webp' WHEN 7 THEN 'text/html'
+  ELSE 'application/octet-stream' END AS mime, n * 5000 AS n FROM b)
 SELECT doc_id, mime, CASE WHEN mime NOT LIKE 'image/%' THEN 'type' WHEN n > 15 * 1024 * 1024 THEN 'size' END AS error FROM f""",
-    "pasted_images": """WITH c AS (SELECT doc_id AS clip_id, k AS ordinal, CASE (doc_id * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
+    "pasted_images": """WITH c AS (SELECT doc_id AS clip_id, k AS ordinal, CASE (coalesce(length(text), 0) * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
   ELSE 'application/json' END AS mime FROM documents, unnest(range(5)) AS a(k))
 SELECT clip_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c WHERE mime LIKE 'image/%' GROUP BY clip_id""",
-    "dropped_files": """WITH c AS (SELECT doc_id AS drop_id, k AS ordinal, CASE (doc_id * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
+    "dropped_files": """WITH c AS (SELECT doc_id AS drop_id, k AS ordinal, CASE (coalesce(length(text), 0) * 3 + k * (doc_id % 4 + 1)) % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/jpeg'
   ELSE 'application/json' END AS mime FROM documents, unnest(range(5)) AS a(k) WHERE (doc_id + k) % 3 <> 0)
 SELECT drop_id, min(ordinal) AS ordinal, arg_min(mime, ordinal) AS mime FROM c GROUP BY drop_id""",
     "payload_bytes": """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes,
   CASE WHEN doc_id % 7 <> 0 THEN text END AS text FROM documents""",
-    "edit_history": """SELECT doc_id AS scan_id, CAST(seq AS BIGINT) AS seq, CASE WHEN v IS NOT NULL THEN doc_id * 10 + v END AS version, CAST(undo_depth AS BIGINT) AS undo_depth, CAST(redo_depth AS BIGINT) AS redo_depth
-FROM documents, (VALUES (0, 1, 1, 0), (1, 2, 2, 0), (2, 1, 1, 1), (3, 3, 2, 0), (4, 1, 1, 0), (5, NULL, 0, 1), (6, 1, 1, 0), (7, 1, 1, 0)) AS s(seq, v, undo_depth, redo_depth)""",
+    "edit_history": f"""WITH RECURSIVE ev AS (SELECT doc_id AS scan_id, unnest({_LINES}) AS line, CAST(unnest(range(len({_LINES}))) AS BIGINT) AS seq FROM documents),
+e AS (SELECT scan_id, seq, length(line) AS n, CASE WHEN length(line) % 6 IN (2, 3) THEN 'undo' WHEN length(line) % 6 = 4 THEN 'redo' ELSE 'push' END AS kind FROM ev),
+f AS (SELECT DISTINCT scan_id, CAST(-1 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS u, CAST([] AS BIGINT[]) AS r, CAST(NULL AS BIGINT) AS now FROM ev
+UNION ALL SELECT f.scan_id, e.seq, CASE WHEN kind = 'push' THEN list_concat(u, [now])[-100:] WHEN kind = 'undo' THEN u[:len(u) - 1] WHEN len(r) > 0 THEN list_concat(u, [now]) ELSE u END,
+  CASE WHEN kind = 'push' THEN [] WHEN kind = 'redo' THEN r[:len(r) - 1] WHEN len(u) > 0 THEN list_concat(r, [now]) ELSE r END,
+  CASE WHEN kind = 'push' THEN n WHEN kind = 'undo' AND len(u) > 0 THEN u[len(u)] WHEN kind = 'redo' AND len(r) > 0 THEN r[len(r)] ELSE now END FROM f JOIN e ON e.scan_id = f.scan_id AND e.seq = f.seq + 1)
+SELECT scan_id, seq, now AS version, CAST(len(u) AS BIGINT) AS undo_depth, CAST(len(r) AS BIGINT) AS redo_depth FROM f WHERE seq >= 0""",
     "resized": f"""WITH {OBJECTS} SELECT scan_id, id, round(least(greatest(w * {_S}, 1.5), 400), 6) AS w, round(least(greatest(h * {_S}, 1.5), 400), 6) AS h, round(greatest(font_size_pct * {_S}, 0.5), 6) AS font_size_pct FROM o""",
     "dragged": f"""WITH {OBJECTS}, m AS (SELECT *, scan_id % 5 AS px, scan_id % 3 AS py, scan_id % 50 * 2.0 - 40 AS dx, scan_id % 7 * 9.0 AS dy FROM o WHERE (pos + 1) % 3 <> 0)
 SELECT scan_id, id, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(x + dx, 5 - w), 95) ELSE x END, 6) AS x, round(CASE WHEN sqrt(px * px + py * py) > 3 THEN least(greatest(y + dy, 5 - h), 95) ELSE y END, 6) AS y FROM m""",
@@ -423,9 +432,12 @@ k AS (SELECT *, greatest(0, floor(x) - m) AS px0, greatest(0, floor(y) - m) AS p
 e AS (SELECT *, greatest(0, floor(x - px0 + 0.5)) AS mx0, greatest(0, floor(y - py0 + 0.5)) AS my0, least(px1 - px0, floor(x1 - px0 + 0.5)) AS mx1, least(py1 - py0, floor(y1 - py0 + 0.5)) AS my1 FROM k WHERE px1 > px0 AND py1 > py0)
 SELECT scan_id, pos, CAST(px0 AS BIGINT) AS x, CAST(py0 AS BIGINT) AS y, CAST(px1 - px0 AS BIGINT) AS w, CAST(py1 - py0 AS BIGINT) AS h, CAST(mx0 AS BIGINT) AS mask_x, CAST(my0 AS BIGINT) AS mask_y,
   CAST(mx1 - mx0 AS BIGINT) AS mask_w, CAST(my1 - my0 AS BIGINT) AS mask_h FROM e WHERE mx1 > mx0 AND my1 > my0""",
-    "page_upscale": """WITH s AS (SELECT doc_id AS scan_id, least(doc_id * 37 % 2000 + 1, doc_id * 91 % 1500 + 1)::DOUBLE AS s FROM documents)
+    "page_upscale": f"""WITH {WORDS}, s AS (SELECT scan_id, least(max(x1), max(y1)) AS s FROM words GROUP BY scan_id)
 SELECT scan_id, round(CASE WHEN s < 1000 THEN least(2.0::DOUBLE, 1000 / s) ELSE 1.0 END, 6) AS page, round(CASE WHEN s < 200 THEN least(4.0::DOUBLE, 200 / s) ELSE 1.0 END, 6) AS region FROM s""",
-    "homography_corners": "SELECT doc_id AS scan_id, " + ", ".join(f"true AS {a}{k}" for k in range(4) for a in "xy") + " FROM documents",
+    "homography_corners": f"""WITH {WORDS}, n AS (SELECT scan_id, CAST(count(*) % 40 AS DOUBLE) AS s FROM words GROUP BY scan_id),
+q AS (SELECT scan_id, s AS x0, s * 0.5 AS y0, 120 + s AS x1, s * 0.25 AS y1, 110 - s AS x2, 90 + s AS y2, 5 + s AS x3, 85 + s * 2 AS y3 FROM n),
+t AS (SELECT *, ((x1 - x0) * (y3 - y1) - (y1 - y0) * (x3 - x1)) / ((x2 - x0) * (y3 - y1) - (y2 - y0) * (x3 - x1)) AS a FROM q)
+SELECT scan_id, {", ".join(f"round({c}{k}, 4) AS {c}{k}" for k in range(4) for c in "xy")}, round(x0 + a * (x2 - x0), 4) AS x4, round(y0 + a * (y2 - y0), 4) AS y4 FROM t""",
     "selected_objects": f"WITH {OBJECTS}, {_MARKED} SELECT o.scan_id, o.id, o.text FROM o JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id",
     "marquee_added": f"WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM marked UNION SELECT scan_id, id FROM o WHERE x <= 20 AND x + w >= 5 AND y <= 4 AND y + h >= 1",
     "removed_objects": f"""WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM o WHERE NOT (pos % 3 = 0 AND scan_id % 2 = 0)

@@ -121,50 +121,61 @@ def draw_list(objects: DataFrame, images: DataFrame, mode: str = "full", patches
     return out.withColumn("z", F.row_number().over(Window.partitionBy("scan_id").orderBy("layer", "ordinal")) - 1).drop("layer", "ordinal")
 
 
+class History:
+    """Undo and redo stacks of one scan, moved on event by event. An entry is (version, mark); the mark is the event that placed a new word."""
+
+    def __init__(self, undo=(), redo=(), now: int | None = None, held: int | None = None, placed: int | None = None):
+        self.undo, self.redo, self.now, self.held, self.placed = list(undo), list(redo), now, held, placed
+
+    def _push(self, version: int | None, cap: int, mark: int | None = None) -> None:
+        self.undo.append((version, mark))
+        del self.undo[:-cap]
+        self.redo.clear()
+
+    def step(self, seq: int, kind: str, version: int | None, cap: int = UNDO_CAP) -> tuple[int | None, int, int]:
+        """The current version and both depths after an event."""
+        if kind in ("push", "place"):
+            self.placed = seq if kind == "place" else self.placed
+            self._push(self.now, cap, seq if kind == "place" else None)
+            self.now = version
+        elif kind == "undo" and self.undo:
+            self.redo.append((self.now, None))
+            self.now = self.undo.pop()[0]
+        elif kind == "redo" and self.redo:
+            self.undo.append((self.now, None))
+            self.now = self.redo.pop()[0]
+        elif kind == "blank" and self.placed is not None:
+            self.now = self.undo.pop()[0] if self.undo and self.undo[-1][1] == self.placed else version
+            self.placed = None
+        elif kind == "focus":
+            self.held = self.now
+        elif kind == "blur" and version is not None and version != self.held:
+            self._push(self.held, cap)
+            self.now = version
+        return self.now, len(self.undo), len(self.redo)
+
+
+#: What a history gives for each event.
+HISTORY = "scan_id long, seq long, version long, undo_depth int, redo_depth int"
+
+
+def history_rows(scan: int, events: pd.DataFrame, kept: History, cap: int = UNDO_CAP) -> pd.DataFrame:
+    """Rows of HISTORY of one scan's events (seq, kind, version) in order of seq; `kept` moves on."""
+    steps = zip(events["seq"], events["kind"], events["version"], strict=True)
+    rows = [(scan, seq, *kept.step(seq, kind, None if pd.isna(v) else int(v), cap)) for seq, kind, v in sorted(steps, key=lambda e: e[0])]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in HISTORY.split(", ")]).astype({"version": "Int64", "undo_depth": "int32", "redo_depth": "int32"})
+
+
 def history(events: DataFrame, cap: int = UNDO_CAP) -> DataFrame:
     """Folds edit events (scan_id, seq, kind, version) into the current version after each: push, undo, redo, focus and blur of a text edit, place and blank of a new word.
 
     A push drops the redo stack and the oldest entries over the cap; undo and redo move entries between the stacks,
     redo without the cap; an edit counts only if the version changed between focus and blur. Placing a word pushes;
     left blank, the word goes, and with it the entry of its placing if that is still the last one, and the version is
-    that of before.
+    that of before. seq tells a scan's events apart. The same on a stream: streaming.edits.history_stream.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        undo, redo, now, held, placed, rows = [], [], None, None, None, []
-
-        def push(old):
-            undo.append(old)
-            del undo[:-cap]
-            redo.clear()
-
-        for e in pdf.sort_values("seq").itertuples():
-            v = None if pd.isna(e.version) else int(e.version)
-            if e.kind == "push":
-                push(now)
-                now = v
-            elif e.kind == "undo" and undo:
-                redo.append(now)
-                now = undo.pop()
-                now = now[0] if isinstance(now, list) else now
-            elif e.kind == "redo" and redo:
-                undo.append(now)
-                now = redo.pop()
-            elif e.kind == "place":
-                push(placed := [now])
-                now = v
-            elif e.kind == "blank" and placed is not None:
-                now = undo.pop()[0] if undo and undo[-1] is placed else v
-                placed = None
-            elif e.kind == "focus":
-                held = now
-            elif e.kind == "blur" and v is not None and v != held:
-                push(held)
-                now = v
-            rows.append((e.scan_id, e.seq, now, len(undo), len(redo)))
-        return pd.DataFrame(rows, columns=["scan_id", "seq", "version", "undo_depth", "redo_depth"]).astype({"version": "Int64"})
-
-    return events.groupBy("scan_id").applyInPandas(fold, "scan_id long, seq long, version long, undo_depth int, redo_depth int")
+    fold = lambda key, pdf: history_rows(key[0], pdf, History(), cap)
+    return events.select("scan_id", "seq", "kind", "version").groupBy("scan_id").applyInPandas(fold, HISTORY)
 
 
 def drag_objects(objects: DataFrame, starts: DataFrame, moves: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(clip_id, ordinal, mime): five items a clipboard."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("clip_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ordinal"))
+    """(clip_id, ordinal, mime): five items a clipboard, by the length of a text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("clip_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ordinal"))
     kinds = F.array(*[F.lit(x) for x in ("text/plain", "image/png", "text/html", "image/jpeg", "application/json")])
-    return d.withColumn("mime", F.get(kinds, F.pmod(F.col("clip_id") * 3 + F.col("ordinal") * (F.col("clip_id") % 4 + 1), F.lit(5)).cast("int")))
+    return d.withColumn("mime", F.get(kinds, F.pmod(F.col("n") * 3 + F.col("ordinal") * (F.col("clip_id") % 4 + 1), F.lit(5)).cast("int"))).drop("n")

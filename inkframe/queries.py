@@ -119,9 +119,10 @@ def region_accept(spark, sf):
 
 
 def page_cascade(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"))
+    """Passes of each page, their words and confidences by the length of its text."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("scan_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     rows = [("raw", "original", 37, 3), ("preprocessed", "preprocessed", 53, 4), ("sparse", "original", 29, 2), ("sparse", "preprocessed", 61, 5)]
-    table = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.lit(s).alias("source"), (F.col("scan_id") * a % b).cast("long").alias("n_words"), (F.col("scan_id") * a % 101).cast("double").alias("mean_confidence")) for p, s, a, b in rows]))
+    table = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.lit(s).alias("source"), (F.col("n") * a % b).cast("long").alias("n_words"), (F.col("n") * a % 101).cast("double").alias("mean_confidence")) for p, s, a, b in rows]))
     return passes.page_cascade(d.select("scan_id", table.alias("t")).select("scan_id", "t.*"))
 
 
@@ -253,7 +254,7 @@ f AS (SELECT scan_id, count(*) AS n, max(height) AS height, CASE WHEN var_pop(x)
   CASE WHEN var_pop(x) = 0 THEN avg(y) ELSE regr_intercept(y, x) END AS intercept,
   CASE WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 0 ELSE regr_r2(y, x) END AS r2 FROM q GROUP BY scan_id)"""
 _MARKED = "marked AS (SELECT scan_id, id FROM o WHERE pos % 3 = 0 AND scan_id % 2 = 0)"
-_CASCADE = "d AS (SELECT doc_id AS s, " + ", ".join(f"s * {a} % {b} AS n{k}, CAST(s * {a} % 101 AS DOUBLE) AS m{k}" for k, a, b in ((0, 37, 3), (1, 53, 4), (2, 29, 2), (3, 61, 5))).replace("s * ", "doc_id * ") + " FROM documents)"
+_CASCADE = "d AS (SELECT doc_id AS s, " + ", ".join(f"coalesce(length(text), 0) * {a} % {b} AS n{k}, CAST(coalesce(length(text), 0) * {a} % 101 AS DOUBLE) AS m{k}" for k, a, b in ((0, 37, 3), (1, 53, 4), (2, 29, 2), (3, 61, 5))) + " FROM documents)"
 
 _CER = "CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein(h, r) AS DOUBLE) / length(r) END"
 #: Each distinct word of a pair becomes one character.

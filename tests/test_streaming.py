@@ -1,9 +1,12 @@
 """Word streams over files: texts of each batch, counts per window."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from inkframe.plans import synthetic as syn
-from inkframe.operators import layout
+from inkframe.operators import edits, layout
+from inkframe.streaming import edits as undo
 from inkframe.streaming import words as stream
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +34,23 @@ def test_noise_counts(spark, tmp_path):
     noise = layout.filter_words(w, "raw").withColumn("noise", stream.is_noise(F.col("text"), F.col("confidence")))
     want = {(r.k, r.n, r.m) for r in noise.groupBy(F.floor(F.col("scan_id") / 5).alias("k")).agg(F.count("*").alias("n"), F.count_if("noise").alias("m")).collect()}
     assert {(int(r.window.start.timestamp()) // 300, r.n_words, r.n_noise) for r in spark.table("noise_per_window").collect()} == want
+
+
+def test_history_stream(spark, tmp_path):
+    """Whatever the batches, and over restarts, the rows of the batch fold: all kinds of events, a cap that is met, repeats."""
+    r, rows = random.Random(6), []
+    for scan in range(8):
+        kinds = ["push"] * 9 + ["undo"] * 6 + ["redo"] * 4 + ["focus", "blur"] * 3 + ["place", "blank"] * 2
+        rows += [(scan, seq, kind, None if kind in ("undo", "redo", "focus") else r.randint(1, 9)) for seq, kind in enumerate(r.choices(kinds, k=80))]
+    rows.sort(key=lambda e: (e[1], r.random()))
+    schema = "scan_id long, seq long, kind string, version long"
+    parts = [rows[:100], rows[100:101], rows[101:400], rows[90:110], rows[400:]]  # the fourth holds repeats alone
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k in (1, 3, 4):  # stopped and started anew
+            undo.start(read.parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/mark", 5, availableNow=True).awaitTermination()
+    got = sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = edits.history(spark.createDataFrame(rows, schema), 5)
+    assert got == sorted(tuple(x) for x in want.collect()) and len(got) == 640
+    assert max(x[3] for x in got) >= 5 and "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
