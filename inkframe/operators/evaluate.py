@@ -2,33 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkframe.functions.text import normalize_space, tokens
 
 
+#: Length of a side up to which Spark's own distance is taken, whose time grows with the product of both.
+MOST_LENGTH = 4096
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance, exact at any length: a column of the table is two numbers of a bit a row, so it takes a few operations on whole numbers an item of the longer side, and memory by the shorter."""
+    first = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    last = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = sorted((a[: len(a) - last], b[: len(b) - last]), key=len)
+    m = len(a)
+    if not m:
+        return len(b)
+    places: dict = {}
+    for k, x in enumerate(a):
+        places.setdefault(x, []).append(k)
+
+    def rows(at: list[int]) -> int:
+        bits = bytearray(m // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(bits, "little")
+
+    often = {x: rows(at) for x, at in places.items() if len(at) ** 2 > m}  # no more than the root of m
+    full, high = (1 << m) - 1, 1 << (m - 1)
+    more, less, score = full, 0, m  # rows where the column rises, and where it falls
+    for x in b:
+        same = often.get(x) or (rows(places[x]) if x in places else 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | (full & ~(across | more)), more & across
+        score += 1 if up & high else -1 if down & high else 0
+        up, down, same = (up << 1 | 1) & full, down << 1 & full, same | less
+        more, less = down | (full & ~(same | up)), up & same
+    return score
+
+
+def _distances(kind: str):
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        own = str if kind == "text" else list
+        return pd.Series([None if x is None or y is None else distance(own(x), own(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+    return run
+
+
+def _by_length(a: Column, b: Column, fits: Column, native: Column, kind: str) -> Column:
+    """`native` where it fits, the bit-parallel distance elsewhere; rows that fit send nothing to Python."""
+    return F.when(fits, native).otherwise(_distances(kind)(F.when(~fits, a), F.when(~fits, b)))
+
+
+def text_distance(a: Column, b: Column) -> Column:
+    """Edit distance of texts in code points."""
+    return _by_length(a, b, (F.length(a) <= MOST_LENGTH) & (F.length(b) <= MOST_LENGTH), F.levenshtein(a, b), "text")
+
+
 def character_error_rate(hyp: Column, ref: Column) -> Column:
     """Edits per reference character after white space is normalised; an empty reference gives 0 or 1. Can exceed 1."""
     h, r = normalize_space(hyp), normalize_space(ref)
-    return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(h, r) / F.length(r))
-
-
-#: Distinct words of a pair, and words of each side, up to which a distance is given.
-MOST_WORDS, MOST_LENGTH = 1_000_000, 30_000
+    return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(text_distance(h, r) / F.length(r))
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of arrays: each distinct word of the pair becomes one character, beyond the surrogates where need be.
-
-    Null where a side has more than MOST_LENGTH words (time and memory grow with the product of both sides) or the
-    pair more than MOST_WORDS distinct ones.
-    """
+    """Edit distance of arrays: each distinct word of a short pair becomes one character, beyond the surrogates where need be."""
     words = F.array_distinct(F.concat(a, b))
     number = lambda w: F.array_position(words, w) + F.when(F.array_position(words, w) < 55296, 0).otherwise(2048)
     one = lambda w: F.decode(F.unhex(F.lpad(F.hex(number(w)), 8, "0")), "UTF-32")
-    fits = (F.size(a) <= MOST_LENGTH) & (F.size(b) <= MOST_LENGTH) & (F.size(words) <= MOST_WORDS)
-    return F.when(fits, F.levenshtein(F.array_join(F.transform(a, one), ""), F.array_join(F.transform(b, one), "")))
+    fits = (F.size(a) <= MOST_LENGTH) & (F.size(b) <= MOST_LENGTH)
+    native = F.levenshtein(F.array_join(F.transform(a, one), ""), F.array_join(F.transform(b, one), ""))
+    return _by_length(a, b, fits, F.when(fits, native), "array")
 
 
 def word_error_rate(hyp: Column, ref: Column) -> Column:

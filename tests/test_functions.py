@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,36 @@ def test_geometry(spark):
     assert one(spark, geo.clamp(F.lit(None).cast("double"), 0, 1)) is None
     assert tuple(one(spark, geo.resize(F.lit(10.0), F.lit(10.0), F.lit(0.6), F.lit(0.1), F.lit(0.1)))) == pytest.approx((2, 2, 0.5))
     assert tuple(one(spark, geo.drag(F.lit(1.0), F.lit(1.0), F.lit(5.0), F.lit(5.0), F.lit(3.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)))) == (1, 1)
+
+
+def two_rows(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_distance():
+    """Bit by bit what two rows of the table give, about word sizes too."""
+    r = random.Random(7)
+    for _ in range(400):
+        letters = r.choice(["a", "ab", "abcdefgh"])
+        a, b = ("".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 31, 63, 64, 65, 130]))) for _ in "ab")
+        assert evaluate.distance(a, b) == two_rows(a, b), (a, b)
+        assert evaluate.distance(list(a), list(b)) == two_rows(a, b)
+
+
+def test_long_distances(spark):
+    """Far beyond 30,000 words: planted edits are found, and no rate is null."""
+    words = [f"w{k % 7919}x{k}" for k in range(40_000)]
+    other = words[:100] + ["new"] + words[100:20_000] + words[20_010:30_000] + ["other"] + words[30_001:]
+    df = spark.createDataFrame([(" ".join(other), " ".join(words)), (" ".join(words[:50]), " ".join(words[:49])), ("", " ".join(words)), ("x" * 5000, "y" * 5001), (None, "a")], "h string, r string")
+    got = [x.wer for x in df.select(evaluate.word_error_rate(F.col("h"), F.col("r")).alias("wer")).collect()]
+    assert got[:4] == pytest.approx([12 / 40_000, 1 / 49, 1.0, 1.0])
+    cer = [x.cer for x in df.select(evaluate.character_error_rate(F.col("h"), F.col("r")).alias("cer")).collect()]
+    edits = 4 + sum(len(w) + 1 for w in words[20_000:20_010]) + two_rows("other", words[30_000])
+    assert cer[0] == pytest.approx(edits / len(" ".join(words))) and cer[3] == 1.0
+    far = [f"a{k}" for k in range(6000)], [f"b{k}" for k in range(5000)]
+    assert evaluate.distance(*far) == 6000
