@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -27,7 +28,7 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, in local mode only) one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known and not spark.sparkContext.master.startswith("local["):
+    if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (known or _own_dir()).rstrip("/")
 
@@ -108,11 +109,12 @@ def slices(batches, rows: int = BATCH_ROWS):
 
 
 def write_objects(rows: DataFrame, column: str, uri: str, suffix: str) -> DataFrame:
-    """Rows (path, n_bytes): each value of a binary column as a file of its own in the folder uri, named by part and number.
+    """Each value of a binary column as a file of its own in the folder uri, named by part and number: the other columns of rows, path, n_bytes.
 
     uri is of any file system that pyarrow opens (file, hdfs, s3, gs) and that all executors reach. A file appears
     under its name once it is whole, and a task that runs again writes the same names anew. Nulls give no file.
     """
+    others = [c for c in rows.columns if c != column]
 
     @tidy
     def run(it):
@@ -120,8 +122,9 @@ def write_objects(rows: DataFrame, column: str, uri: str, suffix: str) -> DataFr
         fs.create_dir(root)
         context, k = TaskContext.get(), 0
         for b in it:
+            b = b.filter(b.column(column).is_valid())
             out = []
-            for value in b.column(0).drop_null():
+            for value in b.column(column):
                 data = value.as_buffer()
                 name = f"{root}/part-{context.partitionId():05d}-{k:05d}{suffix}"
                 with fs.open_output_stream(f"{name}.{context.taskAttemptId()}", compression=None) as f:
@@ -130,11 +133,28 @@ def write_objects(rows: DataFrame, column: str, uri: str, suffix: str) -> DataFr
                 out.append((name, data.size))
                 k += 1
             names, sizes = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], [*others, "path", "n_bytes"])
 
     keep = Scratch(rows.sparkSession, "objects")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != column)
     with keep.batch_rows(4):  # the values are large
-        return keep.save(rows.select(column).mapInArrow(run, "path string, n_bytes long"), "written")
+        return keep.save(rows.select(*others, column).mapInArrow(run, f"{schema}path string, n_bytes long"), "written")
+
+
+def uri_of(path: str) -> str:
+    """A path of the shared folder as a URI."""
+    return path if ":/" in path else f"file://{path}"
+
+
+def object_opener(uri: str):
+    """In a task: path, as write_objects gives it, to the bytes of the file."""
+    fs, _ = pafs.FileSystem.from_uri(uri)
+
+    def read(path: str) -> bytes:
+        with fs.open_input_stream(path, compression=None) as f:
+            return f.read()
+
+    return read
 
 
 def exact(docs: DataFrame, *names: str) -> DataFrame:

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import small_batches, slices, table, tidy
+from inkframe.llm.common import exact, small_batches, slices, table, tidy
 
 BUCKETS = 1 << 15
+MOST_LANGS = 500  # of a model, which every worker holds
 ORDERS = (1, 2, 3)
 _SLICE = 1 << 18
 _TEXTS = 16  # texts that are scored together
@@ -82,7 +83,7 @@ def train(docs: DataFrame) -> Model:
     """Counts over all documents with text and lang (doc_id, text, lang); the sums go to the driver, buckets x languages.
 
     Rows whose text or lang is null teach nothing; repeated rows count as often as they occur. Without any row the
-    model has no languages.
+    model has no languages; a table of more than MOST_LANGS values of lang raises.
     """
 
     @tidy
@@ -101,6 +102,8 @@ def train(docs: DataFrame) -> Model:
 
     small_batches(docs.sparkSession)
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    if (found := docs.agg(F.approx_count_distinct(F.col("lang").cast("string"))).first()[0]) > MOST_LANGS:
+        raise ValueError(f"about {found} values of lang: more than a model holds")
     sums = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
@@ -109,17 +112,16 @@ def train(docs: DataFrame) -> Model:
     return Model(langs, counts)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __language (lang_pred, score): und and 0 where the text is null or has no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
+def predictor(spark: SparkSession, model: Model):
+    """Column function: text to a struct (lang_pred, score), und and 0 where the text is null or has no letter."""
+    shared = spark.sparkContext.broadcast(model)  # buckets x languages, of which there are MOST_LANGS at most
 
     def predict(texts: pa.Array) -> pa.Array:
         got = [x for at in range(0, len(texts), _TEXTS) for x in shared.value.predict(texts.slice(at, _TEXTS).to_pylist())]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
-    call = F.arrow_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("__language", call(F.col("text").cast("string")))
+    small_batches(spark)
+    return F.arrow_udf(predict, "lang_pred string, score double")
 
 
 def not_held_out() -> object:
@@ -130,15 +132,18 @@ def not_held_out() -> object:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(not_held_out()))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~not_held_out()).alias("held_out"), F.col("__language.lang_pred").alias("lang_pred"), F.col("__language.score").alias("score"))
+    call = predictor(spark, train(docs.where(not_held_out())))
+    own = docs.select("doc_id", call(F.col("text").cast("string")).alias("p"))
+    return own.select("doc_id", (~not_held_out()).alias("held_out"), "p.lang_pred", "p.score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; those without text, or without a letter in it, go. Without labels to learn from, too."""
-    model = train(docs.where(not_held_out()))
-    if not model.langs:
-        letter = F.arrow_udf(lambda texts: pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_()), "boolean")
-        return docs.where(letter(F.col("text").cast("string")))
-    # A score is 0 for texts without a letter only.
-    return identify(docs, model).where("__language.score > 0").select(*docs.columns)
+    """Documents with a letter; those without text, or without a letter in it, go. Without labels to learn from, too. Columns may have any names."""
+    model = train(exact(docs, "doc_id", "text", "lang").where(not_held_out()))
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index('text')}").cast("string")
+    if model.langs:  # a score is 0 for texts without a letter only
+        own = own.withColumn("p", predictor(spark, model)(text)).where("p.score > 0").drop("p")
+    else:
+        own = own.where(F.arrow_udf(lambda texts: pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_()), "boolean")(text))
+    return own.toDF(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm import rans
-from inkframe.llm.common import Scratch, parallelism, release, table, tidy
+from inkframe.llm.common import Scratch, exact, object_opener, parallelism, release, table, tidy, uri_of, write_objects
 from inkframe.llm.pieces import byte_names, cut, runs, tokenizer_path
 
 _PIECES = 1 << 15
@@ -97,8 +97,8 @@ def encode(texts: pa.Array, own: Encoder, end_id: int) -> tuple[np.ndarray, np.n
 def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """File images (part, seq, n_tokens, image) of docs (doc_id, text) in ascending doc_id order, null first.
 
-    Each document's ids end with end_id; a null or empty text has that id alone. Rows of one doc_id go by text. Files
-    are in order by part, then seq.
+    Each document's ids end with end_id; a null or empty text has that id alone. Rows of one doc_id go by a hash of
+    their text, then by text, so that many of them are dealt over parts too. Files are in order by part, then seq.
     """
     spark = docs.sparkSession
 
@@ -130,49 +130,51 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
         if own:
             yield close()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = src.repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    src = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = src.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order, "text")
     return dealt.mapInArrow(run, "part long, seq long, n_tokens long, image binary")
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) of file images, start counting over all files."""
+def decode_files(files: DataFrame, uri: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32, file) of token files (part, seq, n_tokens, path) in the folder uri, start counting over all files."""
     # Files are placed within their part, and parts, of which there is one a task, among themselves.
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = files.select("part", "seq", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     parts = parts.select("part", before(Window.orderBy("part")).alias("first"))
-    place = sizes.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("base")).join(F.broadcast(parts), "part")
-    same = files.join(place, ["part", "seq"]).select((F.col("first") + F.col("base")).alias("base"), "image")
+    place = files.withColumn("base", before(Window.partitionBy("part").orderBy("seq"))).join(F.broadcast(parts), "part")
+    # Rows are small and what they name is large: as many tasks as there may be.
+    same = place.select((F.col("first") + F.col("base")).alias("base"), "path").repartition(parallelism(files.sparkSession))
 
     @tidy
     def run(it):
+        read = object_opener(uri)
         for b in it:
-            doc, start, n, crc = [], [], [], []
-            for base, data in zip(b.column("base").to_pylist(), b.column("image"), strict=True):
-                image = rans.Image(data.as_py())
+            for base, path in zip(b.column("base").to_pylist(), b.column("path").to_pylist(), strict=True):
+                doc, start, n, crc = [], [], [], []
+                image = rans.Image(read(path))
                 raw = image.decode().astype("<u4").tobytes()
                 at = 0
                 for d, k in zip(image.doc_ids, image.lengths.tolist(), strict=True):
                     doc.append(d), start.append(base + at), n.append(k), crc.append(zlib.crc32(raw[4 * at : 4 * (at + k)]))
                     at += k
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, n, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, start, n, crc)), pa.array([path] * len(doc))], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+                release()
 
-    return same.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return same.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
-def token_binary(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
-    """Write the files under the shared folder, read them back: a row per document (doc_id, start, n_tokens, ids_crc32).
+def token_binary(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, folder: str | None = None) -> DataFrame:
+    """Write token files to a folder (a URI), read them back: a row per document (doc_id, start, n_tokens, ids_crc32, file).
 
-    An empty table gives no rows. Other columns of docs are not used.
+    The files stay: rans.Image reads each by itself. Without a folder they go to a new one under the shared folder. An
+    empty table gives no rows and no files. Other columns of docs are not used.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "tokens")
-    files = keep.save(encode_files(docs, tokenizer, end_id), "files")
-    with keep.batch_rows(4):  # images are large
-        out = keep.save(decode_files(files), "documents")
-    keep.drop("files")
-    return out
+    folder = folder or uri_of(keep.path("files"))
+    files = write_objects(encode_files(docs, tokenizer, end_id), "image", folder, ".rans")
+    return keep.save(decode_files(files, folder), "documents")
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

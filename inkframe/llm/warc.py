@@ -2,9 +2,8 @@
 
 A capture is a request, a response (or a revisit of an earlier response with the same payload) and a metadata
 record. Request and metadata name the response or revisit by WARC-Concurrent-To; transaction assembly joins the
-records through these ids into one nested row. Archives travel as binary rows of a table under the shared folder,
-so they reach any file system that Spark does; each is a sequence of gzip members, one per record, and
-common.write_objects makes .warc.gz files of them.
+records through these ids into one nested row. An archive is a sequence of gzip members, one per record; the query
+writes each as a .warc.gz file to the shared folder, and reads the files.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkframe.llm.common import Scratch, slices, table, tidy
+from inkframe.llm.common import Scratch, object_opener, parallelism, slices, table, tidy, uri_of, write_objects
 
 ARCHIVE_BYTES = 4 << 20  # an archive is closed once it is as large as that
 SALTS = 64
@@ -36,16 +35,23 @@ def record(kind: str, rid: str, uri: str, block: bytes, **more: str) -> bytes:
     return z.compress(b"WARC/1.1\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+def _members(archive: bytes):
+    """Uncompressed gzip members, in time and memory by the archive's size: what a member leaves of a piece is read again."""
+    view, at = memoryview(archive), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        z, data, step = zlib.decompressobj(31), [], 1024
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            data.append(z.decompress(view[at : at + step]))
+            at, step = min(at + step, len(view)), step * 2
+        at -= len(z.unused_data)
+        yield b"".join(data)
+
+
 def records(archive: bytes):
     """(fields, block) of each record of an archive, gzip or plain."""
-    data, rest = [], archive
-    while rest[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        data.append(z.decompress(rest) + z.flush())
-        if not z.eof:
-            raise ValueError("the archive ends within a record")
-        rest = z.unused_data
-    for member in data or [archive]:
+    for member in _members(archive) if archive[:2] == b"\x1f\x8b" else [archive]:
         at = 0
         while at < len(member):
             end = member.index(b"\r\n\r\n", at)
@@ -61,7 +67,7 @@ def records(archive: bytes):
 
 
 def write_archives(pages: DataFrame, keep: Scratch, min_revisit: int = 0) -> DataFrame:
-    """Archives (archive binary) of pages (page_id, url, html, anything else).
+    """Archives (archive binary), for common.write_objects, of pages (page_id, url, html, anything else).
 
     Of rows with one payload of at least min_revisit bytes, that with the smallest page_id (null last), and of these
     with the smallest URL (null last), is the response and the rest are revisits of it; smaller payloads are all
@@ -106,19 +112,23 @@ def write_archives(pages: DataFrame, keep: Scratch, min_revisit: int = 0) -> Dat
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], ["archive"])
 
-    return keep.save(out.mapInArrow(run, "archive binary"), "archives")
+    return out.mapInArrow(run, "archive binary")
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row per record: RECORD's columns and, if asked for, the payload (of HTTP records: what follows the HTTP header)."""
+def read_archives(archives: DataFrame, payloads: bool = True, uri: str | None = None) -> DataFrame:
+    """A row per record: RECORD's columns and, if asked for, the payload (of HTTP records: what follows the HTTP header).
+
+    archives (archive binary), or (path) of files in the folder uri.
+    """
 
     @tidy
     def run(it):
+        read = object_opener(uri) if uri else None
         names = ["record_id", "type", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", *(["payload"] if payloads else [])]
         for b in it:
-            for archive in b.column("archive"):
+            for archive in b.column("path" if uri else "archive"):
                 rows = []
-                for f, block in records(archive.as_py()):
+                for f, block in records(read(archive.as_py()) if uri else archive.as_py()):
                     if f.get("content-type", "").startswith("application/http"):
                         block = block.partition(b"\r\n\r\n")[2]
                     bare = lambda k: f[k].strip("<>") if k in f else None  # noqa: E731, B023
@@ -148,16 +158,17 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written, read back and assembled: a row per page.
+    """All pages, written to .warc.gz files, which stay, read back from them and assembled: a row per page.
 
     Payload sizes and digests are those of the payloads read back. A revisit's refers_to is the page_id of its
     response; null, as the response's page_id then is, where no page of that payload has one.
     """
     keep = Scratch(spark, "warc")
-    archives = write_archives(table(spark, sf_dir, "pages"), keep)
-    with keep.batch_rows(4):  # archives are large
-        rows = keep.save(read_archives(archives, payloads=False), "records")
-    keep.drop("payloads", "archives")
+    folder = uri_of(keep.path("files"))
+    files = write_objects(write_archives(table(spark, sf_dir, "pages"), keep), "archive", folder, ".warc.gz")
+    files = files.select("path").repartition(parallelism(spark))  # rows are small and what they name is large
+    rows = keep.save(read_archives(files, payloads=False, uri=folder), "records")
+    keep.drop("payloads")
     captures = assemble(rows).where("main IS NOT NULL")
     number = lambda c: F.expr(f"try_cast(split({c}, ':')[3] AS bigint)")
     out = captures.select(

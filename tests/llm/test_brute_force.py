@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -295,3 +296,53 @@ def test_files(spark, tmp_path):
     back = spark.read.format("binaryFile").load(f"{tmp_path}/pages").select(F.col("content").alias("archive"))
     got = warc.assemble(warc.read_archives(back)).collect()
     assert len(got) == 9 and sum(r.main.type == "response" for r in got) == 3
+
+
+def test_token_files_stay(spark, tmp_path):
+    """The files of the query's own folder hold every id, each row names its file; rows without id are dealt over parts."""
+    rows = [(k, f"text {k} of some words") for k in range(40)] + [(None, f"no id {k}") for k in range(2000)] + [(None, None), (None, "twice"), (None, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1))
+    out = sorted(token_binary.token_binary(docs, folder=f"file://{tmp_path}/ids").collect(), key=lambda r: r.start)
+    files = sorted((tmp_path / "ids").iterdir())
+    images = {str(f): rans.Image(f.read_bytes()) for f in files}
+    assert {r.file for r in out} == images.keys() and len(files) > 1
+    assert sorted((d is not None, d or 0) for i in images.values() for d in i.doc_ids) == sorted((d is not None, d or 0) for d, _ in rows)
+    ids = np.concatenate([images[str(f)].decode() for f in files])  # names are in the order of parts
+    assert len(ids) == sum(r.n_tokens for r in out) and all(ids[r.start + r.n_tokens - 1] == 0 for r in out)
+    assert [r.start for r in out] == np.cumsum([0, *[r.n_tokens for r in out[:-1]]]).tolist()
+    assert max(len(i.doc_ids) for i in images.values()) < 1500
+    assert token_binary.token_binary(docs.limit(0), folder=f"file://{tmp_path}/none").collect() == []
+
+
+def test_query_files_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    captures = warc.op10_warc(spark, "/root/testdata/sf0.001").count()
+    found = [r for f in tmp_path.rglob("*.warc.gz") for r in warc.records(f.read_bytes())]
+    assert len(found) == 3 * captures > 0
+
+
+def test_reader_is_linear():
+    """16 MB of small records, and one large member, in time by their size."""
+    small = b"".join(warc.record("metadata", f"urn:x:{k}", "u", b"n: %d" % k) for k in range(2000))
+    many = small * (16_000_000 // len(small) + 1)
+    at = time.monotonic()
+    assert sum(1 for _ in warc.records(many)) == 2000 * (len(many) // len(small))
+    assert time.monotonic() - at < 20
+    big = np.random.default_rng(0).integers(0, 256, 5_000_000).astype(np.uint8).tobytes()
+    assert [b for _, b in warc.records(warc.record("resource", "urn:y", "u", big) + small[:0])] == [big]
+    for cut in (1, 100, len(small) // 2):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.record("resource", "urn:y", "u", big)[:-cut]))
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b", "en", 1, 2, 3, 4), (2, "9 9", "en", 1, 2, 3, 4), (3, None, "en", 1, 2, 3, 4), (4, "c d", "de", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "a.b", "__language", "text ", "TEXT"])
+    got = language_id.stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+
+
+def test_too_many_languages(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'a b' AS text", "cast(id AS string) AS lang")
+    with pytest.raises(ValueError, match="values of lang"):
+        language_id.train(docs)
