@@ -13,6 +13,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import hashlib
+import re
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -142,7 +143,7 @@ def _own_folder() -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """The URI of a folder that is not yet there, under spark.checkpoint.dir (where unset, on a local master only, under a temporary folder)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = (base or _own_folder()).rstrip("/")
     return f"{base if ':/' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
