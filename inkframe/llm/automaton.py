@@ -1,4 +1,4 @@
-"""Byte regexes compiled together into one minimal deterministic automaton, run over many places at once."""
+"""Byte regexes compiled together into minimal deterministic automata: forward over many places at once, backward from ends."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import numpy as np
 
 
 class _Nfa:
-    def __init__(self):
+    """Parsed items as states; with back, those of the reversed strings."""
+
+    def __init__(self, back: bool = False):
+        self.back = back
         self.eps: list[list[int]] = []
         self.arcs: list[list[tuple[frozenset, int]]] = []
 
@@ -20,7 +23,7 @@ class _Nfa:
 
     def add(self, items, at: int, fold: bool) -> int:
         """Append parsed items after state at; returns the last state."""
-        for op, arg in items:
+        for op, arg in reversed(list(items)) if self.back else items:
             if op in (C.LITERAL, C.NOT_LITERAL, C.IN, C.ANY):
                 to = self.state()
                 self.arcs[at].append((_bytes(op, arg, fold), to))
@@ -72,6 +75,15 @@ def _bytes(op, arg, fold: bool) -> frozenset:
     return frozenset(range(256)) - own if negate else frozenset(own)
 
 
+def _combined(rules: list[bytes], **how) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of one minimal automaton for all rules, and the bits of the rules that each state accepts; state 0 is the start."""
+    table, mask = np.zeros((1, 256), np.int64), np.zeros(1, np.int64)
+    for k, rule in enumerate(rules):
+        own, accept = _minimal(*_subsets(rule, **how))
+        table, mask = _minimal(*_union((table, mask), (own, accept.astype(np.int64) << k)))
+    return table, mask
+
+
 class Automaton:
     """Searches rules (byte regexes) in one pass.
 
@@ -81,10 +93,7 @@ class Automaton:
     """
 
     def __init__(self, rules: list[bytes]):
-        table, mask = np.zeros((1, 256), np.int64), np.zeros(1, np.int64)
-        for k, rule in enumerate(rules):
-            own, accept = _minimal(*_subsets(rule, search=True))
-            table, mask = _minimal(*_union((table, mask), (own, accept.astype(np.int64) << k)))
+        table, mask = _combined(rules, search=True)
         order = np.argsort(mask != 0, kind="stable")
         place = np.empty(len(table), np.int64)
         place[order] = np.arange(len(table))
@@ -93,12 +102,13 @@ class Automaton:
         self.reset = (table == 0).all(0)
         self.next = table.astype(np.int32).ravel()
 
-    def segments(self, data: bytes, lanes: int = 4096) -> list[tuple[int, int, int]]:
-        """(start, end, bits of the rules that match there) of the parts between reset bytes in which a rule matches."""
+    def hits(self, data: bytes, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Places, ascending, of the bytes that a match of some rule ends with, and the bits of those rules."""
         b = np.frombuffer(data, np.uint8)
         cuts = np.flatnonzero(self.reset[b])
+        none = np.zeros(0, np.int64)
         if not len(b):
-            return []
+            return none, none
         starts = np.linspace(0, len(b), lanes, endpoint=False).astype(np.int64)
         starts = cuts[np.minimum(np.searchsorted(cuts, starts), len(cuts) - 1)] if len(cuts) else starts[:1]
         starts = np.unique(np.append(starts, 0))
@@ -106,44 +116,38 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         starts, length = starts[order], length[order]
         live = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        state, found, bits = np.zeros(len(starts), np.int32), [], []
+        state, found, bits = np.zeros(len(starts), np.int32), [none], [none]
         for t in range(int(length[0])):
             m = live[t]
             state = self.next[state[:m] * 256 + b[starts[:m] + t]]
             if (now := state >= self.first_hit).any():
                 found.append(starts[:m][now] + t)
                 bits.append(self.mask[state[now]])
-        if not found:
-            return []
-        edge = np.concatenate([[-1], cuts, [len(b)]])
-        part, at = np.unique(np.searchsorted(cuts, np.concatenate(found)), return_inverse=True)
-        rules = np.zeros(len(part), np.int64)
-        np.bitwise_or.at(rules, at, np.concatenate(bits))
-        return list(zip((edge[part] + 1).tolist(), edge[part + 1].tolist(), rules.tolist(), strict=True))
+        place = np.concatenate(found)
+        order = np.argsort(place)
+        return place[order], np.concatenate(bits)[order]
 
 
-class Prefix:
-    """The longest match of a rule from a given place on."""
+class Backward:
+    """Where matches that end at a known byte begin: one automaton of all rules' reversed strings."""
 
-    DEAD = -1
-
-    def __init__(self, rule: bytes):
-        table, accept = _minimal(*_subsets(rule, search=False))
+    def __init__(self, rules: list[bytes]):
+        table, mask = _combined(rules, back=True)
         rows = np.arange(len(table))[:, None]
-        dead = np.flatnonzero((table == rows).all(1) & ~accept)
-        self.next = np.where(np.isin(table, dead), self.DEAD, table).tolist()
-        self.accept = accept.tolist()
-
-    def end(self, data: bytes, at: int) -> int:
-        """Where it ends; -1 without a match."""
-        state, last = 0, at if self.accept[0] else -1
-        for k in range(at, len(data)):
+        dead = np.flatnonzero((table == rows).all(1) & (mask == 0))
+        self.next = np.where(np.isin(table, dead), -1, table).tolist()
+        self.mask = mask.tolist()
+
+    def start(self, data: bytes, last: int, rule: int, floor: int) -> int:
+        """The first place, from floor on, from which the rule matches up to and with the byte at last; -1 for none."""
+        state, best = 0, -1
+        for k in range(last, floor - 1, -1):
             state = self.next[state][data[k]]
             if state < 0:
                 break
-            if self.accept[state]:
-                last = k + 1
-        return last
+            if self.mask[state] >> rule & 1:
+                best = k
+        return best
 
 
 def _union(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +168,9 @@ def _union(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray
     return np.array(rows), m1[todo // n] | m2[todo % n]
 
 
-def _subsets(rule: bytes, search: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Subset construction: transitions and acceptance; with search, a match may start anywhere."""
-    nfa = _Nfa()
+def _subsets(rule: bytes, search: bool = False, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Subset construction: transitions and acceptance; with search, a match may start anywhere; with back, of reversed strings."""
+    nfa = _Nfa(back)
     tree = _parser.parse(rule)
     start = nfa.state()
     end = nfa.add(tree, start, bool(tree.state.flags & 2))

@@ -1,4 +1,4 @@
-"""Secrets in whole texts: one automaton of all rules finds the lines that hold a match, automata of each rule its spans."""
+"""Secrets in whole texts: one automaton of all rules finds where matches end, in one pass; the reversed one where they start."""
 
 from __future__ import annotations
 
@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkframe.llm.automaton import Automaton, Prefix
+from inkframe.llm.automaton import Automaton, Backward
 from inkframe.llm.common import small_batches, slices, table, tidy
 
 
 class Rule(NamedTuple):
-    """A match is the longest head, then all characters of the tail class that follow (`most` at most).
+    """A match is a head, then all characters of the tail class that follow (`most` at most).
 
     It needs one of them to be a match, and `least` to count: a shorter match is dropped, but what it took is taken.
-    The common automaton counts `seek` of the tail's characters, as counters multiply states: one but where one is common.
+    No byte of the tail class may prolong a head. The automata ask for `seek` of the tail's characters at least, as
+    counters multiply states: one but where one is common.
     """
 
     head: bytes
@@ -26,6 +27,9 @@ class Rule(NamedTuple):
     seek: int
     most: int = 1 << 62
 
+    def regex(self, more: bytes) -> bytes:
+        return self.head + (self.tail + b"{%d%s}" % (self.seek, more) if self.tail else b"")
+
 
 #: The base kinds, in order.
 BASE = {
@@ -43,54 +47,52 @@ RULES = BASE | MORE
 KINDS = [*RULES]
 
 
-class _Spans:
-    """All matches of a rule in a part of a text, from left to right."""
-
-    def __init__(self, rule: Rule):
-        self.rule, self.head = rule, Prefix(rule.head)
-        tail = Prefix(rule.tail)
-        self.tail = [s >= 0 and tail.accept[s] for s in tail.next[0]]
-        self.starts = [s >= 0 for s in self.head.next[0]] if rule.head else self.tail
-
-    def find(self, data: bytes):
-        rule, tail, at = self.rule, self.tail, 0
-        need = min(1, rule.most)
-        while at < len(data):
-            if not self.starts[data[at]]:
-                at += 1
-                continue
-            first = self.head.end(data, at)
-            end, stop = first, min(len(data), first + rule.most)
-            while 0 <= end < stop and tail[data[end]]:
-                end += 1
-            if first < 0 or end - first < need:
-                at += 1
-                continue
-            if end - first >= rule.least:
-                yield at, end
-            at = end if rule.most > rule.least or end - first >= rule.least else at + 1
-
-
 class Scanner:
-    """Spans (start, kind number, end) in code points of many texts."""
+    """Spans (start, kind number, end) in code points of many texts.
+
+    One pass of the common automaton says at which bytes matches of which rules end; a tail's bytes follow each other,
+    so the last of them is where the tail ends. From the first of them the reversed automaton leads to the start.
+    """
 
     def __init__(self):
-        self.automaton = Automaton([r.head + r.tail + b"{%d}" % r.seek if r.tail else r.head for r in RULES.values()])
-        self.spans = [_Spans(r) for r in RULES.values()]
+        self.rules = [*RULES.values()]
+        self.forward = Automaton([r.regex(b",") for r in self.rules])
+        self.backward = Backward([r.regex(b"") for r in self.rules])
+
+    def _of_rule(self, kind: int, data: bytes, places: np.ndarray):
+        """(start, end) of a rule's matches, from left to right, by the places at which matches of it may end."""
+        rule, floor = self.rules[kind], 0
+        first = np.flatnonzero(np.diff(places, prepend=-2) > 1)
+        final = np.flatnonzero(np.diff(places, append=-2) != 1)
+        for p, last in zip(places[first].tolist(), places[final].tolist(), strict=True):
+            while p <= last:
+                start = self.backward.start(data, p, kind, floor)
+                tail = p + 1 - rule.seek
+                end = min(last + 1, tail + rule.most)
+                if start < 0 or (fails := end - tail < rule.least) and rule.most == rule.least:
+                    p += 1  # what no match took may hold the next one's head
+                    continue
+                if not fails:
+                    yield start, end
+                floor, p = end, end + max(1, rule.seek) - 1
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
+        begin = np.cumsum([0, *[len(r) + 1 for r in raw]])
         data = b"\n".join(raw)  # a line feed is a reset byte
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for a, z, bits in self.automaton.segments(data):
-            k = int(np.searchsorted(ends, a, side="right"))
-            begin, part = int(ends[k]) - len(raw[k]) - 1, data[a:z]
-            found = [(s, kind, e) for kind, own in enumerate(self.spans) if bits >> kind & 1 for s, e in own.find(part)]
-            if found:
-                before = len(data[begin:a].decode("utf-8"))
-                points = (lambda i: i) if part.isascii() else (lambda i, p=part: len(p[:i].decode("utf-8", "replace")))
-                out[k] += [(before + points(s), kind, before + points(e)) for s, kind, e in found]
+        places, bits = self.forward.hits(data)
+        found = [(s, kind, e) for kind in range(len(self.rules)) for s, e in self._of_rule(kind, data, places[bits >> kind & 1 > 0])]
+        if not found:
+            return out
+        start, kinds, end = np.array(sorted(found)).T
+        own = np.searchsorted(begin, start, "right") - 1
+        # Code points are counted between the places that are asked for, once over all texts.
+        asked, at = np.unique(np.concatenate([[0], begin[own], start, end]), return_inverse=True)
+        points = np.add.reduceat((np.frombuffer(data + b" ", np.uint8) & 0xC0) != 0x80, asked, dtype=np.int64)
+        points = np.concatenate([[0], np.cumsum(points)[:-1]])[at[1:]].reshape(3, -1)
+        for k, s, kind, e in zip(own.tolist(), (points[1] - points[0]).tolist(), kinds.tolist(), (points[2] - points[0]).tolist(), strict=True):
+            out[k].append((s, kind, e))
         return [sorted(x) for x in out]
 
 

@@ -271,14 +271,21 @@ def test_op5(spark, docs):
 
 def test_automaton_accepts_by_rule():
     rules = [rb"ab+c", rb"(?i:x|yz)[0-9]{2}", rb"[^a-z\n]{3}"]
-    machine = automaton.Automaton(rules)
+    machine, back = automaton.Automaton(rules), automaton.Backward(rules)
     r = random.Random(1)
     for _ in range(200):
         data = bytes(r.choice(b"abcxyzXYZ019 \n") for _ in range(60))
-        got = {a: bits for a, _, bits in machine.segments(data, lanes=7)}
-        at = 0
+        places, bits = machine.hits(data, lanes=7)
+        for k, p in enumerate(rules):  # each byte that a match ends with
+            ends = {e - 1 for s in range(len(data)) for e in range(s + 1, len(data) + 1) if re.fullmatch(p, data[s:e])}
+            assert set(places[bits >> k & 1 > 0].tolist()) == ends
+            for e in ends:
+                begins = [s for s in range(e + 1) if re.fullmatch(p, data[s : e + 1])]
+                assert back.start(data, e, k, 0) == begins[0] and back.start(data, e, k, begins[-1]) == begins[-1] and back.start(data, e, k, begins[-1] + 1) == -1
+        got, at = dict(zip(places.tolist(), bits.tolist(), strict=True)), 0
         for part in re.split(rb"[" + re.escape(bytes(np.flatnonzero(machine.reset).astype(np.uint8))) + rb"]", data):
-            assert got.get(at, 0) == sum(1 << k for k, p in enumerate(rules) if re.search(p, part))
+            own = [b for p, b in got.items() if at <= p < at + len(part)]
+            assert np.bitwise_or.reduce(np.array(own, int)) == sum(1 << k for k, p in enumerate(rules) if re.search(p, part))
             at += len(part) + 1
 
 
