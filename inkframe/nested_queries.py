@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import geometry as geo
 from inkframe.functions import text as tx
-from inkframe.operators import edits, fit, images, layout, order, passes, png, raster
+from inkframe.operators import edits, fit, images, layout, order, passes, png, raster, versions
 from inkframe.plans import nested
 from inkframe.plans import synthetic as syn
 from inkframe.queries import _VISIBLE, OBJECTS, REGIONS, WORDS, _marked, _objects, _text_sql
@@ -202,6 +202,27 @@ def marquee_added(spark, sf):
     return edits.marquee_select(_marked(spark, sf), fit.marquee_hits(_objects(spark, sf), m), True)
 
 
+def marquee_pairs(spark, sf):
+    """Around every tenth word a marquee, a little larger than the word: what each touches."""
+    o = _objects(spark, sf)
+    m = o.where("type = 'word' AND ordinal % 10 = 1")
+    m = m.select("scan_id", F.col("ordinal").cast("long").alias("marquee_id"), (F.col("x") - 2).alias("left"), (F.col("y") - 1).alias("top"), (F.col("x") + F.col("w") + 2).alias("right"), (F.col("y") + F.col("h") + 1).alias("bottom"))
+    return fit.marquee_pairs(o, m)
+
+
+def version_restore(spark, sf):
+    """Four versions (recognized, retyped, moved, words removed), three stored at once and one added; of each scan one comes back."""
+    o = edits.render(syn.words(spark, sf), syn.images(spark, sf)).where("type = 'word'").select("scan_id", "id", "ordinal", "text", "x", "y")
+    pos, v = F.col("ordinal") - 1, F.col("version")
+    every = o.withColumn("version", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    text = lambda on: F.when(on & (pos % 7 == 0), F.concat("text", F.lit("-"))).otherwise(F.col("text"))
+    x = lambda on: F.when(on & (pos % 5 == 0), F.col("x") + 1.5).otherwise(F.col("x"))
+    store = versions.from_snapshots(every.withColumn("text", text(v >= 1)).withColumn("x", x(v >= 2)))
+    last = o.where(pos % 11 != 0).withColumn("text", text(F.lit(True))).withColumn("x", x(F.lit(True)))
+    store = versions.commit(store, last, 3)
+    return versions.as_of(store, F.col("scan_id") % 4).select("scan_id", "id", "text", _r(F.col("x"), "x"))
+
+
 def removed_objects(spark, sf):
     return edits.remove_objects(_objects(spark, sf), _marked(spark, sf)).select("scan_id", "id")
 
@@ -335,7 +356,7 @@ QUERIES = {
     for f in (
         nested_regions, nested_words, nested_reading_order, element_words, element_text, pass_gates, column_order, text_scalars, normalized_text,
         answer_text, file_kinds, pasted_images, dropped_files, payload_bytes, edit_history, resized, dragged, region_word_boxes, inpaint_crops, page_upscale, homography_corners,
-        selected_objects, marquee_added, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours, photo_rows, word_patches, saved_texts, saved_views,
+        selected_objects, marquee_added, marquee_pairs, version_restore, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours, photo_rows, word_patches, saved_texts, saved_views,
     )
 }
 
@@ -440,6 +461,10 @@ t AS (SELECT *, ((x1 - x0) * (y3 - y1) - (y1 - y0) * (x3 - x1)) / ((x2 - x0) * (
 SELECT scan_id, {", ".join(f"round({c}{k}, 4) AS {c}{k}" for k in range(4) for c in "xy")}, round(x0 + a * (x2 - x0), 4) AS x4, round(y0 + a * (y2 - y0), 4) AS y4 FROM t""",
     "selected_objects": f"WITH {OBJECTS}, {_MARKED} SELECT o.scan_id, o.id, o.text FROM o JOIN marked m ON m.scan_id = o.scan_id AND m.id = o.id",
     "marquee_added": f"WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM marked UNION SELECT scan_id, id FROM o WHERE x <= 20 AND x + w >= 5 AND y <= 4 AND y + h >= 1",
+    "marquee_pairs": f"""WITH {OBJECTS}, m AS (SELECT scan_id AS s, pos + 1 AS marquee_id, x - 2 AS l, y - 1 AS t, x + w + 2 AS r, y + h + 1 AS b FROM o WHERE pos % 10 = 0)
+SELECT scan_id, marquee_id, id FROM o JOIN m ON s = scan_id AND x <= r AND x + w >= l AND y <= b AND y + h >= t""",
+    "version_restore": f"""WITH {OBJECTS} SELECT scan_id, id, CASE WHEN scan_id % 4 >= 1 AND pos % 7 = 0 THEN original_text || '-' ELSE original_text END AS text,
+  round(original_x + CASE WHEN scan_id % 4 >= 2 AND pos % 5 = 0 THEN 1.5 ELSE 0 END, 6) AS x FROM o WHERE NOT (scan_id % 4 = 3 AND pos % 11 = 0)""",
     "removed_objects": f"""WITH {OBJECTS}, {_MARKED} SELECT scan_id, id FROM o WHERE NOT (pos % 3 = 0 AND scan_id % 2 = 0)
   UNION ALL SELECT doc_id, 'obj-bg' FROM documents""",
     "user_text": f"""WITH {OBJECTS}, {_FONT} SELECT scan_id, coalesce(last, 0) + n AS ordinal, CASE n WHEN 1 THEN 'first' ELSE 'second note' END AS text, round(font / 0.8 * 1600 / 4000, 6) AS h, 12.0::DOUBLE AS w,

@@ -88,11 +88,12 @@ def word_error_rate(hyp: Column, ref: Column) -> Column:
 
 
 def evaluate(hyps: DataFrame, refs: DataFrame) -> DataFrame:
-    """refs (name, text) against hyps (name, text[, elapsed_ms]): name, cer, wer, elapsed_ms, error. A reference without result gives an error row."""
-    h = hyps.select("name", F.col("text").alias("hyp"), F.lit(True).alias("found"), (F.col("elapsed_ms") if "elapsed_ms" in hyps.columns else F.lit(None)).cast("long").alias("elapsed_ms"))
+    """refs (name, text) against hyps (name, text[, elapsed_ms][, error]): name, cer, wer, elapsed_ms, error. A reference without result gives an error row."""
+    reason = F.col("error").cast("string") if "error" in hyps.columns else F.lit(None).cast("string")
+    h = hyps.select("name", reason.alias("reason"), F.col("text").alias("hyp"), F.lit(True).alias("found"), (F.col("elapsed_ms") if "elapsed_ms" in hyps.columns else F.lit(None)).cast("long").alias("elapsed_ms"))
     j = refs.select("name", F.col("text").alias("ref")).join(h, "name", "left")
     ok = F.col("found") & F.col("hyp").isNotNull()
-    return j.select("name", F.when(ok, character_error_rate(F.col("hyp"), F.col("ref"))).alias("cer"), F.when(ok, word_error_rate(F.col("hyp"), F.col("ref"))).alias("wer"), "elapsed_ms", F.when(~F.coalesce(ok, F.lit(False)), "no result").alias("error"))
+    return j.select("name", F.when(ok, character_error_rate(F.col("hyp"), F.col("ref"))).alias("cer"), F.when(ok, word_error_rate(F.col("hyp"), F.col("ref"))).alias("wer"), "elapsed_ms", F.when(~F.coalesce(ok, F.lit(False)), F.coalesce("reason", F.lit("no result"))).alias("error"))
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -32,6 +32,34 @@ def median_font(objects: DataFrame, scans: DataFrame) -> DataFrame:
     return scans.select("scan_id").distinct().join(m, "scan_id", "left").select("scan_id", F.coalesce("m", F.lit(DEFAULT_FONT)).alias("font_size_pct"))
 
 
+#: Cells of a page, across and down, by which many rectangles meet objects.
+CELLS = 16
+
+
+def marquee_pairs(objects: DataFrame, marquees: DataFrame, editor: bool = False, cells: int = CELLS) -> DataFrame:
+    """(scan_id, marquee_id, id) of objects that marquees (scan_id, marquee_id, left, top, right, bottom in percent) touch, for many marquees a scan; images only in the editor.
+
+    Both sides are laid over a grid and meet by (scan_id, cell), so a marquee meets what lies about it alone. A pair
+    that shares cells is given by the one that holds the left upper corner of what both have in common. The grid goes on
+    beyond the page, to a hundred pages right and down; what lies further is in the cells at its edge. Boxes with a null
+    or NaN edge, or turned over, touch nothing.
+    """
+    o = objects if editor else objects.where("type = 'word'")
+    cell = lambda v: F.least(F.greatest(F.floor(v * (cells / 100)), F.lit(-cells)), F.lit(100 * cells)).cast("int")
+
+    def laid(d: DataFrame, x0, y0, x1, y1, *names: str) -> DataFrame:
+        d = d.select("scan_id", *names, *[v.cast("double").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)])
+        d = d.where("x0 <= x1 AND y0 <= y1 AND NOT isnan(x0) AND NOT isnan(y0) AND NOT isnan(x1) AND NOT isnan(y1)")
+        return d.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+
+    a = laid(o, F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"), "id").alias("a")
+    b = laid(marquees, *[F.col(c) for c in ("left", "top", "right", "bottom")], "marquee_id").alias("b")
+    j = a.join(b, ["scan_id", "cx", "cy"])
+    own = (F.col("cx") == cell(F.greatest("a.x0", "b.x0"))) & (F.col("cy") == cell(F.greatest("a.y0", "b.y0")))
+    hit = (F.col("a.x0") <= F.col("b.x1")) & (F.col("a.x1") >= F.col("b.x0")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("a.y1") >= F.col("b.y0"))
+    return j.where(own & hit).select("scan_id", "marquee_id", "id")
+
+
 def marquee_hits(objects: DataFrame, marquees: DataFrame, editor: bool = False) -> DataFrame:
     """(scan_id, id) of objects that a scan's marquee (scan_id, left, top, right, bottom) touches; images only in the editor."""
     o = objects if editor else objects.where("type = 'word'")

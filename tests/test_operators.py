@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkframe import queries
-from inkframe.operators import edits, evaluate, fit, layout, order, passes, raster
+from inkframe.operators import edits, evaluate, fit, layout, order, passes, png, raster, versions
 from inkframe.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -107,10 +107,10 @@ def test_raster(spark):
 
 def test_sources(spark, tmp_path):
     class Fake:  # local, so that workers get it by value
-        def recognize(self, content):
-            if content == b"bad":
+        def recognize(self, image, mode, rotate):
+            if image.shape[0] == 3:
                 raise ValueError("no page")
-            return {"width": 1, "height": 1, "text": "hi", "blocks": [], "rotate_radians": 0.0}
+            return {"text": f"hi {mode} {rotate}", "blocks": [], "rotate_radians": 0.0}
 
         def close(self):
             pass
@@ -121,8 +121,47 @@ def test_sources(spark, tmp_path):
     assert files.read_ground_truth(spark, str(tmp_path)).first() == ("b", "t\nu")
     sizes = spark.createDataFrame([("image/png", 15728640), ("image/png", 15728641), ("text/plain", 1)], "m string, n long")
     assert [r[0] for r in sizes.select(files.rejection(F.col("m"), F.col("n"))).collect()] == [None, "size", "type"]
-    im = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"bad"))], "scan_id long, content binary")
-    assert [(r.text, r.error) for r in files.recognize(im, Fake).orderBy("scan_id").collect()] == [("hi", None), (None, "no page")]
+    page = lambda h: bytearray(png.encode(np.zeros((h, 5, 4), np.uint8)))
+    im = spark.createDataFrame([(1, page(4)), (2, page(3)), (3, bytearray(b"bad"))], "scan_id long, content binary")
+    got = [(r.width, r.height, r.text, r.error) for r in files.recognize(im, Fake).orderBy("scan_id").collect()]
+    assert got == [(5, 4, "hi 3 True", None), (None, None, None, "no page"), (None, None, None, "the image cannot be read")]
+    assert [r.text for r in files.dispatch(im.where("scan_id = 1"), "native", Fake, None).collect()] == ["hi 3 True"]
+
+
+def test_sample(spark):
+    rows = files.sample_page(spark).orderBy("line_index").collect()
+    page = png.decode(bytes(rows[0].content))
+    assert page.shape == (220, 640, 4) and [r.text for r in rows] == [t for t, *_ in files.SAMPLE_LINES]
+    for _, x, y, font in files.SAMPLE_LINES:
+        assert (page[y : y + int(font), x : x + 40, 0] < 128).any()
+    assert (page[:, :30] == 255).all()
+
+
+def test_benchmark(spark, tmp_path):
+    """Folders in, report lines out: a good page, a wrong one, a damaged one, a missing one, one that is no image."""
+
+    class Fake:
+        def recognize(self, image, mode, rotate):
+            k, box = int(image[0, 0, 0]), {"x0": 0.0, "y0": 0.0, "x1": 4.0, "y1": 2.0}
+            words = [{"text": t, "confidence": 99.0, "bbox": box} for t in (["two", "words"] if k == 1 else ["too", "words"])]
+            return {"text": "two words", "rotate_radians": 0.0, "blocks": [{"bbox": box, "paragraphs": [{"lines": [{"bbox": box, "words": words}]}]}]}
+
+        def close(self):
+            pass
+
+    truths, folder = tmp_path / "truth", tmp_path / "images"
+    truths.mkdir(), folder.mkdir()
+    for name in ("good", "wrong", "damaged", "missing", "text"):
+        (truths / f"{name}.txt").write_text("two words\n")
+    for name, k in (("good.png", 1), ("wrong.png", 2), ("extra.png", 1)):
+        (folder / name).write_bytes(png.encode(np.full((300, 300, 4), k, np.uint8)))
+    (folder / "damaged.jpeg").write_bytes(b"\xff\xd8\xff no picture")
+    (folder / "text.html").write_text("<p>")
+    lines = {r.name: r.line for r in files.benchmark(spark, str(truths), str(folder), Fake).collect()}
+    assert lines.keys() == {"good", "wrong", "damaged", "missing", "text"}
+    assert lines["good"].startswith("good              0.0%     0.0%   ") and lines["good"].endswith("s")
+    assert lines["wrong"].startswith("wrong            11.1%    50.0%   ")
+    assert lines["damaged"] == "damaged         ERROR: the image cannot be read" and lines["missing"] == "missing         ERROR: no result" and lines["text"].endswith("ERROR: type")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -174,3 +213,62 @@ def test_keystone_all_lines(spark):
     assert got.keys() == fits.keys() and all(got[d] == pytest.approx(fits[d], abs=1e-3) for d in got)
     got = {r.scan_id: (r.x0, r.x1, r.x2, r.x3) for r in queries.QUERIES["keystone_quad"](spark, SF).collect()}
     assert got.keys() == quads.keys() and all(got[d] == pytest.approx(quads[d], abs=1e-3) for d in got)
+
+
+def test_versions(spark):
+    """Every version of random edits comes back, from snapshots at once or one by one, and storage grows with the changes."""
+    import random
+
+    r, state, rows = random.Random(9), {(s, f"obj-{k}"): ("t", float(k)) for s in (1, 2) for k in range(30)}, []
+    for v in range(8):
+        for _ in range(3 if v else 0):
+            key = (r.choice((1, 2)), f"obj-{r.randint(0, 34)}")
+            kind = r.random()
+            if kind < 0.3:
+                state.pop(key, None)
+            else:
+                state[key] = (r.choice(["t", "u", None]), float(r.randint(0, 3)))
+        rows += [(s, v, i, t, x) for (s, i), (t, x) in state.items()]
+    schema = "scan_id long, version long, id string, text string, `a.x` double"
+    every = spark.createDataFrame(rows, schema)
+    one = versions.from_snapshots(every)
+    two = versions.from_snapshots(every.where("version < 3"))
+    for v in range(3, 8):
+        two = versions.commit(two, every.where(f"version = {v}").drop("version"), v)
+    two = spark.createDataFrame(two.collect(), two.schema)
+    for store in (one, two):
+        for v in range(8):
+            got = sorted((tuple(g) for g in versions.as_of(store, v).select("scan_id", "id", "text", "`a.x`").collect()), key=str)
+            assert got == sorted(((s, i, t, x) for s, w, i, t, x in rows if w == v), key=str)
+    order = lambda d: sorted(map(str, d.select("scan_id", "id", "text", "`a.x`", "valid_from", "valid_to").collect()))
+    assert order(one) == order(two) and one.count() <= 60 + 7 * 3 < len(rows)
+    # Each scan its own version, and an object that comes back after it went.
+    mixed = versions.as_of(one, F.when(F.col("scan_id") == 1, 2).otherwise(5)).groupBy("scan_id").count()
+    assert {g.scan_id: g["count"] for g in mixed.collect()} == {s: sum(1 for x in rows if x[:2] == (s, v)) for s, v in ((1, 2), (2, 5))}
+    gone = spark.createDataFrame([(1, 0, "a", "t", 1.0), (1, 0, "b", "t", 1.0), (1, 1, "b", "t", 1.0), (1, 2, "a", "t", 1.0), (1, 2, "b", "t", 1.0)], schema)
+    assert sorted((g.id, g.valid_from, g.valid_to) for g in versions.from_snapshots(gone).collect()) == [("a", 0, 1), ("a", 2, None), ("b", 0, None)]
+    assert versions.from_snapshots(gone.limit(0)).count() == 0
+    kept = versions.commit(versions.from_snapshots(gone), gone.where("id = 'none'").drop("version"), 3)  # a commit without this scan
+    assert kept.where("valid_to IS NULL").count() == 2
+
+
+def test_marquee_pairs(spark):
+    """The grid gives what the theta join gives: touching edges, boxes over many cells, beyond the page, and none twice."""
+    import random
+
+    r = random.Random(10)
+    box = lambda most: (r.choice([-30.0, 0.0, 6.25, 12.5, 99.0, 100.0, r.uniform(-20, 130), 20_000.0]), r.choice([0.0, 6.25, 25.0, r.uniform(-20, 130)]), r.choice([0.0, 6.25, r.uniform(0, most)]), r.choice([0.0, 6.25, r.uniform(0, most)]))
+    objects = [(s, f"o{k}", "image" if k == 0 else "word", *box(40)) for s in (1, 2) for k in range(80)] + [(1, "null", "word", None, 1.0, 1.0, 1.0), (1, "nan", "word", float("nan"), 1.0, 1.0, 1.0), (1, "turned", "word", 10.0, 1.0, -5.0, 1.0)]
+    marquees = [(s, k, x, y, x + w, y + h) for s in (1, 2) for k in range(40) for x, y, w, h in [box(60)]]
+    o = spark.createDataFrame(objects, "scan_id long, id string, type string, x double, y double, w double, h double")
+    m = spark.createDataFrame(marquees, "scan_id long, marquee_id long, left double, top double, right double, bottom double")
+    for editor in (False, True):
+        want = sorted((s, k, i) for s, i, kind, x, y, w, h in objects if x is not None and (editor or kind == "word") for t, k, a, b, c, d in marquees if s == t and w >= 0 and x <= c and x + w >= a and y <= d and y + h >= b)
+        for cells in (4, 16):
+            assert sorted(map(tuple, fit.marquee_pairs(o, m, editor, cells).collect())) == want
+    # Small boxes all over the page meet what is near alone: far fewer candidates than all pairs.
+    grid = spark.range(10_000).selectExpr("1L AS scan_id", "cast(id AS string) AS id", "'word' AS type", "cast(id % 100 AS double) AS x", "cast(id div 100 AS double) AS y", "0.5D AS w", "0.5D AS h")
+    many = spark.range(400).selectExpr("1L AS scan_id", "id AS marquee_id", "cast(id % 20 * 5 AS double) AS left", "cast(id div 20 * 5 AS double) AS top", "id % 20 * 5 + 1D AS right", "id div 20 * 5 + 1D AS bottom")
+    pairs = fit.marquee_pairs(grid, many)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 400 * 4 and "cx" in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkframe.plans import synthetic as syn
 from inkframe.operators import edits, layout
 from inkframe.streaming import edits as undo
+from inkframe.streaming import progress
 from inkframe.streaming import words as stream
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,25 @@ def test_history_stream(spark, tmp_path):
     want = edits.history(spark.createDataFrame(rows, schema), 5)
     assert got == sorted(tuple(x) for x in want.collect()) and len(got) == 640
     assert max(x[3] for x in got) >= 5 and "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_progress(spark, tmp_path):
+    """A closing row a session, late events dropped, over two restarts."""
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    batches = [
+        [(1, 0, "loading core", 0.0), (1, 2, "recognizing text", 0.125), (2, 1, "recognizing text", 0.5)],
+        [(1, 4, "recognizing text", 0.995), (1, 4, "done", 1.0), (2, 30, "again", 0.25)],
+        [(3, 60, "x", None), (2, 31, "éa", 0.334)],
+        [(1, 3, "too late", 0.9), (9, 200, "end", 1.0)],
+        [(9, 201, "end", 1.0)],
+    ]
+    schema = "scan_id long, at timestamp, status string, progress double"
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, at(m), t, p) for s, m, t, p in rows], "scan_id long, at string, status string, progress double")
+        df.withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k != 1:
+            q = progress.sessions(read.parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/mark").outputMode("append")
+            q.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.scan_id, r.started.minute + 60 * r.started.hour, r.n_events, r.percent, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 0, 4, 100, "Done"), (2, 1, 1, 50, "Recognizing text"), (2, 30, 2, 33, "Éa"), (3, 60, 1, None, "X")]
