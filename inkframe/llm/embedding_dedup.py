@@ -14,7 +14,6 @@ task of its own.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -84,38 +83,39 @@ class MultiIndex:
             moved.append(border**2)
         return np.stack(cells, 1) if len(x) else np.zeros((0, 2), np.int64), moved
 
-    def visit(self, one: np.ndarray, two: np.ndarray):
-        """Multi-sequence traversal: cells (i, j) by ascending one[i] + two[j], while within reach."""
-        a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-        todo = [(one[a[0]] + two[b[0]], 0, 0)]
-        while todo:
-            d, i, j = heapq.heappop(todo)
-            if d > self.reach:
-                return
-            yield int(a[i]), int(b[j])
-            if j + 1 < len(b):
-                heapq.heappush(todo, (one[a[i]] + two[b[j + 1]], i, j + 1))
-            if j == 0 and i + 1 < len(a):
-                heapq.heappush(todo, (one[a[i + 1]] + two[b[0]], i + 1, 0))
-
     def blocks(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Own block of each vector, and the blocks (vector number, block) that its traversal visits, its own included.
+        """Own block of each vector, and the blocks (vector number, block) that its traversal visits, nearest first, its own included.
 
-        A block is visited where its nearest cell is: the traversal of all vectors at once, on the least distances of
-        each run of SIDE codewords.
+        A block is as near as its nearest cell, so its distance is the sum of the least of its codewords in both halves.
         """
         cells, moved = self.place(x)
         own = cells[:, 0] // SIDE * self.across + cells[:, 1] // SIDE
         one, two = (np.minimum.reduceat(m, np.arange(0, m.shape[1], SIDE), axis=1) for m in moved)
-        row, block = [], []
-        for i in range(one.shape[1]):
-            near = np.flatnonzero(one[:, i] <= self.reach)
-            r, j = np.nonzero(one[near, i, None] + two[near] <= self.reach)
-            row.append(near[r])
-            block.append(i * self.across + j)
-        row, block = np.concatenate(row), np.concatenate(block)
-        order = np.argsort(row, kind="stable")
-        return own, row[order], block[order]
+        row, i, j = traverse(one, two, self.reach)
+        return own, row, i * self.across + j
+
+
+def traverse(one: np.ndarray, two: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multi-sequence traversal of many vectors side by side: (vector, i, j) by vector, then by ascending one[i] + two[j], each as far as reach.
+
+    Both halves' distances are sorted. Each i holds the next j that it has not given yet; a step gives every vector
+    the nearest of these pairs, and vectors whose nearest is beyond reach are done.
+    """
+    a, b = one.argsort(1, kind="stable"), two.argsort(1, kind="stable")
+    first, second = np.take_along_axis(one, a, 1), np.take_along_axis(two, b, 1)
+    at, ahead = np.zeros(one.shape, np.int64), first + second[:, :1]
+    live, rows, left, right = np.arange(len(one)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(live):
+        k = ahead[live].argmin(1)
+        going = ahead[live, k] <= reach
+        live, k = live[going], k[going]
+        j = at[live, k]
+        rows.append(live), left.append(a[live, k]), right.append(b[live, j])
+        at[live, k] = j = j + 1
+        ahead[live, k] = np.where(j < two.shape[1], first[live, k] + second[live, np.minimum(j, two.shape[1] - 1)], np.inf)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate(left)[order], np.concatenate(right)[order]
 
 
 def _units(x: np.ndarray) -> np.ndarray:

@@ -145,9 +145,27 @@ def test_blocks_are_those_of_the_traversal():
     _, row, block = index.blocks(x)
     _, moved = index.place(x)
     for k in range(0, 300, 17):
-        cells = set(index.visit(moved[0][k], moved[1][k]))
-        want = {i // embedding_dedup.SIDE * index.across + j // embedding_dedup.SIDE for i, j in cells}
-        assert set(block[row == k].tolist()) == want
+        far = {}
+        for i, p in enumerate(moved[0][k].tolist()):
+            for j, q in enumerate(moved[1][k].tolist()):
+                b = i // embedding_dedup.SIDE * index.across + j // embedding_dedup.SIDE
+                far[b] = min(far.get(b, p + q), p + q)
+        got = block[row == k].tolist()
+        assert sorted(got) == sorted(b for b, d in far.items() if d <= index.reach)
+        assert [far[b] for b in got] == sorted(far[b] for b in got)  # nearest first
+
+
+def test_traverse():
+    rng = np.random.default_rng(2)
+    for n, p, q in ((50, 7, 4), (1, 1, 1), (20, 3, 9)):
+        one, two = rng.integers(0, 5, (n, p)) * 0.5, rng.integers(0, 5, (n, q)) * 0.5  # with ties
+        for reach in (-1.0, 0.0, 2.0, 9.0):
+            row, i, j = embedding_dedup.traverse(one, two, reach)
+            assert (np.diff(row) >= 0).all()
+            for k in range(n):
+                got = list(zip(i[row == k].tolist(), j[row == k].tolist(), strict=True))
+                sums = [one[k, a] + two[k, b] for a, b in got]
+                assert sums == sorted(sums) and sorted(got) == sorted((a, b) for a in range(p) for b in range(q) if one[k, a] + two[k, b] <= reach)
 
 
 def naive_kernel(v, w):
