@@ -53,6 +53,14 @@ def pass_gates(spark, sf):
     return passes.gates(p).select("scan_id", "n_words", "n_regions", "try_preprocessed", "retry_sparse", "try_regions")
 
 
+def best_of_candidates(spark, sf):
+    """Of each region the contrast candidate, for odd blocks an edge candidate too, and which is kept."""
+    r = layout.extract_regions(nested.pages(spark, sf)).select("scan_id", F.col("block_no").cast("long").alias("block_no"), "n_words", F.round("mean_confidence", 0).alias("mean_confidence"))
+    edge = r.where("block_no % 2 = 1").withColumn("mean_confidence", F.round(F.col("mean_confidence") + F.col("n_words") % 5 - 2, 0)).withColumn("edge", F.lit(True))
+    best = passes.best_candidate(passes.candidates(r, edge), "scan_id", "block_no")
+    return best.select("scan_id", "block_no", F.col("ordinal").cast("long").alias("ordinal"), "mean_confidence", F.coalesce("edge", F.lit(False)).alias("edge"))
+
+
 def column_order(spark, sf):
     """Reading order of blocks in two columns, rows of which stand a little apart in height."""
     r = syn.regions(spark, sf).select("scan_id", "block_no")
@@ -354,7 +362,7 @@ def saved_views(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        nested_regions, nested_words, nested_reading_order, element_words, element_text, pass_gates, column_order, text_scalars, normalized_text,
+        nested_regions, nested_words, nested_reading_order, element_words, element_text, pass_gates, best_of_candidates, column_order, text_scalars, normalized_text,
         answer_text, file_kinds, pasted_images, dropped_files, payload_bytes, edit_history, resized, dragged, region_word_boxes, inpaint_crops, page_upscale, homography_corners,
         selected_objects, marquee_added, marquee_pairs, version_restore, removed_objects, user_text, text_with_notes, patches, gray_plane, edge_plane, plane_deviation, near_colours, photo_rows, word_patches, saved_texts, saved_views,
     )
@@ -416,6 +424,9 @@ ORACLE_SQL = {
 SELECT scan_id, trim(string_agg(line, chr(10) ORDER BY line_index), ' ' || chr(10)) AS text FROM t GROUP BY scan_id""",
     "pass_gates": f"""WITH {_NREGIONS}, p AS (SELECT scan_id, CAST(sum(n_words) AS BIGINT) AS n_words, round(avg(mean_confidence), 6) AS m, count(*) AS n_regions FROM reg GROUP BY scan_id)
 SELECT scan_id, n_words, n_regions, m < 70 AS try_preprocessed, n_words = 0 OR m < 40 AS retry_sparse, n_regions > 0 AND m < 85 AS try_regions FROM p""",
+    "best_of_candidates": f"""WITH {_NREGIONS}, c AS (SELECT scan_id, block_no, 0 AS k, round(mean_confidence, 0) AS m FROM reg
+UNION ALL SELECT scan_id, block_no, 1, round(round(mean_confidence, 0) + n_words % 5 - 2, 0) FROM reg WHERE block_no % 2 = 1)
+SELECT scan_id, block_no, arg_max(k, m * 10 - k) AS ordinal, max(m) AS mean_confidence, arg_max(k, m * 10 - k) = 1 AS edge FROM c GROUP BY scan_id, block_no""",
     "column_order": f"""WITH {REGIONS}, c AS (SELECT scan_id, block_no, block_no % 2 * 500.0 AS x0, block_no // 2 * 200.0 + block_no * 7 % 11 AS y0, 100.0 + block_no % 2 * 20 AS h FROM regions)
 SELECT a.scan_id, a.block_no, count(b.block_no) AS rank FROM c a LEFT JOIN c b ON b.scan_id = a.scan_id AND b.block_no <> a.block_no
   AND CASE WHEN abs(b.y0 - a.y0) > 0.5 * least(a.h, b.h) THEN b.y0 < a.y0 ELSE b.x0 < a.x0 OR (b.x0 = a.x0 AND b.block_no < a.block_no) END GROUP BY ALL""",

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 TRY_PREPROCESSED, RETRY_SPARSE, TRY_REGIONS, WEAK, WEAK_AREA, MOST_REGIONS, LEAST_WORDS = 70.0, 40.0, 85.0, 70.0, 0.08, 16, 0.5
 
 
+def candidates(*passes: DataFrame) -> DataFrame:
+    """The rows of several passes in one table, ordinal being the pass's number; a column that a pass lacks is null. Unlike names are told apart, repeated rows stay."""
+    out = None
+    for k, p in enumerate(passes):
+        rows = p.withColumn("ordinal", F.lit(k))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def best_candidate(candidates: DataFrame, *keys: str) -> DataFrame:
     """The highest mean_confidence per key; of equals the first by ordinal."""
     by = Window.partitionBy(*keys).orderBy(F.col("mean_confidence").desc(), "ordinal")
