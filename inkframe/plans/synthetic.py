@@ -44,8 +44,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent benchmark items as hypothesis and reference, non-ASCII characters replaced."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.regexp_replace("text", r"[^ -~\n]", "?").alias("text"))
+    """Adjacent benchmark items as hypothesis and reference."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("ref"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # distances take long: the pairs of one small file go to as many tasks
     b, nxt = b.repartition(n, "item_id"), nxt.repartition(n, "item_id")

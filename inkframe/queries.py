@@ -25,7 +25,9 @@ SHAPE = rf"(regexp_matches(text, '^[^\w\s]+$') OR {_RUN} OR {_RATIO} > 0.6)"
 NOISE = f"({SHAPE} OR (NOT regexp_matches(text, '^[A-Z]{{3,}}$') AND confidence < 25))"
 NOISY = f"{WORDS}, noisy AS (SELECT *, {NOISE} AS noise FROM words)"
 REGIONS = f"{WORDS}, regions AS (SELECT scan_id, line_index // 5 AS block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words, avg(confidence) AS mean_confidence FROM words GROUP BY ALL)"
-PAIRS = "p AS (SELECT a.item_id, regexp_replace(a.text, '[^ -~\\n]', '?', 'g') AS hyp, regexp_replace(b.text, '[^ -~\\n]', '?', 'g') AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n AS (SELECT item_id, trim(regexp_replace(hyp, '\\s+', ' ', 'g')) AS h, trim(regexp_replace(ref, '\\s+', ' ', 'g')) AS r FROM p)".replace("\\\\", "\\")
+_WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+PAIRS = rf"p AS (SELECT a.item_id, a.text AS hyp, b.text AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n0 AS (SELECT item_id, trim(regexp_replace(hyp, '{_WHITE}', ' ', 'g')) AS h, trim(regexp_replace(ref, '{_WHITE}', ' ', 'g')) AS r FROM p),
+n AS (SELECT *, list_distinct(regexp_extract_all(h || r, '(?s).')) AS points FROM n0)"
 #: Layout objects: percent boxes of the words; every 7th is retyped, every 5th moved, every 11th has no text.
 OBJECTS = f"""{WORDS}, o AS (SELECT scan_id, pos, 'obj-' || CAST(pos + 1 AS VARCHAR) AS id, line_index, text AS original_text, confidence,
   x0 / 1600 * 100 AS original_x, y0 / 4000 * 100 AS y, greatest(x1 - x0, 1.0) / 1600 * 100 AS w, greatest(y1 - y0, 1.0) / 4000 * 100 AS h, greatest(y1 - y0, 1.0) / 1600 * 100 * 0.8 AS font_size_pct,
@@ -256,7 +258,9 @@ f AS (SELECT scan_id, count(*) AS n, max(height) AS height, CASE WHEN var_pop(x)
 _MARKED = "marked AS (SELECT scan_id, id FROM o WHERE pos % 3 = 0 AND scan_id % 2 = 0)"
 _CASCADE = "d AS (SELECT doc_id AS s, " + ", ".join(f"coalesce(length(text), 0) * {a} % {b} AS n{k}, CAST(coalesce(length(text), 0) * {a} % 101 AS DOUBLE) AS m{k}" for k, a, b in ((0, 37, 3), (1, 53, 4), (2, 29, 2), (3, 61, 5))) + " FROM documents)"
 
-_CER = "CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein(h, r) AS DOUBLE) / length(r) END"
+#: Each distinct code point of a pair becomes one of the first 127.
+_SHORT = lambda c: f"list_aggregate(list_transform(regexp_extract_all({c}, '(?s).'), lambda x: chr(CAST(list_position(points, x) AS INT))), 'string_agg', '')"
+_CER = f"CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0 ELSE 1 END ELSE CAST(levenshtein({_SHORT('h')}, {_SHORT('r')}) AS DOUBLE) / length(r) END"
 #: Each distinct word of a pair becomes one character.
 _WER = """t AS (SELECT item_id, list_filter(string_split(h, ' '), lambda x: x <> '') AS h, list_filter(string_split(r, ' '), lambda x: x <> '') AS r FROM n),
 t2 AS (SELECT *, list_sort(list_distinct(list_concat(h, r))) AS v FROM t),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from inkframe import nested_queries
-from inkframe.operators import images, png, raster, scan
+from inkframe.operators import fit, images, png, raster, scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -148,3 +148,19 @@ def test_flatten():
     assert (out[2:4, 2:5, :3] == (1, 2, 3)).all() and (out[6:, 6:, :3] == 9).all() and out[0, 0].tolist() == [50, 0, 0, 255] and seen == [("hi", 1, 1, 5)]
     assert (png.flatten(2, 2, None, draws[:2], (7, 7, 7))[..., :3] == 7).all()
     assert png.result_name("a", "full") == "a-full-image.png" and png.result_name("a", "other") == "a-image-format.png"
+
+
+def test_both_keystones(spark):
+    """The keystone of a crop in a scan and that of tables of lines are one rule."""
+    r = np.random.default_rng(12)
+    rows, want = [], {}
+    for k in range(120):
+        n, w, h = int(r.integers(0, 9)), int(r.integers(50, 400)), int(r.integers(50, 400))
+        tops = np.sort(r.uniform(0, h, n))
+        heights = np.maximum(1.0, r.uniform(5, 20) + tops * r.choice([0.0, 0.05, -0.03]) + r.normal(0, r.choice([0.0, 0.2, 3.0]), n))
+        boxes = [scan.Box(0.0, float(t), 10.0, float(t + d)) for t, d in zip(tops, heights, strict=True)]
+        if (quad := scan.keystone(boxes, w, h)) is not None:
+            want[k] = [c for p in quad for c in p]
+        rows += [(k, (b.y0 + b.y1) / 2, b.y1 - b.y0, float(w), float(h)) for b in boxes]
+    got = fit.keystones(spark.createDataFrame(rows, "scan_id long, x double, y double, width double, height double"), "scan_id").collect()
+    assert want and len(want) < 120 and {g.scan_id: pytest.approx([c for p in g.quad for c in (p.x, p.y)], abs=1e-6) for g in got} == want
