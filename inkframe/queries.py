@@ -26,8 +26,8 @@ NOISE = f"({SHAPE} OR (NOT regexp_matches(text, '^[A-Z]{{3,}}$') AND confidence
 NOISY = f"{WORDS}, noisy AS (SELECT *, {NOISE} AS noise FROM words)"
 REGIONS = f"{WORDS}, regions AS (SELECT scan_id, line_index // 5 AS block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words, avg(confidence) AS mean_confidence FROM words GROUP BY ALL)"
 _WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
-PAIRS = rf"p AS (SELECT a.item_id, a.text AS hyp, b.text AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n0 AS (SELECT item_id, trim(regexp_replace(hyp, '{_WHITE}', ' ', 'g')) AS h, trim(regexp_replace(ref, '{_WHITE}', ' ', 'g')) AS r FROM p),
-n AS (SELECT *, list_distinct(regexp_extract_all(h || r, '(?s).')) AS points FROM n0)"
+PAIRS = rf"""p AS (SELECT a.item_id, a.text AS hyp, b.text AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), n0 AS (SELECT item_id, trim(regexp_replace(hyp, '{_WHITE}', ' ', 'g')) AS h, trim(regexp_replace(ref, '{_WHITE}', ' ', 'g')) AS r FROM p),
+n AS (SELECT *, list_distinct(regexp_extract_all(h || r, '(?s).')) AS points FROM n0)"""
 #: Layout objects: percent boxes of the words; every 7th is retyped, every 5th moved, every 11th has no text.
 OBJECTS = f"""{WORDS}, o AS (SELECT scan_id, pos, 'obj-' || CAST(pos + 1 AS VARCHAR) AS id, line_index, text AS original_text, confidence,
   x0 / 1600 * 100 AS original_x, y0 / 4000 * 100 AS y, greatest(x1 - x0, 1.0) / 1600 * 100 AS w, greatest(y1 - y0, 1.0) / 4000 * 100 AS h, greatest(y1 - y0, 1.0) / 1600 * 100 * 0.8 AS font_size_pct,
