@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,32 +14,33 @@ from inkframe.functions.text import normalize_space, tokens
 
 #: Length of a side up to which Spark's own distance is taken, whose time grows with the product of both.
 MOST_LENGTH = 4096
+#: Rows to either side of the diagonal that are tried first.
+BAND = 64
 
 
-def distance(a: Sequence, b: Sequence) -> int:
-    """Edit distance, exact at any length: a column of the table is two numbers of a bit a row, so it takes a few operations on whole numbers an item of the longer side, and memory by the shorter."""
-    first = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    a, b = a[first:], b[first:]
-    last = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
-    a, b = sorted((a[: len(a) - last], b[: len(b) - last]), key=len)
-    m = len(a)
-    if not m:
-        return len(b)
+def _places(a: Sequence) -> tuple[dict, dict]:
+    """Where each item of a occurs, and bits of the places of those that occur often: no more of them than the root of a's length."""
     places: dict = {}
     for k, x in enumerate(a):
         places.setdefault(x, []).append(k)
+    return places, {x: _bits(at, 0) for x, at in places.items() if len(at) ** 2 > len(a)}
 
-    def rows(at: list[int]) -> int:
-        bits = bytearray(m // 8 + 1)
-        for k in at:
-            bits[k >> 3] |= 1 << (k & 7)
-        return int.from_bytes(bits, "little")
 
-    often = {x: rows(at) for x, at in places.items() if len(at) ** 2 > m}  # no more than the root of m
+def _bits(at: Sequence[int], start: int) -> int:
+    bits = bytearray((at[-1] - start) // 8 + 1) if at else b""
+    for k in at:
+        bits[(k - start) >> 3] |= 1 << ((k - start) & 7)
+    return int.from_bytes(bits, "little")
+
+
+def _whole(a: Sequence, b: Sequence) -> int:
+    """Edit distance by whole columns of the table, a down."""
+    m = len(a)
+    places, often = _places(a)
     full, high = (1 << m) - 1, 1 << (m - 1)
     more, less, score = full, 0, m  # rows where the column rises, and where it falls
     for x in b:
-        same = often.get(x) or (rows(places[x]) if x in places else 0)
+        same = often.get(x) or _bits(places.get(x, ()), 0)
         across = (((same & more) + more) ^ more) | same
         up, down = less | (full & ~(across | more)), more & across
         score += 1 if up & high else -1 if down & high else 0
@@ -47,6 +49,50 @@ def distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
+def _banded(a: Sequence, b: Sequence, most: int, known: tuple[dict, dict]) -> int:
+    """Edit distance where it is `most` at most, else a larger number: of each column, a (the longer side) down, what lies within `most` of the diagonal; `most` is less than a is long."""
+    places, often = known
+    wide = 2 * most + 2
+    full, edge, row = (1 << wide) - 1, 1 << (wide - 1), 1 << (wide - 2)
+    more, less, score = full & (full << (wide - most - 1)), 0, most
+    for i, x in enumerate(b):
+        start = most + 1 - wide + i  # the first row of the band
+        if x in often:
+            same = (often[x] >> start if start >= 0 else often[x] << -start) & full
+        else:
+            at = places.get(x, ())
+            at = at[bisect_left(at, start) : bisect_left(at, start + wide)]
+            same = _bits(at, start)
+        down = (((same & more) + more) ^ more | same | less) & full  # where the diagonal does not rise
+        up, fall = less | (full & ~(down | more)), down & more
+        if i < len(a) - most:  # along the diagonal to the last row, then along that row
+            score += not down & edge
+        else:
+            score += (up & row > 0) - (fall & row > 0)
+            row >>= 1
+        if score > most + len(b) - (len(a) - most):  # it cannot come down far enough
+            return score
+        more, less = fall | (full & ~(down >> 1 | up)), down >> 1 & up
+    return score
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance, exact at any length, with memory by one side: a column of the table is two numbers of a bit a row, and of a column only a band about the diagonal is kept, which doubles until the distance fits it."""
+    first = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    last = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    b, a = sorted((a[: len(a) - last], b[: len(b) - last]), key=len)
+    if not b:
+        return len(a)
+    most, known = max(BAND, len(a) - len(b)), None
+    while 4 * most < len(b):
+        known = known or _places(a)
+        if (found := _banded(a, b, most, known)) <= most:
+            return found
+        most *= 2
+    return _whole(b, a)
+
+
 def _distances(kind: str):
     @F.pandas_udf("long")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -82,6 +82,31 @@ def test_distance():
         a, b = ("".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 31, 63, 64, 65, 130]))) for _ in "ab")
         assert evaluate.distance(a, b) == two_rows(a, b), (a, b)
         assert evaluate.distance(list(a), list(b)) == two_rows(a, b)
+        if a and b:
+            assert evaluate._whole(a, b) == two_rows(a, b)
+        b, a = sorted((a, b), key=len)
+        for most in {max(1, len(a) - len(b)), len(a) // 2, len(a) - 1}:
+            if b and len(a) - len(b) <= most < len(a):
+                got = evaluate._banded(a, b, most, evaluate._places(a))
+                assert got == two_rows(a, b) if two_rows(a, b) <= most else got > most, (a, b, most)
+
+
+def test_distance_bands(monkeypatch):
+    """Long texts with few edits: the band doubles until it holds them."""
+    r = random.Random(8)
+    monkeypatch.setattr(evaluate, "BAND", 2)
+    for _ in range(60):
+        a = [r.choice("abcdefghij") + str(r.randint(0, 30)) for _ in range(300)]
+        b = list(a)
+        for _ in range(r.randint(0, 40)):
+            k, kind = r.randrange(len(b)), r.random()
+            if kind < 0.4:
+                del b[k]
+            elif kind < 0.8:
+                b.insert(k, r.choice(a))
+            else:
+                b[k] = "z"
+        assert evaluate.distance(a, b) == evaluate.distance(b, a) == two_rows(a, b)
 
 
 def test_long_distances(spark):
