@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -446,6 +447,11 @@ def test_pipeline(spark, tok, tmp_path):
         ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    # What the run leaves: files that give every id, with no more than Python and their path.
+    files = sorted({r.file for r in out})
+    images = [rans.Image(Path(f).read_bytes()) for f in files]
+    assert np.concatenate([i.decode() for i in images]).tolist() == [t for r in out for t in [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]]
+    assert sum(len(i.doc_ids) for i in images) == len(out) and sum(Path(f).stat().st_size for f in files) < 4 * at
 
 
 def test_pipeline_brute_force(spark, tmp_path):
