@@ -68,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files, which stay, read back: doc_id, start, n_tokens, ids_crc32, and the file that holds the document."""
     return token_binary.token_binary(docs)
 
 
