@@ -18,6 +18,11 @@ def strip(t: Column) -> Column:
     return F.regexp_replace(t, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def has_ink(t: Column) -> Column:
+    """Whether anything is left once white space is stripped; false for null."""
+    return F.coalesce(t.rlike(f"[^{_INNER}]"), F.lit(False))
+
+
 def normalize_space(t: Column) -> Column:
     return strip(F.regexp_replace(t, rf"{SPACE}+", " "))
 

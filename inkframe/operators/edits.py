@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkframe.functions.geometry import clamp_position, drag, percent_box, pixel_box
-from inkframe.functions.text import low_confidence, strip, word_passes
+from inkframe.functions.text import has_ink, low_confidence, word_passes
 
 #: Tolerance of a move in percent, cap of the undo stack.
 TOLERANCE, UNDO_CAP = 0.01, 100
@@ -15,7 +15,7 @@ TOLERANCE, UNDO_CAP = 0.01, 100
 
 def render(words: DataFrame, images: DataFrame) -> DataFrame:
     """Words (with line_index) of images (scan_id, width, height) as layout objects, under one background object per scan."""
-    w = words.where(strip(F.coalesce("text", F.lit(""))) != "").join(images, "scan_id")
+    w = words.where(has_ink(F.col("text"))).join(images, "scan_id")
     g = percent_box(F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x1"), F.col("bbox.y1"), F.col("width"), F.col("height"))
     w = w.withColumn("g", g).withColumn("ordinal", F.row_number().over(Window.partitionBy("scan_id").orderBy("pos")))
     words_ = w.select("scan_id", F.concat(F.lit("obj-"), F.col("ordinal").cast("string")).alias("id"), F.col("ordinal").cast("int").alias("ordinal"), F.lit("word").alias("type"), F.lit("ocr").alias("origin"), "g.*", *[F.col(f"g.{c}").alias(f"original_{c}") for c in "xywh"], "text", F.col("text").alias("original_text"), "confidence", "line_index", low_confidence(F.col("confidence")).alias("low_confidence"))
@@ -82,7 +82,7 @@ def remove_objects(objects: DataFrame, ids: DataFrame) -> DataFrame:
 def add_user_text(objects: DataFrame, fonts: DataFrame, images: DataFrame, added: DataFrame) -> DataFrame:
     """Adds the user's words (scan_id, x, y, text, seq), 12 % wide, in the scan's median font, kept on the page; blank ones are dropped."""
     last = objects.groupBy("scan_id").agg(F.max("ordinal").alias("last"))
-    a = added.where(strip(F.coalesce("text", F.lit(""))) != "").join(fonts, "scan_id").join(images, "scan_id").join(last, "scan_id", "left")
+    a = added.where(has_ink(F.col("text"))).join(fonts, "scan_id").join(images, "scan_id").join(last, "scan_id", "left")
     n = (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("scan_id").orderBy("seq"))).cast("int")
     h = F.coalesce(F.col("font_size_pct") / 0.8 * F.col("width") / F.col("height"), F.lit(4.0))
     a = a.withColumn("ordinal", n).withColumn("h", h).withColumn("w", F.lit(12.0))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 WIDTH, HEIGHT = 1600, 4000
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, by_scan: bool = False) -> DataFrame:
+    """The words of all documents; with by_scan those of a scan in one partition, so that what is grouped by scan moves texts once instead of their words."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), F.split("text", "\n").alias("ls"))
     # Ordinals come from the arrays of the row itself, so no shuffle is needed; only words and their numbers leave it.
     of_line = lambda t, i: F.transform(F.filter(F.split(t, " +"), lambda x: x != ""), lambda x, k: F.struct(i.alias("i"), k.alias("k"), x.alias("text")))
-    w = d.select("scan_id", F.posexplode(F.flatten(F.transform("ls", of_line))).alias("pos", "w"))
+    w = (d.repartition("scan_id") if by_scan else d).select("scan_id", F.posexplode(F.flatten(F.transform("ls", of_line))).alias("pos", "w"))
     i, k, text = F.col("w.i"), F.col("w.k"), F.col("w.text")
     conf = ((F.col("scan_id") * 31 + i * 17 + k * 7) % 101).cast("double")
     n = F.length(text)
@@ -39,7 +40,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of five lines."""
     from inkframe.operators.layout import region_stats
 
-    w = words(spark, sf_dir).withColumn("block_no", F.floor(F.col("line_index") / 5).cast("long"))
+    w = words(spark, sf_dir, by_scan=True).withColumn("block_no", F.floor(F.col("line_index") / 5).cast("long"))
     return region_stats(w, "scan_id", "block_no").withColumn("image_width", F.lit(float(WIDTH))).withColumn("image_height", F.lit(float(HEIGHT)))
 
 

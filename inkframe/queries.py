@@ -41,12 +41,17 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
     return syn.words(spark, sf)
 
 
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Words for what is grouped by scan."""
+    return syn.words(spark, sf, by_scan=True)
+
+
 def _box(c: str):
     return F.col(f"bbox.{c}")
 
 
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
-    o = edits.render(_words(spark, sf), syn.images(spark, sf))
+    o = edits.render(_scans(spark, sf), syn.images(spark, sf))
     word, pos = F.col("type") == "word", F.col("ordinal") - 1
     text = F.when(word & (pos % 11 == 0), "").when(word & (pos % 7 == 0), F.concat("text", F.lit("-"))).otherwise(F.col("text"))
     return o.withColumn("text", text).withColumn("x", F.when(word & (pos % 5 == 0), F.col("x") + 1.5).otherwise(F.col("x")))
@@ -77,15 +82,15 @@ def words_filtered(spark, sf):
 
 
 def words_to_text(spark, sf):
-    return layout.words_to_text(_words(spark, sf))
+    return layout.words_to_text(_scans(spark, sf))
 
 
 def filtered_text(spark, sf):
-    return layout.words_to_text(_words(spark, sf), "filtered")
+    return layout.words_to_text(_scans(spark, sf), "filtered")
 
 
 def line_islands(spark, sf):
-    w = _words(spark, sf).withColumn("line_index", F.when(F.col("line_index") % 3 == 2, F.col("line_index") - 2).otherwise(F.col("line_index")))
+    w = _scans(spark, sf).withColumn("line_index", F.when(F.col("line_index") % 3 == 2, F.col("line_index") - 2).otherwise(F.col("line_index")))
     return layout.line_islands(w).groupBy("scan_id").agg(F.max("island").cast("long").alias("last_island"), F.count("*").alias("n"))
 
 
@@ -173,7 +178,7 @@ def median_font(spark, sf):
 
 def _line_points(spark, sf):
     """All lines of each document; the crop is 300 high, or as high as its lines reach."""
-    r = layout.region_stats(_words(spark, sf), "scan_id", "line_index")
+    r = layout.region_stats(_scans(spark, sf), "scan_id", "line_index")
     x, y = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0") + F.col("line_index") * 2
     return r.select("scan_id", x.alias("x"), y.alias("y"), F.lit(1600.0).alias("width"), F.greatest(F.lit(300.0), F.col("y1")).alias("height"))
 
