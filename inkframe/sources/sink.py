@@ -10,11 +10,11 @@ opens and that driver and executors share.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -44,11 +44,16 @@ class _Writer(DataSourceArrowWriter):
         fs, root = pafs.FileSystem.from_uri(self.uri)
         return fs, root, f"{root}/_job-{self.job}"
 
+    def begin(self) -> None:
+        """On the driver, before any task: the job's folder."""
+        fs, _, stage = self._open()
+        fs.create_dir(stage, recursive=True)
+
     def write(self, batches) -> Written:
         fs, _, stage = self._open()
         context = TaskContext.get()
         folder, names = f"{stage}/{context.partitionId()}-{context.taskAttemptId()}", set()
-        fs.create_dir(folder, recursive=True)
+        fs.create_dir(folder, recursive=False)  # of a job that was aborted there is nothing left to write into
         for b in batches:
             for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
                 if not name or "/" in name or name.startswith(("_", ".")) or name in names:
@@ -79,8 +84,13 @@ class _Writer(DataSourceArrowWriter):
 
     def abort(self, messages) -> None:
         fs, _, stage = self._open()
-        with contextlib.suppress(FileNotFoundError):
-            fs.delete_dir(stage)
+        for pause in (0.2, 1, 3, 0):  # a task that still runs may write while its folder goes
+            try:
+                return fs.delete_dir(stage)
+            except FileNotFoundError:
+                return
+            except OSError:
+                time.sleep(pause)
 
 
 @dataclass
@@ -132,7 +142,9 @@ class NamedFiles(DataSource):
         kinds = {f.name: f.dataType for f in schema.fields}
         if kinds != {"name": StringType(), "content": BinaryType()}:
             raise ValueError("columns must be name string, content binary")
-        return _Writer(self.options["path"], overwrite)
+        own = _Writer(self.options["path"], overwrite)
+        own.begin()
+        return own
 
 
 @functools.cache
