@@ -34,11 +34,14 @@ def from_snapshots(snapshots: DataFrame) -> DataFrame:
     return held.select(*KEYS, *[F.col("v")[c].alias(c) for c in columns], "valid_from", F.col("last.next").alias("valid_to"))
 
 
-def commit(store: DataFrame, snapshot: DataFrame, version: int) -> DataFrame:
-    """The store with one more version, later than all: intervals that it changes or ends are closed, new values are opened. Closed intervals pass by untouched; scans that the snapshot does not hold keep theirs open."""
+def commit(store: DataFrame, snapshot: DataFrame, version: int, scans: DataFrame | None = None) -> DataFrame:
+    """The store with one more version, later than all: intervals that it changes or ends are closed, new values are opened. Closed intervals pass by untouched.
+
+    The snapshot is of the scans (scan_id) given, of which it may hold no object any more, or else of those that it holds; others keep their intervals open.
+    """
     columns = _columns(snapshot)
     live = store.where("valid_to IS NULL")
-    scans = snapshot.select("scan_id").distinct().withColumn("seen", F.lit(True))
+    scans = (snapshot if scans is None else scans).select("scan_id").distinct().withColumn("seen", F.lit(True))
     old = live.join(scans, "scan_id", "left").select(*KEYS, _value(columns).alias("o"), "valid_from", "seen", F.lit(True).alias("was"))
     now = snapshot.select(*KEYS, _value(columns).alias("n"), F.lit(True).alias("is"))
     both = old.join(now, [*KEYS], "full_outer")

@@ -250,6 +250,8 @@ def test_versions(spark):
     assert versions.from_snapshots(gone.limit(0)).count() == 0
     kept = versions.commit(versions.from_snapshots(gone), gone.where("id = 'none'").drop("version"), 3)  # a commit without this scan
     assert kept.where("valid_to IS NULL").count() == 2
+    emptied = versions.commit(versions.from_snapshots(gone), gone.where("id = 'none'").drop("version"), 3, gone.select("scan_id"))  # all its objects went
+    assert emptied.where("valid_to IS NULL").count() == 0 and versions.as_of(emptied, 2).count() == 2
 
 
 def test_marquee_pairs(spark):
