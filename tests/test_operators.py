@@ -70,6 +70,9 @@ def test_edits(spark):
     images = spark.createDataFrame([(1, 100.0, 50.0)], "scan_id long, width double, height double")
     o = edits.render(words, images)
     assert {r.id for r in o.collect()} == {"obj-1", "obj-2", "obj-bg"}
+    back = spark.createDataFrame([(1, 0, None, None, None, None)], "scan_id long, ordinal int, line_index int, text string, confidence double, bbox " + layout.BBOX)
+    own = back.unionByName(words.withColumn("ordinal", (F.col("pos") + 1).cast("int")).drop("pos")).join(images, "scan_id")
+    assert sorted(map(str, edits.render_numbered(own).select(*o.columns).collect())) == sorted(map(str, o.collect()))
     moved = o.withColumn("x", F.col("x") + F.when(F.col("id") == "obj-1", 0.009).otherwise(0.02))
     assert {r.id: r.modified for r in edits.refresh(moved.where("type = 'word'")).collect()} == {"obj-1": False, "obj-2": True}
     added = spark.createDataFrame([(1, 1.0, 1.0, "mine", 0), (1, 1.0, 1.0, " ", 1)], "scan_id long, x double, y double, text string, seq int")
