@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+class _Region(NamedTuple):
+    block_no: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+
+
 def compare_regions(a, b) -> float:
     """Negative if a is read before b: by top where tops differ by more than half the smaller height, else by left edge."""
     dy = a.y0 - b.y0
@@ -24,11 +33,19 @@ def reading_order(regions: DataFrame) -> DataFrame:
     is not transitive: where regions form a cycle, the ranks are those of a stable merge sort in block order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.sort_values("block_no").itertuples(), key=functools.cmp_to_key(compare_regions))
-        return pd.DataFrame({"scan_id": [r.scan_id for r in rows], "block_no": [r.block_no for r in rows], "rank": range(len(rows))})
+    one = regions.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("block_no", *[F.col(c).cast("double").alias(c) for c in _EDGES]))).alias("rs"))
+    # A scan's regions are one row, and many scans one batch: a group of its own for each costs far more than its sort.
+    return one.select("scan_id", F.posexplode(_in_order("rs")).alias("rank", "block_no")).select("scan_id", F.col("block_no").cast("int").alias("block_no"), F.col("rank").cast("int").alias("rank"))
+
+
+_EDGES = ("x0", "y0", "x1", "y1")
+
 
-    return regions.groupBy("scan_id").applyInPandas(run, "scan_id long, block_no int, rank int")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _in_order(scans: pd.Series) -> pd.Series:
+    """The numbers of each scan's regions in reading order; regions (block_no, x0, y0, x1, y1) come in block order."""
+    key = functools.cmp_to_key(compare_regions)
+    return pd.Series([[r.block_no for r in sorted((_Region(**r) for r in rs), key=key)] for rs in scans])
 
 
 def solve_homography(source: np.ndarray, target: np.ndarray, least: float = 1e-10) -> np.ndarray | None:
