@@ -85,16 +85,8 @@ def picture(text: str | None) -> np.ndarray:
     return np.stack([c, 2 * c, 3 * c, np.full(c.shape, 255)], 2).astype(np.uint8)
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scan_id, width, height, rgba): the image of each whole text."""
-
-    def run(it):
-        for pdf in it:
-            images = [picture(t) for t in pdf["text"]]
-            yield pd.DataFrame({"scan_id": pdf["scan_id"], "width": ACROSS, "height": [len(x) for x in images], "rgba": [x.tobytes() for x in images]})
-
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "text")
-    return d.mapInPandas(run, "scan_id long, width int, height int, rgba binary")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), "text")
 
 
 def _files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
