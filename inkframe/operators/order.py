@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 
 class _Region(NamedTuple):
-    block_no: int
+    at: int
     x0: float
     y0: float
     x1: float
@@ -35,17 +35,17 @@ def reading_order(regions: DataFrame) -> DataFrame:
 
     one = regions.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("block_no", *[F.col(c).cast("double").alias(c) for c in _EDGES]))).alias("rs"))
     # A scan's regions are one row, and many scans one batch: a group of its own for each costs far more than its sort.
-    return one.select("scan_id", F.posexplode(_in_order("rs")).alias("rank", "block_no")).select("scan_id", F.col("block_no").cast("int").alias("block_no"), F.col("rank").cast("int").alias("rank"))
+    return one.select("scan_id", "rs", F.posexplode(in_order("rs")).alias("rank", "at")).select("scan_id", F.get("rs", F.col("at"))["block_no"].cast("int").alias("block_no"), F.col("rank").cast("int").alias("rank"))
 
 
 _EDGES = ("x0", "y0", "x1", "y1")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _in_order(scans: pd.Series) -> pd.Series:
-    """The numbers of each scan's regions in reading order; regions (block_no, x0, y0, x1, y1) come in block order."""
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def in_order(scans: pd.Series) -> pd.Series:
+    """The places in its array of each scan's regions (block_no, x0, y0, x1, y1, in block order), in reading order."""
     key = functools.cmp_to_key(compare_regions)
-    return pd.Series([[r.block_no for r in sorted((_Region(**r) for r in rs), key=key)] for rs in scans])
+    return pd.Series([[r.at for r in sorted((_Region(k, r["x0"], r["y0"], r["x1"], r["y1"]) for k, r in enumerate(rs)), key=key)] for rs in scans])
 
 
 def solve_homography(source: np.ndarray, target: np.ndarray, least: float = 1e-10) -> np.ndarray | None:
