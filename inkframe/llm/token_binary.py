@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkframe.llm import rans
-from inkframe.llm.common import Scratch, exact, object_opener, parallelism, release, table, tidy, uri_of, write_objects
+from inkframe.llm.common import Scratch, exact, object_opener, object_writer, parallelism, release, table, tidy, uri_of
 from inkframe.llm.pieces import byte_names, cut, runs, tokenizer_path
 
 _PIECES = 1 << 15
+RUN_BYTES = 4_000_000  # of texts that are encoded at once; memory goes by it
 FILE_IDS = 1 << 20  # a file image is closed once it holds this many ids
 
 
@@ -94,9 +95,12 @@ def encode(texts: pa.Array, own: Encoder, end_id: int) -> tuple[np.ndarray, np.n
     return ids, lengths
 
 
-def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
+def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, folder: str | None = None) -> DataFrame:
     """File images (part, seq, n_tokens, image) of docs (doc_id, text) in ascending doc_id order, null first.
 
+    With a folder (a URI) the task that makes an image also writes it there as a file: path and n_bytes take its place,
+    and no image passes between processes.
+
     Each document's ids end with end_id; a null or empty text has that id alone. Rows of one doc_id go by a hash of
     their text, then by text, so that many of them are dealt over parts too. Files are in order by part, then seq.
     """
@@ -113,7 +117,7 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             kinds = {"part": pa.int64(), "seq": pa.int64(), "n_tokens": pa.int64(), "image": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, seq, size, image), kinds.values(), strict=True)], [*kinds])
 
-        for t in runs(it, 5_500_000):
+        for t in runs(it, RUN_BYTES):
             docs_, at, one = t.column("doc_id").to_pylist(), 0, 0
             more, n = encode(pa.concat_arrays(t.column("text").chunks), tool, end_id)
             ends = np.cumsum(n)
@@ -133,7 +137,10 @@ def encode_files(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     src = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = src.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order, "text")
-    return dealt.mapInArrow(run, "part long, seq long, n_tokens long, image binary")
+    if folder is None:
+        return dealt.mapInArrow(run, "part long, seq long, n_tokens long, image binary")
+    write = object_writer("image", folder, ".rans")
+    return dealt.mapInArrow(lambda it: write(run(it)), "part long, seq long, n_tokens long, path string, n_bytes long")
 
 
 def decode_files(files: DataFrame, uri: str) -> DataFrame:
@@ -173,8 +180,10 @@ def token_binary(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     spark = docs.sparkSession
     keep = Scratch(spark, "tokens")
     folder = folder or uri_of(keep.path("files"))
-    files = write_objects(encode_files(docs, tokenizer, end_id), "image", folder, ".rans")
-    return keep.save(decode_files(files, folder), "documents")
+    files = keep.save(encode_files(docs, tokenizer, end_id, folder), "written")
+    out = keep.save(decode_files(files, folder), "documents")
+    keep.drop("written")
+    return out
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,19 @@ def test_files(spark, tmp_path):
     assert len(got) == 9 and sum(r.main.type == "response" for r in got) == 3
 
 
+def test_token_files_are_written_where_they_are_made(spark, tmp_path):
+    """One Python function a task: an image does not pass to another process."""
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(50)], "doc_id long, text string")
+    files = token_binary.encode_files(docs, folder=f"file://{tmp_path}/ids")
+    assert files._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    done = {(r.part, r.seq): r for r in files.collect()}
+    want = token_binary.encode_files(docs).collect()
+    assert len(want) == len(done) == len(list((tmp_path / "ids").iterdir()))
+    for r in want:
+        f = done[r.part, r.seq]
+        assert Path(f.path).read_bytes() == bytes(r.image) and (f.n_bytes, f.n_tokens) == (len(r.image), r.n_tokens)
+
+
 def test_token_files_stay(spark, tmp_path):
     """The files of the query's own folder hold every id, each row names its file; rows without id are dealt over parts."""
     rows = [(k, f"text {k} of some words") for k in range(40)] + [(None, f"no id {k}") for k in range(2000)] + [(None, None), (None, "twice"), (None, "twice")]
