@@ -30,6 +30,11 @@ def test_only_texts_are_shuffled(spark, name):
     assert moved and not any("id#" in x.split("hashpartitioning(")[-1].replace("scan_id#", "") for x in moved if "hashpartitioning" in x)
 
 
+def test_marquees_are_held_and_objects_unsorted(spark):
+    p = plan(nested_queries.marquee_pairs(spark, SF))
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
+
+
 @pytest.mark.parametrize("name", ["reading_order", "column_order", "nested_reading_order", "edit_history"])
 def test_many_scans_a_batch(spark, name):
     assert "FlatMapGroups" not in plan(ALL[name](spark, SF))
