@@ -35,6 +35,31 @@ def test_marquees_are_held_and_objects_unsorted(spark):
     assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
 
 
+def test_selected_words_stay_in_their_row(spark):
+    p = plan(queries.selected_text(spark, SF))
+    assert "ShuffledHashJoin" in p and not any(x in p for x in ("Sort ", "SortMergeJoin", "BroadcastExchange", "Window", "Aggregate", "posexplode"))
+
+
+def test_active_lines(spark):
+    """As active_text of the same words as a table: selections of words, of none, of noise, of what is not there; retyped, deleted, blank and user's words, lines without a number."""
+    base = [("ocr", 0, " one", " one", 90.0), ("ocr", 0, "", "x", 90.0), ("ocr", 0, "two\n", "two\n", 90.0), ("ocr", 1, "--", "--", 90.0), ("ocr", 2, "++", "+", 90.0), ("ocr", 2, None, "y", 1.0), ("ocr", 5, "", "z", 9.0), ("user", None, "a\nb", "a\nb", None), ("user", None, "\u3000", " ", None), ("user", None, "me", "me", None)]
+    nameless = [("ocr", None, "p", "p", 90.0), ("ocr", None, "q", "q", 90.0), ("ocr", 0, "r", "r", 90.0)]
+    picks = {1: None, 2: [], 3: ["obj-1", "obj-3", "obj-3", None], 4: ["obj-4"], 5: ["obj-77", "obj-bg"], 6: ["obj-10", "obj-5", "obj-8", "obj-77"], 7: ["obj-2", "obj-7"], 8: None, 9: ["obj-1"], 10: ["obj-2"]}
+    words = {s: [(f"obj-{k + 1}", k + 1, *w) for k, w in enumerate(nameless if s == 8 else [] if s == 9 else base)] for s in picks} | {10: None}
+    kind = "id string, ordinal int, origin string, line_index long, text string, original_text string, confidence double"
+    scans = spark.createDataFrame(list(words.items()), f"scan_id long, words array<struct<{kind.replace(' ', ': ').replace(',: ', ', ')}>>")
+    rows = spark.createDataFrame([(s, i) for s, i in picks.items() if i is not None], "scan_id long, ids array<string>")
+    o, selected = scans.selectExpr("scan_id", "inline(words)"), rows.selectExpr("scan_id", "explode(ids) AS id")
+    text = lambda d: {r.scan_id: r.text for r in d.collect()}
+    for level in ("filtered", "raw"):
+        got = text(layout.active_lines(scans, rows, level))
+        assert got == text(layout.active_text(o, selected, level))
+        assert text(layout.active_lines(scans, None, level)) == text(layout.active_text(o, None, level))
+    assert got[1] == got[2] == got[5] == "one  two\n--\n++\na\nb\nme" and got[8] == "p q\nr" and got[4] == "--"
+    got = text(layout.active_lines(scans, rows))
+    assert got == {1: (every := "one  two\n++\na\nb\nme"), 2: every, 3: "one two", 5: every, 6: "++\na\nb\nme", 8: "p q\nr"}
+
+
 @pytest.mark.parametrize("name", ["reading_order", "column_order", "nested_reading_order", "edit_history"])
 def test_many_scans_a_batch(spark, name):
     assert "FlatMapGroups" not in plan(ALL[name](spark, SF))
