@@ -101,7 +101,8 @@ class _Share(InputPartition):
 class _Reader(DataSourceReader):
     """Files in order of their names, several a task. Spark's own reader of binary files leaves empty ones out."""
 
-    BYTES, FILES = 32 << 20, 1000
+    #: Bytes of files and files of a task at most, and bytes after which files are passed on.
+    BYTES, FILES, BATCH = 32 << 20, 1000, 1 << 20
 
     def __init__(self, uri: str):
         self.uri = uri
@@ -120,9 +121,17 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Share):
         fs, _ = pafs.FileSystem.from_uri(self.uri)
+        names, contents, size = [], [], 0
         for path in partition.paths:
             with fs.open_input_stream(path, compression=None) as f:
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([f.read()], pa.binary())], ["name", "content"])
+                names.append(path.rsplit("/", 1)[-1])
+                contents.append(f.read())
+            size += len(contents[-1])
+            if size > self.BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
+                names, contents, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
 
 
 class NamedFiles(DataSource):

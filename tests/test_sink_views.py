@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkframe import nested_queries as queries
 from inkframe.operators import edits, glyphs, images, png
 from inkframe.sources import sink
 
@@ -150,3 +151,41 @@ def test_views(spark):
     half = o.withColumn("x", F.when(F.col("type") == "image", 50.0).otherwise(F.col("x"))).withColumn("w", F.when(F.col("type") == "image", 50.0).otherwise(F.col("w"))).where("type = 'image'")
     moved = png.decode(bytes({r.scan_id: r.content for r in images.views(edits.draw_list(half, sizes), pages).collect()}[1]))
     assert (moved[:, :50, :3] == 255).all() and (moved[:5, 50:, :3] == 200).all()
+
+
+def test_painted(spark):
+    """As views over inpainted_patches, in whole scans whatever the batches are; an image is met once and moved alone."""
+    rng = np.random.default_rng(5)
+    pages, objects = [], []
+    for scan in range(1, 6):
+        page = np.full((40, 60, 4), 255, np.uint8)
+        page[..., :3] = rng.integers(0, 256, 3) if scan % 2 else rng.integers(0, 256, (40, 60, 3))
+        pages.append((scan, bytearray(png.encode(page))))
+        objects.append((scan, "obj-bg", 0, "image", "ocr", 0.0, 0.0, 100.0, 100.0, None, 0.0, 0.0, 100.0, 100.0, None, None, None, None))
+        for k in range(1, 9):
+            x, y, w, h = (float(v) for v in rng.uniform(-5, 110, 4) * (1, 1, 0.3, 0.2))
+            objects.append((scan, f"obj-{k}", k, "word", "ocr", x, y, w, h, 8.0, x, y, w, h, "go" if k == 8 else "", "word", 90.0, k))
+    schema = "scan_id long, id string, ordinal int, type string, origin string, x double, y double, w double, h double, font_size_pct double, original_x double, original_y double, original_w double, original_h double, text string, original_text string, confidence double, line_index int"
+    o, pages = spark.createDataFrame(objects, schema), spark.createDataFrame([*pages, (9, bytearray(b"x"))], "scan_id long, content binary")
+    sizes = pages.select("scan_id", F.lit(60.0).alias("width"), F.lit(40.0).alias("height"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {r.scan_id: bytes(r.content) for r in images.painted(edits.draws(o.withColumn("width", F.lit(60.0)).withColumn("height", F.lit(40.0))), pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    patches = images.inpainted_patches(o.where("type = 'word'"), pages)
+    want = {r.scan_id: r.content for r in images.views(edits.draw_list(o, sizes, patches=patches), pages).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5} and all(got[k] == bytes(want[k]) for k in got)
+
+
+def test_pages_of_saved_views_are_made_once(spark, tmp_path):
+    made = []
+    spark.range(3).selectExpr("id AS doc_id", "concat('ab cd ef gh ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    own, queries.nested.page_files = queries.nested.page_files, lambda *a: made.append(1) or own(*a)
+    plans, save = [], queries.sink.save_files
+    queries.sink.save_files = lambda rows, to: plans.append(rows._jdf.queryExecution().toString()) or save(rows, to)
+    try:
+        assert queries.QUERIES["saved_views"](spark, str(tmp_path)).count() == 3 and made == [1]
+    finally:
+        queries.nested.page_files, queries.sink.save_files = own, save
+    assert plans[0].split("== Physical Plan ==")[1].count("MapInPandas") == 1
