@@ -61,6 +61,44 @@ def as_of(store: DataFrame, version: Column | int) -> DataFrame:
     return store.where((F.col("valid_from") <= v) & (F.col("valid_to").isNull() | (F.col("valid_to") > v))).drop("valid_from", "valid_to")
 
 
+def with_history(objects: DataFrame, snapshots: Column, versions: Column) -> DataFrame:
+    """As from_snapshots, of objects that hold their own snapshots, one row an object: adds history, its intervals (value, valid_from, valid_to) in order.
+
+    snapshots: (version, value: a struct) in order of versions; versions: those of the object's scan, in order. An object
+    meets no other, so nothing is shuffled or sorted.
+    """
+    o = objects.withColumn("__snapshots", snapshots).withColumn("__versions", versions)
+    at = lambda i: F.get("__snapshots", i)
+    after = lambda v: F.get("__versions", F.array_position("__versions", v).cast("int"))
+    goes_on = lambda s, i: at(i - 1)["value"].eqNullSafe(s["value"]) & (after(at(i - 1)["version"]) == s["version"])
+    first = F.filter(F.transform("__snapshots", lambda s, i: F.when((i == 0) | ~goes_on(s, i), i)), lambda i: i.isNotNull())
+    o = o.withColumn("__first", first)
+    last = lambda k: at(F.coalesce(F.get("__first", k + 1), F.size("__snapshots")) - 1)["version"]
+    history = F.transform("__first", lambda i, k: F.struct(at(i)["value"].alias("value"), at(i)["version"].alias("valid_from"), after(last(k)).alias("valid_to")))
+    return o.withColumn("history", history).drop("__snapshots", "__versions", "__first")
+
+
+def with_version(objects: DataFrame, value: Column, version: int, seen: Column | bool = True) -> DataFrame:
+    """As commit, of objects with a history: value is the object's in the version, null without it there; seen: whether the snapshot is of its scan."""
+    o = objects.withColumn("__value", value)
+    there, seen = F.col("__value").isNotNull(), seen if isinstance(seen, Column) else F.lit(seen)
+    last = F.get("history", F.size("history") - 1)  # only the last interval can be open
+    o = o.withColumn("__same", F.coalesce(there & last["valid_from"].isNotNull() & last["valid_to"].isNull() & last["value"].eqNullSafe(F.col("__value")), F.lit(False)))
+    ends = F.when(~(F.col("__same") | ~(there | seen)), F.lit(version).cast("long"))
+    closed = F.transform("history", lambda r: F.struct(r["value"].alias("value"), r["valid_from"].alias("valid_from"), F.coalesce(r["valid_to"], ends).alias("valid_to")))
+    new = F.array(F.struct(F.col("__value").alias("value"), F.lit(version).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to")))
+    opened = F.when(there & ~F.col("__same"), F.concat(closed, new)).otherwise(closed)
+    return o.withColumn("history", opened).drop("__value", "__same")
+
+
+def values_as_of(objects: DataFrame, version: Column | int) -> DataFrame:
+    """As as_of, of objects with a history: value instead of it, a row for each object that is in the version."""
+    v = version if isinstance(version, Column) else F.lit(version)
+    held = F.filter("history", lambda r: (r["valid_from"] <= v) & (r["valid_to"].isNull() | (r["valid_to"] > v)))
+    rest = [F.col(f"`{c}`") for c in objects.columns if c != "history"]
+    return objects.select(*rest, F.explode(held).alias("r")).select(*rest, F.col("r.value").alias("value"))
+
+
 def restore(live: DataFrame, store: DataFrame, version: Column | int) -> DataFrame:
     """What leads from the live objects to a version: edits.reconcile with it as the snapshot."""
     from inkframe.operators.edits import reconcile

@@ -277,3 +277,27 @@ def test_marquee_pairs(spark):
     pairs = fit.marquee_pairs(grid, many)
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert pairs.count() == 400 * 4 and "cx" in plan
+
+
+def test_versions_within_objects(spark):
+    """Histories of objects that hold their snapshots are the intervals of the same snapshots as a table."""
+    rng = np.random.default_rng(3)
+    of = {1: [0, 1, 2, 5], 2: [1, 3], 3: [0, 2]}
+    held = {(s, f"o{k}"): [(v, int(rng.integers(0, 2)) or None) for v in vs if rng.random() < 0.7] for s, vs in of.items() for k in range(12)}
+    held |= {(s, "all"): [(v, 1) for v in vs] for s, vs in of.items()}
+    last = {k: int(rng.integers(0, 2)) or None for k in held if rng.random() < 0.7}
+    every = spark.createDataFrame([(s, o, v, x) for (s, o), own in held.items() for v, x in own], "scan_id long, id string, version long, x int")
+    store = versions.from_snapshots(every)
+    scans = spark.createDataFrame([(1,), (3,)], "scan_id long")
+    more = spark.createDataFrame([(*k, x) for k, x in last.items() if k[0] != 2 or k[1] < "o3"], "scan_id long, id string, x int")
+    rows = [(s, o, [(v, (x,)) for v, x in own], of[s], (last[s, o],) if (s, o) in last and (s != 2 or o < "o3") else None) for (s, o), own in held.items()]
+    objects = spark.createDataFrame(rows, "scan_id long, id string, s array<struct<version: long, value: struct<x: int>>>, vs array<long>, n struct<x: int>")
+    one = versions.with_history(objects, F.col("s"), F.col("vs"))
+    two = versions.with_version(one, F.col("n"), 7, F.col("scan_id") != 2)
+    flat = lambda d: sorted(map(tuple, d.select("scan_id", "id", F.explode("history").alias("r")).select("scan_id", "id", "r.value.x", "r.valid_from", "r.valid_to").collect()), key=str)
+    table = lambda d: sorted(map(tuple, d.select("scan_id", "id", "x", "valid_from", "valid_to").collect()), key=str)
+    store2 = versions.commit(store, more, 7, scans)
+    assert flat(one) == table(store) and flat(two) == table(store2)
+    for v in (0, 2, 3, 7):
+        got = versions.values_as_of(two, F.col("scan_id") * 0 + v).select("scan_id", "id", "value.x").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, versions.as_of(store2, v).select("scan_id", "id", "x").collect()), key=str)
