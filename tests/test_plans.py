@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inkframe import nested_queries, queries
 from inkframe.functions import geometry as geo
-from inkframe.operators import layout
+from inkframe.operators import edits, layout
 
 SF = "/root/testdata/sf0.001"
 ALL = queries.QUERIES | nested_queries.QUERIES
@@ -78,3 +78,21 @@ def test_inpaint_boxes_in_steps(spark):
     want = d.select("id", geo.inpaint_boxes(*[F.col(c) for c in "xywh"], *size).alias("b")).where("b IS NOT NULL").select("id", "b.*")
     got = geo.place_inpaint_boxes(d, *size)
     assert 0 < got.count() < 600 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_restored_versions_and_notes_move_no_words(spark):
+    """Versions meet within their object: nothing is sorted or joined; notes meet scans, which are not sorted."""
+    p = plan(nested_queries.version_restore(spark, SF))
+    assert "Join" not in p and "Window" not in p and "Sort" not in p and "Aggregate" not in p and p.count("Exchange") == 1
+    p = plan(nested_queries.text_with_notes(spark, SF))
+    assert "SortMergeJoin" not in p and "Window" not in p and p.count("Join") == 1
+
+
+def test_added_lines(spark):
+    """The user's words follow those of their scan by seq; blank ones are dropped, scans without words have theirs alone."""
+    word = "struct<id: string, ordinal: int, origin: string, line_index: long, text: string, original_text: string, confidence: double>"
+    scans = spark.createDataFrame([(1, [("obj-1", 1, "ocr", 0, "one", "one", 90.0), ("obj-2", 2, "ocr", 1, "two", "two", 90.0)]), (2, []), (3, None), (4, None)], f"scan_id long, words array<{word}>")
+    added = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, " ", 0), (2, "c", 1), (3, "d", 9), (5, "e", 1)], "scan_id long, text string, seq int")
+    got = edits.add_user_lines(scans, added)
+    assert {r.scan_id: r.text for r in layout.active_lines(got).collect()} == {1: "one\ntwo\na\nb", 2: "c", 3: "d"}
+    assert [(w.id, w.ordinal, w.origin) for w in got.where("scan_id = 1").first().words[2:]] == [("obj-3", 3, "user"), ("obj-4", 4, "user")]
