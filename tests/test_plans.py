@@ -1,11 +1,12 @@
 """What queries move: plans without shuffles of words, groups of one scan in Python, or steps worked out again."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkframe import nested_queries, queries
 from inkframe.functions import geometry as geo
-from inkframe.operators import edits, layout
+from inkframe.operators import edits, fit, layout
 
 SF = "/root/testdata/sf0.001"
 ALL = queries.QUERIES | nested_queries.QUERIES
@@ -96,3 +97,33 @@ def test_added_lines(spark):
     got = edits.add_user_lines(scans, added)
     assert {r.scan_id: r.text for r in layout.active_lines(got).collect()} == {1: "one\ntwo\na\nb", 2: "c", 3: "d"}
     assert [(w.id, w.ordinal, w.origin) for w in got.where("scan_id = 1").first().words[2:]] == [("obj-3", 3, "user"), ("obj-4", 4, "user")]
+
+
+def test_marquees_meet_words_in_arrays(spark):
+    """Words are sorted once, by their scan, and not dealt out to cells."""
+    p = plan(nested_queries.marquee_pairs(spark, SF))
+    assert p.count("Window ") == 1 and "Generate explode(sequence" not in p and p.count("Sort [scan_id") == 1, p
+
+
+@pytest.mark.parametrize("size", ["1", "7", "1000"])
+def test_marquee_pairs_in_batches(spark, size):
+    """Scans that go over batches, scans without marquees or words, boxes of many cells: as by looking at every pair."""
+    rng = np.random.default_rng(4)
+    boxes = lambda n: [(int(rng.integers(1, 7)), k, *(rng.uniform(-20, 120, 2).tolist()), *(rng.uniform(0, 60, 2) ** 2 / 40).tolist()) for k in range(n)]
+    words, marks = [b for b in boxes(60) if b[0] != 3], [b for b in boxes(25) if b[0] != 4]
+    o = spark.createDataFrame([(s, f"w{k}", "word", x, y, w, h) for s, k, x, y, w, h in words], "scan_id long, id string, type string, x double, y double, w double, h double")
+    m = spark.createDataFrame([(s, k, x, y, x + w, y + h) for s, k, x, y, w, h in marks], "scan_id long, marquee_id long, left double, top double, right double, bottom double")
+    want = sorted((s, j, f"w{k}") for s, k, x, y, w, h in words for t, j, u, v, a, b in marks if s == t and x <= u + a and x + w >= u and y <= v + b and y + h >= v)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        assert sorted(map(tuple, fit.marquee_pairs(o, m).collect())) == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own, fit.MEETING = fit.MEETING, 3  # a few cells and pairs at once
+    try:
+        a, b = (np.array([[x, y, x + w, y + h] for _, _, x, y, w, h in rows]) for rows in (words, marks))
+        cell = lambda v: np.floor(v * 0.16).astype(int)
+        s, t = (np.array([r[0] for r in rows]) for rows in (words, marks))
+        assert sorted((words[i][0], marks[j][1], f"w{words[i][1]}") for ii, jj in fit._meet(a, cell(a), s, b, cell(b), t) for i, j in zip(ii.tolist(), jj.tolist(), strict=True)) == want
+    finally:
+        fit.MEETING = own
